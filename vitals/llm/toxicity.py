@@ -92,6 +92,24 @@ class Index:
     prior: float
 
 
+def no_near_copies(terms: list[np.ndarray], k: int = 8) -> np.ndarray:
+    """Numbers of the examples left when one that shares half of its k smallest term hashes with an earlier one goes.
+
+    Copies of a text in the sample would make its chance words look like signs of a class.
+    """
+    owner: dict[int, int] = {}
+    left = []
+    for i, t in enumerate(terms):
+        least = np.sort(mix(t.view(np.uint64), 9))[:k].tolist()
+        seen = [owner[x] for x in least if x in owner]
+        if least and seen and 2 * max(seen.count(o) for o in set(seen)) >= len(least):
+            continue
+        left.append(i)
+        for x in least:
+            owner.setdefault(x, i)
+    return np.array(left, np.int64)
+
+
 def choose_terms(terms: list[np.ndarray], labels: np.ndarray, most: int = TERMS) -> np.ndarray:
     """Sorted hashes of the terms that the sample ties to a class: by odds and by a z-score."""
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
@@ -141,8 +159,10 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = EXAMPLES) -> Index:
     """Learn the index from a bounded sample; document frequencies cover all documents."""
     sample = sample_terms(labelled_sample(docs, labels, label, folds, held, per_class)).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    y = sample["label"].to_numpy(np.int64)
     terms = [np.asarray(t, np.int64) for t in sample["terms"]]
+    left = no_near_copies(terms)
+    sample, terms = sample.iloc[left].reset_index(drop=True), [terms[i] for i in left]
+    y = sample["label"].to_numpy(np.int64)
     vocabulary = choose_terms(terms, y)
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 1)) + 1
