@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitals.llm import bpe, chat, exact, minhash, nbsvm, quality_rules, toxicity
+from vitals.llm import bpe, chat, exact, minhash, nbsvm, quality_rules, substring, toxicity
 from vitals.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
@@ -68,6 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
