@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitals.llm import bpe, chat, exact, minhash, nbsvm, quality_rules, substring, toxicity
+from vitals.llm import bpe, chat, exact, licenses, minhash, nbsvm, quality_rules, substring, toxicity
 from vitals.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
@@ -73,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
@@ -83,6 +88,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_license_scan": licenses.license_sql(),
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'), '') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
