@@ -1,4 +1,6 @@
 """Queries by name, and the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from vitals.plans import facts, measures  # noqa: F401  registers them
+from vitals.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
