@@ -251,7 +251,7 @@ class Template:
                 if not cases:
                     continue
                 if cases[0][0][0] == "const":
-                    out += cases[0][1]
+                    out = self._fold(out + cases[0][1])
                     continue
                 node = ("if", cases)
             if node[0] == "text" and out and out[-1][0] == "text":

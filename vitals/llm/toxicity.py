@@ -28,6 +28,7 @@ NEIGHBOURS = 16
 #: Weight of the prior against the neighbours' cosines.
 PRIOR_WEIGHT = 1.5
 BLOCK = 64
+SKETCH = 8
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -49,15 +50,22 @@ def chunk_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def sample_terms(rows: DataFrame) -> DataFrame:
-    """(label, doc_id, terms) of labelled rows."""
+    """(label, doc_id, terms, sketch) of labelled rows; the sketch is the SKETCH smallest hashes of five words in a row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             d, t, n = chunk_terms(chunk["text"])
             offsets = np.searchsorted(d, np.arange(n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk["label"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(t)))], names=["doc_id", "label", "terms"])
+            w = Words(chunk["text"])
+            h, at = w.ngrams(5)
+            sd, sh = distinct(w.doc[at], h)
+            cuts = np.searchsorted(sd, np.arange(n + 1))
+            sketch = [signed(sh[a : min(b, a + SKETCH)]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [chunk["doc_id"], chunk["label"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(t))), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "sketch"]
+            )
 
-    return rows.select("doc_id", "label", "text").mapInArrow(work, "doc_id long, label int, terms array<bigint>")
+    return rows.select("doc_id", "label", "text").mapInArrow(work, "doc_id long, label int, terms array<bigint>, sketch array<bigint>")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
@@ -92,17 +100,17 @@ class Index:
     prior: float
 
 
-def no_near_copies(terms: list[np.ndarray], k: int = 8) -> np.ndarray:
-    """Numbers of the examples left when one that shares half of its k smallest term hashes with an earlier one goes.
+def no_near_copies(sketches: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the examples left when one that shares half of its sketch with an earlier one goes.
 
     Copies of a text in the sample would make its chance words look like signs of a class.
     """
     owner: dict[int, int] = {}
     left = []
-    for i, t in enumerate(terms):
-        least = np.sort(mix(t.view(np.uint64), 9))[:k].tolist()
+    for i, t in enumerate(sketches):
+        least = t.tolist()
         seen = [owner[x] for x in least if x in owner]
-        if least and seen and 2 * max(seen.count(o) for o in set(seen)) >= len(least):
+        if seen and 2 * max(seen.count(o) for o in set(seen)) >= len(least):
             continue
         left.append(i)
         for x in least:
@@ -160,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     """Learn the index from a bounded sample; document frequencies cover all documents."""
     sample = sample_terms(labelled_sample(docs, labels, label, folds, held, per_class)).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     terms = [np.asarray(t, np.int64) for t in sample["terms"]]
-    left = no_near_copies(terms)
+    left = no_near_copies([np.asarray(t, np.int64) for t in sample["sketch"]])
     sample, terms = sample.iloc[left].reset_index(drop=True), [terms[i] for i in left]
     y = sample["label"].to_numpy(np.int64)
     vocabulary = choose_terms(terms, y)
