@@ -128,13 +128,14 @@ class Facts:
     def series(self) -> DataFrame:
         """Yearly crude rates by area and cause, both sexes: series_id, year, value."""
         r = self.full.where("sex = 'HM'").groupBy("area", "cause", "year").agg(F.sum("deaths").alias("d"), F.sum("pop").alias("p"))
-        return r.select(F.concat_ws("|", "area", "cause").alias("series_id"), "year", (F.col("d") / F.col("p") * 1e5).alias("value"))
+        # one number per area, cause and year, read by every model and origin: kept
+        return r.select(F.concat_ws("|", "area", "cause").alias("series_id"), "year", (F.col("d") / F.col("p") * 1e5).alias("value")).persist()
 
     @cached_property
     def daily(self) -> DataFrame:
         """Daily counts of events by type: series_id, year (the day's number), value."""
         e = self.table("events").select(F.col("event_type").alias("series_id"), F.datediff("ts", F.lit("2024-01-01")).alias("year"))
-        return e.groupBy("series_id", "year").agg(F.count(F.lit(1)).cast("double").alias("value"))
+        return e.groupBy("series_id", "year").agg(F.count(F.lit(1)).cast("double").alias("value")).persist()
 
 
 def _values(rows: list[tuple]) -> str:
