@@ -12,6 +12,7 @@ products, and only a spanning forest of the true links leaves a block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from vitals.llm.components import connected_components
 from vitals.llm.tables import saved
 from vitals.llm.textkernel import U, Words, chunks, distinct, groups, mix, signed
 
-#: 36 bands of 6: a pair of Jaccard similarity 0.85 is missed with probability 4e-8.
-BANDS, ROWS = 36, 6
+#: Coordinates of a band, and with what probability a pair just at the threshold may be missed.
+ROWS, MISS = 6, 5e-8
 #: Places of the second permutation.
 PLACES = 1 << 20
 #: Classes, and shingles, that one side of a comparison holds at most (about).
@@ -34,6 +35,11 @@ BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 _orders: dict[int, np.ndarray] = {}
 
 
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """How many bands a threshold needs: 36 for 85 percent, 56 for 80."""
+    return math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
+
+
 def _windows(k: int) -> np.ndarray:
     """Row p: the order of places p, p + 1, ..., p + k - 1, around the circle."""
     if k not in _orders:
@@ -68,7 +74,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return mix(h + np.arange(bands, dtype=U)[None, :] * U(0x9E3779B97F4A7C15), 11)
 
 
-def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int = 5) -> DataFrame:
+def fingerprints(docs: DataFrame, bands: int, rows: int = ROWS, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the shingle set (h1, h2), band keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +206,7 @@ def _compare(sets: DataFrame, placed: DataFrame, pairs: DataFrame, percent: int)
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, n: int = 5, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES
+    docs: DataFrame, percent: int = 85, bands: int | None = None, rows: int = ROWS, n: int = 5, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, class_id.
 
@@ -219,7 +225,7 @@ def near_duplicates(
     compared within itself again, and all other pairs of blocks are.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = saved(fingerprints(text, bands, rows, n))
+    prints = saved(fingerprints(text, bands or bands_for(percent, rows), rows, n))
     some = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     member = saved(some.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "class_id", "n_shingles"))
