@@ -209,6 +209,13 @@ def test_changed_words_inside_a_passage(spark):
     assert (r["doc_id"], r["source_id"], r["start"], r["n_words"]) == (2, 1, 60, 100) and 0.8 <= r["similarity"] < 1
 
 
+def test_cut_with_clashing_columns(spark):
+    p = " ".join(f"p{k}" for k in range(60))
+    df = spark.createDataFrame([(1, "a " + p, 0, "x", "y", 5), (2, "é b\n" + p + "  c d", 0, "x", "y", 5)], "doc_id int, text string, _own int, _key string, _body string, n_chars int")
+    out = {r["doc_id"]: r for r in substring.drop_repeated_passages(df).collect()}
+    assert out[1]["text"] == "a " + p and out[2]["text"] == "é b\nc d" and out[2]["n_chars"] == 7 and out[2]["_body"] == "y"
+
+
 def test_passages_of_nothing(spark):
     assert substring.repeated_passages(frame(spark, [])).count() == 0
     assert substring.repeated_passages(frame(spark, [(1, "a b"), (2, None)])).count() == 0
