@@ -70,28 +70,46 @@ class Facts:
         df = df.withColumn("sex", F.explode(F.array("sex", F.lit("HM"))))
         return df.withColumn("cause", F.explode(F.array("cause", F.lit("ALL")))) if cause else df
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Every count by year, area, sex, cause and band, from one pass over the line items.
+
+        As many rows as there are cells, whatever the tables hold; kept, as deaths and
+        population are both read from it.
+        """
+        one, two, dead = F.col("l_linenumber") <= 3, F.col("l_linenumber") >= 3, F.col("dead")
+        count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+        size = lambda c: F.sum(F.when(c, F.col("l_quantity")).otherwise(0.0))
+        sums = {"deaths": count(dead), "pop": F.sum("l_quantity"), "infant": count(dead & (F.col("p_size") == 1))}
+        for name, lines in (("S1", one), ("S2", two)):
+            sums |= {f"deaths_{name}": count(dead & lines), f"n_{name}": count(lines), f"pop_{name}": size(lines)}
+        return self.base.groupBy("year", "area", "sex", "cause", "band_idx").agg(*(v.alias(k) for k, v in sums.items())).persist()
+
     @cached_property
     def deaths(self) -> DataFrame:
-        parts = self.base.where("dead").groupBy("year", "area", "sex", "cause", "band_idx").agg(F.count(F.lit(1)).cast("double").alias("deaths"))
+        parts = self.cells.where("deaths > 0").select("year", "area", "sex", "cause", "band_idx", "deaths")
         both = self._both(parts, True).groupBy("year", "area", "sex", "cause", "band_idx").agg(F.sum("deaths").alias("deaths"))
         return both.join(F.broadcast(self.bands.select("band_idx", "age_band")), "band_idx")
 
     @cached_property
     def pop(self) -> DataFrame:
-        parts = self.base.groupBy("year", "area", "sex", "band_idx").agg(F.sum("l_quantity").alias("pop"))
-        both = self._both(parts, False).groupBy("year", "area", "sex", "band_idx").agg(F.sum("pop").alias("pop"))
+        both = self._both(self.cells.select("year", "area", "sex", "band_idx", "pop"), False).groupBy("year", "area", "sex", "band_idx").agg(F.sum("pop").alias("pop"))
         return both.join(F.broadcast(self.bands.select("band_idx", "age_band")), "band_idx")
 
+    def _sourced(self, cells: DataFrame, keys: list[str], value: str, some: str) -> DataFrame:
+        """Two sources that overlap: S1 has lines 1 to 3, S2 has 3 and more."""
+        each = F.array(*(F.struct(F.lit(s).alias("s"), F.col(f"{value}_{s}").alias("v"), F.col(f"{some}_{s}").alias("n")) for s in ("S1", "S2")))
+        return cells.select(*keys, F.explode(each).alias("x")).where("x.n > 0").select(*keys, F.col("x.s").alias("source_indicator"), F.col("x.v").alias(value))
+
     @cached_property
     def source_deaths(self) -> DataFrame:
-        """Two sources that overlap: S1 has lines 1 to 3, S2 has 3 and more."""
-        rows = self.base.where("dead").withColumn("source_indicator", F.explode(F.expr("filter(array(if(l_linenumber <= 3, 'S1', null), if(l_linenumber >= 3, 'S2', null)), x -> x is not null)")))
-        return rows.groupBy("year", "area", "sex", "cause", "band_idx", "source_indicator").agg(F.count(F.lit(1)).cast("double").alias("deaths"))
+        return self._sourced(self.cells, ["year", "area", "sex", "cause", "band_idx"], "deaths", "deaths")
 
     @cached_property
     def source_pop(self) -> DataFrame:
-        rows = self.base.withColumn("source_indicator", F.explode(F.expr("filter(array(if(l_linenumber <= 3, 'S1', null), if(l_linenumber >= 3, 'S2', null)), x -> x is not null)")))
-        return rows.groupBy("year", "area", "sex", "band_idx", "source_indicator").agg(F.sum("l_quantity").alias("pop"))
+        keys = ["year", "area", "sex", "band_idx"]
+        summed = self.cells.groupBy(*keys).agg(*(F.sum(f"{c}_{s}").alias(f"{c}_{s}") for c in ("pop", "n") for s in ("S1", "S2")))
+        return self._sourced(summed, keys, "pop", "n")
 
     @cached_property
     def births(self) -> DataFrame:
@@ -99,7 +117,7 @@ class Facts:
 
     @cached_property
     def infant(self) -> DataFrame:
-        parts = self.base.where("dead AND p_size = 1").groupBy("year", "area", "sex", "cause").agg(F.count(F.lit(1)).cast("double").alias("deaths"))
+        parts = self.cells.where("infant > 0").groupBy("year", "area", "sex", "cause").agg(F.sum("infant").alias("deaths"))
         return self._both(parts, True).groupBy("year", "area", "sex", "cause").agg(F.sum("deaths").alias("deaths"))
 
     @cached_property

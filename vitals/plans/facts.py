@@ -118,7 +118,7 @@ def _metrics(f: Facts) -> DataFrame:
 add(
     "N16_metric_rounding",
     lambda f: _metrics(f).select("area", "cause", "metric", L.rounded_metric(F.col("metric"), F.col("value")).alias("value")),
-    "SELECT area, cause, metric, CASE metric WHEN 'deaths' THEN round(v, 0) WHEN 'smr' THEN round(v, 1) ELSE round(v, 2) END AS value FROM (SELECT area, cause, sum(deaths) / sum(pop) * 1000 AS v FROM fullf WHERE sex = 'HM' GROUP BY ALL), unnest(['deaths', 'smr', 'crude']) AS u(metric)",
+    "SELECT area, cause, metric, CASE metric WHEN 'deaths' THEN round_even(v, 0) WHEN 'smr' THEN round_even(v, 1) ELSE round_even(v, 2) END AS value FROM (SELECT area, cause, sum(deaths) / sum(pop) * 1000 AS v FROM fullf WHERE sex = 'HM' GROUP BY ALL), unnest(['deaths', 'smr', 'crude']) AS u(metric)",
 )
 add(
     "N17_interval_text",

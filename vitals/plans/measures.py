@@ -131,7 +131,7 @@ add("A3_breakdown", lambda f: r6(avoidable.breakdown(f.deaths, f.groups, f.bands
 _GRATE = """pp AS (SELECT year, area, sex, age_band, pop FROM pop JOIN bands USING (age_band) WHERE under), dd AS (SELECT year, area, sex, grp, age_band, sum(deaths) AS deaths FROM deaths JOIN gm USING (cause) GROUP BY ALL),
  gr AS (SELECT year, area, sex, grp, sum(coalesce(deaths, 0)) AS d, sum(weight * coalesce(deaths, 0) / pop) / sum(weight) * 1e5 AS rate FROM pp CROSS JOIN (SELECT DISTINCT grp FROM gm) JOIN bands USING (age_band) LEFT JOIN dd USING (year, area, sex, grp, age_band) GROUP BY ALL)"""
 add("A4_group_rate", lambda f: r6(avoidable.group_rate(f.deaths, f.pop, f.groups, f.bands, AK).select(*AK, "group", "deaths", "rate"), "rate"), _GM + _GRATE + ' --- SELECT year, area, sex, grp AS "group", d AS deaths, CASE WHEN d >= 10 THEN round(rate, 6) END AS rate FROM gr')
-add("A5_group_table", lambda f: avoidable.group_table(f.deaths, f.pop, f.groups, f.bands, AK, "ALL", 1.0).select(*AK, "group", "deaths", F.when(F.col("rate").isNotNull(), 1).otherwise(0).alias("has_rate")), _GM + _GRATE + ", " + _PARTS + ' --- SELECT p.year, p.area, p.sex, p.grp AS "group", round(p.deaths, 0) AS deaths, CASE WHEN g.d >= 10 THEN 1 ELSE 0 END AS has_rate FROM parts p LEFT JOIN gr g USING (year, area, sex, grp)')
+add("A5_group_table", lambda f: avoidable.group_table(f.deaths, f.pop, f.groups, f.bands, AK, "ALL", 1.0).select(*AK, "group", "deaths", F.when(F.col("rate").isNotNull(), 1).otherwise(0).alias("has_rate")), _GM + _GRATE + ", " + _PARTS + ' --- SELECT p.year, p.area, p.sex, p.grp AS "group", round_even(p.deaths, 0) AS deaths, CASE WHEN g.d >= 10 THEN 1 ELSE 0 END AS has_rate FROM parts p LEFT JOIN gr g USING (year, area, sex, grp)')
 add("A6_cause_listing", lambda f: avoidable.cause_listing(f.groups).join(f.deaths.select("cause").distinct(), "cause", "left_semi"), "SELECT cause, grp AS \"group\", coalesce(reason, '') AS reason FROM groups WHERE cause IN (SELECT cause FROM deaths)")
 
 # ---- comparisons
@@ -203,7 +203,7 @@ for _i, _m in ((5, "theta"), (6, "holt"), (7, "holt_damped"), (8, "ets")):
 add("F9_horizon", lambda f: fc.horizon(fc.arrays(f.series), H).select("series_id", "h", "year"), "SELECT series_id, h, CAST(max(year) + h AS INTEGER) AS year FROM series, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS h) GROUP BY series_id, h")
 add("F10_failures", lambda f: fc.failures(fc.arrays(f.series.where("year < 1997 OR series_id < 'NATION_2'"))), "SELECT series_id, 'too short' AS status FROM series WHERE year < 1997 OR series_id < 'NATION_2' GROUP BY ALL HAVING count(*) < 3")
 _ERR = ("me", "rmse", "mae", "mape", "mase")
-_PAIRS = "d AS (SELECT series_id, value AS actual, lag(value) OVER (PARTITION BY series_id ORDER BY year) AS predicted FROM series), sc AS (SELECT series_id, avg(abs(actual - predicted)) AS sc FROM d GROUP BY ALL), p AS (SELECT * FROM d WHERE predicted IS NOT NULL) --- "
+_PAIRS = "d AS (SELECT series_id, value AS actual, lag(value) OVER (PARTITION BY series_id ORDER BY year) AS predicted, count(*) OVER (PARTITION BY series_id) AS n FROM series), sc AS (SELECT series_id, avg(abs(actual - predicted)) AS sc FROM d GROUP BY ALL), p AS (SELECT * FROM d WHERE predicted IS NOT NULL AND n >= 3) --- "
 _ERRSQL = "SELECT series_id, {m} round(avg(predicted - actual), 6) AS me, round(sqrt(avg((predicted - actual) ^ 2)), 6) AS rmse, round(avg(abs(predicted - actual)), 6) AS mae, round(avg(CASE WHEN abs(actual) > 1e-8 THEN abs((predicted - actual) / actual) END) * 100, 6) AS mape, CASE WHEN max(sc) > 0 THEN round(avg(abs(predicted - actual)) / max(sc), 6) END AS mase FROM p JOIN sc USING (series_id) GROUP BY ALL"
 
 
