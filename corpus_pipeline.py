@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitals.llm import bpe, exact, minhash, substring, toxicity
 from vitals.llm.queries import VOCABULARY
-from vitals.llm.tables import table
+from vitals.llm.tables import small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +27,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return minhash.drop_near_duplicates(docs, 80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id has too."""
+    small_batches(spark)
     return substring.drop_repeated_passages(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths."""
+    small_batches(spark)
     packed = bpe.pack_powers_of_two(docs, public_tokenizers.path(VOCABULARY))
     return bpe.ids_crc32(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 

@@ -27,7 +27,7 @@ from vitals.llm.textkernel import chunks, plain
 #: Fixed: the pattern of the byte_bpe_50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; further ones are encoded in each chunk anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 NONE = np.int64(1 << 40)
 
 

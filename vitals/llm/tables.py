@@ -7,7 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to a Python worker at once; texts are long, and Spark's default would hold tens of MB on both sides.
+BATCH_ROWS = "1000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has its own size."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

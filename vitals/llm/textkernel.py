@@ -7,6 +7,8 @@ with no Python loop over documents or words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that are worked on together; bounds the memory of a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -56,8 +58,16 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, so that idle workers don't hold what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `limit` bytes of text each, one row at least."""
+    worked = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -69,6 +79,11 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -
             end = max(at + 1, int(np.searchsorted(before, before[at] + limit, "left")))
             yield batch.slice(at, end - at)
             at = end
+        worked += int(lengths.sum())
+        if worked > 16 * CHUNK:
+            worked = 0
+            _give_back()
+    _give_back()
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
