@@ -20,7 +20,7 @@ from vitals.llm.textkernel import Words, chunks, distinct, mix, signed
 from vitals.llm.toxicity import base_rate, labelled_sample
 
 #: Labelled rows per class to fit on at most.
-EXAMPLES = 2000
+EXAMPLES = 750
 #: N-grams in the model at most.
 FEATURES = 1 << 15
 MIN_DOCS = 4
@@ -148,20 +148,38 @@ def calibrate(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: in
     return float(max(a, 1e-3)), float(b)
 
 
+def _numbered(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams of MIN_DOCS examples or more, and the number of each in turn (-1 for the others)."""
+    every = np.concatenate(grams)
+    every.sort()
+    starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    features = every[starts[np.diff(np.append(starts, len(every))) >= MIN_DOCS]]
+    del every
+    which = np.full(sum(len(g) for g in grams), -1, np.int32)
+    at = 0
+    for g in grams:
+        i = np.minimum(np.searchsorted(features, g), max(len(features) - 1, 0))
+        if len(features):
+            which[at : at + len(g)] = np.where(features[i] == g, i, -1)
+        at += len(g)
+    return features, which
+
+
 def fit_arrays(grams: list[np.ndarray], labels: np.ndarray, prior: float, c: float = 1.0) -> Model:
     """Fit on n-grams of examples; without both classes every score is the prior."""
     none = Model(np.empty(0, np.int64), np.empty(0), 0.0, 1.0, float(np.log(prior / (1 - prior))), prior)
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return none
-    features, which = np.unique(np.concatenate(grams), return_inverse=True)
+    features, which = _numbered(grams)
     good = np.repeat(labels == 1, [len(g) for g in grams])
-    p = np.bincount(which[good], minlength=len(features)).astype(float)
-    q = np.bincount(which[~good], minlength=len(features)).astype(float)
+    known = which >= 0
+    p = np.bincount(which[good & known], minlength=len(features)).astype(float)
+    q = np.bincount(which[~good & known], minlength=len(features)).astype(float)
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     chosen = np.flatnonzero(p + q >= MIN_DOCS)
     chosen = np.sort(chosen[np.argsort(-np.abs(ratio[chosen]) * np.sqrt((p + q)[chosen]), kind="stable")[:FEATURES]])
-    place = np.full(len(features), -1)
+    place = np.full(len(features) + 1, -1)  # the last is for n-grams that aren't features
     place[chosen] = np.arange(len(chosen))
     ends = np.cumsum([len(g) for g in grams])
     rows = []
@@ -192,7 +210,8 @@ def fit_arrays(grams: list[np.ndarray], labels: np.ndarray, prior: float, c: flo
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, per_class: int = EXAMPLES) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
     sample = sample_features(labelled_sample(docs, labels, label, folds, held, per_class)).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    return fit_arrays([np.asarray(g, np.int64) for g in sample["grams"]], sample["label"].to_numpy(np.int64), base_rate(labels, label, folds, held))
+    grams, y = [np.asarray(g, np.int64) for g in sample.pop("grams")], sample["label"].to_numpy(np.int64)
+    return fit_arrays(grams, y, base_rate(labels, label, folds, held))
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
