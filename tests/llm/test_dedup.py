@@ -209,6 +209,56 @@ def test_changed_words_inside_a_passage(spark):
     assert (r["doc_id"], r["source_id"], r["start"], r["n_words"]) == (2, 1, 60, 100) and 0.8 <= r["similarity"] < 1
 
 
+def shared_passage(seed, holders, n, others=0):
+    """Documents of chance words, `holders` of them with one passage of n words, and the places of these."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: [f"v{k}" for k in rng.integers(0, 30_000, n)]
+    p, docs, at = text(n), [], {}
+    for k in range(holders + others):
+        t = text(int(rng.integers(20, 90)))
+        if k >= others:
+            at[k] = int(rng.integers(0, len(t)))
+            t[at[k] : at[k]] = p
+        docs.append((k, t))
+    return docs, p, at
+
+
+@pytest.mark.parametrize(("holders", "seeds"), [(3, 40), (30, 10), (1000, 2)])
+def test_short_passage_in_many_documents(spark, holders, seeds):
+    docs, want = [], {}
+    for seed in range(seeds):
+        n = 50 + seed % 11
+        some, _, at = shared_passage(seed, holders, n)
+        docs += [(seed * 10_000 + i, " ".join(t)) for i, t in some]
+        want |= {seed * 10_000 + i: (x, n) for i, x in at.items() if i}
+    got = {}
+    for r in substring.repeated_passages(frame(spark, docs)).collect():
+        assert r["source_id"] // 10_000 == r["doc_id"] // 10_000 and r["source_id"] < r["doc_id"]
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    assert {i for i, (x, n) in want.items() if not set(range(x, x + n)) <= got.get(i, set())} == set()
+
+
+def test_smaller_ids_that_hold_some_words_of_a_passage(spark):
+    """The first of a key shares too little: the others are tied to each other."""
+    docs, p, at = shared_passage(5, 6, 80, others=40)
+    changed = [x for k, x in enumerate(p)]
+    changed[40] = "new"
+    docs = [(i, t + p[2 * i : 2 * i + 25] if i < 28 else t) for i, t in docs]
+    docs = [(i, t[: at[i]] + changed + t[at[i] + 80 :] if i == 45 else t) for i, t in docs]
+    spans = {}
+    for r in substring.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in docs])).collect():
+        spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    assert set(spans) == set(range(41, 46))
+    assert all(set(range(at[i], at[i] + 80)) <= spans[i] for i in spans)
+
+
+def test_many_links_at_once(spark):
+    """Tasks send links in parts."""
+    p = " ".join(f"p{k}" for k in range(52))
+    docs = spark.range(30_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("a"), "id"), F.lit(p), F.concat(F.lit("b"), "id")).alias("text"))
+    assert substring.repeated_passages(docs).select("doc_id").distinct().count() == 29_999
+
+
 def test_cut_with_clashing_columns(spark):
     p = " ".join(f"p{k}" for k in range(60))
     df = spark.createDataFrame([(1, "a " + p, 0, "x", "y", 5), (2, "é b\n" + p + "  c d", 0, "x", "y", 5)], "doc_id int, text string, _own int, _key string, _body string, n_chars int")

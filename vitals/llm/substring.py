@@ -10,10 +10,11 @@ the same places, that is a candidate passage, and its shingles are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitals.llm.tables import saved
@@ -26,8 +27,10 @@ HASHES, ENOUGH = 4, 2
 #: Places by which a passage may shift inside, as words are added or left out.
 SHIFT = 16
 SIMILARITY = 0.8
-#: Windows that a task holds before it sends them on.
-HELD = 600_000
+#: Partners that windows without a verified source are tied to in the first further round; each round has this times as many.
+WIDER = 16
+#: Shingles in a row around the smallest hash that such a partner shares.
+UNBROKEN = 8
 _WIDE = (1 << 20) - 1
 
 
@@ -96,29 +99,37 @@ def _sequence(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s, doc, at - w.first[doc]
 
 
+def _bits(s: np.ndarray) -> np.ndarray:
+    """For each place one bit of its shingle and of the 63 after it, the nearest first."""
+    x = mix(s, 77) & U(1)
+    for k in (1, 2, 4, 8, 16, 32):
+        x = (x << U(k)) | np.append(x[k:], np.zeros(min(k, len(x)), U))
+    return x
+
+
 def chunk_windows(w: Words, ids: np.ndarray, hashes: int = HASHES) -> list[np.ndarray]:
-    """Columns key, context, id, place (packed) of all windows of a chunk."""
+    """Columns key, id, place (packed), left and right (bits of the shingles beside the smallest) of all windows of a chunk."""
     t = PASSAGE - SHINGLE + 1
     s, doc, place = _sequence(w)
     if not len(s):
-        return [np.empty(0, np.int64)] * 4
+        return [np.empty(0, np.int64)] * 5
     ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1
     gap = np.arange(len(s)) + np.searchsorted(ends, np.arange(len(s)), "right")
     n = len(s) + len(ends)
     number = np.zeros(n, np.int64)
     number[gap] = np.arange(len(s))
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    after, before = (signed(x << U(1)) for x in (_bits(s), _bits(s[::-1])[::-1]))
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     for k in range(hashes):
         h = np.zeros(n, U)
         h[gap] = mix(s, 500 + k) | U(1)
         lo, c, hi = compact_windows(h, t)
         i = number[c]
-        # the same surroundings, inside the window, are likely the same passage
-        a, b = number[np.maximum(c - 12, lo)], number[np.minimum(c + 12, hi)]
         out[0].append(signed((h[c] & ~U(3)) | U(k)))
-        out[1].append(((mix(s[a], 61) ^ mix(s[b], 62)) >> U(33)).astype(np.int64))
-        out[2].append(ids[doc[i]])
-        out[3].append((place[i] << 40) | (np.minimum(c - lo, _WIDE) << 20) | np.minimum(hi - c, _WIDE))
+        out[1].append(ids[doc[i]])
+        out[2].append((place[i] << 40) | (np.minimum(c - lo, _WIDE) << 20) | np.minimum(hi - c, _WIDE))
+        out[3].append(before[i])
+        out[4].append(after[i])
     return [np.concatenate(x) for x in out]
 
 
@@ -136,87 +147,110 @@ def _linked(first: list[np.ndarray], second: list[np.ndarray]) -> list[np.ndarra
     return [x[keep] for x in (b, a, key & 3, cb - before, cb + after, cb - ca)]
 
 
-def _star(columns: list[np.ndarray], held: tuple | None) -> tuple[list[np.ndarray], tuple | None, np.ndarray]:
-    """Links of sorted windows: each with the first of its key and context, these with the first of the key.
+def _tied(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of windows sorted by key, id and place, and the windows of keys that several documents hold, with their rank.
 
-    held: the last key's first window and last context's first window of the rows before.
-    Returns links, what to hold, and which rows are the first of a context.
+    Each run of PASSAGE words around the smallest hash is tied to its first holder: the
+    smallest id, which is the same one under every hash function. Besides, each window is tied
+    to the first of its key, for passages that differ in some words.
     """
-    key, context, ids, at = columns
-    if held is not None:
-        key, context, ids, at = (np.concatenate([x, y]) for x, y in zip(([held[0], held[0]], [held[1], held[4]], [held[2], held[5]], [held[3], held[6]]), columns, strict=True))
-        key, context, ids, at = (x.astype(np.int64) for x in (key, context, ids, at))
-    n = len(key)
-    new_key = np.append(True, key[1:] != key[:-1])
-    new = new_key | np.append(True, context[1:] != context[:-1])
-    i = np.arange(n)
-    of_key, of_context = np.maximum.accumulate(np.where(new_key, i, 0)), np.maximum.accumulate(np.where(new, i, 0))
-    to = np.where(new, of_key, of_context)
-    skip = 2 if held is not None else 0
-    rows = i[skip:][to[skip:] != i[skip:]]
-    links = _linked([key[rows], ids[rows], at[rows]], [key[to[rows]], ids[to[rows]], at[to[rows]]])
-    if not n:
-        return links, held, new
-    k, c = of_key[-1], of_context[-1]
-    return links, (int(key[-1]), int(context[k]), int(ids[k]), int(at[k]), int(context[c]), int(ids[c]), int(at[c])), new[skip:]
+    key, ids, at, left, right = columns
+    t = PASSAGE - SHINGLE + 1
+    new = np.append(True, key[1:] != key[:-1])
+    heads = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    first = heads[of]
+    several = np.append(ids[heads[1:] - 1], ids[-1]) != ids[heads]
+    kept = np.flatnonzero(several[of])
+    key, ids, at, left, right, rank, first = (x[kept] for x in (key, ids, at, left.view(U), right.view(U), np.arange(len(key)) - first, np.searchsorted(kept, first)))
+    before, after = (at >> 20) & _WIDE, at & _WIDE
+    pairs = [(np.arange(len(key)) << 32) | first]
+    for i in range(t):
+        rows = np.flatnonzero((before >= i) & (after >= t - 1 - i))
+        x = left[rows] >> U(64 - i) if i else np.zeros(len(rows), U)
+        y = right[rows] >> U(65 - t + i) if i < t - 1 else np.zeros(len(rows), U)
+        with np.errstate(over="ignore"):
+            run = mix(mix(key[rows].astype(U) + mix(x, 7), 8) + y, 9)
+        _, leader, which = np.unique(run, return_index=True, return_inverse=True)
+        to = rows[leader][which]
+        pairs.append((rows << 32)[to != rows] | to[to != rows])
+    p = np.unique(np.concatenate(pairs))
+    b, a = p >> 32, p & 0xFFFFFFFF
+    return _linked([key[b], ids[b], at[b]], [key[a], ids[a], at[a]]), [key, ids, at, rank, signed(left), signed(right)]
 
 
 _LINK = ["b", "a", "hash", "from", "to", "shift"]
+_LINKS = ", ".join(f"`{c}` long" for c in _LINK)
+
+
+def _batches(columns: list[np.ndarray], names: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + rows]) for x in columns], names=names)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], names: list[str], keys: int, least: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, about `least` at once, cut only where one of the first `keys` columns changes."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch[c].to_numpy(zero_copy_only=False) for c in names])
+        count += batch.num_rows
+        if count < least or all(x[0] == y[-1] for x, y in zip(held[0][:keys], held[-1], strict=False)):
+            continue  # too few, or nothing but one key
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.flatnonzero(np.any([x != x[-1] for x in rows[:keys]], axis=0))[-1]) + 1
+        yield [x[:cut] for x in rows]
+        held = [[x[cut:] for x in rows]]
+        count -= cut
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def window_links(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Links of windows with the same smallest hash: b, a, hash, from, to, shift (b's place less a's).
+    """Links of windows with the same smallest hash, and the windows themselves (see _tied), told apart by `link`.
 
-    Windows of one key are tied in a star, not in pairs. A task first ties its own windows
-    and sends on one of each key and context, so a passage that a third of all documents
-    holds reaches its key's task once per sending task.
+    Links: b, a, hash, from, to, shift (b's place less a's). Windows have key, id, at, rank,
+    left and right in these columns; those of keys that one document alone holds are left out.
     """
+    names = ["key", "id", "at", "left", "right"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        count = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
-            columns = [x[order] for x in columns]
-            links, _, new = _star(columns, None)
-            key, context, ids, at = (x[new] for x in columns)
-            for a in range(0, len(key), 50_000):
-                part = slice(a, a + 50_000)
-                m = len(key[part])
-                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (key, context, ids, at)] + [pa.nulls(m, pa.int64())] * 4, names=names)
-            b, a_, k, lo, hi, shift = links
-            for a in range(0, len(b), 50_000):
-                part = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (signed(mix(b[part].astype(U))), k, b, a_)[:1]] + [pa.array(x[part]) for x in (k, b, a_, lo, hi, shift)] + [pa.nulls(len(b[part]), pa.int64())], names=names)
-
-        names = ["key", "context", "id", "at", "from", "to", "shift", "spare"]
         for chunk in chunks(batches, "text"):
-            w = Words(chunk["text"])
-            columns = chunk_windows(w, chunk["doc_id"].to_numpy(zero_copy_only=False), hashes)
-            held.append(columns)
-            count += len(columns[0])
-            if count > HELD:
-                yield from out()
-                held, count = [], 0
-        if count:
-            yield from out()
+            yield from _batches(chunk_windows(Words(chunk["text"]), chunk["doc_id"].to_numpy(zero_copy_only=False), hashes), names)
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        for columns in _whole(batches, names, 1):
+            for link, rows in zip((True, False), _tied(columns), strict=True):
+                for x in _batches(rows, _LINK):
+                    yield x.append_column("link", pa.array(np.full(x.num_rows, link)))
+
+    rows = docs.mapInArrow(find, "key long, id long, at long, `left` long, `right` long")
+    return rows.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(tie, _LINKS + ", link boolean")
+
+
+def outside(windows: DataFrame, passages: DataFrame) -> DataFrame:
+    """The windows (key, id, at, rank) whose smallest hash lies in none of the passages (doc_id, start, n_words)."""
+    spans = passages.select(F.col("doc_id").alias("of"), "start", (F.col("start") + F.col("n_words") - SHINGLE).alias("last")).distinct()
+    place = F.shiftright("at", 40)
+    return windows.join(spans, (F.col("id") == F.col("of")) & (place >= F.col("start")) & (place <= F.col("last")), "left_anti")
+
+
+def next_links(open_: DataFrame, windows: DataFrame, low: int, high: int) -> DataFrame:
+    """Links of open windows to those of their key with rank low to high - 1, a smaller id and UNBROKEN shingles in common."""
+    to = windows.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", *(F.col(c).alias(c + "2") for c in ("id", "at", "left", "right")))
+    left, right = F.col("left").bitwiseXOR(F.col("left2")), F.col("right").bitwiseXOR(F.col("right2"))
+    same = lambda x, n: F.shiftrightunsigned(x, 64 - n) == 0 if n else F.lit(True)
+    runs = [same(left, n) & same(right, UNBROKEN - 1 - n) for n in range(UNBROKEN)]
+    pairs = open_.join(to, "key").where((F.col("id") > F.col("id2")) & reduce(Column.__or__, runs))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = batch["to"].is_valid().to_numpy(zero_copy_only=False)
-            column = lambda c, on: batch[c].filter(pa.array(on)).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
-            if done.any():
-                yield pa.RecordBatch.from_arrays([pa.array(column(c, done)) for c in ("id", "at", "context", "from", "to", "shift")], names=_LINK)
-            if not done.all():
-                links, held, _ = _star([column(c, ~done) for c in ("key", "context", "id", "at")], held)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], names=_LINK)
+            key, ids, at, id2, at2 = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "at", "id2", "at2"))
+            yield from _batches(_linked([key, ids, at], [key, id2, at2]), _LINK)
 
-    rows = docs.mapInArrow(find, "key long, context long, id long, at long, `from` long, `to` long, shift long, spare long").drop("spare")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "context", "id", "at")
-    return dealt.mapInArrow(tie, ", ".join(f"`{c}` long" for c in _LINK))
+    return pairs.select("key", "id", "at", "id2", "at2").mapInArrow(link, _LINKS)
 
 
 def covered(group: np.ndarray, kind: np.ndarray, lo: np.ndarray, hi: np.ndarray, enough: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,19 +291,8 @@ def candidates(links: DataFrame, enough: int = ENOUGH) -> DataFrame:
             columns = [b[heads][g], a[heads][g], x, y, shift[heads][g], shift[tails][g]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["b", "a", "from", "to", "low", "high"])
 
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch[c].to_numpy(zero_copy_only=False) for c in _LINK]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last document may go on
-            if cut:
-                yield out([x[:cut] for x in rows])
-            held = [x[cut:] for x in rows]
-        if held is not None and len(held[0]):
-            yield out(held)
+        for rows in _whole(batches, _LINK, 1):
+            yield out(rows)
 
     return links.repartition("b").sortWithinPartitions("b").mapInArrow(work, "b long, a long, `from` long, `to` long, low long, high long")
 
@@ -344,21 +367,9 @@ def _judged(a: np.ndarray, b: np.ndarray, part: np.ndarray, at: np.ndarray) -> t
     return x0, x1, y0, y1, common / (len(x) + len(y) - common)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
-    """Passages of PASSAGE words or more that stand in a document with a smaller id too.
-
-    One row per passage: doc_id, start and n_words (words from 0), source_id, source_start,
-    similarity (Jaccard of shingle sets, SIMILARITY or more; exact runs have 1). Words stand
-    between blanks, A-Z lower-cased. A passage that many documents share is reported in each
-    of them but the first, with a source or a few, not with every other document; a word
-    beside it that some further document happens to share is not added.
-
-    Null or empty texts, and those of fewer words than a passage, have none. Rows that repeat
-    an id are one document; rows with a null id are left out, as are other columns; an empty
-    table gives an empty table. Repeats inside a document don't count.
-    """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = saved(candidates(window_links(text, hashes), enough).withColumn("passage", F.monotonically_increasing_id()))
+def verified(text: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages (columns of repeated_passages) among candidates, by their shingles."""
+    found = saved(found.withColumn("passage", F.monotonically_increasing_id()))
     wanted = found.select(F.col("b").alias("doc_id"), "passage", F.lit(1).alias("side"), "from", "to").unionByName(
         found.select(F.col("a").alias("doc_id"), "passage", F.lit(0).alias("side"), (F.col("from") - F.col("high") - SHIFT).alias("from"), (F.col("to") - F.col("low") + SHIFT).alias("to"))
     )
@@ -394,6 +405,41 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
+    """Passages of PASSAGE words or more that stand in a document with a smaller id too.
+
+    Windows of a key are tied to its first ones (see _tied). Those that lie in no passage found
+    so far are tied to more of their key that share UNBROKEN shingles in a row, round by round,
+    until each has a verified source or no partner is left; hash functions may agree on a pair over several rounds.
+
+    One row per passage: doc_id, start and n_words (words from 0), source_id, source_start,
+    similarity (Jaccard of shingle sets, SIMILARITY or more; exact runs have 1). Words stand
+    between blanks, A-Z lower-cased. A passage that many documents share is reported in each
+    of them but the first, with a source or a few, not with every other document; a word
+    beside it that some further document happens to share is not added.
+
+    Null or empty texts, and those of fewer words than a passage, have none. Rows that repeat
+    an id are one document; rows with a null id are left out, as are other columns; an empty
+    table gives an empty table. Repeats inside a document don't count.
+    """
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = saved(window_links(text, hashes))
+    links = rows.where("link").select(*_LINK)
+    windows = rows.where("NOT link").select(*(F.col(c).alias(n) for c, n in zip(_LINK, ("key", "id", "at", "rank", "left", "right"), strict=True)))
+    more = passages = saved(verified(text, candidates(links, enough)))
+    open_, low, high = windows, 1, 1 + WIDER
+    while True:
+        open_ = saved(outside(open_, more).where(F.col("rank") > low))
+        if open_.isEmpty():
+            return passages
+        tied = saved(next_links(open_, windows, low, high))
+        links = links.unionByName(tied)
+        again = links.join(tied.select("b", "a").distinct(), ["b", "a"], "left_semi").select(*_LINK)
+        more = saved(verified(text, candidates(again, enough)))
+        passages = passages.unionByName(more).distinct()
+        low, high = high, 1 + WIDER * high
+
+
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the passages (doc_id, start, n_words); a text that has no word left goes.
 
