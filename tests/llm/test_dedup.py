@@ -252,6 +252,19 @@ def test_smaller_ids_that_hold_some_words_of_a_passage(spark):
     assert all(set(range(at[i], at[i] + 80)) <= spans[i] for i in spans)
 
 
+def test_links_of_one_document_are_spread(spark):
+    rows = [(1000, a, k, 10, 80, 5) for a in range(200) for k in range(2)]
+    links = spark.createDataFrame(rows, ", ".join(f"`{c}` long" for c in ("b", "a", "hash", "from", "to", "shift")))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = substring.candidates(links).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sorted((r["b"], r["a"], r["from"], r["to"]) for r in got) == [(1000, a, 10, 80) for a in range(200)]
+    assert len({r["task"] for r in got}) > 1
+
+
 def test_many_links_at_once(spark):
     """Tasks send links in parts."""
     p = " ".join(f"p{k}" for k in range(52))

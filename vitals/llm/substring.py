@@ -276,7 +276,10 @@ def covered(group: np.ndarray, kind: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 
 
 def candidates(links: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """Candidate passages b, a, from, to (b's shingles), low, high (least and most shift)."""
+    """Candidate passages b, a, from, to (b's shingles), low, high (least and most shift).
+
+    Links are dealt by pair, so a document that has very many partners is not one task's work.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -291,10 +294,10 @@ def candidates(links: DataFrame, enough: int = ENOUGH) -> DataFrame:
             columns = [b[heads][g], a[heads][g], x, y, shift[heads][g], shift[tails][g]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["b", "a", "from", "to", "low", "high"])
 
-        for rows in _whole(batches, _LINK, 1):
+        for rows in _whole(batches, _LINK, 2):
             yield out(rows)
 
-    return links.repartition("b").sortWithinPartitions("b").mapInArrow(work, "b long, a long, `from` long, `to` long, low long, high long")
+    return links.repartition("b", "a").sortWithinPartitions("b", "a").mapInArrow(work, "b long, a long, `from` long, `to` long, low long, high long")
 
 
 def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
