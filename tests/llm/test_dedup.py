@@ -265,6 +265,24 @@ def test_links_of_one_document_are_spread(spark):
     assert len({r["task"] for r in got}) > 1
 
 
+def test_every_copy_in_a_document_is_found(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: [f"v{k}" for k in rng.integers(0, 30_000, n)]
+    p, q, docs, want = text(60), text(70), [], {}
+    docs.append((1, text(30) + p + text(40) + q + text(9)))
+    docs.append((2, text(12) + p + text(35) + p + text(7)))
+    want[2] = {*range(12, 72), *range(107, 167)}
+    docs.append((3, text(5) + q[15:55] + text(20) + q + text(11)))
+    want[3] = set(range(65, 135))
+    docs += [(4, text(20) + ["to", "be"] * 60 + text(5)), (5, text(3) + ["to", "be"] * 45 + text(4) + ["to", "be"] * 40)]
+    want[5] = {*range(3, 93), *range(97, 177)}
+    spans = {}
+    for r in substring.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in docs])).collect():
+        spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    assert set(spans) == set(want)
+    assert all(want[i] <= spans[i] for i in want)
+
+
 def test_many_links_at_once(spark):
     """Tasks send links in parts."""
     p = " ".join(f"p{k}" for k in range(52))

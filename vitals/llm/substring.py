@@ -85,18 +85,23 @@ def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _sequence(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles with their occurrence in the text counted in, the text of each, the place in the text of each."""
+    """Shingles, the text of each, the place in the text of each.
+
+    Where a text goes round at a period shorter than a passage ('be be be') for a passage or
+    longer, the number of the round is counted in, as every place would have a window of its own.
+    """
     s, at = w.ngrams(SHINGLE)
     doc = w.doc[at]
+    t = PASSAGE - SHINGLE + 1
+    turn = np.zeros(len(s), np.int64)
+    for p in range(1, t):
+        same = np.concatenate([[False], (s[p:] == s[:-p]) & (doc[p:] == doc[:-p]), [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= t and not turn[a + p : b + p].any():  # places a to b + p - 1
+                turn[a : b + p] = np.arange(b - a + p) // p
     with np.errstate(over="ignore"):
-        key = mix(s + doc.astype(U) * U(0xA24BAED4963EE407), 3)
-    order = np.argsort(key, kind="stable")
-    same = np.append(False, key[order][1:] == key[order][:-1])
-    i = np.arange(len(key))
-    times = i - np.maximum.accumulate(np.where(same, 0, i))
-    with np.errstate(over="ignore"):
-        s[order] += times.astype(U) * U(0x9FB21C651E98DF25)
-    return s, doc, at - w.first[doc]
+        return s + turn.astype(U) * U(0x9FB21C651E98DF25), doc, at - w.first[doc]
 
 
 def _bits(s: np.ndarray) -> np.ndarray:
