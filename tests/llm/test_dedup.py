@@ -283,6 +283,24 @@ def test_every_copy_in_a_document_is_found(spark):
     assert all(want[i] <= spans[i] for i in want)
 
 
+@pytest.mark.parametrize("side", ["left", "right", "both"])
+def test_near_passage_beside_loosely_edited_text(side):
+    rng = np.random.default_rng(9)
+    a = rng.permutation(100_000)[:180].astype(np.int32)
+    b = a.copy()
+    b[88:93] = -np.arange(1, 6)  # one word changed in places 60 to 115
+    edits = ([54 - 8 * k for k in range(6)] if side != "right" else []) + ([116 + 8 * k for k in range(7)] if side != "left" else [])
+    for at in edits:
+        b[at : at + 6] = -np.arange(100 * at, 100 * at + 6)
+    # nothing in common beyond the edited side
+    if side == "right":
+        b[:60] = -np.arange(50_000, 50_060)
+    if side == "left":
+        b[116:] = -np.arange(60_000, 60_064)
+    runs = substring.same_passages(a, b, 0, 0, 46)
+    assert any(x0 <= 60 and x1 >= 115 and s >= 0.8 for x0, x1, _, _, s in runs)
+
+
 def test_many_links_at_once(spark):
     """Tasks send links in parts."""
     p = " ".join(f"p{k}" for k in range(52))

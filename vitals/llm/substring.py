@@ -332,7 +332,7 @@ def same_passages(a: np.ndarray, b: np.ndarray, low: int, high: int, t: int, sim
 
     low, high: the least and most that a place in b lies behind its match in a. Runs are
     joined over gaps that one changed word makes where the whole still is similar enough, by
-    Jaccard similarity of shingle sets; else each is judged by itself.
+    Jaccard similarity of shingle sets; else its longest parts that are similar enough count.
     """
     order = np.argsort(a, kind="stable")
     sorted_a = a[order]
@@ -361,10 +361,40 @@ def same_passages(a: np.ndarray, b: np.ndarray, low: int, high: int, t: int, sim
         if found[4] >= similarity:
             out.append(found)
             continue
-        cuts = np.flatnonzero(np.append(True, (part[1:] != part[:-1] + 1) | (at[part[1:]] != at[part[:-1]] + 1)))
-        for s2, e2 in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
-            if e2 - s2 >= t:
-                out.append(_judged(a, b, part[s2:e2], at))
+        out += _similar_runs(a, b, part, at, t, similarity)
+    return out
+
+
+def _similar_runs(a: np.ndarray, b: np.ndarray, part: np.ndarray, at: np.ndarray, t: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """The longest run of a chain of matches, from one exact run to another, that is similar enough, then those left and right of it."""
+    starts = np.flatnonzero(np.append(True, (part[1:] != part[:-1] + 1) | (at[part[1:]] != at[part[:-1]] + 1)))
+    ends = np.append(starts[1:], len(part)) - 1
+    first, last = part[starts], part[ends]
+    gaps = np.append((first[1:] - last[:-1] - 1) + (at[first[1:]] - at[last[:-1]] - 1), 0)
+    # shingles in common may be outnumbered by those that aren't by 1 / similarity - 1
+    gain = (1 / similarity - 1) * (last - first + 1)
+    before = np.append(0, np.cumsum(gain - gaps))[:-1]
+    out, todo = [], [(0, len(starts))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi <= lo or last[hi - 1] - first[lo] + 1 < t:
+            continue
+        # the last exact run with which a run from each stays similar enough
+        high = before[lo:hi] + gain[lo:hi]
+        most = np.maximum.accumulate(high[::-1])[::-1]
+        reach = np.searchsorted(-most, -(before[lo:hi] - 1e-9), "right") - 1
+        size = last[lo + reach] - first[lo:hi] + 1
+        i = int(np.argmax(size))
+        x, y = lo + i, lo + int(reach[i])
+        if size[i] < t:
+            continue
+        found = _judged(a, b, part[starts[x] : ends[y] + 1], at)
+        if found[4] >= similarity:
+            out.append(found)
+            todo += [(lo, x), (y + 1, hi)]
+        elif y > x:  # shingles that come more than once count less
+            cut = x + int(np.argmax(gaps[x:y])) + 1
+            todo += [(lo, cut), (cut, hi)]
     return out
 
 
