@@ -119,6 +119,16 @@ def test_nearest_is_exact():
         assert s == pytest.approx(np.sort(cosine[cosine > 0])[::-1][: toxicity.NEIGHBOURS], abs=1e-5)
 
 
+def test_terms_count_as_often_as_they_come():
+    d, t, c, n = toxicity.chunk_terms(pa.array(["bad good bad", None, "bad"]))
+    assert n == 3 and d.tolist() == [0, 0, 2] and sorted(c[:2].tolist()) == [1, 2] and c[2] == 1
+    weights = np.array([[1, 0], [0, 1]], np.float32)
+    index = toxicity.Index(np.arange(2), np.array([1.0, 2.0]), weights, weights.max(axis=0, keepdims=True), np.array([0, 1]), np.arange(2), 0.1)
+    i, s = toxicity.nearest(index, np.arange(2), np.array([6, 4]))
+    assert i.tolist() == [1, 0] and s == pytest.approx([0.8, 0.6])
+    assert toxicity.nearest(index, np.arange(2), np.array([10, 1]))[0].tolist() == [0, 1]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = np.random.default_rng(2)
     plain = [f"{a}{b}" for a in ("ba", "ce", "di", "fo") for b in ("lan", "mer", "nit", "pol", "ras")]

@@ -36,8 +36,8 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def chunk_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct (row, term) of a chunk, sorted, and the number of rows."""
+def chunk_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Distinct (row, term) of a chunk, sorted, how often each comes, and the number of rows."""
     w = Words(texts, ALNUM_WORDS)
     doc, terms = [w.doc], [w.hash]
     size = w.end - w.start
@@ -45,16 +45,19 @@ def chunk_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
         longer = size > n
         doc.append(w.doc[longer])
         terms.append(mix(w.hashed(w.start[longer], w.start[longer] + n), n))
-    d, t = distinct(np.concatenate(doc), np.concatenate(terms))
-    return d, t, w.n_docs
+    d, t = np.concatenate(doc), np.concatenate(terms)
+    order = np.lexsort((t, d))
+    d, t = d[order], t[order]
+    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))) if len(d) else np.empty(0, np.int64)
+    return d[first], t[first], np.diff(np.append(first, len(d))), w.n_docs
 
 
 def sample_terms(rows: DataFrame) -> DataFrame:
-    """(label, doc_id, terms, sketch) of labelled rows; the sketch is the SKETCH smallest hashes of five words in a row."""
+    """(label, doc_id, terms, counts, sketch) of labelled rows; the sketch is the SKETCH smallest hashes of five words in a row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
-            d, t, n = chunk_terms(chunk["text"])
+            d, t, c, n = chunk_terms(chunk["text"])
             offsets = np.searchsorted(d, np.arange(n + 1)).astype(np.int32)
             w = Words(chunk["text"])
             h, at = w.ngrams(5)
@@ -62,10 +65,10 @@ def sample_terms(rows: DataFrame) -> DataFrame:
             cuts = np.searchsorted(sd, np.arange(n + 1))
             sketch = [signed(sh[a : min(b, a + SKETCH)]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [chunk["doc_id"], chunk["label"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(t))), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "sketch"]
+                [chunk["doc_id"], chunk["label"], *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (signed(t), c.astype(np.int32))), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts", "sketch"]
             )
 
-    return rows.select("doc_id", "label", "text").mapInArrow(work, "doc_id long, label int, terms array<bigint>, sketch array<bigint>")
+    return rows.select("doc_id", "label", "text").mapInArrow(work, "doc_id long, label int, terms array<bigint>, counts array<int>, sketch array<bigint>")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
@@ -150,7 +153,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(vocabulary) + 1, np.int64)
         for chunk in chunks(batches, "text"):
-            d, t, n = chunk_terms(chunk["text"])
+            d, t, _, n = chunk_terms(chunk["text"])
             _, at = looked_up(vocabulary, d, t)
             counts[:-1] += np.bincount(at, minlength=len(vocabulary))
             counts[-1] += n
@@ -175,9 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 1)) + 1
     weights = np.zeros((len(terms), len(vocabulary)), np.float32)
-    for k, t in enumerate(terms):
-        _, at = looked_up(vocabulary, np.zeros(len(t), np.int64), t.view(np.uint64))
-        weights[k, at] = idf[at]
+    for k, (t, c) in enumerate(zip(terms, sample["counts"], strict=True)):
+        which, at = looked_up(vocabulary, np.arange(len(t)), t.view(np.uint64))
+        weights[k, at] = np.asarray(c)[which] * idf[at]
     weights /= np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
     # examples without a term can't be near anything; like examples share a block, so block maxima are tight
     some = np.flatnonzero(weights.any(axis=1)) if len(vocabulary) else np.empty(0, np.int64)
@@ -195,13 +198,13 @@ def base_rate(labels: DataFrame, label: str, folds: int, held: int) -> float:
     return ((r["a"] or 0) + 1) / (r["n"] + 2)
 
 
-def nearest(index: Index, terms: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples of largest cosine above 0 to a document with these terms, ties by index order.
+def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    """The k examples of largest cosine above 0 to a document with these terms, each so many times, ties by index order.
 
     Blocks come in order of the most that any of their examples can reach, and are left out
     once that is below the k-th cosine found: exact, whatever is left out.
     """
-    q = index.idf[terms].astype(np.float32)
+    q = (counts * index.idf[terms]).astype(np.float32)
     q /= np.linalg.norm(q)
     bound = index.tops[:, terms] @ q
     best_s, best_i = np.empty(0, np.float32), np.empty(0, np.int64)
@@ -236,12 +239,13 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for chunk in chunks(batches, "text"):
-            d, t, n = chunk_terms(chunk["text"])
-            d, at = looked_up(model.vocabulary, d, t)
+            d, t, c, n = chunk_terms(chunk["text"])
+            which, at = looked_up(model.vocabulary, np.arange(len(d)), t)
+            d, c = d[which], c[which]
             cuts = np.searchsorted(d, np.arange(n + 1))
             scores, ids, cosines = np.full(n, vote(model, np.empty(0, np.int64), np.empty(0, np.float32))), [[]] * n, [[]] * n
             for row in np.unique(d).tolist():
-                i, s = nearest(model, at[cuts[row] : cuts[row + 1]])
+                i, s = nearest(model, at[cuts[row] : cuts[row + 1]], c[cuts[row] : cuts[row + 1]])
                 scores[row] = vote(model, i, s)
                 ids[row], cosines[row] = model.ids[i].tolist(), s.tolist()
             yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array(scores), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float32()))], names=["doc_id", "score", "evidence", "cosines"])
