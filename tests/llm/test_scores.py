@@ -129,6 +129,16 @@ def test_terms_count_as_often_as_they_come():
     assert toxicity.nearest(index, np.arange(2), np.array([10, 1]))[0].tolist() == [0, 1]
 
 
+def test_votes_do_not_follow_the_share_drawn():
+    """Of 1:9 rows all are drawn, or 1:1; the neighbourhood holds classes as drawn."""
+    def score(n1, n0, drawn):
+        labels = np.repeat([1, 0], [n1, n0])
+        index = toxicity.Index(np.empty(0), np.empty(0), np.empty((0, 0)), np.empty((0, 0)), labels, np.arange(n1 + n0), 0.1, drawn)
+        return toxicity.vote(index, np.arange(n1 + n0), np.ones(n1 + n0, np.float32))
+
+    assert score(1, 9, 0.1) == pytest.approx(score(5, 5, 0.5)) == pytest.approx(0.1)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = np.random.default_rng(2)
     plain = [f"{a}{b}" for a in ("ba", "ce", "di", "fo") for b in ("lan", "mer", "nit", "pol", "ras")]

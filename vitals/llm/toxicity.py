@@ -101,6 +101,7 @@ class Index:
     labels: np.ndarray
     ids: np.ndarray
     prior: float
+    drawn: float | None = None  # how common label 1 was among the rows drawn, before any were left out
 
 
 def no_near_copies(sketches: list[np.ndarray]) -> np.ndarray:
@@ -171,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     """Learn the index from a bounded sample; document frequencies cover all documents."""
     sample = sample_terms(labelled_sample(docs, labels, label, folds, held, per_class)).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     terms = [np.asarray(t, np.int64) for t in sample["terms"]]
+    drawn = float((sample["label"] == 1).mean()) if len(sample) else None
     left = no_near_copies([np.asarray(t, np.int64) for t in sample["sketch"]])
     sample, terms = sample.iloc[left].reset_index(drop=True), [terms[i] for i in left]
     y = sample["label"].to_numpy(np.int64)
@@ -188,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     weights, y_in, ids = weights[order], y[order], sample["doc_id"].to_numpy(np.int64)[order]
     blocks = -(-len(order) // BLOCK)
     tops = np.array([weights[b * BLOCK : (b + 1) * BLOCK].max(axis=0) for b in range(blocks)]) if blocks else np.zeros((0, len(vocabulary)), np.float32)
-    return Index(vocabulary, idf, weights, tops, y_in, ids, base_rate(labels, label, folds, held))
+    return Index(vocabulary, idf, weights, tops, y_in, ids, base_rate(labels, label, folds, held), drawn)
 
 
 def base_rate(labels: DataFrame, label: str, folds: int, held: int) -> float:
@@ -220,9 +222,17 @@ def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: in
 
 
 def vote(index: Index, best_i: np.ndarray, best_s: np.ndarray) -> float:
-    """Votes weighted by cosine against the base rate."""
+    """Votes weighted by cosine against the base rate.
+
+    A class's votes count by its share of all rows to learn from over its share of those
+    drawn, so the score doesn't follow how many of each class the index takes.
+    """
     total = float(best_s.sum())
-    return (float((best_s * (index.labels[best_i] == 1)).sum()) + PRIOR_WEIGHT * index.prior) / (total + PRIOR_WEIGHT)
+    toxic = float((best_s * (index.labels[best_i] == 1)).sum())
+    if total and index.drawn is not None and 0 < index.drawn < 1:
+        one, zero = toxic * index.prior / index.drawn, (total - toxic) * (1 - index.prior) / (1 - index.drawn)
+        toxic = total * one / (one + zero)
+    return (toxic + PRIOR_WEIGHT * index.prior) / (total + PRIOR_WEIGHT)
 
 
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
