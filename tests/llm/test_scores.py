@@ -166,6 +166,14 @@ def test_toxicity_on_held_out_rows(spark):
 # ---- quality rules
 
 
+def test_variety_votes_whatever_the_length(spark):
+    """(words, distinct words): few of them are bad in long texts too, as many as a novel has aren't."""
+    rows = [(4999, 20), (5000, 20), (5000, 499), (5000, 500), (1_000_000, 20), (1_000_000, 20_000)]
+    table = spark.createDataFrame([tuple({"n_words": n, "n_distinct_words": d}.get(c, 0) for c in quality_rules.COUNTS) for n, d in rows], ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+    got = {(r["n_words"], r["n_distinct_words"]): r["v"] for r in table.withColumn("v", quality_rules.votes()["variety"]).collect()}
+    assert [got[x] for x in rows] == [-1, -1, -1, 0, -1, 0]
+
+
 def brute_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)

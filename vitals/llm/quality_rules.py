@@ -113,8 +113,8 @@ def votes() -> dict[str, Column]:
         "marks": rule(10 * F.col("n_symbols") > 4 * words, 100 * F.col("n_symbols") <= 20 * words),
         "word_length": rule((chars < 2 * words) | (chars > 12 * words), (chars >= 3 * words) & (chars <= 9 * words)),
         "shouting": rule(2 * F.col("n_upper_words") > words, 20 * F.col("n_upper_words") <= words),
-        # long texts use few distinct words by nature, so variety says nothing about them
-        "variety": rule((words >= 20) & (words < 5000) & (10 * F.col("n_distinct_words") < words), (10 * F.col("n_distinct_words") >= 3 * words)),
+        # distinct words grow with the root of the length in long texts; both limits meet at 5,000 words
+        "variety": rule((words >= 20) & (10 * F.col("n_distinct_words") < words) & (F.col("n_distinct_words") * F.col("n_distinct_words") < 50 * words), (10 * F.col("n_distinct_words") >= 3 * words)),
     }
 
 
