@@ -1,5 +1,6 @@
 """Forecasts and breaks: errors by hand, known shapes found again."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,15 @@ def test_break_is_found(spark):
     assert got["b"] == [10] and got["n"] == []
     table = breaks.segments(s, found).where("series_id = 'b'").orderBy("segment").collect()
     assert [(r["first_year"], r["last_year"], r["break_year"]) for r in table] == [(1990, 1999, 1999), (2000, 2009, None)]
+
+
+def test_holdout_covers_every_held_out_year(spark):
+    """A smoothing model against its own forecast from the years before; more than 30 held-out years are refused."""
+    rng = np.random.default_rng(6)
+    values = np.cumsum(rng.normal(0.2, 1, 140)) + 50
+    series = spark.createDataFrame([("x", 1800 + k, float(v)) for k, v in enumerate(values)], SERIES)
+    with pytest.raises(ValueError, match="30"):
+        fc.holdout(series, 0.3, ["naive"])
+    (got,) = fc.holdout(series.where("year < 1850"), 0.3, ["theta"]).collect()
+    made = {r["year"]: r["mean"] for r in fc.MODELS["theta"](fc.arrays(series.where("year < 1835")), 15).collect()}
+    assert got["mae"] == pytest.approx(np.mean([abs(made[1800 + k] - values[k]) for k in range(35, 50)]))

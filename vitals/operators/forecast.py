@@ -243,11 +243,12 @@ def test_size(n: Column, fraction: float, least_train: int = 3) -> Column:
     return F.when(n < least_train + 1, 0).otherwise(k).cast("int")
 
 
-def holdout(series: DataFrame, fraction: float, models: list[str], most: int = 30) -> DataFrame:
-    """Errors on the last years, forecast from all before them."""
+def holdout(series: DataFrame, fraction: float, models: list[str]) -> DataFrame:
+    """Errors on the last years, forecast from all before them (F15); more than 30 held-out years are refused."""
     last = Window.partitionBy("series_id")
     s = series.withColumns({"n": F.count(F.lit(1)).over(last), "i": F.row_number().over(last.orderBy("year"))})
     s = s.withColumn("k", test_size(F.col("n").cast("int"), fraction))
+    most = s.agg(F.max("k")).first()[0] or 1  # one number: the longest horizon that any series needs
     train = s.where("i <= n - k AND k > 0")
     actual = s.where("i > n - k AND k > 0").select("series_id", (F.col("i") - (F.col("n") - F.col("k"))).alias("step"), F.col("value").alias("actual"))
     f = forecast(arrays(train.select("series_id", F.col("i").alias("year"), "value")), most, models)

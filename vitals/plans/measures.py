@@ -228,13 +228,13 @@ add(
 )
 add("F17_validated", lambda f: r6(fc.validated(f.series, "rolling", 0.3, MODELS), *_ERR))
 add("F18_recommended", lambda f: fc.recommended(fc.rolling(f.series, 0.3, MODELS)))
-add("F19_ranking", lambda f: fc.ranked(fc.insample(f.series, QUICK)).select("series_id", "model", "rank"))
+add("F19_ranking", lambda f: fc.ranked(fc.insample(f.series, MODELS)).select("series_id", "model", "rank"))
 add(
     "F20_projection",
     lambda f: r6(fc.projection(f.series, fc.naive(fc.arrays(f.series), H)), "observed", "projected", "lower", "upper", "change", "percent"),
     _LAST + f"SELECT series_id, 'naive' AS model, CAST(y AS INTEGER) AS observed_year, round(l, 6) AS observed, CAST(y + 5 AS INTEGER) AS projected_year, round(l, 6) AS projected, round(l - {Z95} * s * sqrt(5), 6) AS lower, round(l + {Z95} * s * sqrt(5), 6) AS upper, 0.0 AS change, CASE WHEN l <> 0 THEN 0.0 END AS percent FROM t",
 )
-add("F21_reliability", lambda f: r6(fc.reliability(f.series, fc.forecast(fc.arrays(f.series), H, MODELS), fc.recommended(fc.insample(f.series, QUICK))), "interval_ratio", "agreement_ratio"))
+add("F21_reliability", lambda f: r6(fc.reliability(f.series, fc.forecast(fc.arrays(f.series), H, MODELS), fc.recommended(fc.insample(f.series, MODELS))), "interval_ratio", "agreement_ratio"))
 add("F22_trend_class", lambda f: annual.observed_summary(f.series, ["series_id"]).where("percent IS NOT NULL").select("series_id", fc.trend_class(F.col("percent")).alias("trend")), _FL + "SELECT series_id, CASE WHEN abs((l - f) / f * 100) < 5 THEN 'stable' WHEN l > f THEN 'up' ELSE 'down' END AS trend FROM fl WHERE f <> 0")
 add("F23_observed_and_forecast", lambda f: r6(fc.observed_and_forecast(f.series, fc.naive(fc.arrays(f.series), H)), "observed", *BOUNDS), _LAST + f"SELECT series_id, year, round(value, 6) AS observed, model, round(m, 6) AS mean, round(m - {Z95} * se, 6) AS lower, round(m + {Z95} * se, 6) AS upper FROM series FULL JOIN nv USING (series_id, year)")
 add("F23_wide", lambda f: r6(fc.wide_forecast(f.series, fc.forecast(fc.arrays(f.series), H, MODELS), MODELS), "observed", *MODELS))
