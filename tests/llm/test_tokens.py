@@ -42,6 +42,15 @@ def test_pieces_forgotten_by_the_worker_are_encoded_again(monkeypatch):
             assert np.frombuffer(a.encode([t])[0], "<u4").tolist() == b.encode(t, add_special_tokens=False).ids
 
 
+def test_long_pieces_and_long_texts():
+    """Pieces beyond LONG, and a text beyond any chunk, alone and beside short ones."""
+    b, library, rng = bpe.PairIndexBpe(PATH), Tokenizer.from_file(PATH), np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    texts = ["x" + long[: bpe.LONG - 1], long, "a" * 3000, "日本語中文" * 300, "the " + long[:400] + " end", " ".join(long[k : k + 5] for k in range(0, 100_000, 5)) * 10]
+    for t, ids in zip(texts, b.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_split_characters_decode_to_the_replacement_character():
     b, library = bpe.PairIndexBpe(PATH), Tokenizer.from_file(PATH)
     ids = library.encode("🙂日", add_special_tokens=False).ids
@@ -61,8 +70,10 @@ def test_pieces_make_up_each_document(spark):
         ids = [x for r in own for x in r["ids"]]
         assert ids == [*library.encode(t, add_special_tokens=False).ids, 1]
         assert [r["start"] for r in own] == np.cumsum([0, *(r["length"] for r in own)])[:-1].tolist() and own[0]["doc_tokens"] == len(ids)
-    crc = {(r["doc_id"], r["start"], r["sequence_id"]): r["ids_crc32"] for r in bpe.ids_crc32(packed).collect()}
-    assert crc == {(r["doc_id"], r["start"], r["sequence_id"]): zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows}
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows)
+    assert len({r["sequence_id"] >> 52 for r in rows}) == len({r["bucket"] for r in rows})
+    cut = bpe.pack_powers_of_two(frame(spark, docs).repartition(7), PATH, 256, with_ids=False)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, packed.drop("ids").collect()))
     assert bpe.pack_powers_of_two(frame(spark, []), PATH).count() == 0
     with pytest.raises(ValueError, match="power of two"):
         bpe.pack_powers_of_two(frame(spark, []), PATH, 100)

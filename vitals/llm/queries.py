@@ -40,8 +40,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = bpe.pack_powers_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return bpe.ids_crc32(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+    packed = bpe.pack_powers_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
