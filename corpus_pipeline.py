@@ -40,8 +40,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths."""
     small_batches(spark)
-    packed = bpe.pack_powers_of_two(docs, public_tokenizers.path(VOCABULARY))
-    return bpe.ids_crc32(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+    return bpe.pack_powers_of_two(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
