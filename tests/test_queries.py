@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ SOME = ["R2_crude_rate", "M1_priority_merge", "G6_overlap", "P5_smr", "A3_breakd
 
 
 def rows(frame):
-    show = lambda v: "" if v is None or v != v else f"{v + 0.0:.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    show = lambda v: "" if pd.isna(v) else f"{v + 0.0:.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted(tuple(show(v) for v in r) for r in frame.itertuples(index=False))
 
