@@ -140,11 +140,34 @@ def test_circulant_signature():
     _, sig = minhash.signatures(np.repeat([0, 1, 2], [len(s), len(s), len(other)]), np.concatenate([s, s[::-1], other]), 216)
     order = np.random.default_rng(20220901).permutation(minhash.PLACES)
     place = (minhash.mix(s, 31) >> np.uint64(44)).astype(np.int64)
-    assert sig[0].tolist() == [int(order[(place + k) % minhash.PLACES].min()) for k in range(216)]
+    tie = (minhash.mix(s, 31) >> np.uint64(32)).astype(np.int64) % 4096
+    assert sig[0].tolist() == [int((order[(place + k) % minhash.PLACES] * 4096 + tie).min()) for k in range(216)]
     assert (sig[0] == sig[1]).all()
     assert np.mean(sig[0] == sig[2]) == pytest.approx(450 / 550, abs=0.12)
 
 
+def test_sets_larger_than_the_places_have_their_own_signatures():
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 2**62, 3 << 20).astype(np.uint64) for _ in range(2)]
+    _, sig = minhash.signatures(np.repeat([0, 1], 3 << 20), np.concatenate(sets), 8)
+    assert (sig[0] != sig[1]).sum() >= 7
+
+
+def test_a_large_cluster_of_low_similarity(spark):
+    """Filled-in forms: half of each text is the form, so all share band buckets and none is linked; copies with one word changed are."""
+    rng = np.random.default_rng(14)
+    form = [f"f{k}" for k in range(150)]
+    texts = []
+    for k in range(1500):
+        t = [*form, *(f"w{x}" for x in rng.integers(0, 10**6, 40))]
+        texts += [(3 * k, " ".join(t))]
+        if k % 100 == 0:
+            t[170] = "other"
+            texts += [(3 * k + 1, " ".join(t))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, texts), 90, bands=60, block_rows=64).collect()}
+    assert got == {i: i - i % 3 for i, _ in texts}
+
+
 # ---- passages
 
 
@@ -252,6 +275,62 @@ def test_smaller_ids_that_hold_some_words_of_a_passage(spark):
     assert all(set(range(at[i], at[i] + 80)) <= spans[i] for i in spans)
 
 
+def spans_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    return out
+
+
+def test_common_passages_dealt_by_run(spark):
+    """The same words found whether keys are hot or not, and however the rows are cut."""
+    docs, want = [], {}
+    for seed in range(3):
+        some, _, at = shared_passage(seed, 120, 56)
+        docs += [(seed * 1000 + i, " ".join(t)) for i, t in some]
+        want |= {seed * 1000 + i: set(range(x, x + 56)) for i, x in at.items() if i}
+    docs += [(9000 + k, docs[5][1]) for k in range(60)]
+    found = [
+        spans_of(substring.repeated_passages(df, sample=sample, hot=hot).collect())
+        for df, sample, hot in ((frame(spark, docs), 1, 20), (frame(spark, docs).repartition(16), 1, 20), (frame(spark, docs).coalesce(1), 64, 10**9))
+    ]
+    assert all(want[i] <= found[0].get(i, set()) for i in want) and all(9000 + k in found[0] for k in range(60))
+    assert found[0] == found[1] == found[2]
+
+
+def test_near_passages_are_mostly_found(spark):
+    """Passages of 60 to 120 words with one to three words changed, five holders each."""
+    rng = np.random.default_rng(21)
+    text = lambda n: [f"v{k}" for k in rng.integers(0, 30_000, n)]
+    docs, want = [], set()
+    for seed in range(60):
+        n = int(rng.integers(60, 121))
+        p = text(n)
+        for k in range(5):
+            q = list(p)
+            if k:
+                for at in rng.integers(0, n, int(rng.integers(1, 1 + n // 40))):
+                    q[at] = f"z{rng.integers(0, 10**6)}"
+                want.add(seed * 10 + k)
+            docs.append((seed * 10 + k, " ".join(text(30) + q + text(30))))
+    docs += [(5000 + k, " ".join(text(120))) for k in range(200)]
+    got = set(spans_of(substring.repeated_passages(frame(spark, docs)).collect()))
+    assert got <= want and len(got) >= 0.9 * len(want), len(got) / len(want)
+
+
+def test_long_texts_and_far_places(spark):
+    """Texts beyond a chunk, and places beyond 2^23."""
+    rng = np.random.default_rng(3)
+    words_ = [f"q{k}" for k in rng.integers(0, 10**6, 120_000)]
+    p = [f"p{k}" for k in range(70)]
+    docs = [(1, " ".join(words_[:100_000] + p + words_[100_000:])), (2, " ".join(["x"] + p + ["y"]))]
+    (r,) = substring.repeated_passages(frame(spark, docs)).collect()
+    assert (r["doc_id"], r["start"], r["n_words"], r["source_start"]) == (2, 1, 70, 100_000)
+    at = np.array([(9_000_000 << 24) | (50 << 12) | 50])
+    b, a, _, lo, hi, shift = substring._linked([np.array([4]), np.array([7]), at], [np.array([4]), np.array([2]), at - (1 << 24)])
+    assert (b[0], a[0], lo[0], hi[0], shift[0]) == (7, 2, 8_999_950, 9_000_050, 1)
+
+
 def test_links_of_one_document_are_spread(spark):
     rows = [(1000, a, k, 10, 80, 5) for a in range(200) for k in range(2)]
     links = spark.createDataFrame(rows, ", ".join(f"`{c}` long" for c in ("b", "a", "hash", "from", "to", "shift")))

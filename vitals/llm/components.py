@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.tables import saved
+from vitals.llm.tables import saved, spread_join
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges (a, b): the smallest id that it reaches.
 
     Each step finds the smallest neighbour of every id by an aggregation with map-side
-    partial sums and joins it back, so a hub with any number of neighbours is never gathered
-    in one place; adaptive execution splits the join where an id is hot. Edges are saved in
-    the shared checkpoint folder after each round, and the rounds end when a round changes
-    nothing. Edges with a null end are left out; no edges give no rows.
+    partial sums and joins it back; an id with a thousandth of all edges or more is dealt in
+    parts for that (spread_join), so a hub with any number of neighbours is never gathered in
+    one place. Edges are saved in the shared checkpoint folder after each round, and the
+    rounds end when a round changes nothing. Edges with a null end are left out; no edges
+    give no rows.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _print(now)
@@ -24,11 +25,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         # large star: larger neighbours move to the smallest neighbour (or the id itself)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")).select("u", F.least("u", "m").alias("m"), "n").where("n > 0"))
+        large = saved(spread_join(both.where("v > u"), least, ["u"], ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: an id and its smaller neighbours move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        moved = spread_join(large, least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = saved(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         after = _print(now)
         if after == before:

@@ -7,28 +7,32 @@ put likely pairs together; every link is then confirmed on the full sets.
 Texts with equal shingle sets are one class and count once from there on. Classes that share
 a band bucket are tied to one of the bucket's members, which gives loose clusters without
 listing pairs; inside a cluster, sets are compared in blocks of bounded size by matrix
-products, and only a spanning forest of the true links leaves a block.
+products, and only a spanning forest of the true links leaves a block. A cluster larger than
+a block first compares all its blocks with one; what isn't one component by then meets again
+where it shares one of its rarest shingles, without which no two sets are similar enough.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitals.llm.components import connected_components
-from vitals.llm.tables import saved
+from vitals.llm.tables import saved, spread_join
 from vitals.llm.textkernel import U, Words, chunks, distinct, groups, mix, signed
 
 #: Coordinates of a band, and with what probability a pair just at the threshold may be missed.
 ROWS, MISS = 6, 5e-8
-#: Places of the second permutation.
-PLACES = 1 << 20
+#: Places of the second permutation, by the first LOW bits of a shingle's place; the TIE bits after them decide within a place.
+LOW, TIE = 20, 12
+PLACES = 1 << LOW
 #: Classes, and shingles, that one side of a comparison holds at most (about).
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 
@@ -41,23 +45,29 @@ def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 def _windows(k: int) -> np.ndarray:
-    """Row p: the order of places p, p + 1, ..., p + k - 1, around the circle."""
+    """Row p: the order of places p, p + 1, ..., p + k - 1, around the circle, before TIE free bits."""
     if k not in _orders:
-        order = np.random.default_rng(20220901).permutation(PLACES).astype(np.uint32)
+        order = np.random.default_rng(20220901).permutation(PLACES).astype(np.uint32) << np.uint32(TIE)
         _orders[k] = sliding_window_view(np.concatenate([order, order[: k - 1]]), k)
     return _orders[k]
 
 
 def signatures(doc: np.ndarray, shingles: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have shingles, and their k coordinates; doc is sorted."""
+    """Rows that have shingles, and their k coordinates; doc is sorted.
+
+    Several shingles at a place (a set of millions has some at each) are told apart by the
+    bits that follow, so sets larger than the number of places have signatures of their own.
+    """
     windows = _windows(k)
-    place = (mix(shingles, 31) >> U(44)).astype(np.int64)
-    rows = np.unique(doc)
+    spread = mix(shingles, 31)
+    place = (spread >> U(64 - LOW)).astype(np.int64)
+    tie = ((spread >> U(64 - LOW - TIE)) & U((1 << TIE) - 1)).astype(np.uint32)[:, None]
+    rows = np.flatnonzero(np.bincount(doc)) if len(doc) else doc
     out = np.full((len(rows), k), np.iinfo(np.uint32).max, np.uint32)
     number = np.searchsorted(rows, doc)
     step = 8192
     for a in range(0, len(place), step):
-        part = windows[place[a : a + step]]
+        part = windows[place[a : a + step]] | tie[a : a + step]
         n = number[a : a + step]
         starts = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
         least = np.minimum.reduceat(part, starts, axis=0)
@@ -74,6 +84,14 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return mix(h + np.arange(bands, dtype=U)[None, :] * U(0x9E3779B97F4A7C15), 11)
 
 
+def _digests(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two columns: the MD5 of each set, whose shingles stand one after another in ascending order."""
+    ends = np.cumsum(size)
+    data = memoryview(h.astype("<u8").tobytes())
+    code = b"".join([hashlib.md5(data[8 * a : 8 * b], usedforsecurity=False).digest() for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(code, np.int64).reshape(-1, 2)
+
+
 def fingerprints(docs: DataFrame, bands: int, rows: int = ROWS, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the shingle set (h1, h2), band keys."""
 
@@ -83,17 +101,12 @@ def fingerprints(docs: DataFrame, bands: int, rows: int = ROWS, n: int = 5) -> D
             h, doc = w.shingles(n)
             doc, h = distinct(doc, h)
             size = np.bincount(doc, minlength=w.n_docs)
-            sums = []
-            for seed in (101, 102):
-                before = np.concatenate([np.zeros(1, U), np.cumsum(mix(h, seed))])
-                ends = np.cumsum(size)
-                with np.errstate(over="ignore"):
-                    sums.append(before[ends] - before[ends - size])
+            code = _digests(h, size)
             which, sig = signatures(doc, h, bands * rows)
             keys = signed(band_keys(sig, bands, rows).reshape(-1))
             offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [chunk["doc_id"], pa.array(size.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
+                [chunk["doc_id"], pa.array(size.astype(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
                 names=["doc_id", "n_shingles", "h1", "h2", "bands"],
             )
 
@@ -101,17 +114,19 @@ def fingerprints(docs: DataFrame, bands: int, rows: int = ROWS, n: int = 5) -> D
 
 
 def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id and its distinct shingles."""
+    """id and its distinct shingles, of the rows of docs (id, h1, h2, text) whose set has that hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             w = Words(chunk["text"])
             h, doc = w.shingles(n)
             doc, h = distinct(doc, h)
-            offsets = np.searchsorted(doc, np.arange(w.n_docs + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(h)))], names=["doc_id", "shingles"])
+            offsets = np.searchsorted(doc, np.arange(w.n_docs + 1))
+            code = _digests(h, np.diff(offsets))
+            out = pa.RecordBatch.from_arrays([chunk["id"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(h)))], names=["id", "shingles"])
+            yield out.filter(pa.array((code[:, 0] == chunk["h1"].to_numpy()) & (code[:, 1] == chunk["h2"].to_numpy())))
 
-    return docs.mapInArrow(work, "doc_id long, shingles array<bigint>")
+    return docs.select("id", "h1", "h2", "text").mapInArrow(work, "id long, shingles array<bigint>")
 
 
 def links(left: np.ndarray, right: np.ndarray, shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,43 +230,49 @@ def near_duplicates(
     the one shingle). component_id is the smallest doc_id reachable over links, class_id the
     smallest doc_id with the same set.
 
-    A null or empty text, or one without words, has no shingle and is linked with nothing.
-    Repeated rows, and rows that repeat an id, are one document. A row with a null id keeps
-    null component_id and class_id and is kept, as nothing can name it. Other columns are
-    left out; an empty table gives an empty table.
+    A null or empty text, or one without words, has no shingle and is linked with nothing; a
+    very long text is a chunk of its own. Repeated rows, and rows that repeat an id, are one
+    document; of different texts with one id, the one whose set has the smallest hash is
+    compared, and n_shingles is each row's own. A row with a null id keeps null component_id
+    and class_id and is kept, as nothing can name it. Links at just the threshold count. Other
+    columns are left out; an empty table gives an empty table.
 
     No bucket, cluster or group is capped. A cluster that is larger than a block first
-    compares every block with the first one; what then already is one component isn't
-    compared within itself again, and all other pairs of blocks are.
+    compares every block with the first one; the sets that then are in different components
+    are compared wherever they share one of their rarest shingles (see _rest).
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = saved(fingerprints(text, bands or bands_for(percent, rows), rows, n))
+    key = ["h1", "h2", "n_shingles"]
     some = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    member = saved(some.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "class_id", "n_shingles"))
-    heads = some.join(member.where("doc_id = class_id").select("doc_id", "class_id"), "doc_id").select("class_id", "n_shingles", "bands")
+    one = saved(some.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("set")).select("doc_id", "set.*"))
+    classes = saved(one.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")))
+    member = saved(spread_join(one, classes, key, ["doc_id"]).select("doc_id", "class_id"))
+    heads = some.join(classes.select(*key, F.col("class_id").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id"])
+    heads = saved(heads.select(F.col("doc_id").alias("id"), *key, "bands"))
 
     # loose clusters: every member of a bucket with the bucket's smallest
-    keyed = heads.select(F.col("class_id").alias("id"), F.explode("bands").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").select("key", "pivot")
-    tied = keyed.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    loose = saved(connected_components(tied).join(member.where("doc_id = class_id").select(F.col("class_id").alias("id"), "n_shingles"), "id"))
+    keyed = heads.select("id", F.explode("bands").alias("key"))
+    pivots = saved(keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    tied = spread_join(keyed, pivots, ["key"], ["id"]).where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    loose = saved(connected_components(tied).join(heads.drop("bands"), "id"))
 
     sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     sizes = sizes.select("component", F.ceil(F.greatest(F.col("n") / block_rows, F.col("s") / block_shingles)).alias("blocks"))
     placed = loose.join(sizes, "component").select("id", F.col("component").alias("k1"), "blocks", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.lit(0)).alias("block"))
-    sets = saved(shingle_sets(text.join(loose.select(F.col("id").alias("doc_id")), "doc_id"), n).withColumnRenamed("doc_id", "id").dropDuplicates(["id"]))
+    sets = saved(shingle_sets(text.withColumnRenamed("doc_id", "id").join(loose.select("id", "h1", "h2"), "id"), n).dropDuplicates(["id"]))
 
     # every block with block 0: the whole of a cluster that fits one block
     first_pairs = sizes.select(F.col("component").alias("p1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k3")).select("p1", F.lit(0).cast("long").alias("k2"), "k3")
     found = saved(_compare(sets, placed.select("id", "k1", "block"), first_pairs, percent))
     large = placed.where("blocks > 1").select("id", "k1")
     if not large.isEmpty():
-        found = found.unionByName(_rest(sets, large, found, percent, block_rows, block_shingles, loose))
+        found = found.unionByName(_rest(sets, large, found, percent, block_rows, block_shingles))
     joined = connected_components(found)
 
-    out = member.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
+    named = classes.select("class_id", "n").join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
+    named = saved(named.select("class_id", "n", F.coalesce("component", "class_id").alias("component_id")))
+    out = spread_join(member, named, ["class_id"], ["doc_id"]).select("doc_id", "class_id", "component_id")
     return (
         prints.select("doc_id", "n_shingles")
         .join(out, "doc_id", "left")
@@ -259,30 +280,29 @@ def near_duplicates(
     )
 
 
-def _rest(sets: DataFrame, large: DataFrame, found: DataFrame, percent: int, block_rows: int, block_shingles: int, loose: DataFrame) -> DataFrame:
-    """The pairs of blocks that are left in large clusters, without those inside one component."""
+def _rest(sets: DataFrame, large: DataFrame, found: DataFrame, percent: int, block_rows: int, block_shingles: int) -> DataFrame:
+    """The links in large clusters (id, k1) between what `found` has left in different components.
+
+    Two sets with percent in common share one of the first |set| - percent |set| + 1 shingles
+    of each in any common order; here the rarest of the cluster come first. So each such
+    shingle has a list of the sets that hold it so, and lists of more than one component are
+    compared, in blocks if they are long. Text from one template shares its common shingles
+    and has rare ones of its own, so its lists are short.
+    """
     done = connected_components(found)
-    sized = large.join(done, "id", "left").select("id", "k1", F.coalesce("component", "id").alias("c")).join(loose.select("id", "n_shingles"), "id")
-    within = sized.groupBy("k1", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    # a component of some size has blocks of its own; the others share blocks (c is null)
-    within = within.select("k1", "c", "n", "s", (F.col("n") >= block_rows // 4).alias("own"))
-    shared = within.where("NOT own").groupBy("k1").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    many = F.ceil(F.greatest(F.col("n") / block_rows, F.col("s") / block_shingles))
-    own_blocks = within.where("own").select("k1", F.col("c").alias("of"), many.alias("blocks"))
-    shared_blocks = shared.select("k1", F.lit(None).cast("long").alias("of"), many.alias("blocks"))
-    blocks = own_blocks.unionByName(shared_blocks)
-    number = lambda: F.xxhash64(F.coalesce("of", F.lit(-1).cast("long")), F.col("of").isNull(), "part")
-    placed = (
-        sized.join(within.select("k1", "c", "own"), ["k1", "c"])
-        .select("id", "k1", F.when(F.col("own"), F.col("c")).alias("of"))
-        .join(blocks.withColumnsRenamed({"k1": "b1", "of": "bof"}), (F.col("k1") == F.col("b1")) & F.col("of").eqNullSafe(F.col("bof")))
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        .select("id", "k1", number().alias("block"))
-    )
-    listed = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("k1", "of", number().alias("block"))
-    other = listed.select(F.col("k1").alias("p1"), F.col("of").alias("of3"), F.col("block").alias("k3"))
-    pairs = listed.join(other, (F.col("k1") == F.col("p1")) & (F.col("block") <= F.col("k3")) & (F.col("of").isNull() | F.col("of3").isNull() | (F.col("of") != F.col("of3"))))
-    return _compare(sets, placed, pairs.select("p1", F.col("block").alias("k2"), "k3"), percent)
+    own = saved(large.join(done, "id", "left").select("id", "k1", F.coalesce("component", "id").alias("c")))
+    held = own.join(sets, "id").withColumn("size", F.size("shingles"))
+    rows = held.select("k1", "id", "c", "size", F.explode("shingles").alias("s"))
+    common = saved(rows.groupBy("k1", "s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")))
+    ranked = spread_join(rows, common, ["k1", "s"], ["id"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "s")))
+    first = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100) - F.lit(1e-9)) + 1).where("lo <> hi")
+    first = saved(first.select(F.xxhash64("k1", "s").alias("k1"), "id", "c", "size"))
+    lists = first.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    lists = saved(lists.select("k1", "n", F.ceil(F.greatest(F.col("n") / block_rows, F.col("s") / block_shingles)).alias("blocks")))
+    placed = saved(spread_join(first.select("k1", "id"), lists, ["k1"], ["id"]).select("id", "k1", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
+    number = lambda low: F.explode(F.sequence(low, F.col("blocks") - 1))
+    pairs = lists.withColumn("k2", number(F.lit(0).cast("long"))).withColumn("k3", number(F.col("k2"))).select(F.col("k1").alias("p1"), "k2", "k3")
+    return _compare(sets, placed, pairs, percent)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,15 +10,16 @@ the same places, that is a candidate passage, and its shingles are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.tables import saved
-from vitals.llm.textkernel import U, Words, chunks, groups, mix, signed
+from vitals.llm.tables import saved, spread_join
+from vitals.llm.textkernel import U, Words, chunks, mix, powers, signed
 
 #: Words of the shortest passage, words of a shingle.
 PASSAGE, SHINGLE = 50, 5
@@ -27,11 +28,15 @@ HASHES, ENOUGH = 4, 2
 #: Places by which a passage may shift inside, as words are added or left out.
 SHIFT = 16
 SIMILARITY = 0.8
-#: Partners that windows without a verified source are tied to in the first further round; each round has this times as many.
-WIDER = 16
-#: Shingles in a row around the smallest hash that such a partner shares.
-UNBROKEN = 8
-_WIDE = (1 << 20) - 1
+#: Lengths of runs of shingles around a smallest hash, and the step between the runs of a
+#: length that are tied to their first holder. The first is the shortest passage: of that
+#: every run, under as many hash functions as must agree.
+RUNS = ((PASSAGE - SHINGLE + 1, 1), (32, 4), (23, 4), (12, 3), (1, 1))
+#: Keys held by this many of the sampled documents, and by one in so many of them, are dealt by their runs.
+HOT, HOT_SHARE, HOT_SAMPLE = 8, 5000, 64
+#: Shingles to which the ends of a source's slice are rounded.
+ROUND = 64
+_WIDE = (1 << 12) - 1
 
 
 def _slide(x: np.ndarray, t: int, best: np.ufunc, pad: int) -> np.ndarray:
@@ -130,9 +135,9 @@ def chunk_windows(w: Words, ids: np.ndarray, hashes: int = HASHES) -> list[np.nd
         h[gap] = mix(s, 500 + k) | U(1)
         lo, c, hi = compact_windows(h, t)
         i = number[c]
-        out[0].append(signed((h[c] & ~U(3)) | U(k)))
+        out[0].append(signed(((h[c] >> U(1)) & ~U(3)) | U(k)))
         out[1].append(ids[doc[i]])
-        out[2].append((place[i] << 40) | (np.minimum(c - lo, _WIDE) << 20) | np.minimum(hi - c, _WIDE))
+        out[2].append((place[i] << 24) | (np.minimum(c - lo, _WIDE) << 12) | np.minimum(hi - c, _WIDE))
         out[3].append(before[i])
         out[4].append(after[i])
     return [np.concatenate(x) for x in out]
@@ -145,43 +150,61 @@ def _linked(first: list[np.ndarray], second: list[np.ndarray]) -> list[np.ndarra
     swap = id1 < id2
     b, a = np.where(swap, id2, id1), np.where(swap, id1, id2)
     pb, pa_ = np.where(swap, at2, at1), np.where(swap, at1, at2)
-    cb, ca = pb >> 40, pa_ >> 40
-    before = np.minimum((pb >> 20) & _WIDE, (pa_ >> 20) & _WIDE)
+    cb, ca = pb >> 24, pa_ >> 24
+    before = np.minimum((pb >> 12) & _WIDE, (pa_ >> 12) & _WIDE)
     after = np.minimum(pb & _WIDE, pa_ & _WIDE)
     keep = (b != a) & (before + after + 1 >= PASSAGE - SHINGLE + 1)
     return [x[keep] for x in (b, a, key & 3, cb - before, cb + after, cb - ca)]
 
 
-def _tied(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links of windows sorted by key, id and place, and the windows of keys that several documents hold, with their rank.
-
-    Each run of PASSAGE words around the smallest hash is tied to its first holder: the
-    smallest id, which is the same one under every hash function. Besides, each window is tied
-    to the first of its key, for passages that differ in some words.
+def _first(code: np.ndarray) -> np.ndarray:
+    """For each row the first row with the same code."""
+    which, values = pd.factorize(code)
+    first = np.empty(len(values), np.int64)
+    first[which[::-1]] = np.arange(len(code))[::-1]
+    return first[which]
+
+
+def _runs(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, enough: int = ENOUGH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each run of RUNS the windows that have it, and a hash of its key and shingles."""
+    before, after = (at >> 12) & _WIDE, at & _WIDE
+    every = np.arange(len(key))
+    left, right, key = left.view(U), right.view(U), key.astype(U)
+    for length, step in RUNS:
+        for i in range(0, length, step):
+            j = length - 1 - i
+            rows = every
+            if length == RUNS[0][0]:
+                rows = np.flatnonzero((before >= i) & (after >= j) & (key & U(3) < U(enough)))
+            x = left[rows] >> U(64 - i) if i else np.zeros(len(rows), U)
+            y = right[rows] >> U(64 - j) if j else np.zeros(len(rows), U)
+            with np.errstate(over="ignore"):
+                yield rows, signed(mix(key[rows] * U(0x9FB21C651E98DF25) + x * U(0xD6E8FEB86659FD93) + mix(y, length << 8 | i)))
+
+
+def _tied(columns: list[np.ndarray], enough: int = ENOUGH) -> list[np.ndarray]:
+    """Links of windows sorted by key, id and place: each run of each window with its first holder.
+
+    The first holder of a run is the smallest id that has it, and the same one under every
+    hash function. A window whose surroundings all are those of a smaller id's is tied to that.
     """
     key, ids, at, left, right = columns
-    t = PASSAGE - SHINGLE + 1
-    new = np.append(True, key[1:] != key[:-1])
-    heads = np.flatnonzero(new)
-    of = np.cumsum(new) - 1
-    first = heads[of]
-    several = np.append(ids[heads[1:] - 1], ids[-1]) != ids[heads]
-    kept = np.flatnonzero(several[of])
-    key, ids, at, left, right, rank, first = (x[kept] for x in (key, ids, at, left.view(U), right.view(U), np.arange(len(key)) - first, np.searchsorted(kept, first)))
-    before, after = (at >> 20) & _WIDE, at & _WIDE
-    pairs = [(np.arange(len(key)) << 32) | first]
-    for i in range(t):
-        rows = np.flatnonzero((before >= i) & (after >= t - 1 - i))
-        x = left[rows] >> U(64 - i) if i else np.zeros(len(rows), U)
-        y = right[rows] >> U(65 - t + i) if i < t - 1 else np.zeros(len(rows), U)
-        with np.errstate(over="ignore"):
-            run = mix(mix(key[rows].astype(U) + mix(x, 7), 8) + y, 9)
-        _, leader, which = np.unique(run, return_index=True, return_inverse=True)
-        to = rows[leader][which]
-        pairs.append((rows << 32)[to != rows] | to[to != rows])
-    p = np.unique(np.concatenate(pairs))
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    several = np.append(ids[heads[1:] - 1], ids[-1:]) != ids[heads]
+    key, ids, at, left, right = (x[np.repeat(several, np.diff(np.append(heads, len(key))))] for x in (key, ids, at, left, right))
+    with np.errstate(over="ignore"):
+        same = _first(signed(mix(mix(key.view(U), 1) + mix(left.view(U), 2) + mix(right.view(U), 3))))
+    own = np.flatnonzero(ids[same] == ids)
+    gone = np.flatnonzero(ids[same] != ids)
+    pairs = [gone << 32 | same[gone]]
+    for rows, code in _runs(key[own], at[own], left[own], right[own], enough):
+        to = rows[_first(code)]
+        other = ids[own[to]] != ids[own[rows]]
+        pairs.append(own[rows[other]] << 32 | own[to[other]])
+    p = np.sort(np.concatenate(pairs))
+    p = p[np.append(True, p[1:] != p[:-1])[: len(p)]]
     b, a = p >> 32, p & 0xFFFFFFFF
-    return _linked([key[b], ids[b], at[b]], [key[a], ids[a], at[a]]), [key, ids, at, rank, signed(left), signed(right)]
+    return _linked([key[b], ids[b], at[b]], [key[a], ids[a], at[a]])
 
 
 _LINK = ["b", "a", "hash", "from", "to", "shift"]
@@ -213,49 +236,96 @@ def _whole(batches: Iterator[pa.RecordBatch], names: list[str], keys: int, least
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def window_links(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Links of windows with the same smallest hash, and the windows themselves (see _tied), told apart by `link`.
+_WINDOW = ["key", "id", "at", "left", "right"]
+_WINDOWS = ", ".join(f"`{c}` long" for c in _WINDOW)
 
-    Links: b, a, hash, from, to, shift (b's place less a's). Windows have key, id, at, rank,
-    left and right in these columns; those of keys that one document alone holds are left out.
+
+def hot_keys(docs: DataFrame, hashes: int = HASHES, sample: int = HOT_SAMPLE, hot: int = HOT) -> np.ndarray:
+    """Keys of windows that very many documents hold, estimated from one document in `sample`.
+
+    Only how rows are dealt depends on it. Each key stands in one of HOT_SHARE sampled
+    documents or more, so there are at most HOT_SHARE times the windows of a document.
     """
-    names = ["key", "id", "at", "left", "right"]
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
-            yield from _batches(chunk_windows(Words(chunk["text"]), chunk["doc_id"].to_numpy(zero_copy_only=False), hashes), names)
+            key, ids, *_ = chunk_windows(Words(chunk["text"]), chunk["doc_id"].to_numpy(zero_copy_only=False), hashes)
+            pairs = pd.DataFrame({"key": key, "id": ids}).drop_duplicates()
+            yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.nulls(chunk.num_rows, pa.int64()), chunk["doc_id"]], names=["key", "id"])
 
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole(batches, names, 1):
-            for link, rows in zip((True, False), _tied(columns), strict=True):
-                for x in _batches(rows, _LINK):
-                    yield x.append_column("link", pa.array(np.full(x.num_rows, link)))
+    seen = some.mapInArrow(find, "key long, id long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    seen = saved(seen.where((F.col("n") >= hot) | F.col("key").isNull()))
+    total = seen.where("key IS NULL").agg(F.max("n").alias("n")).first()["n"] or 0
+    return np.sort(np.array([r["key"] for r in seen.where(F.col("key").isNotNull() & (F.col("n") * HOT_SHARE >= total)).collect()], np.int64))
 
-    rows = docs.mapInArrow(find, "key long, id long, at long, `left` long, `right` long")
-    return rows.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(tie, _LINKS + ", link boolean")
 
+def window_links(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH, hot: np.ndarray | None = None) -> DataFrame:
+    """Links of windows with the same smallest hash (see _tied): b, a, hash, from, to, shift (b's place less a's).
 
-def outside(windows: DataFrame, passages: DataFrame) -> DataFrame:
-    """The windows (key, id, at, rank) whose smallest hash lies in none of the passages (doc_id, start, n_words)."""
-    spans = passages.select(F.col("doc_id").alias("of"), "start", (F.col("start") + F.col("n_words") - SHINGLE).alias("last")).distinct()
-    place = F.shiftright("at", 40)
-    return windows.join(spans, (F.col("id") == F.col("of")) & (place >= F.col("start")) & (place <= F.col("last")), "left_anti")
+    Windows are dealt by key, those of `hot` keys by their runs.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(hot if hot is not None else np.empty(0, np.int64))
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = known.value
+        for chunk in chunks(batches, "text"):
+            rows = chunk_windows(Words(chunk["text"]), chunk["doc_id"].to_numpy(zero_copy_only=False), hashes)
+            if len(keys):  # they are set apart by the sign
+                i = np.minimum(np.searchsorted(keys, rows[0]), len(keys) - 1)
+                rows[0] = np.where(keys[i] == rows[0], ~rows[0], rows[0])
+            yield from _batches(rows, _WINDOW)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: Iterator[pa.RecordBatch] = iter(())
+        for batch in batches:
+            n = int(np.searchsorted(batch["key"].to_numpy(zero_copy_only=False), 0))
+            if n:
+                columns = [*(batch[c].slice(0, n) for c in _WINDOW), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*_LINK, "link"])
+            if n < batch.num_rows:
+                rest = chain([batch.slice(n)], batches)
+                break
+        for columns in _whole(rest, _WINDOW, 1):
+            for x in _batches(_tied(columns, enough), _LINK):
+                yield x.append_column("link", pa.array(np.full(x.num_rows, True)))
+
+    rows = docs.mapInArrow(find, _WINDOWS)
+    deal = F.when(F.col("key") < 0, F.xxhash64("key", "id", "at")).otherwise(F.col("key"))
+    links = rows.repartition(deal).sortWithinPartitions("key", "id", "at").mapInArrow(tie, _LINKS + ", link boolean")
+    if hot is None or not len(hot):
+        return links.drop("link")
+    links = saved(links)
+    apart = links.where("NOT link").select(F.bitwise_not("b").alias("key"), *(F.col(c).alias(n) for c, n in zip(_LINK[1:5], _WINDOW[1:], strict=True)))
+    return links.where("link").drop("link").unionByName(hot_links(apart, enough))
+
+
+def hot_links(windows: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """As _tied, for windows of keys that no task should have whole: first by equal surroundings, then by run."""
+    around = ["key", "left", "right"]
+    where = F.struct("id", "at")
+    same = saved(windows.groupBy(*around).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")))
+    tied = saved(spread_join(windows, same, around, ["id", "at"]).select(*_WINDOW, "first"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+                key, ids, at, left, right = (part[c].to_numpy(zero_copy_only=False) for c in _WINDOW)
+                for rows, code in _runs(key, at, left, right, enough):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, key[rows], ids[rows], at[rows])], names=["run", "key", "id", "at"])
 
-def next_links(open_: DataFrame, windows: DataFrame, low: int, high: int) -> DataFrame:
-    """Links of open windows to those of their key with rank low to high - 1, a smaller id and UNBROKEN shingles in common."""
-    to = windows.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", *(F.col(c).alias(c + "2") for c in ("id", "at", "left", "right")))
-    left, right = F.col("left").bitwiseXOR(F.col("left2")), F.col("right").bitwiseXOR(F.col("right2"))
-    same = lambda x, n: F.shiftrightunsigned(x, 64 - n) == 0 if n else F.lit(True)
-    runs = [same(left, n) & same(right, UNBROKEN - 1 - n) for n in range(UNBROKEN)]
-    pairs = open_.join(to, "key").where((F.col("id") > F.col("id2")) & reduce(Column.__or__, runs))
+    runs = tied.where("id = first.id").select(*_WINDOW).mapInArrow(split, "run long, key long, id long, at long")
+    first = saved(runs.groupBy("run").agg(F.min(where).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("most > first.id").drop("most"))
+    pairs = spread_join(runs, first, ["run"], ["id", "at"]).where("id > first.id")
+    pairs = pairs.select("key", "id", "at", "first").unionByName(tied.where("id > first.id").select("key", "id", "at", "first")).distinct()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, ids, at, id2, at2 = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "at", "id2", "at2"))
             yield from _batches(_linked([key, ids, at], [key, id2, at2]), _LINK)
 
-    return pairs.select("key", "id", "at", "id2", "at2").mapInArrow(link, _LINKS)
+    return pairs.select("key", "id", "at", F.col("first.id").alias("id2"), F.col("first.at").alias("at2")).mapInArrow(link, _LINKS)
 
 
 def covered(group: np.ndarray, kind: np.ndarray, lo: np.ndarray, hi: np.ndarray, enough: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,26 +375,59 @@ def candidates(links: DataFrame, enough: int = ENOUGH) -> DataFrame:
     return links.repartition("b", "a").sortWithinPartitions("b", "a").mapInArrow(work, "b long, a long, `from` long, `to` long, low long, high long")
 
 
+def _spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, spans, text): wanted spans (doc_id, from, to) of each document, each once, with its text."""
+    listed = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    return docs.join(listed, "doc_id").select("doc_id", "spans", "text")
+
+
+def _cuts(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of a chunk; of each span its row, where it begins and ends in them, and where its text begins."""
+    w = Words(chunk["text"])
+    s, at = w.ngrams(SHINGLE)
+    doc = w.doc[at]
+    spans = chunk["spans"]
+    row = np.repeat(np.arange(chunk.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, hi = (spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    begin, end = np.searchsorted(doc, row, "left"), np.searchsorted(doc, row, "right")
+    a = np.minimum(begin + np.maximum(lo, 0), end)
+    return s, row, a, np.maximum(np.minimum(begin + hi + 1, end), a), begin
+
+
+def _labelled(chunk: pa.RecordBatch, row: np.ndarray) -> list[pa.Array]:
+    """doc_id, from and to of each span."""
+    return [chunk["doc_id"].take(pa.array(row)), *(chunk["spans"].flatten().field(k) for k in range(2))]
+
+
+def span_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, from, to, h1, h2): a 128-bit hash of the shingles of each wanted span."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text"):
+            s, row, a, b, _ = _cuts(chunk)
+            up, down = powers(len(s) + 1)
+            h = []
+            with np.errstate(over="ignore"):
+                for seed in (31, 32):
+                    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(s, seed) * up[: len(s)])])
+                    h.append(pa.array(signed(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U), seed))))
+            yield pa.RecordBatch.from_arrays([*_labelled(chunk, row), *h], names=["doc_id", "from", "to", "h1", "h2"])
+
+    return _spans(docs, wanted).mapInArrow(work, "doc_id long, `from` long, `to` long, h1 long, h2 long")
+
+
 def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(passage, side, begin, shingles) for wanted (doc_id, passage, side, from, to); shingles as 32 bits."""
+    """(doc_id, from, to, begin, shingles): the shingles of each wanted span, and the place of the first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
-            w = Words(chunk["text"])
-            s, at = w.ngrams(SHINGLE)
-            doc = w.doc[at]
-            ends = np.searchsorted(doc, np.arange(w.n_docs), "right")
-            begins = np.searchsorted(doc, np.arange(w.n_docs), "left")
-            lo = np.maximum(chunk["from"].to_numpy(), 0)
-            a = np.minimum(begins + lo, ends)
-            b = np.maximum(np.minimum(begins + chunk["to"].to_numpy() + 1, ends), a)
-            size = b - a
-            offsets = np.concatenate([[0], np.cumsum(size)])
-            take = np.repeat(a - offsets[:-1], size) + np.arange(offsets[-1])
-            values = pa.array((s[take] >> U(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([chunk["passage"], chunk["side"], pa.array(lo), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], names=["passage", "side", "begin", "shingles"])
-
-    return docs.join(wanted, "doc_id").select("passage", "side", "from", "to", "text").mapInArrow(work, "passage long, side int, begin long, shingles array<int>")
+            s, row, a, b, begin = _cuts(chunk)
+            offsets = np.concatenate([[0], np.cumsum(b - a)])
+            take = np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])
+            shingles = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(s[take])))
+            yield pa.RecordBatch.from_arrays([*_labelled(chunk, row), pa.array(a - begin), shingles], names=["doc_id", "from", "to", "begin", "shingles"])
+
+    return _spans(docs, wanted).mapInArrow(work, "doc_id long, `from` long, `to` long, begin long, shingles array<bigint>")
 
 
 def same_passages(a: np.ndarray, b: np.ndarray, low: int, high: int, t: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
@@ -405,77 +508,79 @@ def _judged(a: np.ndarray, b: np.ndarray, part: np.ndarray, at: np.ndarray) -> t
     return x0, x1, y0, y1, common / (len(x) + len(y) - common)
 
 
+_PASSAGE = ["doc_id", "start", "n_words", "source_id", "source_start", "similarity"]
+
+
+def _of_source(found: DataFrame, counted: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """found with the columns of its source span (a, a_from, a_to) in table (doc_id, from, to); a source may serve any number of rows.
+
+    counted: the same rows, or more, to count by source.
+    """
+    source = counted.groupBy("a", "a_from", "a_to").agg(F.count(F.lit(1)).alias("n"))
+    own = table.select(F.col("doc_id").alias("a"), F.col("from").alias("a_from"), F.col("to").alias("a_to"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    return spread_join(found, saved(source.join(own, ["a", "a_from", "a_to"])), ["a", "a_from", "a_to"], ["b", "from", "to"])
+
+
 def verified(text: DataFrame, found: DataFrame) -> DataFrame:
-    """The passages (columns of repeated_passages) among candidates, by their shingles."""
-    found = saved(found.withColumn("passage", F.monotonically_increasing_id()))
-    wanted = found.select(F.col("b").alias("doc_id"), "passage", F.lit(1).alias("side"), "from", "to").unionByName(
-        found.select(F.col("a").alias("doc_id"), "passage", F.lit(0).alias("side"), (F.col("from") - F.col("high") - SHIFT).alias("from"), (F.col("to") - F.col("low") + SHIFT).alias("to"))
-    )
+    """The passages (columns of repeated_passages) among candidates, by their shingles.
+
+    A candidate whose two sides are the same, place by place, shows by hashes of the two spans;
+    for the others the shingles of both sides are brought together.
+    """
+    found = saved(found.distinct())
+    wanted = lambda df: df.select(F.col("b").alias("doc_id"), "from", "to").unionByName(df.select(F.col("a").alias("doc_id"), F.col("a_from").alias("from"), F.col("a_to").alias("to")))
+    of_b = lambda table, *columns: table.select(F.col("doc_id").alias("b"), "from", "to", *columns)
+
+    still = found.where("low = high").withColumns({"a_from": F.col("from") - F.col("high"), "a_to": F.col("to") - F.col("high")})
+    hashes = saved(span_hashes(text, wanted(still)))
+    same = _of_source(still.join(of_b(hashes, "h1", "h2"), ["b", "from", "to"]), still, hashes, ["h1", "h2"]).where("h1 = a_h1 AND h2 = a_h2")
+    same = saved(same.select("b", "a", "from", "to", "low", "high", "a_from"))
+
+    rest = found.join(same.drop("a_from"), ["b", "a", "from", "to", "low", "high"], "left_anti")
+    down, up = F.floor((F.col("from") - F.col("high") - SHIFT) / ROUND) * ROUND, F.ceil((F.col("to") - F.col("low") + SHIFT) / ROUND) * ROUND
+    rest = saved(rest.withColumns({"a_from": F.greatest(down, F.lit(0).cast("long")), "a_to": up}))
+    parts = saved(slices(text, wanted(rest)))
+    pairs = _of_source(rest.join(of_b(parts, "begin", "shingles"), ["b", "from", "to"]), rest, parts, ["begin", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["passage", "start", "n_words", "source_start", "similarity"])
-
-        for t in groups(batches, ["passage"]):
-            sides = dict(zip(t["side"].to_pylist(), range(t.num_rows), strict=True))
-            if len(sides) < 2:
-                continue
-            a, b = (np.asarray(t["shingles"][sides[k]].values, np.int32) for k in (0, 1))
-            at_a, at_b = (t["begin"][sides[k]].as_py() for k in (0, 1))
-            low, high = (t[c][0].as_py() - (at_b - at_a) for c in ("low", "high"))
-            for x0, x1, y0, _, s in same_passages(a, b, low, high, PASSAGE - SHINGLE + 1):
-                rows.append((t["passage"][0].as_py(), at_b + x0, x1 - x0 + SHINGLE, at_a + y0, s))
-            if len(rows) > 10_000:
-                yield out()
-                rows.clear()
-        if rows:
-            yield out()
-
-    parts = slices(text, wanted).join(found.select("passage", "low", "high"), "passage")
-    dealt = parts.repartition("passage").sortWithinPartitions("passage", "side")
-    checked = dealt.select("passage", "side", "begin", "shingles", "low", "high").mapInArrow(verify, "passage long, start long, n_words long, source_start long, similarity double")
-    return (
-        checked.join(found.select("passage", F.col("b").alias("doc_id"), F.col("a").alias("source_id")), "passage")
-        .select("doc_id", "start", "n_words", "source_id", "source_start", "similarity")
-        .distinct()
-    )
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
+        for batch in batches:
+            rows = []
+            numbers = zip(*(batch[c].to_pylist() for c in ("b", "a", "low", "high", "begin", "a_begin")), strict=True)
+            for k, (b, a, low, high, at_b, at_a) in enumerate(numbers):
+                of = [batch[c][k].values.to_numpy(zero_copy_only=False) for c in ("a_shingles", "shingles")]
+                for x0, x1, y0, _, s in same_passages(*of, low - (at_b - at_a), high - (at_b - at_a), PASSAGE - SHINGLE + 1):
+                    rows.append((b, at_b + x0, x1 - x0 + SHINGLE, a, at_a + y0, s))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=_PASSAGE)
+
+    near = pairs.select("b", "a", "low", "high", "begin", "a_begin", "shingles", "a_shingles").mapInArrow(verify, "doc_id long, start long, n_words long, source_id long, source_start long, similarity double")
+    exact = same.select(F.col("b").alias("doc_id"), F.col("from").alias("start"), (F.col("to") - F.col("from") + SHINGLE).alias("n_words"), F.col("a").alias("source_id"), F.col("a_from").alias("source_start"), F.lit(1.0).alias("similarity"))
+    return exact.unionByName(near).distinct()
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, enough: int = ENOUGH, sample: int = HOT_SAMPLE, hot: int = HOT) -> DataFrame:
     """Passages of PASSAGE words or more that stand in a document with a smaller id too.
 
-    Windows of a key are tied to its first ones (see _tied). Those that lie in no passage found
-    so far are tied to more of their key that share UNBROKEN shingles in a row, round by round,
-    until each has a verified source or no partner is left; hash functions may agree on a pair over several rounds.
+    Every run of PASSAGE words that a smaller id has is found, with the smallest id that has it
+    as source. Near passages are found where enough hash functions agree with the first holder
+    of a run of some length around the smallest hash. sample and hot decide only how rows of
+    common passages are dealt (see hot_keys), not what is found.
 
     One row per passage: doc_id, start and n_words (words from 0), source_id, source_start,
     similarity (Jaccard of shingle sets, SIMILARITY or more; exact runs have 1). Words stand
     between blanks, A-Z lower-cased. A passage that many documents share is reported in each
     of them but the first, with a source or a few, not with every other document; a word
-    beside it that some further document happens to share is not added.
-
-    Null or empty texts, and those of fewer words than a passage, have none. Rows that repeat
-    an id are one document; rows with a null id are left out, as are other columns; an empty
-    table gives an empty table. Repeats inside a document don't count.
+    beside it that some further document happens to share is not added. Of places of a source
+    that tie, the one nearest to the expected place counts, then the first.
+
+    Null or empty texts, and those of fewer words than a passage, have none. A very long text
+    is a chunk of its own; places are counted up to 2^39. Rows that repeat an id are one
+    document (with different texts, each of them is searched and held against others);
+    rows with a null id are left out, as are other columns; an empty table gives an empty
+    table. Repeats inside a document don't count.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = saved(window_links(text, hashes))
-    links = rows.where("link").select(*_LINK)
-    windows = rows.where("NOT link").select(*(F.col(c).alias(n) for c, n in zip(_LINK, ("key", "id", "at", "rank", "left", "right"), strict=True)))
-    more = passages = saved(verified(text, candidates(links, enough)))
-    open_, low, high = windows, 1, 1 + WIDER
-    while True:
-        open_ = saved(outside(open_, more).where(F.col("rank") > low))
-        if open_.isEmpty():
-            return passages
-        tied = saved(next_links(open_, windows, low, high))
-        links = links.unionByName(tied)
-        again = links.join(tied.select("b", "a").distinct(), ["b", "a"], "left_semi").select(*_LINK)
-        more = saved(verified(text, candidates(again, enough)))
-        passages = passages.unionByName(more).distinct()
-        low, high = high, 1 + WIDER * high
+    return verified(text, candidates(window_links(text, hashes, enough, hot_keys(text, hashes, sample, hot)), enough))
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once; texts are long, and Spark's default would hold tens of MB on both sides.
 BATCH_ROWS = "1000"
@@ -23,13 +24,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows from files in spark.checkpoint.dir, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir that all executors see; it goes when the session's JVM ends.
+
+    A folder of this machine is taken only where the setting is missing and the master local,
+    as in tests.
+    """
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        home = tempfile.mkdtemp(prefix="saved-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return str(path.toString())
+
+
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows from Parquet files in a shared folder, so that a lost executor costs no recomputation.
+
+    Unlike a checkpoint, the files tell the planner how large they are.
+    """
+    path = path or shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key with this share of the rows, or more, is dealt in parts of about that share each.
+SHARE = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], n: str = "n") -> DataFrame:
+    """rows joined with table, which has each key once and the number n of its rows, however many rows one key has.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    A key with a thousandth of the rows or more is dealt, by the columns `by`, in as many parts
+    as it has thousandths, and its row of the table goes to each part. At most SHARE keys can
+    be so common, so that many keys are broadcast and twice as many rows of the table copied,
+    whatever the input. Both sides are read more than once: save them where that is dear.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    r = table.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
+    total = r["total"] or 0
+    if (r["most"] or 0) * SHARE < total:
+        return rows.join(table, keys)
+    parts = F.ceil(F.col(n) * SHARE / F.lit(float(max(total, 1)))).cast("int")
+    hot = table.where(F.col(n) * SHARE >= total).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = F.when(F.col(n) * SHARE >= total, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(table.withColumn("_part", F.explode(copies)), [*keys, "_part"]).drop("_part")

@@ -43,7 +43,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of them."""
     if len(_powers[0]) < n:
         size = max(n, 2 * len(_powers[0]), CHUNK + 1)
@@ -129,7 +129,7 @@ class Words:
         """64-bit hashes of byte ranges."""
         with np.errstate(over="ignore"):
             n = len(self.data)
-            up, down = _grown(n + 1)
+            up, down = powers(n + 1)
             if self._sums is None:
                 self._sums = np.zeros(n + 1, U)
                 np.cumsum((self.data.astype(U) + U(1)) * up[:n], out=self._sums[1:])
