@@ -8,8 +8,8 @@ Texts with equal shingle sets are one class and count once from there on. Classe
 a band bucket are tied to one of the bucket's members, which gives loose clusters without
 listing pairs; inside a cluster, sets are compared in blocks of bounded size by matrix
 products, and only a spanning forest of the true links leaves a block. A cluster larger than
-a block first compares all its blocks with one; what isn't one component by then meets again
-where it shares one of its rarest shingles, without which no two sets are similar enough.
+a block first compares all its blocks with one; what isn't one component by then is put into
+closer clusters by its rarest shingles, one of which any two sets similar enough share.
 """
 
 from __future__ import annotations
@@ -239,7 +239,7 @@ def near_duplicates(
 
     No bucket, cluster or group is capped. A cluster that is larger than a block first
     compares every block with the first one; the sets that then are in different components
-    are compared wherever they share one of their rarest shingles (see _rest).
+    are compared where they share their rarest shingles, or chains of those (see _rest).
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = saved(fingerprints(text, bands or bands_for(percent, rows), rows, n))
@@ -280,29 +280,49 @@ def near_duplicates(
     )
 
 
+def _closer(sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(id, k1): the sets of clusters (id, k1, c) that may still be linked over the components c, in new clusters.
+
+    Two sets with percent in common share one of the first |set| - percent |set| + 1 shingles
+    of each in any common order; here the rarest of the cluster come first. Sets that share
+    such a shingle, where more than one component has it, are in one new cluster. Text from
+    one template shares common shingles and has rare ones of its own, so it falls apart.
+    """
+    rows = own.join(sets, "id").select("k1", "id", "c", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    common = saved(rows.groupBy("k1", "s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")))
+    ranked = spread_join(rows, common, ["k1", "s"], ["id"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "s")))
+    least = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100) - F.lit(1e-9)) + 1
+    first = saved(ranked.where((F.col("rank") <= least) & (F.col("lo") != F.col("hi"))).select("k1", "s", "id", "c"))
+    lists = first.groupBy("k1", "s").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    tied = spread_join(first.select("k1", "s", "id"), saved(lists.select("k1", "s", "pivot", "n")), ["k1", "s"], ["id"])
+    return connected_components(tied.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component", "k1")
+
+
 def _rest(sets: DataFrame, large: DataFrame, found: DataFrame, percent: int, block_rows: int, block_shingles: int) -> DataFrame:
     """The links in large clusters (id, k1) between what `found` has left in different components.
 
-    Two sets with percent in common share one of the first |set| - percent |set| + 1 shingles
-    of each in any common order; here the rarest of the cluster come first. So each such
-    shingle has a list of the sets that hold it so, and lists of more than one component are
-    compared, in blocks if they are long. Text from one template shares its common shingles
-    and has rare ones of its own, so its lists are short.
+    Clusters are drawn closer (see _closer); then all pairs of their blocks are compared but
+    those inside one component.
     """
     done = connected_components(found)
     own = saved(large.join(done, "id", "left").select("id", "k1", F.coalesce("component", "id").alias("c")))
-    held = own.join(sets, "id").withColumn("size", F.size("shingles"))
-    rows = held.select("k1", "id", "c", "size", F.explode("shingles").alias("s"))
-    common = saved(rows.groupBy("k1", "s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")))
-    ranked = spread_join(rows, common, ["k1", "s"], ["id"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "s")))
-    first = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100) - F.lit(1e-9)) + 1).where("lo <> hi")
-    first = saved(first.select(F.xxhash64("k1", "s").alias("k1"), "id", "c", "size"))
-    lists = first.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    lists = saved(lists.select("k1", "n", F.ceil(F.greatest(F.col("n") / block_rows, F.col("s") / block_shingles)).alias("blocks")))
-    placed = saved(spread_join(first.select("k1", "id"), lists, ["k1"], ["id"]).select("id", "k1", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
-    number = lambda low: F.explode(F.sequence(low, F.col("blocks") - 1))
-    pairs = lists.withColumn("k2", number(F.lit(0).cast("long"))).withColumn("k3", number(F.col("k2"))).select(F.col("k1").alias("p1"), "k2", "k3")
-    return _compare(sets, placed, pairs, percent)
+    close = _closer(sets, own, percent)
+    sized = saved(close.join(own.select("id", "c"), "id").join(sets.select("id", F.size("shingles").cast("long").alias("size")), "id"))
+    many = F.ceil(F.greatest(F.col("n") / block_rows, F.col("s") / block_shingles))
+    sums = (F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    # a component of some size has blocks of its own; the others share blocks (`of` is null)
+    within = saved(sized.groupBy("k1", "c").agg(*sums).select("k1", "c", "n", (F.col("n") >= block_rows // 4).alias("own"), many.alias("blocks")))
+    seen = saved(spread_join(sized, within, ["k1", "c"], ["id"]).select("id", "k1", "c", "size", "own", "blocks"))
+    shared = saved(seen.where("NOT own").groupBy("k1").agg(*sums).select("k1", "n", many.alias("blocks")))
+    number = lambda: F.xxhash64(F.coalesce("of", F.lit(-1).cast("long")), F.col("of").isNull(), "part")
+    alone = seen.where("own").select("id", "k1", F.col("c").alias("of"), "blocks")
+    mixed = spread_join(seen.where("NOT own").select("id", "k1"), shared, ["k1"], ["id"]).select("id", "k1", F.lit(None).cast("long").alias("of"), "blocks")
+    placed = saved(alone.unionByName(mixed).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "k1", number().alias("block")))
+    blocks = within.where("own").select("k1", F.col("c").alias("of"), "blocks").unionByName(shared.select("k1", F.lit(None).cast("long").alias("of"), "blocks"))
+    listed = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("k1", "of", number().alias("block"))
+    other = listed.select(F.col("k1").alias("p1"), F.col("of").alias("of3"), F.col("block").alias("k3"))
+    pairs = listed.join(other, (F.col("k1") == F.col("p1")) & (F.col("block") <= F.col("k3")) & (F.col("of").isNull() | F.col("of3").isNull() | (F.col("of") != F.col("of3"))))
+    return _compare(sets, placed, pairs.select("p1", F.col("block").alias("k2"), "k3"), percent)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
