@@ -99,31 +99,69 @@ def test_dual_coordinate_descent_is_optimal():
         assert primal(w + rng.normal(0, 0.05, 13)) > least - 1e-2
 
 
+def test_classifier_scores_against_brute_force():
+    """Log-count ratios by counting, and the dual by very many small steps of projected gradient."""
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 2, 40)
+    rows = [np.flatnonzero(rng.random(15) < np.where(np.arange(15) < 5, 0.2 + 0.5 * y, 0.4)) for y in labels]
+    hold = np.array([[f in r for f in range(15)] for r in rows], float)
+    model = nbsvm.fit_arrays(rows, np.arange(15) * 7, hold[labels == 1].sum(0), hold.sum(0), labels, 0.4)
+    n1, n0 = (labels == 1).sum(), (labels == 0).sum()
+    ratio = np.array([np.log((sum(hold[i, f] for i in range(40) if labels[i]) + 1) / (n1 + 2)) - np.log((sum(hold[i, f] for i in range(40) if not labels[i]) + 1) / (n0 + 2)) for f in range(15)])
+    x = hold * ratio
+    x = np.hstack([x / max(1.0, (x**2).sum(1).mean()) ** 0.5, np.ones((40, 1))])
+    y, cost = np.where(labels == 1, 1, -1), 40 / (2 * np.where(labels == 1, n1, n0))
+    q, alpha = (y[:, None] * x) @ (y[:, None] * x).T, np.zeros(40)
+    top = np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / top, 0, cost)
+    margins = x @ (x.T @ (alpha * y))
+    doc = np.repeat(np.arange(40), [len(r) for r in rows])
+    got = model.margins(doc, (np.concatenate(rows) * 7).astype(np.uint64), 40)
+    assert got == pytest.approx(margins, abs=2e-2)
+    assert model.scores(got) == pytest.approx(1 / (1 + np.exp(-model.slope * margins - model.intercept)), abs=2e-2)
+
+
 # ---- toxicity
 
 
+def index_of(weights, idf, labels, drawn=None):
+    rows = [(np.flatnonzero(w), w[w > 0]) for w in weights]
+    return toxicity.Index(np.arange(len(idf)), idf, *toxicity.inverted(rows, len(idf)), labels, np.arange(len(labels)), 0.1, drawn)
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(9)
-    weights = np.where(rng.random((300, 50)) < 0.1, rng.random((300, 50)), 0).astype(np.float32)
+    weights = np.where(rng.random((300, 50)) < 0.1, rng.random((300, 50)), 0)
     weights[:, 0] += 0.01
     weights /= np.linalg.norm(weights, axis=1, keepdims=True)
     idf = rng.uniform(1, 3, 50)
-    blocks = [weights[b : b + toxicity.BLOCK].max(axis=0) for b in range(0, 300, toxicity.BLOCK)]
-    index = toxicity.Index(np.arange(50), idf, weights, np.array(blocks), rng.integers(0, 2, 300), np.arange(300), 0.1)
+    index = index_of(weights, idf, rng.integers(0, 2, 300))
     for _ in range(100):
         terms = np.sort(rng.choice(50, rng.integers(1, 8), replace=False))
-        q = np.zeros(50, np.float32)
+        q = np.zeros(50)
         q[terms] = idf[terms]
         cosine = weights @ (q / np.linalg.norm(q))
         i, s = toxicity.nearest(index, terms)
-        assert s == pytest.approx(np.sort(cosine[cosine > 0])[::-1][: toxicity.NEIGHBOURS], abs=1e-5)
+        assert s == pytest.approx(np.sort(cosine[cosine > 0])[::-1][: toxicity.NEIGHBOURS], abs=1e-9)
+        assert toxicity.nearest(index, terms, without=int(i[0]))[0].tolist() == np.lexsort((np.arange(300), -np.where(np.arange(300) == i[0], 0, cosine)))[: len(i)].tolist()
+
+
+def test_blocks_below_the_kth_stay_shut(monkeypatch):
+    weights = np.eye(3)[np.repeat([0, 1], [64, 640])] + 0.01 * np.eye(3)[2]
+    weights /= np.linalg.norm(weights, axis=1, keepdims=True)
+    index = index_of(weights, np.ones(3), np.zeros(704, np.int64))
+    seen = []
+    ranges = toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda a, b: (seen.append(int((b - a).sum())), ranges(a, b))[1])
+    assert toxicity.nearest(index, np.array([0, 2]))[0].tolist() == list(range(16))
+    assert sum(seen[1:]) == 128  # postings of one block of eleven
 
 
 def test_terms_count_as_often_as_they_come():
     d, t, c, n = toxicity.chunk_terms(pa.array(["bad good bad", None, "bad"]))
     assert n == 3 and d.tolist() == [0, 0, 2] and sorted(c[:2].tolist()) == [1, 2] and c[2] == 1
-    weights = np.array([[1, 0], [0, 1]], np.float32)
-    index = toxicity.Index(np.arange(2), np.array([1.0, 2.0]), weights, weights.max(axis=0, keepdims=True), np.array([0, 1]), np.arange(2), 0.1)
+    index = index_of(np.eye(2), np.array([1.0, 2.0]), np.array([0, 1]))
     i, s = toxicity.nearest(index, np.arange(2), np.array([6, 4]))
     assert i.tolist() == [1, 0] and s == pytest.approx([0.8, 0.6])
     assert toxicity.nearest(index, np.arange(2), np.array([10, 1]))[0].tolist() == [0, 1]
@@ -132,13 +170,45 @@ def test_terms_count_as_often_as_they_come():
 def test_votes_do_not_follow_the_share_drawn():
     """Of 1:9 rows all are drawn, or 1:1; the neighbourhood holds classes as drawn."""
     def score(n1, n0, drawn):
-        labels = np.repeat([1, 0], [n1, n0])
-        index = toxicity.Index(np.empty(0), np.empty(0), np.empty((0, 0)), np.empty((0, 0)), labels, np.arange(n1 + n0), 0.1, drawn)
-        return toxicity.vote(index, np.arange(n1 + n0), np.ones(n1 + n0, np.float32))
+        index = index_of(np.ones((n1 + n0, 1)), np.ones(1), np.repeat([1, 0], [n1, n0]), drawn)
+        return toxicity.vote(index, np.arange(n1 + n0), np.ones(n1 + n0))
 
     assert score(1, 9, 0.1) == pytest.approx(score(5, 5, 0.5)) == pytest.approx(0.1)
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_toxicity_scores_against_brute_force(spark, whole):
+    """From terms to scores, with dictionaries and every pair of a text and an example."""
+    rng = np.random.default_rng(12)
+    plain = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("lan", "mer", "nit", "pol", "ras")]
+    texts = {}
+    for k in range(240):
+        t = list(rng.choice(plain, 25)) + (list(rng.choice(["vorxile", "vorxant", "quagg"], 3)) if k % 4 == 0 else [])
+        texts[k] = " ".join(rng.permutation(t))
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(240)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(frame(spark, list(texts.items())), labels, whole=whole)
+    known = set(index.vocabulary.tolist())
+    bags = {}
+    for k, t in texts.items():
+        _, term, count, _ = toxicity.chunk_terms(pa.array([t]))
+        bags[k] = {x: int(c) for x, c in zip(term.view(np.int64).tolist(), count, strict=True) if x in known}
+    df = collections.Counter(x for b in bags.values() for x in b)
+    unit = {}
+    for k, b in bags.items():
+        w = {x: c * (np.log((len(texts) + 1) / (df[x] + 1)) + 1) for x, c in b.items()}
+        unit[k] = {x: v / sum(y * y for y in w.values()) ** 0.5 for x, v in w.items()}
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(frame(spark, list(texts.items())), index).collect()}
+    place = {int(i): n for n, i in enumerate(index.ids)}
+    for k, u in unit.items():
+        near = sorted(((-sum(v * unit[i].get(x, 0) for x, v in u.items()), n, i) for i, n in place.items()))[: toxicity.NEIGHBOURS]
+        near = [(-s, i) for s, _, i in near if s < 0]
+        one = sum(s for s, i in near if i % 4 == 0) * index.prior / index.drawn
+        zero = sum(s for s, i in near if i % 4) * (1 - index.prior) / (1 - index.drawn)
+        total = sum(s for s, _ in near)
+        vote = ((total * one / (one + zero) if total else 0) + toxicity.PRIOR_WEIGHT * index.prior) / (total + toxicity.PRIOR_WEIGHT)
+        assert got[k]["score"] == pytest.approx(1 / (1 + np.exp(-index.curve[0] * vote - index.curve[1])), abs=1e-9)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = np.random.default_rng(2)
     plain = [f"{a}{b}" for a in ("ba", "ce", "di", "fo") for b in ("lan", "mer", "nit", "pol", "ras")]
@@ -218,3 +288,42 @@ def test_em_finds_accurate_rules():
     posterior, found = quality_rules.expectation_maximisation(patterns, n)
     assert np.mean((posterior[which.ravel()] >= 0.5) == good) > 0.97
     assert found["accuracy"][0] > found["accuracy"][3]
+
+
+def test_posterior_and_kept_against_brute_force(spark):
+    """EM over single documents in plain Python, not over counted patterns."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"word{k}" for k in range(60)], int(n))) for n in rng.integers(5, 90, 40)]
+    texts += ["# $ " * 40, "buy now " * 30, " ".join(f"LOUD{k}" for k in range(40)), "a\n" * 30, "", "longwordlongword " * 25]
+    df = frame(spark, [*enumerate(texts), (99, None)])
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    rules = quality_rules.votes()
+    votes = {r["doc_id"]: [r[k] for k in rules] for r in quality_rules.text_counts(df).withColumns(rules).collect()}
+    good = {i: 0.1 if min(v) < 0 else 0.9 for i, v in votes.items()}
+    pull = quality_rules.PULL * len(votes) + 1
+    for _ in range(100):
+        chance = []
+        for sign, trust in ((1, quality_rules.TRUST[0]), (0, quality_rules.TRUST[1])):
+            table = []
+            for k in range(len(rules)):
+                c = [pull * t for t in trust]
+                for i, v in votes.items():
+                    c[v[k] + 1] += good[i] if sign else 1 - good[i]
+                table.append([x / sum(c) for x in c])
+            chance.append(table)
+        prior = (sum(good.values()) + 1) / (len(good) + 2)
+        new = {}
+        for i, v in votes.items():
+            a, b = prior, 1 - prior
+            for k, x in enumerate(v):
+                a, b = a * chance[0][k][x + 1], b * chance[1][k][x + 1]
+            new[i] = a / (a + b)
+        moved = max(abs(new[i] - good[i]) for i in good)
+        good = new
+        if moved < 1e-9:
+            break
+    for i, r in got.items():
+        n, _, _, _, again = brute_counts(texts[i] if i != 99 else None)
+        failed = n < 20 or 100 * again > 30 * n
+        assert r["posterior"] == pytest.approx(good[i], abs=1e-6)
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and good[i] >= 0.5)

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitals.llm.textkernel import Words, chunks, distinct, mix, signed
-from vitals.llm.toxicity import base_rate, labelled_sample
+from vitals.llm.tables import saved
+from vitals.llm.toxicity import base_rate, calibrate, labelled_sample
 
 #: Labelled rows per class to fit on at most.
-EXAMPLES = 750
-#: N-grams in the model at most.
-FEATURES = 1 << 15
+EXAMPLES = 2000
+#: Examples in which an n-gram stands at least; from fewer, its log-count ratio says nothing.
 MIN_DOCS = 4
 
 _byte = np.arange(256)
@@ -131,96 +131,67 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.nd
     return w
 
 
-def calibrate(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve through margins, by Newton steps on smoothed targets."""
-    n1, n0 = weight[y > 0].sum(), weight[y <= 0].sum()
-    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, float(np.log((n1 + 1) / (n0 + 1)))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -60, 60)))
-        g = weight * (p - target)
-        h = weight * np.maximum(p * (1 - p), 1e-9)
-        m = np.array([[(h * margins * margins).sum() + 1e-6, (h * margins).sum()], [(h * margins).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(m, [(g * margins).sum(), g.sum()])
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(a, 1e-3)), float(b)
-
-
-def _numbered(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams of MIN_DOCS examples or more, and the number of each in turn (-1 for the others)."""
-    every = np.concatenate(grams)
-    every.sort()
-    starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-    features = every[starts[np.diff(np.append(starts, len(every))) >= MIN_DOCS]]
-    del every
-    which = np.full(sum(len(g) for g in grams), -1, np.int32)
-    at = 0
-    for g in grams:
-        i = np.minimum(np.searchsorted(features, g), max(len(features) - 1, 0))
-        if len(features):
-            which[at : at + len(g)] = np.where(features[i] == g, i, -1)
-        at += len(g)
-    return features, which
-
-
-def fit_arrays(grams: list[np.ndarray], labels: np.ndarray, prior: float, c: float = 1.0) -> Model:
-    """Fit on n-grams of examples; without both classes every score is the prior."""
+def fit_arrays(rows: list[np.ndarray], features: np.ndarray, good: np.ndarray, all_: np.ndarray, labels: np.ndarray, prior: float, c: float = 1.0) -> Model:
+    """Fit on examples: rows of feature numbers, the features' hashes, and how many examples hold each (good ones, all).
+
+    Without both classes every score is the prior.
+    """
     none = Model(np.empty(0, np.int64), np.empty(0), 0.0, 1.0, float(np.log(prior / (1 - prior))), prior)
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return none
-    features, which = _numbered(grams)
-    good = np.repeat(labels == 1, [len(g) for g in grams])
-    known = which >= 0
-    p = np.bincount(which[good & known], minlength=len(features)).astype(float)
-    q = np.bincount(which[~good & known], minlength=len(features)).astype(float)
-    ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
-    chosen = np.flatnonzero(p + q >= MIN_DOCS)
-    chosen = np.sort(chosen[np.argsort(-np.abs(ratio[chosen]) * np.sqrt((p + q)[chosen]), kind="stable")[:FEATURES]])
-    place = np.full(len(features) + 1, -1)  # the last is for n-grams that aren't features
-    place[chosen] = np.arange(len(chosen))
-    ends = np.cumsum([len(g) for g in grams])
-    rows = []
-    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        r = place[which[a:b]]
-        rows.append(r[r >= 0])
+    ratio = np.log((good + 1) / (n1 + 2)) - np.log((all_ - good + 1) / (n0 + 2))
     y = np.where(labels == 1, 1, -1)
     cost = np.where(labels == 1, c * len(y) / (2 * n1), c * len(y) / (2 * n0))
     # every second row calibrates what the others teach, and the other way about
     half = np.arange(len(y)) % 2 == 0
     margins = np.zeros(len(y))
-    values = ratio[chosen]
-    scale = 1 / np.sqrt(max(1.0, float(np.mean([(values[r] ** 2).sum() for r in rows]))))
-    values = values * scale
+    scale = 1 / np.sqrt(max(1.0, float(np.mean([(ratio[r] ** 2).sum() for r in rows]))))
+    values = ratio * scale
     for part in (half, ~half):
         k = np.flatnonzero(part)
         if len({*y[k].tolist()}) < 2:
             return none
-        w = dual_coordinate_descent([rows[i] for i in k], values, y[k], cost[k], len(chosen))
+        w = dual_coordinate_descent([rows[i] for i in k], values, y[k], cost[k], len(features))
         for i in np.flatnonzero(~part):
             margins[i] = values[rows[i]] @ w[rows[i]] + w[-1]
     weight = np.where(labels == 1, prior / n1, (1 - prior) / n0) * len(y)
     slope, intercept = calibrate(margins, y, weight)
-    w = dual_coordinate_descent(rows, values, y, cost, len(chosen))
-    return Model(features[chosen], values * w[:-1], float(w[-1]), slope, intercept, prior)
+    w = dual_coordinate_descent(rows, values, y, cost, len(features))
+    return Model(features, values * w[:-1], float(w[-1]), slope, intercept, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, per_class: int = EXAMPLES) -> Model:
-    """Fit on a bounded sample of the labelled rows outside the held-out fold."""
-    sample = sample_features(labelled_sample(docs, labels, label, folds, held, per_class)).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    grams, y = [np.asarray(g, np.int64) for g in sample.pop("grams")], sample["label"].to_numpy(np.int64)
-    return fit_arrays(grams, y, base_rate(labels, label, folds, held))
+    """Fit on a bounded sample of the labelled rows outside the held-out fold.
+
+    N-grams of the sample are counted by class in Spark; only those of MIN_DOCS examples or
+    more, and the examples as their numbers, come to the driver.
+    """
+    sample = saved(sample_features(labelled_sample(docs, labels, label, folds, held, per_class)).dropDuplicates(["doc_id"]))
+    counts = sample.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("label").cast("long").alias("good"), F.count(F.lit(1)).alias("n"))
+    known = counts.where(F.col("n") >= MIN_DOCS).toPandas().sort_values("gram")
+    features = known["gram"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(features)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                g = np.sort(batch["grams"][k].values.to_numpy(zero_copy_only=False))
+                at = np.flatnonzero(np.isin(shared.value, g, assume_unique=True)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(k, 1), batch["label"].slice(k, 1), pa.array([at], pa.list_(pa.int32()))], names=["doc_id", "label", "features"])
+
+    rows = sample.select("doc_id", "label", "grams").mapInArrow(numbered, "doc_id long, label int, features array<int>").toPandas().sort_values("doc_id")
+    return fit_arrays([np.asarray(r, np.int64) for r in rows["features"]], features, known["good"].to_numpy(float), known["n"].to_numpy(float), rows["label"].to_numpy(np.int64), base_rate(labels, label, folds, held))
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, margin, score (0 to 1).
 
-    A null or empty text has no n-gram and takes the score of the bias alone; repeated rows
-    score alike; a null id stays null; other columns are left out; an empty table gives an
-    empty table, and without labels of both classes every score is the base rate. A map
-    without a shuffle; the model goes to each task once and is bounded by FEATURES.
+    A null or empty text has no n-gram and takes the score of the bias alone; a very long text
+    is a chunk of its own; repeated rows and ties score alike; a null id stays null; other
+    columns are left out; an empty table gives an empty table, and without labels of both
+    classes every score is the base rate. A map without a shuffle; the model goes to each task
+    once, and holds n-grams of EXAMPLES texts of each class.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

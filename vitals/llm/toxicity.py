@@ -1,10 +1,12 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the first four to six bytes of longer words (lower-cased), so that
 forms of a stem which no example holds still match. The vocabulary keeps the terms that a
-bounded sample of labelled rows ties to a class, document frequencies are counted over all
-documents, and the sample is the index. Each document takes its k nearest examples; their
-labels vote, weighted by cosine.
+bounded sample of labelled rows ties to a class (or all of them), document frequencies are
+counted over all documents, and the sample is the index: for each term the examples that
+hold it, in blocks with their largest weight. Each document takes its k nearest examples;
+their labels vote, weighted by cosine, and what a vote is worth is learnt from the votes that
+the examples get from one another.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from vitals.llm.textkernel import ALNUM_WORDS, Words, chunks, distinct, mix, sig
 
 #: Examples per class in the index at most.
 EXAMPLES = 1024
-#: Terms in the vocabulary at most.
-TERMS = 4096
 NEIGHBOURS = 16
 #: Weight of the prior against the neighbours' cosines.
 PRIOR_WEIGHT = 1.5
@@ -90,18 +90,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return rows.join(F.broadcast(picked.select("doc_id", "label")), "doc_id")
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges in a row, and the range of each."""
+    n = last - first
+    which = np.repeat(np.arange(len(n)), n)
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(which)), which
+
+
 @dataclass
 class Index:
     """The fitted examples: everything that a scoring task needs, of bounded size."""
 
     vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray
-    weights: np.ndarray  # examples x terms, rows of length 1 (or 0), in blocks of like examples
-    tops: np.ndarray  # blocks x terms: the largest weight in a block
+    example: np.ndarray  # postings by term, then example
+    weight: np.ndarray  # of each posting; those of an example have length 1
+    entry: np.ndarray  # by term and one more: where its blocks begin in the next four
+    block: np.ndarray  # blocks of BLOCK examples in which a term stands
+    top: np.ndarray  # its largest weight there
+    begin: np.ndarray  # and its postings
+    end: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     prior: float
     drawn: float | None = None  # how common label 1 was among the rows drawn, before any were left out
+    curve: tuple[float, float] | None = None  # slope and intercept from votes to chances
+
+
+def inverted(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> tuple[np.ndarray, ...]:
+    """example, weight, entry, block, top, begin, end of an index over rows of (terms, weights)."""
+    term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0, np.int64)
+    weight = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
+    example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]).astype(np.int64)
+    order = np.lexsort((example, term))
+    term, weight, example = term[order], weight[order], example[order]
+    if not len(term):
+        return example, weight, np.zeros(n_terms + 1, np.int64), *(np.empty(0, np.int64),), np.empty(0), *(np.empty(0, np.int64),) * 2
+    of = example // BLOCK
+    begin = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])))
+    end = np.append(begin[1:], len(term))
+    return example, weight, np.searchsorted(term[begin], np.arange(n_terms + 1)), of[begin], np.maximum.reduceat(weight, begin), begin, end
 
 
 def no_near_copies(sketches: list[np.ndarray]) -> np.ndarray:
@@ -122,8 +150,10 @@ def no_near_copies(sketches: list[np.ndarray]) -> np.ndarray:
     return np.array(left, np.int64)
 
 
-def choose_terms(terms: list[np.ndarray], labels: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """Sorted hashes of the terms that the sample ties to a class: by odds and by a z-score."""
+def choose_terms(terms: list[np.ndarray], labels: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Sorted hashes of the terms that the sample ties to a class, by odds and by a z-score; or of all its terms."""
+    if whole:
+        return np.unique(np.concatenate(terms)) if terms else np.empty(0, np.int64)
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return np.empty(0, np.int64)
@@ -134,8 +164,7 @@ def choose_terms(terms: list[np.ndarray], labels: np.ndarray, most: int = TERMS)
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
     z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
     good = np.flatnonzero((np.abs(z) >= 3.3) & (np.abs(odds) >= math.log(8)) & (a + b >= 4))
-    good = good[np.argsort(-np.abs(z[good]), kind="stable")[:most]]
-    return np.sort(all_terms[good])
+    return all_terms[good]
 
 
 def looked_up(vocabulary: np.ndarray, doc: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +197,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     return df[:-1], int(df[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = EXAMPLES) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = EXAMPLES, whole: bool = False) -> Index:
     """Learn the index from a bounded sample; document frequencies cover all documents."""
     sample = sample_terms(labelled_sample(docs, labels, label, folds, held, per_class)).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     terms = [np.asarray(t, np.int64) for t in sample["terms"]]
@@ -176,21 +205,49 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     left = no_near_copies([np.asarray(t, np.int64) for t in sample["sketch"]])
     sample, terms = sample.iloc[left].reset_index(drop=True), [terms[i] for i in left]
     y = sample["label"].to_numpy(np.int64)
-    vocabulary = choose_terms(terms, y)
+    vocabulary = choose_terms(terms, y, whole)
     df, n = document_frequencies(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    weights = np.zeros((len(terms), len(vocabulary)), np.float32)
-    for k, (t, c) in enumerate(zip(terms, sample["counts"], strict=True)):
+    examples = []
+    for t, c in zip(terms, sample["counts"], strict=True):
         which, at = looked_up(vocabulary, np.arange(len(t)), t.view(np.uint64))
-        weights[k, at] = np.asarray(c)[which] * idf[at]
-    weights /= np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
+        examples.append((at, np.asarray(c)[which]))
+    return build(vocabulary, df, n, examples, y, sample["doc_id"].to_numpy(np.int64), base_rate(labels, label, folds, held), drawn)
+
+
+def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray, prior: float, drawn: float | None) -> Index:
+    """The index over examples of (terms, counts), and the curve through the votes that each gets from the others."""
+    idf = np.log((n + 1) / (df + 1)) + 1
     # examples without a term can't be near anything; like examples share a block, so block maxima are tight
-    some = np.flatnonzero(weights.any(axis=1)) if len(vocabulary) else np.empty(0, np.int64)
-    order = some[np.lexsort((sample["doc_id"].to_numpy()[some], weights[some].argmax(axis=1), y[some]))] if len(some) else some
-    weights, y_in, ids = weights[order], y[order], sample["doc_id"].to_numpy(np.int64)[order]
-    blocks = -(-len(order) // BLOCK)
-    tops = np.array([weights[b * BLOCK : (b + 1) * BLOCK].max(axis=0) for b in range(blocks)]) if blocks else np.zeros((0, len(vocabulary)), np.float32)
-    return Index(vocabulary, idf, weights, tops, y_in, ids, base_rate(labels, label, folds, held), drawn)
+    some = np.array([i for i, (t, _) in enumerate(examples) if len(t)], np.int64)
+    rows = [(t, c * idf[t]) for t, c in (examples[i] for i in some)]
+    rows = [(t, w / np.linalg.norm(w)) for t, w in rows]
+    main = np.array([t[np.argmax(w)] for t, w in rows], np.int64)
+    order = np.lexsort((ids[some], main, y[some])) if len(some) else some
+    index = Index(vocabulary, idf, *inverted([rows[i] for i in order], len(vocabulary)), y[some][order], ids[some][order], prior, drawn)
+    if drawn is not None and 0 < drawn < 1:
+        place = np.full(len(examples), -1)
+        place[some[order]] = np.arange(len(order))
+        votes = np.array([vote(index, *nearest(index, t, c, without=int(i))) for (t, c), i in zip(examples, place, strict=True)])
+        of_class = np.where(y == 1, prior / max((y == 1).sum(), 1), (1 - prior) / max((y == 0).sum(), 1)) * len(y)
+        index.curve = calibrate(votes, np.where(y == 1, 1, -1), of_class)
+    return index
+
+
+def calibrate(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve through margins, by Newton steps on smoothed targets."""
+    n1, n0 = weight[y > 0].sum(), weight[y <= 0].sum()
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    a, b = 1.0, float(np.log((n1 + 1) / (n0 + 1)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -60, 60)))
+        g = weight * (p - target)
+        h = weight * np.maximum(p * (1 - p), 1e-9)
+        m = np.array([[(h * margins * margins).sum() + 1e-6, (h * margins).sum()], [(h * margins).sum(), h.sum() + 1e-6]])
+        step = np.linalg.solve(m, [(g * margins).sum(), g.sum()])
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(max(a, 1e-3)), float(b)
 
 
 def base_rate(labels: DataFrame, label: str, folds: int, held: int) -> float:
@@ -200,24 +257,38 @@ def base_rate(labels: DataFrame, label: str, folds: int, held: int) -> float:
     return ((r["a"] or 0) + 1) / (r["n"] + 2)
 
 
-def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """The k examples of largest cosine above 0 to a document with these terms, each so many times, ties by index order.
 
-    Blocks come in order of the most that any of their examples can reach, and are left out
-    once that is below the k-th cosine found: exact, whatever is left out.
+    Block maxima bound what any example of a block can reach. Blocks are opened in order of
+    their bounds, a few at a time and then more, and those whose bound is below the k-th cosine
+    found stay shut: exact, whatever is left out. `without` leaves one example out.
     """
-    q = (counts * index.idf[terms]).astype(np.float32)
-    q /= np.linalg.norm(q)
-    bound = index.tops[:, terms] @ q
-    best_s, best_i = np.empty(0, np.float32), np.empty(0, np.int64)
-    for b in np.argsort(-bound, kind="stable").tolist():
-        if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-6:
+    best_i, best_s = np.empty(0, np.int64), np.empty(0)
+    if not len(terms):
+        return best_i, best_s
+    q = counts * index.idf[terms]
+    q = q / np.linalg.norm(q)
+    entry, of = _ranges(index.entry[terms], index.entry[terms + 1])
+    block, weight = index.block[entry], q[of]
+    bound = np.bincount(block, weight * index.top[entry], minlength=-(-len(index.ids) // BLOCK))
+    order = np.argsort(-bound, kind="stable")
+    at, step = 0, 1
+    while at < len(order) and bound[order[at]] > 0:
+        if len(best_s) == k and bound[order[at]] < best_s[-1] - 1e-9:
             break
-        s = index.weights[b * BLOCK : (b + 1) * BLOCK, terms] @ q
+        opened = np.zeros(len(order), bool)
+        opened[order[at : at + step]] = True
+        e = opened[block]
+        posting, of_entry = _ranges(index.begin[entry[e]], index.end[entry[e]])
+        s = np.bincount(index.example[posting], index.weight[posting] * weight[e][of_entry], minlength=len(index.ids))
+        if without >= 0:
+            s[without] = 0
         hit = np.flatnonzero(s > 0)
-        best_s, best_i = np.concatenate([best_s, s[hit]]), np.concatenate([best_i, b * BLOCK + hit])
-        order = np.lexsort((best_i, -best_s))[:k]
-        best_s, best_i = best_s[order], best_i[order]
+        best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, s[hit]])
+        top = np.lexsort((best_i, -best_s))[:k]
+        best_i, best_s = best_i[top], best_s[top]
+        at, step = at + step, 2 * step
     return best_i, best_s
 
 
@@ -235,14 +306,22 @@ def vote(index: Index, best_i: np.ndarray, best_s: np.ndarray) -> float:
     return (toxic + PRIOR_WEIGHT * index.prior) / (total + PRIOR_WEIGHT)
 
 
+def chance(index: Index, votes: np.ndarray) -> np.ndarray:
+    """Votes as chances of label 1."""
+    if index.curve is None:
+        return votes
+    return 1 / (1 + np.exp(-np.clip(index.curve[0] * votes + index.curve[1], -60, 60)))
+
+
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (0 to 1), evidence (ids of the nearest examples), cosines.
 
     A null or empty text, or one without a term of the vocabulary, has no neighbour and
-    scores the base rate. Repeated rows score alike; a null id stays null; other columns are
-    left out; an empty table gives an empty table, and without labels of both classes every
-    score is the base rate. The index goes to every task once; its size is bounded by
-    EXAMPLES and TERMS.
+    scores by the vote that the base rate makes. A very long text is a chunk of its own.
+    Repeated rows score alike; neighbours that tie come in order of the index; a null id stays
+    null; other columns are left out; an empty table gives an empty table, and without labels
+    of both classes every score is the base rate. The index goes to every task once; its size
+    is bounded by that of EXAMPLES texts of each class.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -253,12 +332,12 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
             which, at = looked_up(model.vocabulary, np.arange(len(d)), t)
             d, c = d[which], c[which]
             cuts = np.searchsorted(d, np.arange(n + 1))
-            scores, ids, cosines = np.full(n, vote(model, np.empty(0, np.int64), np.empty(0, np.float32))), [[]] * n, [[]] * n
+            scores, ids, cosines = np.full(n, vote(model, np.empty(0, np.int64), np.empty(0))), [[]] * n, [[]] * n
             for row in np.unique(d).tolist():
                 i, s = nearest(model, at[cuts[row] : cuts[row + 1]], c[cuts[row] : cuts[row + 1]])
                 scores[row] = vote(model, i, s)
                 ids[row], cosines[row] = model.ids[i].tolist(), s.tolist()
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array(scores), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float32()))], names=["doc_id", "score", "evidence", "cosines"])
+            yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array(chance(model, scores)), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, score double, evidence array<bigint>, cosines array<float>")
+    return rows.mapInArrow(work, "doc_id long, score double, evidence array<bigint>, cosines array<double>")
