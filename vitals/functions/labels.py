@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitals.schema import PSEUDO_AREAS, ROLL_UP_BANDS
@@ -136,5 +136,16 @@ def pinned(rows: DataFrame, pins: dict[str, str], keys: list[str], value: str) -
 
 
 def catalogue(rows: DataFrame, dimension: str) -> DataFrame:
-    """Categories of a dimension by indicator in their order, with the years each has."""
-    return rows.groupBy("source_indicator", F.col(dimension).alias("category")).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct("year").alias("n_years"))
+    """Categories of a dimension by indicator, with the years, order and level of each.
+
+    Order and level come from the columns `<dimension>_order` and `<dimension>_level`, as
+    numbers; without an order column categories are counted by name within the indicator, and
+    without a level column the level is null.
+    """
+    order, level = f"{dimension}_order", f"{dimension}_level"
+    given = F.min(F.col(order).try_cast("double")) if order in rows.columns else F.lit(None).cast("double")
+    depth = F.min(F.col(level).try_cast("double")) if level in rows.columns else F.lit(None).cast("double")
+    out = rows.groupBy("source_indicator", F.col(dimension).alias("category")).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct("year").alias("n_years"), given.alias("order"), depth.alias("level"))
+    if order in rows.columns:
+        return out
+    return out.withColumn("order", F.row_number().over(Window.partitionBy("source_indicator").orderBy("category")).cast("double"))

@@ -86,8 +86,14 @@ def needs_footnote(rows: DataFrame) -> DataFrame:
     return rows.groupBy("metric").agg(F.max(F.col("flag") != "").alias("footnote"))
 
 
-def observed_summary(series: DataFrame, keys: list[str]) -> DataFrame:
-    """First and last value of each series and the change between them."""
-    s = series.groupBy(*keys).agg(F.min_by("value", "year").alias("first"), F.max_by("value", "year").alias("last"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+def observed_summary(series: DataFrame, keys: list[str], sources: DataFrame | None = None) -> DataFrame:
+    """First and last value of each series and the change between them.
+
+    Where the series has limits (lower, upper), those of the last value too; sources (keys,
+    population_source, death_source): where the numbers are from.
+    """
+    ends = [F.max_by(c, "year").alias(f"last_{c}") for c in ("lower", "upper") if c in series.columns]
+    s = series.groupBy(*keys).agg(*ends, F.min_by("value", "year").alias("first"), F.max_by("value", "year").alias("last"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     change = F.col("last") - F.col("first")
-    return s.withColumns({"change": change, "percent": F.when(F.col("first") != 0, change / F.col("first") * 100)})
+    out = s.withColumns({"change": change, "percent": F.when(F.col("first") != 0, change / F.col("first") * 100)})
+    return out if sources is None else out.join(sources.select(*keys, "population_source", "death_source"), keys, "left")

@@ -56,6 +56,23 @@ def breakpoints(series: DataFrame, share: float = 0.15, most: int = MOST, trend:
     return scored.groupBy("series_id").agg(F.min(F.struct("bic", F.size("breaks").alias("n_breaks"), "breaks", "rss")).alias("x")).select("series_id", "x.n_breaks", "x.breaks", "x.rss", "x.bic")
 
 
+def chosen_breaks(series: DataFrame, share: float = 0.15, most: int = MOST) -> DataFrame:
+    """As breakpoints, with the model of each series (B1).
+
+    A segment has share * n years. A line needs more than two of them: where they aren't
+    there, the series falls back to a mean, which needs more than one; where that fails too,
+    it has no break and model is `none`. Series of fewer than five years have no row.
+    """
+    sized = series.withColumn("_h", F.floor(F.count(F.lit(1)).over(Window.partitionBy("series_id")) * share))
+    columns = ["series_id", "year", "value"]
+    trend = breakpoints(sized.where("_h > 2").select(*columns), share, most).withColumn("model", F.lit("trend"))
+    mean = breakpoints(sized.where("_h = 2").select(*columns), share, most, False).withColumn("model", F.lit("mean"))
+    none = sized.where("_h < 2").groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    gone = F.lit(None).cast("double")
+    none = none.select("series_id", F.lit(0).alias("n_breaks"), F.array().cast("array<int>").alias("breaks"), gone.alias("rss"), gone.alias("bic"), F.lit("none").alias("model"))
+    return trend.unionByName(mean).unionByName(none)
+
+
 def segments(series: DataFrame, found: DataFrame) -> DataFrame:
     """First and last year, length, mean and slope of each segment (B2); break_year is the last year before the next."""
     w = Window.partitionBy("series_id").orderBy("year")
@@ -75,5 +92,5 @@ def on_seams(segment_table: DataFrame, seams: DataFrame) -> DataFrame:
 
 
 def break_class(n_breaks: Column) -> Column:
-    """none, one or many."""
+    """none, one or many (B4); the model used stands beside it in chosen_breaks."""
     return F.when(n_breaks == 0, "none").when(n_breaks == 1, "one").otherwise("many")

@@ -1,15 +1,12 @@
 """Forecasts of a fleet of yearly series: every model on every series in one job.
 
 series: series_id, year, value. Each series becomes one row of ordered arrays; exponential
-smoothing is fitted over a grid of parameters by `aggregate`, so nothing is shuffled per
-model, origin or parameter. Fits are to the nearest grid point.
+smoothing is fitted over a grid of parameters, and then finer ones around the best point, by
+`aggregate` inside that row, so nothing is copied or shuffled per model, origin or parameter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +21,8 @@ GRID = {
     "holt": [(a, b, 1.0) for a in _STEPS for b in _TREND],
     "holt_damped": [(a, b, p) for a in _STEPS for b in _TREND for p in (0.8, 0.9, 0.98)],
 }
+#: Steps by which the best point of a grid is moved, one after another.
+WIDTHS = (0.04, 0.02, 0.01, 0.005)
 #: Free parameters with starting values and variance, for the information criterion.
 _FREE = {"ses": 3, "holt": 5, "holt_damped": 6}
 
@@ -56,6 +55,18 @@ def failures(fleet: DataFrame) -> DataFrame:
     return fleet.where("status <> 'ok'").select("series_id", "status")
 
 
+def model_failures(fleet: DataFrame, made: DataFrame, models: list[str]) -> DataFrame:
+    """(series_id, model, status) for what went without a forecast (F10): refused series under every model, and models that made no finite one.
+
+    A model that fails on a series doesn't touch its other models; made: their forecasts.
+    """
+    finite = F.col("mean").isNotNull() & ~F.isnan("mean") & (F.abs("mean") < float("inf"))
+    good = made.groupBy("series_id", "model").agg(F.min(finite).alias("_good"))
+    every = fleet.select("series_id", F.col("status").alias("_s"), F.explode(F.array(*(F.lit(m) for m in models))).alias("model"))
+    status = F.when(F.col("_s") != "ok", F.col("_s")).when(F.coalesce("_good", F.lit(False)), "ok").otherwise("no finite forecast")
+    return every.join(good, ["series_id", "model"], "left").select("series_id", "model", status.alias("status")).where("status <> 'ok'")
+
+
 def _ok(fleet: DataFrame) -> DataFrame:
     return fleet.where("status = 'ok'")
 
@@ -122,11 +133,31 @@ def _fitted(v: Column, n: Column, p: Column) -> Column:
     return F.aggregate(F.slice(v, F.lit(2), n - 1), start, step, lambda x: x["f"])
 
 
+def _points(model: str, around: Column | None = None, width: float = 0.0) -> Column:
+    """The grid of a model, or the points half a step and a whole one on either side of one of its points."""
+    point = lambda a, b, p: F.struct(a.alias("alpha"), b.alias("beta"), p.alias("phi"))
+    if around is None:
+        return F.array(*(point(F.lit(a), F.lit(b), F.lit(p)) for a, b, p in GRID[model]))
+    moves = (-width, 0.0, width)
+    kept = lambda c, d, low, high: F.least(F.greatest(c + F.lit(d), F.lit(low)), F.lit(high))
+    alpha = [kept(around["alpha"], d, 0.01, 0.99) for d in moves]
+    beta = [F.lit(0.0)] if model == "ses" else [kept(around["beta"], d, 0.001, 0.99) for d in moves]
+    phi = [kept(around["phi"], d / 4, 0.8, 0.98) for d in moves] if model == "holt_damped" else [around["phi"]]
+    return F.array(*(point(a, b, p) for a in alpha for b in beta for p in phi))
+
+
 def smoothed(fleet: DataFrame, model: str) -> DataFrame:
-    """The best grid point of each series: p (alpha, beta, phi), state (l, b, sse), aicc."""
-    points = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(p).alias("phi")) for a, b, p in GRID[model]))
-    tried = _ok(fleet).withColumn("p", F.explode(points)).withColumn("state", _smooth(F.col("values"), F.col("n"), F.col("p")))
-    best = tried.groupBy("series_id").agg(F.min_by(F.struct("years", "values", "n", "p", "state"), F.struct(F.col("state.sse"), F.col("p.alpha"), F.col("p.beta"), F.col("p.phi"))).alias("x")).select("series_id", "x.*")
+    """The best parameters of each series: p (alpha, beta, phi), state (l, b, sse), aicc.
+
+    All points are tried inside the row of the series; then those around the best one, with
+    steps that halve from WIDTHS[0] to WIDTHS[-1]. Of points that tie, the smallest counts.
+    """
+    v, n = F.col("values"), F.col("n")
+    tried = lambda points: F.array_min(F.transform(points, lambda p: F.struct(_smooth(v, n, p)["sse"].alias("sse"), p.alias("p"))))
+    best = _ok(fleet).withColumn("p", tried(_points(model))["p"])
+    for width in WIDTHS:
+        best = best.withColumn("p", tried(_points(model, F.col("p"), width))["p"])
+    best = best.select("series_id", "years", "values", "n", "p", _smooth(v, n, F.col("p")).alias("state"))
     k, m = _FREE[model], F.col("n")
     spare = m - k - 1
     penalty = F.when(spare > 0, 2.0 * k * (k + 1) / spare).otherwise(1e6)
@@ -272,13 +303,21 @@ def rolling(series: DataFrame, fraction: float, models: list[str]) -> DataFrame:
 
 
 def validated(series: DataFrame, method: str, fraction: float, models: list[str]) -> DataFrame:
-    """Errors by the method asked for, in-sample where a series is too short to hold years out."""
+    """Errors by the method asked for, in-sample where a series is too short to hold years out.
+
+    train_first to test_last are the years learnt from and tested on, null in-sample.
+    """
     if method not in ("insample", "single", "rolling"):
         raise ValueError(f"no method {method!r}")
-    inside = insample(series, models)
+    names = ("train_first", "train_last", "test_first", "test_last")
+    inside = insample(series, models).withColumns({c: F.lit(None).cast("int") for c in names})
     if method == "insample":
         return inside.withColumns({"method": F.lit(method), "note": F.lit("")})
     out = (holdout if method == "single" else rolling)(series, fraction, models)
+    held = arrays(series).withColumn("k", test_size(F.col("n"), fraction)).where("k > 0")
+    at = lambda i: F.get("years", i).cast("int")
+    cut = F.col("n") - F.col("k")
+    out = out.join(held.select("series_id", *(at(i).alias(c) for c, i in zip(names, (F.lit(0), cut - 1, cut, F.col("n") - 1), strict=True))), "series_id", "left")
     missing = inside.join(out.select("series_id").distinct(), "series_id", "left_anti")
     return out.withColumns({"method": F.lit(method), "note": F.lit("")}).unionByName(missing.withColumns({"method": F.lit("insample"), "note": F.lit("too short to hold years out")}))
 
@@ -349,22 +388,22 @@ def autocorrelation(res: DataFrame, most: int = 20) -> DataFrame:
 
 
 def partial_autocorrelation(acf: DataFrame) -> DataFrame:
-    """(series_id, lag, pacf) by the Durbin-Levinson recursion (F24); a series has 20 rows at most."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        r = pdf["acf"].to_numpy()
-        phi: list[float] = []
-        out = []
-        for k in range(len(r)):
-            top = r[k] - sum(p * r[k - 1 - i] for i, p in enumerate(phi))
-            low = 1 - sum(p * r[i] for i, p in enumerate(phi))
-            a = top / low if abs(low) > 1e-12 else float("nan")
-            phi = [p - a * q for p, q in zip(phi, reversed(phi), strict=True)] + [a]
-            out.append(a)
-        return pd.DataFrame({"series_id": pdf["series_id"], "lag": pdf["lag"], "pacf": out})
-
-    return acf.groupBy("series_id").applyInPandas(one, "series_id string, lag int, pacf double")
+    """(series_id, lag, pacf) by the Durbin-Levinson recursion over the ordered lags of a series."""
+    r = F.transform(F.sort_array(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"])
+    rows = acf.groupBy("series_id").agg(r.alias("r"))
+    dot = lambda phi, other: _sum(F.zip_with(phi, other, lambda a, b: a * b))
+    none = F.array().cast("array<double>")
+
+    def step(x: Column, k: Column) -> Column:
+        known = F.slice(F.col("r"), F.lit(1), k)
+        low = 1 - dot(x["phi"], known)
+        a = F.when(F.abs(low) > 1e-12, (F.get("r", k) - dot(x["phi"], F.reverse(known))) / low).otherwise(F.lit(float("nan")))
+        phi = F.concat(F.zip_with(x["phi"], F.reverse(x["phi"]), lambda p, q: p - a * q), F.array(a))
+        return F.struct(phi.alias("phi"), F.concat(x["out"], F.array(a)).alias("out"))
+
+    start = F.struct(none.alias("phi"), none.alias("out"))
+    out = F.aggregate(F.sequence(F.lit(0), F.size("r") - 1), start, step, lambda x: x["out"])
+    return rows.select("series_id", F.posexplode(out).alias("lag", "pacf")).withColumn("lag", F.col("lag") + 1)
 
 
 def ljung_box(acf: DataFrame, fitdf: int = 0, lags: tuple[int, ...] = (5, 10, 15)) -> DataFrame:

@@ -13,21 +13,47 @@ def members(lookup: DataFrame) -> DataFrame:
     return lookup.select("vintage", F.explode(F.array(*LEVELS)).alias("region"), "municipality").where("region IS NOT NULL").distinct()
 
 
-def rolled_up(facts: DataFrame, membership: DataFrame, keys: list[str], value: str, area: str = "area") -> DataFrame:
-    """Facts summed over the municipalities of each region (G1); membership: region, municipality, each once."""
-    m = F.broadcast(membership.select(F.col("municipality").alias(area), "region").distinct())
-    return facts.join(m, area).groupBy("region", *keys).agg(F.sum(value).alias(value))
+MODES = ("municipal", "original")
+
+
+def resolved(areas: DataFrame, membership: DataFrame, mode: str = "municipal") -> DataFrame:
+    """(region, area): what each chosen area stands for (G1). areas: area.
+
+    A region stands for its municipalities, any other area for itself; in mode `original`
+    (and in one that isn't known) every area does.
+    """
+    chosen = areas.select("area").distinct()
+    if mode != "municipal":
+        return chosen.select(F.col("area").alias("region"), "area")
+    parts = membership.select("region", "municipality").distinct()
+    found = chosen.join(parts, F.col("area") == F.col("region"), "left")
+    return found.select(F.col("area").alias("region"), F.coalesce("municipality", "area").alias("area"))
+
+
+def rolled_up(facts: DataFrame, membership: DataFrame, keys: list[str], value: str, area: str = "area", chosen: DataFrame | None = None, mode: str = "municipal") -> DataFrame:
+    """Facts summed over the municipalities of each region (G1); membership: region, municipality.
+
+    chosen (area): the areas wanted, each as `resolved` has it. Without, every region, and
+    each area that the membership doesn't know as it is.
+    """
+    if chosen is not None:
+        m = resolved(chosen, membership, mode).withColumnRenamed("area", area)
+        return facts.join(m, area).groupBy("region", *keys).agg(F.sum(value).alias(value))
+    parts = membership.select(F.col("municipality").alias(area), "region").distinct()
+    known = parts.select(area).unionByName(parts.select(F.col("region").alias(area))).distinct()
+    rest = facts.join(known, area, "left_anti").withColumn("region", F.col(area))
+    rows = facts.join(parts, area).select("region", *keys, value).unionByName(rest.select("region", *keys, value))
+    return rows.groupBy("region", *keys).agg(F.sum(value).alias(value))
 
 
 def combined(facts: DataFrame, selections: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Facts summed over each selection of areas (G3); selections: label, area."""
-    return facts.join(F.broadcast(selections.select("label", "area").distinct()), "area").groupBy("label", *keys).agg(F.sum(value).alias(value))
+    return facts.join(selections.select("label", "area").distinct(), "area").groupBy("label", *keys).agg(F.sum(value).alias(value))
 
 
 def rolled_up_by_vintage(facts: DataFrame, membership: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The same facts under each vintage's regions."""
-    m = F.broadcast(membership.withColumnRenamed("municipality", "area"))
-    return facts.join(m, "area").groupBy("vintage", "region", *keys).agg(F.sum(value).alias(value))
+    return facts.join(membership.withColumnRenamed("municipality", "area"), "area").groupBy("vintage", "region", *keys).agg(F.sum(value).alias(value))
 
 
 def coverage(membership: DataFrame, areas: DataFrame) -> DataFrame:
@@ -93,12 +119,19 @@ def parents(towns: DataFrame, regions: DataFrame) -> DataFrame:
     return prefix.join(r, "prefix").groupBy("code", "label", "level").agg(F.max_by("region", "n").alias("region"))
 
 
-def canonical(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Labels by code, else by a name that is unique on both sides, else null (G12). rows: code, label; names: code, name."""
-    by_code = F.broadcast(names.select("code", F.col("name").alias("_by_code")))
+def canonical(rows: DataFrame, names: DataFrame, strict: bool = True) -> DataFrame:
+    """Labels by code, else by a name that is unique on both sides (G12). rows: code, label; names: code, name.
+
+    A label that neither finds is an error when it is read; null if not strict.
+    """
+    by_code = names.select("code", F.col("name").alias("_by_code"))
     single = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("name").alias("label"), F.col("name").alias("_by_name"))
     once = rows.select("label", "code").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("label")
-    return rows.join(by_code, "code", "left").join(F.broadcast(single.join(once, "label", "left_semi")), "label", "left").select("code", "label", F.coalesce("_by_code", "_by_name").alias("canonical"))
+    found = rows.join(by_code, "code", "left").join(single.join(once, "label", "left_semi"), "label", "left").select("code", "label", F.coalesce("_by_code", "_by_name").alias("canonical"))
+    if not strict:
+        return found
+    lost = F.raise_error(F.concat(F.lit("no canonical name for "), F.coalesce("code", F.lit("?")), F.lit(" "), F.coalesce("label", F.lit("?")))).cast("string")
+    return found.withColumn("canonical", F.when(F.col("canonical").isNull(), lost).otherwise(F.col("canonical")))
 
 
 def ambiguous_labels(names: DataFrame) -> DataFrame:

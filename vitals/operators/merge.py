@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitals.schema import RATE_METRICS
+
 
 def by_priority(facts: DataFrame, priorities: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The value of the source with the largest priority in each cell; lower ones fill cells it lacks (M1).
@@ -12,16 +14,11 @@ def by_priority(facts: DataFrame, priorities: DataFrame, keys: list[str], value:
     Ties go to the smaller indicator. An aggregation, so nothing is sorted and each task
     sends one row per cell.
     """
-    ranked = facts.join(F.broadcast(priorities), "source_indicator")
-    best = F.max_by(F.struct(value, "source_indicator"), F.struct("priority", _descending("source_indicator"))).alias("best")
+    ranked = facts.join(priorities, "source_indicator")
+    best = F.min_by(F.struct(value, "source_indicator"), F.struct(-F.col("priority"), "source_indicator")).alias("best")
     return ranked.groupBy(*keys).agg(best).select(*keys, f"best.{value}", "best.source_indicator")
 
 
-def _descending(name: str) -> Column:
-    """A key that grows as the string falls (code points turned round)."""
-    return F.translate(F.hex(F.col(name).cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210")
-
-
 def source_plan(available: DataFrame, priorities: DataFrame) -> DataFrame:
     """(year, source): each year from the source with the largest priority that has it (M2)."""
     return by_priority(available.select("year", "source_indicator", F.lit(1).alias("one")), priorities, ["year"], "one").select("year", "source_indicator")
@@ -44,8 +41,14 @@ def with_sources(deaths: DataFrame, pop: DataFrame, keys: list[str]) -> DataFram
     return deaths.withColumnRenamed("source_indicator", "death_source").join(pop.withColumnRenamed("source_indicator", "population_source"), keys)
 
 
-def seams_crossed(series: DataFrame, seams: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seam, effect) where a series has years on both sides of a seam (M6)."""
+def seams_crossed(series: DataFrame, seams: DataFrame, keys: list[str], metric: str | None = None) -> DataFrame:
+    """(keys, seam, effect) where a series has years on both sides of a seam (M6).
+
+    metric: a column of the series that names what its values are. Counts cross no seam, as
+    they aren't divided by the population.
+    """
+    if metric:
+        series = series.where(F.col(metric).isin(RATE_METRICS))
     spans = series.groupBy(*keys).agg(F.min("year").alias("_a"), F.max("year").alias("_b"))
     return spans.join(F.broadcast(seams), (F.col("_a") < F.col("seam")) & (F.col("_b") >= F.col("seam"))).select(*keys, "seam", "effect")
 

@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def inventory(facts: DataFrame, dataset: str) -> DataFrame:
-    """Rows, areas, sexes and bands of each slice (Q1). facts: source_indicator, year, cause, area, sex, band_idx."""
-    return facts.groupBy(F.lit(dataset).alias("dataset"), "source_indicator", "year", "cause").agg(
+def inventory(facts: DataFrame, dataset: str, priorities: DataFrame | None = None) -> DataFrame:
+    """Rows, areas, sexes, bands and source priority of each slice (Q1). facts: source_indicator, year, cause, area, sex, band_idx.
+
+    priorities (source_indicator, priority): a source that it lacks has 0; without it all have 1,
+    as the one source of a population has.
+    """
+    slices = facts.groupBy(F.lit(dataset).alias("dataset"), "source_indicator", "year", "cause").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sort_array(F.collect_set("area")).alias("areas"),
         F.sort_array(F.collect_set("sex")).alias("sexes"),
         F.sort_array(F.collect_set("band_idx")).alias("bands"),
     )
+    if priorities is None:
+        return slices.withColumn("priority", F.lit(1))
+    return slices.join(priorities.select("source_indicator", "priority"), "source_indicator", "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
 
 
 def availability(grid: DataFrame, facts: DataFrame, keys: list[str], required: DataFrame) -> DataFrame:

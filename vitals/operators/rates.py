@@ -24,7 +24,7 @@ def joined(deaths: DataFrame, pop: DataFrame, keys: list[str] = CELL, keep_zero_
     """
     if not keep_zero_bands:
         return deaths.join(pop, keys)
-    every = pop.join(F.broadcast(causes.distinct())) if causes is not None else pop
+    every = pop.crossJoin(causes.distinct()) if causes is not None else pop  # each cell with each cause: what is asked for
     by = [*keys, "cause"] if causes is not None else keys
     return every.join(deaths, by, "left").withColumn("deaths", F.coalesce("deaths", F.lit(0.0)))
 
@@ -85,18 +85,27 @@ def standardised_rate_limits(full: DataFrame, bands: DataFrame, keys: list[str]
 
 
 def observed_bundle(full: DataFrame, bands: DataFrame, keys: list[str] = SERIES, min_count: float = 10) -> DataFrame:
-    """Crude and standardised rates for both scopes, long."""
+    """Crude and standardised rates for both scopes with their limits, long."""
     by = [*keys, "scope"]
     both = scoped(full, bands)
-    crude = crude_rate(both, by).select(*by, F.lit("crude").alias("rate_type"), "deaths", "rate")
-    return crude.unionByName(standardised_rate(both, bands, by, min_count=min_count).select(*by, F.lit("dsr").alias("rate_type"), "deaths", "rate"))
+    columns = ["deaths", "rate", "lower", "upper"]
+    crude = crude_rate_limits(both, by).select(*by, F.lit("crude").alias("rate_type"), *columns)
+    return crude.unionByName(standardised_rate_limits(both, bands, by, min_count=min_count).select(*by, F.lit("dsr").alias("rate_type"), *columns))
 
 
 def selected_series(bundle: DataFrame, scope: str, rate_type: str, first: int, last: int) -> DataFrame:
-    """(keys, year, rate) of one scope, rate type and range of years."""
+    """(keys, year, rate, lower, upper) of one scope, rate type and range of years.
+
+    The range is clipped to the years there are; one without any is an error when rows are read.
+    """
     if first > last:
         raise ValueError("the range of years is empty")
-    return bundle.where((F.col("scope") == scope) & (F.col("rate_type") == rate_type) & F.col("year").between(first, last)).drop("scope", "rate_type")
+    own = bundle.where((F.col("scope") == scope) & (F.col("rate_type") == rate_type))
+    inside = F.col("year").between(first, last)
+    some = own.agg(F.count(F.when(inside, 1)).alias("_n"))
+    checked = F.assert_true(F.col("_n") > 0, "no year of the range has a rate")
+    kept = some.join(own.where(inside), F.lit(True), "left").withColumn("_ok", checked)
+    return kept.where("_ok IS NULL").drop("_n", "_ok", "scope", "rate_type")
 
 
 def with_midpoints(df: DataFrame, bands: DataFrame) -> DataFrame:

@@ -103,9 +103,13 @@ def _indicator_categories(f: Facts) -> DataFrame:
     return f.source_deaths.where("NOT (source_indicator = 'S2' AND cause = 'PROMO')").select(F.col("source_indicator").alias("indicator"), F.col("cause").alias("code"), F.concat_ws(" ", "source_indicator", "cause").alias("label")).distinct()
 
 
-add("N11_common_causes", lambda f: L.common_categories(_indicator_categories(f), "S2"), "SELECT cause AS code, 'S2 ' || cause AS label FROM source_deaths WHERE NOT (source_indicator = 'S2' AND cause = 'PROMO') GROUP BY cause HAVING count(DISTINCT source_indicator) = 2")
+add("N11_common_causes", lambda f: L.common_categories(_indicator_categories(f), "S2"), "c AS (SELECT DISTINCT source_indicator AS indicator, cause AS code, source_indicator || ' ' || cause AS label FROM source_deaths WHERE NOT (source_indicator = 'S2' AND cause = 'PROMO')) --- SELECT code, coalesce(max(label) FILTER (indicator = 'S2'), min(label)) AS label FROM c GROUP BY code HAVING count(DISTINCT indicator) = (SELECT count(DISTINCT indicator) FROM c)")
 add("N12_dimension_pins", lambda f: L.pinned(f.deaths, {"sex": "HM", "cause": "ALL"}, ["year", "area"], "deaths"), "SELECT year, area, sum(deaths) AS deaths FROM deaths WHERE sex = 'HM' AND cause = 'ALL' GROUP BY ALL")
-add("N13_catalogue", lambda f: L.catalogue(f.source_deaths, "cause"), "SELECT source_indicator, cause AS category, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS n_years FROM source_deaths GROUP BY ALL")
+add(
+    "N13_catalogue",
+    lambda f: L.catalogue(f.source_deaths.withColumns({"cause_order": F.length("cause").cast("string"), "cause_level": F.when(F.col("cause") == "LARGE", "1").otherwise("x")}), "cause"),
+    "SELECT source_indicator, cause AS category, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS n_years, CAST(length(cause) AS DOUBLE) AS \"order\", CASE cause WHEN 'LARGE' THEN 1.0 END AS level FROM source_deaths GROUP BY ALL",
+)
 add("N14_midpoints", lambda f: f.pop.groupBy("age_band").agg(F.count(F.lit(1)).alias("n")).select("age_band", "n", L.band_midpoint(F.col("age_band")).alias("mid")), "SELECT age_band, count(*) AS n, CASE WHEN age_band LIKE '0 - 4%' THEN 2.5 ELSE (5 * band_idx + 5 * band_idx + 4) / 2 END AS mid FROM pop GROUP BY age_band, band_idx")
 add("N15_period_label", lambda f: f.deaths.groupBy("cause", "area").agg(L.period(F.min("year"), F.max("year")).alias("period")), "SELECT cause, area, CASE WHEN min(year) = max(year) THEN CAST(min(year) AS VARCHAR) ELSE min(year) || '-' || max(year) END AS period FROM deaths GROUP BY ALL")
 
@@ -148,7 +152,7 @@ add(
 _BEST = "row_number() OVER (PARTITION BY {k} ORDER BY priority DESC, source_indicator) = 1"
 add("M1_priority_merge", lambda f: merge.by_priority(f.source_deaths, f.priority, DK, "deaths"), "SELECT year, area, sex, cause, band_idx, deaths, source_indicator FROM source_deaths JOIN priority USING (source_indicator) QUALIFY " + _BEST.format(k="year, area, sex, cause, band_idx"))
 add("M1_priority_population", lambda f: merge.by_priority(f.source_pop, f.priority, PK, "pop"), "SELECT year, area, sex, band_idx, pop, source_indicator FROM source_pop JOIN priority USING (source_indicator) QUALIFY " + _BEST.format(k="year, area, sex, band_idx"))
-add("M2_source_plan", lambda f: merge.source_plan(f.source_pop.where("source_indicator = 'S1' OR year > 1997"), f.priority), "SELECT DISTINCT year, CASE WHEN year > 1997 THEN 'S2' ELSE 'S1' END AS source_indicator FROM source_pop")
+add("M2_source_plan", lambda f: merge.source_plan(f.source_pop.where("source_indicator = 'S1' OR year > 1997"), f.priority), "SELECT year, arg_max(source_indicator, priority) AS source_indicator FROM source_pop JOIN priority USING (source_indicator) WHERE source_indicator = 'S1' OR year > 1997 GROUP BY year")
 add("M3_infant_plan", lambda f: merge.with_fallback(f.source_deaths.where("year < 2000").select("year", "source_indicator").distinct(), f.source_deaths.where("source_indicator = 'S1'").select("year", "source_indicator").distinct(), f.priority), "SELECT DISTINCT year, CASE WHEN year < 2000 THEN 'S2' ELSE 'S1' END AS source_indicator FROM source_deaths")
 
 
@@ -177,6 +181,12 @@ add("M10_detail_check", lambda f: merge.detail_check(f.deaths, f.infant.where("a
 # ---- geography
 
 add("G1_region_rollup", lambda f: geo.rolled_up(f.deaths, geo.members(f.lookup).where("vintage = 'A'"), ["year", "sex", "cause"], "deaths"), "SELECT region, year, sex, cause, sum(deaths) AS deaths FROM deaths JOIN members ON area = municipality AND vintage = 'A' GROUP BY ALL")
+_CHOSEN = "ch AS (SELECT DISTINCT nuts2 AS area FROM lookup WHERE vintage = 'A' UNION SELECT n_name FROM nation WHERE n_nationkey < 3)"
+add(
+    "G1_chosen_areas",
+    lambda f: geo.rolled_up(f.deaths, geo.members(f.lookup).where("vintage = 'A'"), ["year", "sex", "cause"], "deaths", chosen=f.lookup.where("vintage = 'A'").select(F.col("nuts2").alias("area")).unionByName(f.table("nation").where("n_nationkey < 3").select(F.col("n_name").alias("area")))),
+    _CHOSEN + ", rs AS (SELECT ch.area AS region, coalesce(municipality, ch.area) AS area FROM ch LEFT JOIN (SELECT * FROM members WHERE vintage = 'A') ON region = ch.area) --- SELECT region, year, sex, cause, sum(deaths) AS deaths FROM deaths JOIN rs USING (area) GROUP BY ALL",
+)
 add("G2_members", lambda f: geo.members(f.lookup), "SELECT * FROM members")
 
 
@@ -247,15 +257,15 @@ add("G15_crosswalk", lambda f: geo.crosswalk(f.lookup, "A", "B"), "SELECT a.nuts
 add(
     "G16_closure",
     lambda f: geo.closure(geo.rolled_up(f.pop, f.lookup.where("vintage = 'A'").select("municipality", F.col("nuts2").alias("region")), ["year", "sex"], "pop"), f.pop.groupBy("year", "sex").agg(F.sum("pop").alias("pop")), ["year", "sex"], "pop"),
-    "SELECT year, sex, sum(pop) AS parts, sum(pop) AS whole, 0.0 AS difference FROM pop GROUP BY ALL",
+    "parts AS (SELECT nuts2, year, sex, sum(pop) AS pop FROM pop JOIN lookup ON area = municipality AND vintage = 'A' GROUP BY ALL), p AS (SELECT year, sex, sum(pop) AS parts FROM parts GROUP BY ALL), w AS (SELECT year, sex, sum(pop) AS whole FROM pop GROUP BY ALL) --- SELECT year, sex, parts, whole, parts - whole AS difference FROM p JOIN w USING (year, sex)",
 )
 
 # ---- quality
 
 add(
     "Q1_inventory",
-    lambda f: quality.inventory(f.source_deaths, "deaths").select("dataset", "source_indicator", "year", "cause", "n_rows", F.size("areas").alias("n_areas"), F.array_join("sexes", ",").alias("sexes"), F.size("bands").alias("n_bands")),
-    "SELECT 'deaths' AS dataset, source_indicator, year, cause, count(*) AS n_rows, count(DISTINCT area) AS n_areas, string_agg(DISTINCT sex, ',' ORDER BY sex) AS sexes, count(DISTINCT band_idx) AS n_bands FROM source_deaths GROUP BY ALL",
+    lambda f: quality.inventory(f.source_deaths, "deaths", f.priority.where("source_indicator = 'S2'")).select("dataset", "priority", "source_indicator", "year", "cause", "n_rows", F.size("areas").alias("n_areas"), F.array_join("sexes", ",").alias("sexes"), F.size("bands").alias("n_bands")),
+    "SELECT 'deaths' AS dataset, coalesce(max(priority) FILTER (source_indicator = 'S2'), 0) AS priority, source_indicator, year, cause, count(*) AS n_rows, count(DISTINCT area) AS n_areas, string_agg(DISTINCT sex, ',' ORDER BY sex) AS sexes, count(DISTINCT band_idx) AS n_bands FROM source_deaths LEFT JOIN priority USING (source_indicator) GROUP BY source_indicator, year, cause",
 )
 
 
@@ -282,4 +292,4 @@ add(
     lambda f: r6(quality.seam_scan(f.pop.where("sex = 'HM'").groupBy("area", "year").agg(F.sum("pop").alias("value")), 0.1), "median", "iqr"),
     "s AS (SELECT area, year, sum(pop) AS value FROM pop WHERE sex = 'HM' GROUP BY ALL) --- SELECT b.year, count(*) AS n, round(quantile_cont(b.value / a.value - 1, 0.5), 6) AS median, round(quantile_cont(b.value / a.value - 1, 0.75) - quantile_cont(b.value / a.value - 1, 0.25), 6) AS iqr, count(*) FILTER (abs(b.value / a.value - 1) > 0.1) AS n_over FROM s a JOIN s b ON a.area = b.area AND b.year = a.year + 1 GROUP BY ALL",
 )
-add("Q11_disjoint_groups", lambda f: quality.causes_in_two_groups(f.source_deaths.select("cause", F.when(F.col("cause") == "LARGE", F.col("source_indicator")).otherwise("S").alias("group"))), "SELECT 'LARGE' AS cause, count(DISTINCT source_indicator) AS n_groups FROM source_deaths WHERE cause = 'LARGE'")
+add("Q11_disjoint_groups", lambda f: quality.causes_in_two_groups(f.source_deaths.select("cause", F.when(F.col("cause") == "LARGE", F.col("source_indicator")).otherwise("S").alias("group"))), "SELECT cause, count(DISTINCT CASE cause WHEN 'LARGE' THEN source_indicator ELSE 'S' END) AS n_groups FROM source_deaths GROUP BY cause HAVING n_groups > 1")

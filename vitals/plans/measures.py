@@ -9,7 +9,7 @@ from vitals.demo import CUTOFF, THIN_BIRTHS, Facts
 from vitals.functions.intervals import Z95
 from vitals.operators import annual, avoidable, breaks, geo, pooling, quality, rates
 from vitals.operators import forecast as fc
-from vitals.plans.registry import add, r6
+from vitals.plans.registry import add, limits_sql, r3, r6
 
 KEYS = ["year", "area", "sex", "cause"]
 _K = "year, area, sex, cause"
@@ -51,16 +51,26 @@ add(
     lambda f: r6(rates.crude_rate(_regions(f)), "rate"),
     "rd AS (SELECT region AS area, year, sex, cause, band_idx, sum(deaths) AS deaths FROM deaths JOIN members ON area = municipality AND vintage = 'A' GROUP BY ALL), rp AS (SELECT region AS area, year, sex, band_idx, sum(pop) AS pop FROM pop JOIN members ON area = municipality AND vintage = 'A' GROUP BY ALL) --- SELECT year, area, sex, cause, sum(deaths) AS deaths, sum(pop) AS pop, round(sum(deaths) / sum(pop) * 1e5, 6) AS rate FROM rd JOIN rp USING (area, year, sex, band_idx) GROUP BY ALL",
 )
-add("R3_poisson_limits", lambda f: r6(rates.crude_rate_limits(f.full), "rate", "lower", "upper"))
-add("R4_binomial_limits", lambda f: r6(rates.proportional_limits(f.deaths, "ALL"), "share", "lower", "upper"))
+_CR = f"cr AS (SELECT {_K}, sum(deaths) AS deaths, sum(pop) AS pop FROM fullf GROUP BY ALL), " + limits_sql("SELECT deaths AS k FROM cr")
+add("R3_poisson_limits", lambda f: r3(r6(rates.crude_rate_limits(f.full), "rate"), "lower", "upper"), _CR + f" --- SELECT {_K}, deaths, pop, round(deaths / pop * 1e5, 6) AS rate, round(lo * 1e5 / pop, 3) AS lower, round(hi * 1e5 / pop, 3) AS upper FROM cr JOIN poisson ON k = deaths")
+_BIN = f"""cc AS (SELECT {_K}, sum(deaths) AS deaths FROM deaths GROUP BY ALL),
+ pr AS (SELECT a.year, a.area, a.sex, a.cause, a.deaths, b.deaths AS all_deaths FROM cc a JOIN cc b ON a.year = b.year AND a.area = b.area AND a.sex = b.sex AND b.cause = 'ALL' WHERE a.cause <> 'ALL'),
+ bk AS (SELECT DISTINCT deaths AS k, all_deaths AS n FROM pr),
+ bh AS (SELECT k, n, CAST(side AS INTEGER) AS side, CAST(0 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b, 0 AS step FROM bk, (VALUES (0), (1)) AS v(side)
+  UNION ALL SELECT k, n, side, CASE WHEN p > CASE side WHEN 1 THEN 0.025 ELSE 0.975 END THEN m ELSE a END, CASE WHEN p > CASE side WHEN 1 THEN 0.025 ELSE 0.975 END THEN b ELSE m END, step + 1
+  FROM (SELECT *, coalesce(list_sum(list_transform(range(0, CAST(k + side AS BIGINT)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(m) + (n - i) * ln(1 - m)))), 0) AS p FROM (SELECT *, (a + b) / 2 AS m FROM bh WHERE step < 50))),
+ binomial AS (SELECT k, n, max(CASE WHEN side = 0 THEN CASE WHEN k = 0 THEN 0 ELSE (a + b) / 2 END END) AS lo, max(CASE WHEN side = 1 THEN CASE WHEN k = n THEN 1 ELSE (a + b) / 2 END END) AS hi FROM bh WHERE step = 50 GROUP BY k, n) --- """
+add("R4_binomial_limits", lambda f: r3(r6(rates.proportional_limits(f.deaths, "ALL"), "share"), "lower", "upper"), _BIN + f"SELECT {_K}, deaths, all_deaths, round(deaths / all_deaths * 100, 6) AS share, round(lo * 100, 3) AS lower, round(hi * 100, 3) AS upper FROM pr JOIN binomial ON k = deaths AND n = all_deaths")
 _DSR = "SELECT {k}, d AS deaths, CASE WHEN d >= 10 THEN round(wr / w * 1e5, 6) END AS rate, CASE WHEN d >= 10 THEN round(v / w ^ 2 * 1e10, 6) END AS variance FROM (SELECT {k}, sum(deaths) AS d, sum(weight) AS w, sum(weight * deaths / pop) AS wr, sum(weight ^ 2 * deaths / pop ^ 2) AS v FROM {t} JOIN bands USING (age_band) WHERE pop > 0 GROUP BY ALL)"
 add("R5_standardised_rate", lambda f: r6(rates.standardised_rate(f.full, f.bands), "rate", "variance"), _DSR.format(k=_K, t="fullf"))
-add("R5_standardised_limits", lambda f: r6(rates.standardised_rate_limits(f.full, f.bands), "rate", "lower", "upper"))
+_DW = "dw AS (SELECT {k}, sum(deaths) AS d, sum(weight) AS w, sum(weight * deaths / pop) AS wr, sum(weight ^ 2 * deaths / pop ^ 2) AS v FROM {t} JOIN bands USING (age_band) WHERE pop > 0 GROUP BY ALL), "
+_DL = "CASE WHEN d >= 10 THEN round(wr / w * 1e5, 6) END AS rate, CASE WHEN d >= 10 THEN round(wr / w * 1e5 + sqrt(v / w ^ 2 * 1e10 / d) * (lo - d), 3) END AS lower, CASE WHEN d >= 10 THEN round(wr / w * 1e5 + sqrt(v / w ^ 2 * 1e10 / d) * (hi - d), 3) END AS upper"
+add("R5_standardised_limits", lambda f: r3(r6(rates.standardised_rate_limits(f.full, f.bands), "rate"), "lower", "upper"), _DW.format(k=_K, t="fullf") + limits_sql("SELECT d AS k FROM dw") + f" --- SELECT {_K}, d AS deaths, {_DL} FROM dw JOIN poisson ON k = d")
 _SCOPED = "sc AS (SELECT f.*, scope FROM fullf f JOIN bands b USING (age_band), unnest(CASE WHEN b.under THEN ['total', 'under75'] ELSE ['total'] END) AS u(scope)) --- "
 add("R6_under75_rate", lambda f: r6(rates.standardised_rate(rates.scoped(f.full, f.bands), f.bands, [*KEYS, "scope"]), "rate", "variance"), _SCOPED + _DSR.format(k=_K + ", scope", t="sc"))
-_BUNDLE = f"SELECT {_K}, scope, 'crude' AS rate_type, sum(deaths) AS deaths, round(sum(deaths) / sum(pop) * 1e5, 6) AS rate FROM sc GROUP BY ALL UNION ALL SELECT {_K}, scope, 'dsr', d, CASE WHEN d >= 10 THEN round(wr / w * 1e5, 6) END FROM (SELECT {_K}, scope, sum(deaths) AS d, sum(weight) AS w, sum(weight * deaths / pop) AS wr FROM sc JOIN bands USING (age_band) WHERE pop > 0 GROUP BY ALL)"
-add("R7_observed_bundle", lambda f: r6(rates.observed_bundle(f.full, f.bands), "rate"), _SCOPED + _BUNDLE)
-add("R8_series_selection", lambda f: r6(rates.selected_series(rates.observed_bundle(f.full, f.bands), "under75", "dsr", 1996, 1999), "rate"), _SCOPED + f"SELECT {_K}, deaths, rate FROM ({_BUNDLE}) WHERE scope = 'under75' AND rate_type = 'dsr' AND year BETWEEN 1996 AND 1999")
+_BUNDLE = _SCOPED.replace(" --- ", ", ") + _DW.format(k=_K + ", scope", t="sc") + f"cs AS (SELECT {_K}, scope, sum(deaths) AS d, sum(pop) AS p FROM sc GROUP BY ALL), " + limits_sql("SELECT d AS k FROM dw UNION SELECT d FROM cs") + f", bundle AS (SELECT {_K}, scope, 'crude' AS rate_type, d AS deaths, round(d / p * 1e5, 6) AS rate, round(lo * 1e5 / p, 3) AS lower, round(hi * 1e5 / p, 3) AS upper FROM cs JOIN poisson ON k = d UNION ALL SELECT {_K}, scope, 'dsr', d, {_DL} FROM dw JOIN poisson ON k = d) --- "
+add("R7_observed_bundle", lambda f: r3(r6(rates.observed_bundle(f.full, f.bands), "rate"), "lower", "upper"), _BUNDLE + "SELECT * FROM bundle")
+add("R8_series_selection", lambda f: r3(r6(rates.selected_series(rates.observed_bundle(f.full, f.bands), "under75", "dsr", 1900, 1996), "rate"), "lower", "upper"), _BUNDLE + f"SELECT {_K}, deaths, rate, lower, upper FROM bundle WHERE scope = 'under75' AND rate_type = 'dsr' AND year BETWEEN 1900 AND 1996")
 _LOST = f"SELECT {_K}, coalesce(sum(deaths * greatest({CUTOFF} - mid, 0)), 0) AS ypll, coalesce(sum(deaths) FILTER (mid < {CUTOFF}), 0) AS premature, coalesce(sum(deaths * greatest({CUTOFF} - mid, 0) ^ 2), 0) AS variance FROM deaths JOIN bands USING (age_band) GROUP BY ALL"
 add("R9_years_lost", lambda f: rates.years_lost(f.deaths, f.bands, CUTOFF), _LOST)
 add(
@@ -68,8 +78,13 @@ add(
     lambda f: rates.split_youngest(f.full.select(*KEYS, "age_band", "deaths", "pop"), f.infant, KEYS, "0 - 4"),
     f"i AS (SELECT {_K}, deaths AS u FROM infant), j AS (SELECT f.*, i.u FROM fullf f LEFT JOIN i USING ({_K})) --- SELECT {_K}, age_band, deaths, pop FROM j WHERE age_band <> '0 - 4' OR u IS NULL UNION ALL SELECT {_K}, '< 1 ano', greatest(least(u, deaths), 0), NULL FROM j WHERE age_band = '0 - 4' AND u IS NOT NULL UNION ALL SELECT {_K}, '1 - 4 anos', deaths - greatest(least(u, deaths), 0), NULL FROM j WHERE age_band = '0 - 4' AND u IS NOT NULL",
 )
-add("R11_years_lost_limits", lambda f: r6(rates.years_lost_limits(f.deaths, f.bands, CUTOFF), "lower", "upper"))
-add("R12_death_counts", lambda f: r6(rates.death_counts(f.deaths), "lower", "upper"))
+add(
+    "R11_years_lost_limits",
+    lambda f: r3(rates.years_lost_limits(f.deaths, f.bands, CUTOFF), "lower", "upper"),
+    f"yl AS ({_LOST}), " + limits_sql("SELECT premature AS k FROM yl") + f" --- SELECT {_K}, ypll, CASE WHEN k > 0 AND variance > 0 THEN round(greatest(ypll + sqrt(variance / k) * (lo - k), 0), 3) ELSE 0 END AS lower, round(CASE WHEN k > 0 AND variance > 0 THEN ypll + sqrt(variance / k) * (hi - k) ELSE ypll END, 3) AS upper FROM yl JOIN poisson ON k = premature",
+)
+_DC = f"dc AS (SELECT {_K}, sum(deaths) AS deaths FROM deaths GROUP BY ALL), " + limits_sql("SELECT deaths AS k FROM dc")
+add("R12_death_counts", lambda f: r3(rates.death_counts(f.deaths), "lower", "upper"), _DC + f" --- SELECT {_K}, deaths, round(lo, 3) AS lower, round(hi, 3) AS upper FROM dc JOIN poisson ON k = deaths")
 add("R13_proportional", lambda f: r6(rates.proportional(f.deaths, "ALL"), "share"), f"c AS (SELECT {_K}, sum(deaths) AS deaths FROM deaths GROUP BY ALL) --- SELECT a.year, a.area, a.sex, a.cause, a.deaths, b.deaths AS all_deaths, round(a.deaths / b.deaths * 100, 6) AS share FROM c a JOIN c b ON a.year = b.year AND a.area = b.area AND a.sex = b.sex AND b.cause = 'ALL' WHERE a.cause <> 'ALL'")
 
 
@@ -78,7 +93,8 @@ def _infant_all(f: Facts) -> DataFrame:
 
 
 add("R14_infant_rate", lambda f: r6(rates.infant_rate(_infant_all(f), f.births, ["year", "area"], THIN_BIRTHS), "rate"), f"SELECT year, area, i.deaths, b.births, round(i.deaths / b.births * 1000, 6) AS rate, CASE WHEN b.births < {THIN_BIRTHS} THEN '*' ELSE '' END AS flag, CAST(NULL AS VARCHAR) AS note FROM infant i LEFT JOIN births b USING (year, area) WHERE sex = 'HM' AND cause = 'ALL'")
-add("R14_infant_limits", lambda f: r6(rates.infant_rate_limits(_infant_all(f), f.births, ["year", "area"], THIN_BIRTHS), "rate", "lower", "upper"))
+_IR = "ir AS (SELECT year, area, i.deaths, b.births FROM infant i LEFT JOIN births b USING (year, area) WHERE sex = 'HM' AND cause = 'ALL'), " + limits_sql("SELECT deaths AS k FROM ir")
+add("R14_infant_limits", lambda f: r3(r6(rates.infant_rate_limits(_infant_all(f), f.births, ["year", "area"], THIN_BIRTHS), "rate"), "lower", "upper"), _IR + f" --- SELECT year, area, deaths, births, round(deaths / births * 1000, 6) AS rate, CASE WHEN births < {THIN_BIRTHS} THEN '*' ELSE '' END AS flag, CAST(NULL AS VARCHAR) AS note, round(lo * 1000 / births, 3) AS lower, round(hi * 1000 / births, 3) AS upper FROM ir JOIN poisson ON k = deaths")
 _WIN = "yrs AS (SELECT DISTINCT year FROM pop), win AS (SELECT a.year, b.year AS sy FROM yrs a JOIN yrs b ON b.year BETWEEN a.year - 1 AND a.year + 1), "
 add(
     "R15_infant_count",
@@ -108,7 +124,9 @@ _SMR = f"""CASE WHEN expected > 0 THEN round(observed / expected * 100, 6) END A
  CASE WHEN expected > 0 AND observed >= 10 THEN round((observed + 1) * (1 - 1 / (9 * (observed + 1)) + {Z95} / (3 * sqrt(observed + 1))) ^ 3 / expected * 100, 6) END AS smr_upper,
  CASE WHEN expected > 0 THEN round(observed / expected * ref_rate * 1e5, 6) END AS isr, CASE WHEN bands_used = 0 THEN 'no data' WHEN expected <= 0 THEN 'no deaths expected' END AS note"""
 add("P5_smr", lambda f: r6(pooling.smr(_expected(f)).select(*KEYS, "observed", "smr", "smr_lower", "smr_upper", "isr", "note"), "smr", "smr_lower", "smr_upper", "isr"), _EXPECTED + f"SELECT {_K}, observed, {_SMR} FROM ex")
-add("P5_smr_exact", lambda f: r6(pooling.smr_exact(_expected(f)).select(*KEYS, "observed", "smr", "smr_lower", "smr_upper"), "smr", "smr_lower", "smr_upper"))
+_EXACT = _EXPECTED.replace(" --- ", ", ") + limits_sql("SELECT observed AS k FROM ex") + f", xe AS (SELECT {_K}, observed, expected, lo, hi, {_SMR} FROM ex JOIN poisson ON k = observed) --- "
+_SIDES = ", ".join(f"round(coalesce(smr_{a}, CASE WHEN expected > 0 THEN {b} / expected * 100 END), 3) AS {{{a}}}" for a, b in (("lower", "lo"), ("upper", "hi")))
+add("P5_smr_exact", lambda f: r3(r6(pooling.smr_exact(_expected(f)).select(*KEYS, "observed", "smr", "smr_lower", "smr_upper"), "smr"), "smr_lower", "smr_upper"), _EXACT + f"SELECT {_K}, observed, smr, {_SIDES.format(lower='smr_lower', upper='smr_upper')} FROM xe")
 _CLASS = "CASE WHEN smr_lower IS NULL THEN NULL WHEN smr_lower > 100 THEN 'above' WHEN smr_upper < 100 THEN 'below' ELSE 'no significant difference' END"
 add("P6_smr_class", lambda f: pooling.smr_series(f.full, "NATION_1", KEYS).groupBy("class").agg(F.count(F.lit(1)).alias("n")), _EXPECTED + f"SELECT {_CLASS} AS class, count(*) AS n FROM (SELECT {_K}, {_SMR} FROM ex) GROUP BY ALL")
 add("P7_smr_series", lambda f: r6(pooling.smr_series(f.full, "NATION_1", KEYS).select(*KEYS, "smr", "class"), "smr"), _EXPECTED + f"SELECT {_K}, smr, {_CLASS} AS class FROM (SELECT {_K}, {_SMR} FROM ex)")
@@ -149,8 +167,10 @@ add("C1_annual_ypll", lambda f: _annual(f, "ypll"), _HM + _ROW.format(m="ypll",
 add("C1_annual_infant", lambda f: r6(_annual(f, "infant"), "value"), " --- " + _ROW.format(m="infant", v="round(deaths / births * 1000, 6)", f=f"CASE WHEN births < {THIN_BIRTHS} THEN '*' ELSE '' END", t="infant LEFT JOIN births USING (year, area) WHERE sex = 'HM'"))
 add("C1_annual_infant_deaths", lambda f: _annual(f, "infant_deaths"), " --- " + _ROW.format(m="infant_deaths", v="deaths", f="''", t="infant WHERE sex = 'HM'"))
 add("C1_annual_proportional", lambda f: r6(_annual(f, "proportional"), "value"), "c AS (SELECT year, area, cause, sum(deaths) AS d FROM fullf WHERE sex = 'HM' GROUP BY ALL), x AS (SELECT a.year, a.area, a.cause, a.d / b.d * 100 AS s FROM c a JOIN c b ON a.year = b.year AND a.area = b.area AND b.cause = 'ALL' AND a.cause <> 'ALL') --- " + _ROW.format(m="proportional", v="round(s, 6)", f="''", t="x"))
-for _m in ("dsr", "smr", "isr"):
-    add(f"C1_annual_{_m}_limits", lambda f, m=_m: r6(_annual(f, m, True), "value", "lower", "upper"))
+add("C1_annual_dsr_limits", lambda f: r3(r6(_annual(f, "dsr", True), "value"), "lower", "upper"), "hm AS (SELECT * FROM fullf WHERE sex = 'HM'), " + _DW.format(k="year, area, cause", t="hm") + limits_sql("SELECT d AS k FROM dw") + f" --- SELECT area AS location, cause, 'dsr' AS metric, year, rate AS value, lower, upper, '' AS flag FROM (SELECT year, area, cause, {_DL} FROM dw JOIN poisson ON k = d)")
+_HMX = _EXACT.replace("FROM fullf", "FROM (SELECT * FROM fullf WHERE sex = 'HM')")
+add("C1_annual_smr_limits", lambda f: r3(r6(_annual(f, "smr", True), "value"), "lower", "upper"), _HMX + f"SELECT area AS location, cause, 'smr' AS metric, year, smr AS value, {_SIDES.format(lower='lower', upper='upper')}, '' AS flag FROM xe")
+add("C1_annual_isr_limits", lambda f: r3(r6(_annual(f, "isr", True), "value"), "lower", "upper"), _HMX + "SELECT area AS location, cause, 'isr' AS metric, year, isr AS value, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, '' AS flag FROM xe")
 add("C2_comparators", lambda f: annual.comparators(f.pop.select("area").distinct(), "NATION", "MAINLAND", geo.members(f.lookup).where("vintage = 'A'"), "selection"), "SELECT DISTINCT 'selection' AS label, area FROM pop UNION SELECT 'MAINLAND', municipality FROM members WHERE vintage = 'A' AND region = 'MAINLAND' UNION SELECT 'NATION', 'NATION'")
 
 
@@ -161,7 +181,8 @@ def _one_year(f: Facts, metric: str = "deaths", limits: bool = False) -> DataFra
 _MX = "h AS (SELECT area AS location, cause, sum(deaths) AS v FROM fullf WHERE sex = 'HM' AND year = 1997 AND area IN ('NATION_1', 'NATION_2', 'NATION_3') GROUP BY ALL), o AS (SELECT cause, row_number() OVER (ORDER BY v DESC, cause) AS rank FROM h WHERE location = 'NATION_2') --- "
 add("C3_cause_order", lambda f: annual.cause_order(_one_year(f), "NATION_2"), _MX + "SELECT cause, rank FROM o")
 add("C4_matrix", lambda f: annual.matrix(_one_year(f), ["NATION_1", "NATION_2", "NATION_3"], "NATION_2"), _MX + "SELECT cause, max(format('{:.2f}', v)) FILTER (location = 'NATION_1') AS NATION_1, max(format('{:.2f}', v)) FILTER (location = 'NATION_2') AS NATION_2, max(format('{:.2f}', v)) FILTER (location = 'NATION_3') AS NATION_3, any_value(rank) AS rank FROM h JOIN o USING (cause) GROUP BY cause")
-add("C4_matrix_limits", lambda f: annual.matrix(_one_year(f, "crude", True), ["NATION_1", "NATION_2", "NATION_3"], "NATION_2"))
+_ML = "h AS (SELECT area AS location, cause, sum(deaths) AS d, sum(pop) AS p FROM fullf WHERE sex = 'HM' AND year = 1997 AND area IN ('NATION_1', 'NATION_2', 'NATION_3') GROUP BY ALL), " + limits_sql("SELECT d AS k FROM h") + ", t AS (SELECT *, format('{:.2f} ({:.2f}; {:.2f})', round_even(d / p * 1e5, 2), round_even(lo / p * 1e5, 2), round_even(hi / p * 1e5, 2)) AS v FROM h JOIN poisson ON k = d), o AS (SELECT cause, row_number() OVER (ORDER BY d / p DESC, cause) AS rank FROM h WHERE location = 'NATION_2') --- "
+add("C4_matrix_limits", lambda f: annual.matrix(_one_year(f, "crude", True), ["NATION_1", "NATION_2", "NATION_3"], "NATION_2"), _ML + "SELECT cause, " + ", ".join(f"max(v) FILTER (location = 'NATION_{k}') AS NATION_{k}" for k in (1, 2, 3)) + ", any_value(rank) AS rank FROM t JOIN o USING (cause) GROUP BY cause")
 
 
 def _sourced(f: Facts) -> DataFrame:
@@ -174,6 +195,27 @@ add("C6_footnote", lambda f: annual.needs_footnote(_annual(f, "infant").unionByN
 _FL = "fl AS (SELECT series_id, arg_min(value, year) AS f, arg_max(value, year) AS l, min(year) AS a, max(year) AS b FROM series GROUP BY ALL) --- "
 add("C7_observed_summary", lambda f: r6(annual.observed_summary(f.series, ["series_id"]), "first", "last", "change", "percent"), _FL + "SELECT series_id, round(f, 6) AS first, round(l, 6) AS last, a AS first_year, b AS last_year, round(l - f, 6) AS change, CASE WHEN f <> 0 THEN round((l - f) / f * 100, 6) END AS percent FROM fl")
 
+
+
+def _rated(f: Facts) -> DataFrame:
+    rows = rates.crude_rate_limits(f.full.where("sex = 'HM'"), ["area", "cause", "year"])
+    return rows.select("area", "cause", "year", F.col("rate").alias("value"), "lower", "upper")
+
+
+def _named_sources(f: Facts) -> DataFrame:
+    listed = lambda df, keys, name: df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("source_indicator")), ", ").alias(name))
+    return listed(f.source_deaths, ["area", "cause"], "death_source").join(listed(f.source_pop, ["area"], "population_source"), "area")
+
+
+add(
+    "C7_summary_with_limits",
+    lambda f: r3(r6(annual.observed_summary(_rated(f).where("cause <> 'ALL'"), ["area", "cause"], _named_sources(f)), "first", "last", "change", "percent"), "last_lower", "last_upper"),
+    "h AS (SELECT area, cause, year, sum(deaths) AS d, sum(pop) AS p FROM fullf WHERE sex = 'HM' AND cause <> 'ALL' GROUP BY ALL), "
+    + limits_sql("SELECT d AS k FROM h")
+    + ", x AS (SELECT *, d / p * 1e5 AS v FROM h JOIN poisson ON k = d), sd AS (SELECT area, cause, string_agg(DISTINCT source_indicator, ', ' ORDER BY source_indicator) AS death_source FROM source_deaths GROUP BY ALL), sp AS (SELECT area, string_agg(DISTINCT source_indicator, ', ' ORDER BY source_indicator) AS population_source FROM source_pop GROUP BY ALL), s AS (SELECT area, cause, arg_min(v, year) AS f, arg_max(v, year) AS l, min(year) AS a, max(year) AS b, arg_max(lo / p * 1e5, year) AS ll, arg_max(hi / p * 1e5, year) AS lu FROM x GROUP BY ALL) --- "
+    + "SELECT area, cause, round(ll, 3) AS last_lower, round(lu, 3) AS last_upper, round(f, 6) AS first, round(l, 6) AS last, a AS first_year, b AS last_year, round(l - f, 6) AS change, CASE WHEN f <> 0 THEN round((l - f) / f * 100, 6) END AS percent, population_source, death_source FROM s LEFT JOIN sd USING (area, cause) LEFT JOIN sp USING (area)",
+)
+
 # ---- forecasts
 
 H, MODELS, QUICK = 5, ["naive", "drift", "theta", "holt", "holt_damped", "ets"], ["naive", "drift"]
@@ -257,7 +299,7 @@ add("J8_full_join", lambda f: fc.observed_and_forecast(f.series, fc.naive(fc.arr
 
 
 def _found(f: Facts) -> DataFrame:
-    return breaks.breakpoints(f.daily)
+    return breaks.chosen_breaks(f.daily)
 
 
 add("B1_breakpoints", lambda f: r6(_found(f).withColumn("breaks", F.array_join(F.col("breaks").cast("array<string>"), ",")), "rss", "bic"))
@@ -265,4 +307,4 @@ _SEG = "s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY year)
 add("B1_segment_costs", lambda f: breaks.segment_costs(f.daily).withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int"), "rss": F.round("rss", 4) + 0.0}), _SEG)
 add("B2_segments", lambda f: r6(breaks.segments(f.daily, _found(f)), "mean", "slope"))
 add("B3_breaks_on_seams", lambda f: breaks.on_seams(breaks.segments(f.series, breaks.breakpoints(f.series, 0.4, 2, False)), f.seams))
-add("B4_break_class", lambda f: _found(f).select("series_id", breaks.break_class(F.col("n_breaks")).alias("class")))
+add("B4_break_class", lambda f: _found(f).select("series_id", breaks.break_class(F.col("n_breaks")).alias("class"), "model"))

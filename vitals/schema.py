@@ -106,3 +106,6 @@ def seams(spark: SparkSession) -> DataFrame:
 
 def priorities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRIORITIES, "dataset string, source_indicator string, priority int")
+
+#: Metrics that divide by the population.
+RATE_METRICS = ["crude", "dsr", "smr", "isr"]
