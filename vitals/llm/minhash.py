@@ -34,7 +34,7 @@ ROWS, MISS = 6, 5e-8
 LOW, TIE = 20, 12
 PLACES = 1 << LOW
 #: Classes, and shingles, that one side of a comparison holds at most (about).
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
 
 _orders: dict[int, np.ndarray] = {}
 
@@ -163,9 +163,13 @@ def links(left: np.ndarray, right: np.ndarray, shingles: np.ndarray, owner: np.n
             on = side_r[o] >= 0
             y[side_r[o[on]], c[on]] = 1
         common += x @ y.T
-    union = sizes[left][:, None] + sizes[right][None, :] - common
-    a, b = np.nonzero((100 * common >= percent * union) & (common > 0))
-    return left[a], right[b]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(0, len(left), 256):
+        part = common[k : k + 256]
+        union = sizes[left[k : k + 256]][:, None] + sizes[right][None, :] - part
+        a, b = np.nonzero((100 * part >= percent * union) & (part > 0))
+        found.append((left[k + a], right[b]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +251,7 @@ def near_duplicates(
     some = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
     one = saved(some.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("set")).select("doc_id", "set.*"))
     classes = saved(one.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")))
-    member = saved(spread_join(one, classes, key, ["doc_id"]).select("doc_id", "class_id"))
+    member = spread_join(one, classes, key, ["doc_id"]).select("doc_id", "class_id")
     heads = some.join(classes.select(*key, F.col("class_id").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id"])
     heads = saved(heads.select(F.col("doc_id").alias("id"), *key, "bands"))
 
@@ -260,7 +264,8 @@ def near_duplicates(
     sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     sizes = sizes.select("component", F.ceil(F.greatest(F.col("n") / block_rows, F.col("s") / block_shingles)).alias("blocks"))
     placed = loose.join(sizes, "component").select("id", F.col("component").alias("k1"), "blocks", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.lit(0)).alias("block"))
-    sets = saved(shingle_sets(text.withColumnRenamed("doc_id", "id").join(loose.select("id", "h1", "h2"), "id"), n).dropDuplicates(["id"]))
+    # by a merge at every size: texts are no side to broadcast to, and few ids wouldn't stay few
+    sets = saved(shingle_sets(text.withColumnRenamed("doc_id", "id").join(loose.select("id", "h1", "h2").hint("merge"), "id"), n).dropDuplicates(["id"]))
 
     # every block with block 0: the whole of a cluster that fits one block
     first_pairs = sizes.select(F.col("component").alias("p1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k3")).select("p1", F.lit(0).cast("long").alias("k2"), "k3")
@@ -271,7 +276,7 @@ def near_duplicates(
     joined = connected_components(found)
 
     named = classes.select("class_id", "n").join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
-    named = saved(named.select("class_id", "n", F.coalesce("component", "class_id").alias("component_id")))
+    named = named.select("class_id", "n", F.coalesce("component", "class_id").alias("component_id"))
     out = spread_join(member, named, ["class_id"], ["doc_id"]).select("doc_id", "class_id", "component_id")
     return (
         prints.select("doc_id", "n_shingles")
@@ -280,7 +285,7 @@ def near_duplicates(
     )
 
 
-def _closer(sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+def _closer(sets: DataFrame, own: DataFrame, percent: int, most: int) -> DataFrame:
     """(id, k1): the sets of clusters (id, k1, c) that may still be linked over the components c, in new clusters.
 
     Two sets with percent in common share one of the first |set| - percent |set| + 1 shingles
@@ -290,11 +295,11 @@ def _closer(sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """
     rows = own.join(sets, "id").select("k1", "id", "c", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
     common = saved(rows.groupBy("k1", "s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")))
-    ranked = spread_join(rows, common, ["k1", "s"], ["id"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "s")))
+    ranked = spread_join(rows, common, ["k1", "s"], ["id"], at_most=most).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "s")))
     least = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100) - F.lit(1e-9)) + 1
     first = saved(ranked.where((F.col("rank") <= least) & (F.col("lo") != F.col("hi"))).select("k1", "s", "id", "c"))
     lists = first.groupBy("k1", "s").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    tied = spread_join(first.select("k1", "s", "id"), saved(lists.select("k1", "s", "pivot", "n")), ["k1", "s"], ["id"])
+    tied = spread_join(first.select("k1", "s", "id"), saved(lists.select("k1", "s", "pivot", "n")), ["k1", "s"], ["id"], at_most=most)
     return connected_components(tied.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component", "k1")
 
 
@@ -306,18 +311,21 @@ def _rest(sets: DataFrame, large: DataFrame, found: DataFrame, percent: int, blo
     """
     done = connected_components(found)
     own = saved(large.join(done, "id", "left").select("id", "k1", F.coalesce("component", "id").alias("c")))
-    close = _closer(sets, own, percent)
+    most = own.count()
+    mixed = own.groupBy("k1").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k1")
+    own = own.join(mixed, "k1", "left_semi")
+    close = _closer(sets, own, percent, most)
     sized = saved(close.join(own.select("id", "c"), "id").join(sets.select("id", F.size("shingles").cast("long").alias("size")), "id"))
     many = F.ceil(F.greatest(F.col("n") / block_rows, F.col("s") / block_shingles))
     sums = (F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     # a component of some size has blocks of its own; the others share blocks (`of` is null)
-    within = saved(sized.groupBy("k1", "c").agg(*sums).select("k1", "c", "n", (F.col("n") >= block_rows // 4).alias("own"), many.alias("blocks")))
-    seen = saved(spread_join(sized, within, ["k1", "c"], ["id"]).select("id", "k1", "c", "size", "own", "blocks"))
-    shared = saved(seen.where("NOT own").groupBy("k1").agg(*sums).select("k1", "n", many.alias("blocks")))
+    within = (sized.groupBy("k1", "c").agg(*sums).select("k1", "c", "n", (F.col("n") >= block_rows // 4).alias("own"), many.alias("blocks")))
+    seen = saved(spread_join(sized, within, ["k1", "c"], ["id"], at_most=most).select("id", "k1", "c", "size", "own", "blocks"))
+    shared = seen.where("NOT own").groupBy("k1").agg(*sums).select("k1", "n", many.alias("blocks"))
     number = lambda: F.xxhash64(F.coalesce("of", F.lit(-1).cast("long")), F.col("of").isNull(), "part")
     alone = seen.where("own").select("id", "k1", F.col("c").alias("of"), "blocks")
-    mixed = spread_join(seen.where("NOT own").select("id", "k1"), shared, ["k1"], ["id"]).select("id", "k1", F.lit(None).cast("long").alias("of"), "blocks")
-    placed = saved(alone.unionByName(mixed).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "k1", number().alias("block")))
+    others = spread_join(seen.where("NOT own").select("id", "k1"), shared, ["k1"], ["id"], at_most=most).select("id", "k1", F.lit(None).cast("long").alias("of"), "blocks")
+    placed = (alone.unionByName(others).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "k1", number().alias("block")))
     blocks = within.where("own").select("k1", F.col("c").alias("of"), "blocks").unionByName(shared.select("k1", F.lit(None).cast("long").alias("of"), "blocks"))
     listed = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("k1", "of", number().alias("block"))
     other = listed.select(F.col("k1").alias("p1"), F.col("of").alias("of3"), F.col("block").alias("k3"))

@@ -32,8 +32,9 @@ SIMILARITY = 0.8
 #: length that are tied to their first holder. The first is the shortest passage: of that
 #: every run, under as many hash functions as must agree.
 RUNS = ((PASSAGE - SHINGLE + 1, 1), (32, 4), (23, 4), (12, 3), (1, 1))
-#: Keys held by this many of the sampled documents, and by one in so many of them, are dealt by their runs.
-HOT, HOT_SHARE, HOT_SAMPLE = 8, 5000, 64
+#: Keys are dealt by their runs that one in HOT_SHARE of the sampled documents holds and HOT
+#: of them at least, or that by the sample have HOT_ROWS windows: a task holds fewer of a key.
+HOT, HOT_SHARE, HOT_ROWS, HOT_SAMPLE = 8, 100, 2_000_000, 64
 #: Shingles to which the ends of a source's slice are rounded.
 ROUND = 64
 _WIDE = (1 << 12) - 1
@@ -243,8 +244,8 @@ _WINDOWS = ", ".join(f"`{c}` long" for c in _WINDOW)
 def hot_keys(docs: DataFrame, hashes: int = HASHES, sample: int = HOT_SAMPLE, hot: int = HOT) -> np.ndarray:
     """Keys of windows that very many documents hold, estimated from one document in `sample`.
 
-    Only how rows are dealt depends on it. Each key stands in one of HOT_SHARE sampled
-    documents or more, so there are at most HOT_SHARE times the windows of a document.
+    Only how rows are dealt depends on it. There are at most HOT_SHARE times the windows of a
+    document, and one for HOT_ROWS windows of all documents (8 MB for 2 * 10^12 windows).
     """
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0)
 
@@ -258,7 +259,7 @@ def hot_keys(docs: DataFrame, hashes: int = HASHES, sample: int = HOT_SAMPLE, ho
     seen = some.mapInArrow(find, "key long, id long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     seen = saved(seen.where((F.col("n") >= hot) | F.col("key").isNull()))
     total = seen.where("key IS NULL").agg(F.max("n").alias("n")).first()["n"] or 0
-    return np.sort(np.array([r["key"] for r in seen.where(F.col("key").isNotNull() & (F.col("n") * HOT_SHARE >= total)).collect()], np.int64))
+    return np.sort(np.array([r["key"] for r in seen.where(F.col("key").isNotNull() & (F.col("n") >= min(total / HOT_SHARE, HOT_ROWS / sample))).collect()], np.int64))
 
 
 def window_links(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH, hot: np.ndarray | None = None) -> DataFrame:
@@ -378,7 +379,8 @@ def candidates(links: DataFrame, enough: int = ENOUGH) -> DataFrame:
 def _spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, spans, text): wanted spans (doc_id, from, to) of each document, each once, with its text."""
     listed = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    return docs.join(listed, "doc_id").select("doc_id", "spans", "text")
+    # by a merge at every size: texts are no side to broadcast to, and few spans wouldn't stay few
+    return docs.join(listed.hint("merge"), "doc_id").select("doc_id", "spans", "text")
 
 
 def _cuts(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -50,24 +50,29 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A key with this share of the rows, or more, is dealt in parts of about that share each.
-SHARE = 1000
+#: A key with this share of the rows, or more, is dealt in parts of about that share each, if
+#: it has as many rows as one task should not take.
+SHARE, LEAST = 1000, 50_000
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], n: str = "n") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], n: str = "n", at_most: int | None = None) -> DataFrame:
     """rows joined with table, which has each key once and the number n of its rows, however many rows one key has.
 
     A key with a thousandth of the rows or more is dealt, by the columns `by`, in as many parts
     as it has thousandths, and its row of the table goes to each part. At most SHARE keys can
     be so common, so that many keys are broadcast and twice as many rows of the table copied,
-    whatever the input. Both sides are read more than once: save them where that is dear.
+    whatever the input. The table is read more than once: save it where that is dear. at_most:
+    a number of rows that no key exceeds, where one is known.
     """
+    if at_most is not None and at_most < LEAST:
+        return rows.join(table, keys)
     r = table.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
     total = r["total"] or 0
-    if (r["most"] or 0) * SHARE < total:
+    if (r["most"] or 0) < max(LEAST, total / SHARE):
         return rows.join(table, keys)
-    parts = F.ceil(F.col(n) * SHARE / F.lit(float(max(total, 1)))).cast("int")
-    hot = table.where(F.col(n) * SHARE >= total).select(*keys, parts.alias("_parts"))
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    copies = F.when(F.col(n) * SHARE >= total, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    return dealt.join(table.withColumn("_part", F.explode(copies)), [*keys, "_part"]).drop("_part")
+    common = (F.col(n) * SHARE >= total) & (F.col(n) >= LEAST)
+    hot = table.where(common).withColumn("_parts", F.ceil(F.col(n) * SHARE / F.lit(float(total))).cast("int"))
+    named = F.broadcast(hot.select(*keys, "_parts"))
+    dealt = rows.join(named, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copies.unionByName(table.where(~common).withColumn("_part", F.lit(0))), [*keys, "_part"]).drop("_part")
