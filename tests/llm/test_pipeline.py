@@ -66,3 +66,18 @@ def test_stages_against_brute_force(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     texts = {r["doc_id"]: r["text"] for r in now.collect()}
     assert {r["doc_id"]: r["doc_tokens"] for r in packed} == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+
+
+def test_stages_of_nothing_and_with_more_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n long, key string, hash string, spans string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, "a b c", "en", "s", 5, True, 1, "k", "h", "x"), (2, "a b  c", "en", "s", 6, True, 1, "k", "h", "x"), (None, None, "en", "s", None, None, 1, "k", "h", "x"), (4, "", "en", "s", 0, False, 1, "k", "h", "x")]
+    for docs in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.schema.simpleString() == docs.schema.simpleString()
+            docs = out
+        left = sorted((r["doc_id"] is None, r["doc_id"]) for r in docs.collect())
+        assert left in ([], [(False, 1), (False, 4), (True, None)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -43,6 +43,15 @@ def test_licenses_against_brute_force(spark):
     assert got[3][5] == "isc" and got[4][5] == "bsd"
 
 
+def test_notices_of_any_length(spark):
+    """A notice of 170 words, and one of 700, whole or with a tenth of the words gone."""
+    long = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 170), ("b", 700))]
+    texts = ["x " * 50 + long[0] + " y" * 500, " ".join(long[1].split()[70:]), " ".join(long[0].split()[:120]), "z " * 3000 + long[1]]
+    given = (("one", long[0]), ("two", long[1]))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(frame(spark, list(enumerate(texts))), given=given).collect()}
+    assert got == {0: ("one", 1.0), 1: ("two", 0.9), 2: ("", 0.0), 3: ("two", 1.0)}
+
+
 def test_license_edge_cases(spark):
     assert licenses.license_scan(frame(spark, [])).count() == 0
     got = licenses.license_scan(frame(spark, [(1, "MIT License"), (1, "MIT License"), (None, "MIT License"), (1, "other")])).collect()

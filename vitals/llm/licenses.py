@@ -33,7 +33,7 @@ NOTICES = (
     ("all-rights-reserved", "Copyright. All rights reserved. No part may be reproduced without permission"),
 )
 THRESHOLD = 0.8
-#: A block is twice as long as these steps, and begins at each of their multiples.
+#: A block is twice as long as a step, and begins at each of its multiples; longer notices have steps of twice the last, four times, and so on.
 STEPS = (16, 80)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z are lower-cased.
@@ -51,9 +51,10 @@ def notices(given: tuple[tuple[str, str], ...] = NOTICES, threshold: float = THR
     for k, (label, text) in enumerate(given):
         t = tokens(text)
         words = len(re.findall(WORD, text.lower()))
-        if words > STEPS[-1]:
-            raise ValueError(f"notice {k} is longer than {STEPS[-1]} words")
-        out.append({"notice": k, "label": label, "tokens": t, "need": math.ceil(threshold * len(t) - 1e-9), "step": next(s for s in STEPS if words <= s)})
+        step = next((s for s in STEPS if words <= s), STEPS[-1])
+        while step < words:
+            step *= 2
+        out.append({"notice": k, "label": label, "tokens": t, "need": math.ceil(threshold * len(t) - 1e-9), "step": step})
     return out
 
 
@@ -115,7 +116,7 @@ def notice_matches(text: DataFrame, known: list[dict]) -> DataFrame:
 
     maybe = text.where(F.col("text").rlike(_any_of(sorted({p[0] for p in prefixes}))))
     placed = maybe.select("key", F.posexplode(_words(F.col("text"))).alias("at", "token")).join(order, "token")
-    step = F.explode(F.array(*(F.lit(s) for s in STEPS))).alias("step")
+    step = F.explode(F.array(*(F.lit(s) for s in sorted({n["step"] for n in known})))).alias("step")
     blocks = placed.select("key", "at", "token", "rank", step).withColumn("block", F.explode(F.array(F.floor(F.col("at") / F.col("step")), F.floor(F.col("at") / F.col("step")) - 1))).where("block >= 0")
     blocks = blocks.groupBy("key", "step", "block").agg(F.sort_array(F.collect_set(F.struct("rank", "token"))).alias("held"))
     # prefix filter: block tokens by the notices' prefixes, each block and notice once, at the first token they share
@@ -137,7 +138,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (null without one). labels adds those of the notices that a block matches. score is 1
     with a phrase, else the best containment of a matching notice, else 0.
 
-    A null or empty text has no words, no labels and score 0. Repeated rows get equal results;
+    A null or empty text has no words, no labels and score 0; a very long text is worked on in
+    blocks. Repeated rows get equal results; of blocks that tie for a notice any stands for it;
     a null id stays null; other columns are left out; an empty table gives an empty table.
     Texts stay where they are read: what is shuffled are the notice words of the few texts
     with a rare notice word, and one row per document.
@@ -173,7 +175,7 @@ def license_sql() -> str:
         p AS ({places}),
         n(label, tokens, need, step) AS (VALUES {rows}),
         b AS (SELECT key, s.step, list_distinct(words[k * s.step + 1 : k * s.step + 2 * s.step]) AS held
-              FROM w, (VALUES {', '.join(f'({s})' for s in STEPS)}) AS s(step), unnest(range(0, (len(words) - 1) // s.step + 1)) AS u(k)),
+              FROM w, (SELECT DISTINCT step FROM n) AS s, unnest(range(0, (len(words) - 1) // s.step + 1)) AS u(k)),
         m AS (SELECT key, label, max(len(list_intersect(held, tokens)) / len(tokens)) AS c FROM b JOIN n USING (step)
               WHERE len(list_intersect(held, tokens)) >= need GROUP BY key, label),
         pp AS (SELECT key, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY key),
