@@ -154,7 +154,9 @@ def smoothed(fleet: DataFrame, model: str) -> DataFrame:
     """
     v, n = F.col("values"), F.col("n")
     tried = lambda points: F.array_min(F.transform(points, lambda p: F.struct(_smooth(v, n, p)["sse"].alias("sse"), p.alias("p"))))
-    best = _ok(fleet).withColumn("p", tried(_points(model))["p"])
+    # little data and much work a row: kept on as many tasks as there are partitions, not joined into one
+    many = int(fleet.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = _ok(fleet).repartition(many, "series_id").withColumn("p", tried(_points(model))["p"])
     for width in WIDTHS:
         best = best.withColumn("p", tried(_points(model, F.col("p"), width))["p"])
     best = best.select("series_id", "years", "values", "n", "p", _smooth(v, n, F.col("p")).alias("state"))

@@ -240,8 +240,40 @@ add(
 )
 add("F3_naive", lambda f: r6(fc.naive(fc.arrays(f.series), H), *BOUNDS), _LAST + _FC + "nv")
 add("F4_drift", lambda f: r6(fc.drift(fc.arrays(f.series), H), *BOUNDS), _LAST + _FC + "dr")
+
+
+def _fit_sql(model: str) -> str:
+    """Tables r0, r1, ... of a model's runs over the grid and the finer points, and `fit_<model>`: series_id, v, n, y, al, be, ph, l, b, sse, aicc."""
+    out, points = [], ", ".join(f"({a}, {b}, {p})" for a, b, p in fc.GRID[model])
+    source = f"(SELECT sa.*, g.* FROM sa, (VALUES {points}) AS g(al, be, ph))"
+    for k in range(len(fc.WIDTHS) + 1):
+        run, best = f"{model}_r{k}", f"{model}_b{k}"
+        out.append(
+            f"{run} AS (SELECT series_id, v, n, y, CAST(al AS DOUBLE) AS al, CAST(be AS DOUBLE) AS be, CAST(ph AS DOUBLE) AS ph, 2 AS t, v[1] AS l, CASE WHEN ph > 0 THEN v[2] - v[1] ELSE 0.0 END AS b, CAST(0 AS DOUBLE) AS sse FROM {source}"
+            f" UNION ALL SELECT series_id, v, n, y, al, be, ph, t + 1, lev, CASE WHEN ph > 0 THEN be * (lev - l) + (1 - be) * ph * b ELSE 0.0 END, sse + (v[t] - ah) * (v[t] - ah) FROM (SELECT *, al * v[t] + (1 - al) * ah AS lev FROM (SELECT *, l + ph * b AS ah FROM {run} WHERE t <= n)))"
+        )
+        out.append(f"{best} AS (SELECT * FROM {run} WHERE t = n + 1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse, al, be, ph) = 1)")
+        if k < len(fc.WIDTHS):
+            moves = f"(VALUES ({-fc.WIDTHS[k]}), (0.0), ({fc.WIDTHS[k]}))"
+            beta = "(VALUES (0.0))" if model == "ses" else moves
+            phi = moves if model == "holt_damped" else "(VALUES (0.0))"
+            new_be = "0.0" if model == "ses" else "least(greatest(be + CAST(e AS DOUBLE), 0.001), 0.99)"
+            new_ph = "least(greatest(ph + CAST(f AS DOUBLE) / 4, 0.8), 0.98)" if model == "holt_damped" else "ph"
+            source = f"(SELECT series_id, v, n, y, least(greatest(al + CAST(d AS DOUBLE), 0.01), 0.99) AS al, {new_be} AS be, {new_ph} AS ph FROM {best}, {moves} AS x(d), {beta} AS z(e), {phi} AS w(f))"
+    free = fc._FREE[model]
+    out.append(f"fit_{model} AS (SELECT *, '{model}' AS form, n * ln(greatest(sse, 1e-12) / n) + {2.0 * free} + CASE WHEN n - {free} - 1 > 0 THEN {2.0 * free * (free + 1)} / (n - {free} - 1) ELSE 1e6 END AS aicc FROM {model}_b{len(fc.WIDTHS)})")
+    return ", ".join(out)
+
+
+_SA = "sa AS (SELECT series_id, list(value ORDER BY year) AS v, count(*) AS n, max(year) AS y, regr_slope(value, i) AS slope FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY year) AS i FROM series) GROUP BY series_id HAVING count(*) >= 3), hh AS (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS h), "
+_SUM = "CASE WHEN ph = 1 THEN {j} WHEN ph = 0 THEN 0.0 ELSE ph * (1 - ph ^ {j}) / (1 - ph) END"
+_AHEAD = f"SELECT series_id, '{{m}}' AS model, CAST(y + h AS INTEGER) AS year, l + {_SUM.format(j='h')} * b AS m, sqrt(sse / (n - 1)) * sqrt(1 + coalesce(list_sum(list_transform(range(1, h), lambda j: (al * (1 + be * ({_SUM.format(j='j')}))) ^ 2)), 0)) AS se FROM {{t}}, hh"
+_THETA = "SELECT series_id, 'theta' AS model, CAST(y + h AS INTEGER) AS year, l + slope / 2 * (h - 1 + 1 / al - (1 - al) ^ n / al) AS m, sqrt(sse / (n - 1)) * sqrt(1 + (h - 1) * al * al) AS se FROM fit_ses JOIN (SELECT series_id, slope FROM sa) USING (series_id), hh"
+_ETS = "fit_ets AS (SELECT * FROM (SELECT * FROM fit_ses UNION ALL SELECT * FROM fit_holt UNION ALL SELECT * FROM fit_holt_damped) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aicc, form) = 1)"
+_FITS = _SA + ", ".join(_fit_sql(m) for m in ("ses", "holt", "holt_damped")) + ", " + _ETS
 for _i, _m in ((5, "theta"), (6, "holt"), (7, "holt_damped"), (8, "ets")):
-    add(f"F{_i}_{_m}", lambda f, m=_m: r6(fc.MODELS[m](fc.arrays(f.series), H), *BOUNDS))
+    _made = _THETA if _m == "theta" else _AHEAD.format(m=_m, t=f"fit_{_m}")
+    add(f"F{_i}_{_m}", lambda f, m=_m: r6(fc.MODELS[m](fc.arrays(f.series), H), *BOUNDS), _FITS + f", made AS ({_made}) --- " + _FC + "made")
 add("F9_horizon", lambda f: fc.horizon(fc.arrays(f.series), H).select("series_id", "h", "year"), "SELECT series_id, h, CAST(max(year) + h AS INTEGER) AS year FROM series, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS h) GROUP BY series_id, h")
 add("F10_failures", lambda f: fc.failures(fc.arrays(f.series.where("year < 1997 OR series_id < 'NATION_2'"))), "SELECT series_id, 'too short' AS status FROM series WHERE year < 1997 OR series_id < 'NATION_2' GROUP BY ALL HAVING count(*) < 3")
 _ERR = ("me", "rmse", "mae", "mape", "mase")
@@ -279,7 +311,12 @@ add(
 add("F21_reliability", lambda f: r6(fc.reliability(f.series, fc.forecast(fc.arrays(f.series), H, MODELS), fc.recommended(fc.insample(f.series, MODELS))), "interval_ratio", "agreement_ratio"))
 add("F22_trend_class", lambda f: annual.observed_summary(f.series, ["series_id"]).where("percent IS NOT NULL").select("series_id", fc.trend_class(F.col("percent")).alias("trend")), _FL + "SELECT series_id, CASE WHEN abs((l - f) / f * 100) < 5 THEN 'stable' WHEN l > f THEN 'up' ELSE 'down' END AS trend FROM fl WHERE f <> 0")
 add("F23_observed_and_forecast", lambda f: r6(fc.observed_and_forecast(f.series, fc.naive(fc.arrays(f.series), H)), "observed", *BOUNDS), _LAST + f"SELECT series_id, year, round(value, 6) AS observed, model, round(m, 6) AS mean, round(m - {Z95} * se, 6) AS lower, round(m + {Z95} * se, 6) AS upper FROM series FULL JOIN nv USING (series_id, year)")
-add("F23_wide", lambda f: r6(fc.wide_forecast(f.series, fc.forecast(fc.arrays(f.series), H, MODELS), MODELS), "observed", *MODELS))
+_ALL = _LAST.replace(" --- ", ", ") + _FITS + ", made AS (SELECT series_id, model, year, m, se FROM nv UNION ALL SELECT series_id, model, year, m, se FROM dr UNION ALL " + " UNION ALL ".join([_THETA, *(_AHEAD.format(m=m, t=f"fit_{m}") for m in ("holt", "holt_damped", "ets"))]) + ") --- "
+add(
+    "F23_wide",
+    lambda f: r6(fc.wide_forecast(f.series, fc.forecast(fc.arrays(f.series), H, MODELS), MODELS), "observed", *MODELS),
+    _ALL + "SELECT coalesce(s.series_id, w.series_id) AS series_id, coalesce(s.year, w.year) AS year, round(value, 6) AS observed, " + ", ".join(MODELS) + " FROM series s FULL JOIN (SELECT series_id, year, " + ", ".join(f"round(max(m) FILTER (model = '{m}'), 6) AS {m}" for m in MODELS) + " FROM made GROUP BY ALL) w ON s.series_id = w.series_id AND s.year = w.year",
+)
 _ACF = "s AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY year) AS t, value - avg(value) OVER (PARTITION BY series_id) AS c, count(*) OVER (PARTITION BY series_id) AS n FROM daily), q AS (SELECT series_id, sum(c ^ 2) AS s FROM s GROUP BY ALL), acf AS (SELECT a.series_id, a.n, a.t - b.t AS lag, sum(a.c * b.c) / any_value(q.s) AS acf FROM s a JOIN s b ON a.series_id = b.series_id AND a.t - b.t BETWEEN 1 AND least(20, a.n - 1) JOIN q ON q.series_id = a.series_id GROUP BY ALL) --- "
 
 
@@ -302,9 +339,27 @@ def _found(f: Facts) -> DataFrame:
     return breaks.chosen_breaks(f.daily)
 
 
-add("B1_breakpoints", lambda f: r6(_found(f).withColumn("breaks", F.array_join(F.col("breaks").cast("array<string>"), ",")), "rss", "bic"))
+def _breaks_sql() -> str:
+    """Table `found`: the best breaks of each daily series, level by level."""
+    out = [
+        "s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY year) AS t, count(*) OVER (PARTITION BY series_id) AS n, floor(count(*) OVER (PARTITION BY series_id) * 0.15) AS h FROM daily)",
+        "co AS (SELECT a.series_id, a.n, CASE WHEN a.h > 2 THEN 2 ELSE 1 END AS k, i.i AS i, j.j AS j, greatest(regr_syy(a.value, a.t) - CASE WHEN a.h > 2 THEN regr_sxy(a.value, a.t) ^ 2 / regr_sxx(a.value, a.t) ELSE 0 END, 0) AS rss FROM (SELECT DISTINCT series_id, n, h FROM s WHERE n >= 5 AND h >= 2) x, unnest(range(0, n)) AS i(i), unnest(range(i.i + CAST(greatest(CASE WHEN h > 2 THEN 3 ELSE 2 END, h) AS BIGINT), n + 1)) AS j(j), s a WHERE a.series_id = x.series_id AND a.t > i.i AND a.t <= j.j GROUP BY a.series_id, a.n, a.h, i.i, j.j)",
+        "b0 AS (SELECT series_id, n, k, j, rss, CAST([] AS BIGINT[]) AS br FROM co WHERE i = 0)",
+    ]
+    for m in range(breaks.MOST):
+        out.append(f"b{m + 1} AS (SELECT c.series_id, c.n, c.k, c.j, min(b.rss + c.rss) AS rss, arg_min(list_append(b.br, c.i), b.rss + c.rss) AS br FROM b{m} b JOIN co c ON b.series_id = c.series_id AND b.j = c.i GROUP BY ALL)")
+    every = " UNION ALL ".join(f"SELECT * FROM b{m} WHERE j = n" for m in range(breaks.MOST + 1))
+    out.append(f"found AS (SELECT *, n * (ln(greatest(rss, 1e-12) / n) + ln(2 * pi()) + 1) + ln(n) * ((k + 1) * (len(br) + 1)) AS bic FROM ({every}) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY bic, len(br)) = 1)")
+    return ", ".join(out) + " --- "
+
+
+add(
+    "B1_breakpoints",
+    lambda f: r3(_found(f).withColumn("breaks", F.array_join(F.col("breaks").cast("array<string>"), ",")), "rss", "bic"),
+    _breaks_sql() + "SELECT series_id, CAST(len(br) AS INTEGER) AS n_breaks, array_to_string(br, ',') AS breaks, round(rss, 3) AS rss, round(bic, 3) AS bic, CASE k WHEN 2 THEN 'trend' ELSE 'mean' END AS model FROM found",
+)
 _SEG = "s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY year) AS t, count(*) OVER (PARTITION BY series_id) AS n FROM daily) --- SELECT a.series_id, any_value(a.n) AS n, CAST(i.i AS INTEGER) AS i, CAST(j.j AS INTEGER) AS j, round(greatest(regr_syy(a.value, a.t) - regr_sxy(a.value, a.t) ^ 2 / regr_sxx(a.value, a.t), 0), 4) AS rss FROM (SELECT DISTINCT series_id, n FROM s) x, unnest(range(0, n)) AS i(i), unnest(range(i.i + greatest(3, CAST(floor(n * 0.15) AS BIGINT)), n + 1)) AS j(j), s a WHERE a.series_id = x.series_id AND a.t > i.i AND a.t <= j.j AND x.n >= 5 GROUP BY a.series_id, i.i, j.j"
 add("B1_segment_costs", lambda f: breaks.segment_costs(f.daily).withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int"), "rss": F.round("rss", 4) + 0.0}), _SEG)
 add("B2_segments", lambda f: r6(breaks.segments(f.daily, _found(f)), "mean", "slope"))
 add("B3_breaks_on_seams", lambda f: breaks.on_seams(breaks.segments(f.series, breaks.breakpoints(f.series, 0.4, 2, False)), f.seams))
-add("B4_break_class", lambda f: _found(f).select("series_id", breaks.break_class(F.col("n_breaks")).alias("class"), "model"))
+add("B4_break_class", lambda f: _found(f).select("series_id", breaks.break_class(F.col("n_breaks")).alias("class"), "model"), _breaks_sql() + "SELECT series_id, CASE len(br) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS class, CASE k WHEN 2 THEN 'trend' ELSE 'mean' END AS model FROM found")
