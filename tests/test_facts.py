@@ -82,3 +82,45 @@ def test_csv_and_partitions(spark, tmp_path):
     S.write_facts(df, str(tmp_path / "f"))
     plan = spark.read.parquet(str(tmp_path / "f")).where("year = 2000")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_the_shorter_of_two_names_wins_a_tie(spark):
+    f = spark.createDataFrame([(1, "S10", 5.0), (1, "S1", 7.0)], "cell int, source_indicator string, v double")
+    p = spark.createDataFrame([("S1", 2), ("S10", 2)], "source_indicator string, priority int")
+    assert merge.by_priority(f, p, ["cell"], "v").first()["source_indicator"] == "S1"
+
+
+def test_counts_cross_no_seam(spark):
+    from vitals.schema import seams
+
+    s = spark.createDataFrame([(m, y) for m in ("deaths", "crude") for y in (2019, 2022)], "metric string, year int")
+    assert [r["metric"] for r in merge.seams_crossed(s, seams(spark), ["metric"], metric="metric").collect()] == ["crude"]
+
+
+def test_areas_outside_the_membership_pass_through(spark):
+    m = spark.createDataFrame([("R", "a"), ("R", "b"), ("Q", "b")], "region string, municipality string")
+    f = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("Nation", 9.0), ("R", 50.0)], "area string, v double")
+    got = lambda **k: {r["region"]: r["v"] for r in geo.rolled_up(f, m, [], "v", **k).collect()}
+    chosen = spark.createDataFrame([("R",), ("b",), ("Nation",)], "area string")
+    assert got() == {"R": 3, "Q": 2, "Nation": 9}
+    assert got(chosen=chosen) == {"R": 3, "b": 2, "Nation": 9}
+    assert got(chosen=chosen, mode="original") == {"R": 50, "b": 2, "Nation": 9}
+
+
+def test_a_label_without_a_name_is_an_error(spark):
+    rows, names = spark.createDataFrame([("1", "x"), ("?", "gone")], "code string, label string"), spark.createDataFrame([("1", "One")], "code string, name string")
+    assert sorted(map(str, (r["canonical"] for r in geo.canonical(rows, names, strict=False).collect()))) == ["None", "One"]
+    with pytest.raises(Exception, match="no canonical name for . gone"):
+        geo.canonical(rows, names).collect()
+
+
+def test_year_filters_prune_partitions(spark, tmp_path):
+    from vitals.schema import DEATHS
+
+    df = spark.createDataFrame([(y, "A", "H", "c", "0 - 4 anos", 1.0, "S") for y in (2000, 2001)], DEATHS)
+    S.write_facts(df, str(tmp_path / "d"))
+    scan = S.scan_deaths(S.read_facts(spark, str(tmp_path / "d"), "deaths"), [2000], ["A"], ["c"])
+    plan = scan._jdf.queryExecution().toString()
+    assert "PartitionFilters: [year" in plan.replace("isnotnull(year", "[year") or "year#" in plan.split("PartitionFilters:")[1][:80]
+    assert "EqualTo(area,A)" in plan or "In(area" in plan
+    assert scan.first()["deaths"] == 1

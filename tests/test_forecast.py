@@ -53,3 +53,54 @@ def test_holdout_covers_every_held_out_year(spark):
     (got,) = fc.holdout(series.where("year < 1850"), 0.3, ["theta"]).collect()
     made = {r["year"]: r["mean"] for r in fc.MODELS["theta"](fc.arrays(series.where("year < 1835")), 15).collect()}
     assert got["mae"] == pytest.approx(np.mean([abs(made[1800 + k] - values[k]) for k in range(35, 50)]))
+
+
+def test_breaks_fall_back_to_a_mean(spark):
+    rows = [(name, 1990 + k, (5.0 if k < n // 2 else 50.0) + 0.1 * ((k * 7) % 5)) for name, n in (("trend", 20), ("mean", 14), ("none", 8), ("short", 4)) for k in range(n)]
+    got = {r["series_id"]: (r["model"], r["breaks"]) for r in breaks.chosen_breaks(spark.createDataFrame(rows, SERIES)).collect()}
+    assert got == {"trend": ("trend", [10]), "mean": ("mean", [7]), "none": ("none", [])}
+
+
+def test_failures_by_model(spark):
+    fleet = fc.arrays(spark.createDataFrame([("big", 2000 + k, 1e308 if k % 2 else -1e308) for k in range(6)] + [("ok", 2000 + k, float(k * k)) for k in range(6)] + [("short", 2000, 1.0)], SERIES))
+    made = fc.forecast(fleet, 2, ["naive", "drift"]).withColumn("mean", F.when((F.col("series_id") == "big") & (F.col("model") == "drift"), float("nan")).otherwise(F.col("mean")))
+    got = {(r["series_id"], r["model"]): r["status"] for r in fc.model_failures(fleet, made, ["naive", "drift"]).collect()}
+    assert got == {("big", "drift"): "no finite forecast", ("short", "naive"): "too short", ("short", "drift"): "too short"}
+
+
+def test_validation_names_its_years(spark):
+    s = spark.createDataFrame([("a", 2000 + k, float(k)) for k in range(10)] + [("b", 2000 + k, float(k)) for k in range(3)], SERIES)
+    got = {r["series_id"]: r for r in fc.validated(s, "rolling", 0.3, ["naive"]).collect()}
+    assert [got["a"][c] for c in ("method", "train_first", "train_last", "test_first", "test_last")] == ["rolling", 2000, 2006, 2007, 2009]
+    assert (got["b"]["method"], got["b"]["test_first"]) == ("insample", None) and got["b"]["note"]
+
+
+def test_refined_fit_beats_the_grid(spark):
+    """The fit is no worse than any of very many points tried by hand."""
+    rng = np.random.default_rng(3)
+    v = np.cumsum(rng.normal(0.5, 2, 25)) + 40
+    got = fc.smoothed(fc.arrays(spark.createDataFrame([("x", 1990 + k, float(x)) for k, x in enumerate(v)], SERIES)), "holt").first()
+
+    def sse(a, b):
+        level, trend, s = v[0], v[1] - v[0], 0.0
+        for y in v[1:]:
+            ahead = level + trend
+            s += (y - ahead) ** 2
+            new = a * y + (1 - a) * ahead
+            trend, level = b * (new - level) + (1 - b) * trend, new
+        return s
+
+    assert got["state"]["sse"] == pytest.approx(sse(got["p"]["alpha"], got["p"]["beta"]))
+    assert got["state"]["sse"] <= 1.002 * min(sse(a, b) for a in np.linspace(0.05, 0.99, 60) for b in np.linspace(0.01, 0.7, 60))
+
+
+def test_partial_autocorrelation_against_the_recursion(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, k, float(x)) for s in ("a", "b") for k, x in enumerate(rng.normal(0, 1, 30))]
+    acf = fc.autocorrelation(spark.createDataFrame(rows, "series_id string, t int, e double"), 8)
+    got = {(r["series_id"], r["lag"]): r["pacf"] for r in fc.partial_autocorrelation(acf).collect()}
+    for s in ("a", "b"):
+        r = [x["acf"] for x in acf.where(F.col("series_id") == s).orderBy("lag").collect()]
+        for k in range(1, 9):  # the last coefficient of the Yule-Walker equations
+            m = np.array([[1.0 if i == j else r[abs(i - j) - 1] for j in range(k)] for i in range(k)])
+            assert got[s, k] == pytest.approx(np.linalg.solve(m, r[:k])[-1])

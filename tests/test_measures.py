@@ -129,3 +129,18 @@ def test_avoidable_parts_add_up(spark):
     twice = f.unionByName(f.withColumn("area", F.lit("B")))
     both = avoidable.group_rate(twice, twice.select("year", "area", "sex", "age_band", "pop").distinct(), g, b, ["year", "sex"]).where("group = 'avoidable'").first()["rate"]
     assert one == pytest.approx(150) and both == pytest.approx(one)
+
+
+def test_bundle_and_selection_have_limits(spark):
+    b = bands(spark)
+    names = [r["age_band"] for r in b.orderBy("band_idx").collect()]
+    f = full(spark, [(x, 100, 100_000) for x in names])
+    bundle = rates.observed_bundle(f, b)
+    got = {(r["scope"], r["rate_type"]): r for r in bundle.collect()}
+    assert len(got) == 4 and all(r["lower"] < r["rate"] < r["upper"] for r in got.values())
+    n = 100 * len(names)
+    low, high = (x[0] for x in intervals.poisson_limits(np.array([n])))
+    assert (got["total", "crude"]["lower"], got["total", "crude"]["upper"]) == pytest.approx((low / (n * 1000) * 1e5, high / (n * 1000) * 1e5))
+    assert rates.selected_series(bundle, "total", "dsr", 1990, 2050).first()["lower"] < 100
+    with pytest.raises(Exception, match="no year of the range"):
+        rates.selected_series(bundle, "total", "dsr", 1990, 2000).collect()

@@ -1,12 +1,15 @@
 """Forecasts of a fleet of yearly series: every model on every series in one job.
 
 series: series_id, year, value. Each series becomes one row of ordered arrays; exponential
-smoothing is fitted over a grid of parameters, and then finer ones around the best point, by
-`aggregate` inside that row, so nothing is copied or shuffled per model, origin or parameter.
+smoothing is fitted over a grid of parameters, and then finer ones around the best point, for
+all series of an Arrow batch at once, so nothing is copied or shuffled per model, origin or
+parameter.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,18 +108,44 @@ def drift(fleet: DataFrame, h: int) -> DataFrame:
     return _limits(horizon(s, h), "drift", F.element_at("values", -1) + F.col("h") * F.col("d"), F.col("s") * F.sqrt(F.col("h") * (1 + F.col("h") / (n - 1))))
 
 
-def _smooth(v: Column, n: Column, p: Column) -> Column:
-    """Level, trend and squared error after running over the values."""
-    trended = p["phi"] > 0
-    start = F.struct(v[0].alias("l"), F.when(trended, v[1] - v[0]).otherwise(0.0).alias("b"), F.lit(0.0).alias("sse"))
-
-    def step(x: Column, y: Column) -> Column:
-        ahead = x["l"] + p["phi"] * x["b"]
-        level = p["alpha"] * y + (1 - p["alpha"]) * ahead
-        trend = F.when(trended, p["beta"] * (level - x["l"]) + (1 - p["beta"]) * p["phi"] * x["b"]).otherwise(0.0)
-        return F.struct(level.alias("l"), trend.alias("b"), (x["sse"] + (y - ahead) * (y - ahead)).alias("sse"))
-
-    return F.aggregate(F.slice(v, F.lit(2), n - 1), start, step)
+def _runs(y: np.ndarray, n: np.ndarray, al: np.ndarray, be: np.ndarray, ph: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, trend and squared error after running over each row of y (n values each), for each point."""
+    first, trended = y[:, :1], ph > 0
+    level = first + np.zeros_like(al)
+    trend = np.where(trended, y[:, 1:2] - first, 0.0)
+    sse = np.zeros_like(level)
+    for t in range(1, y.shape[1]):
+        live, now = (t < n)[:, None], y[:, t : t + 1]
+        ahead = level + ph * trend
+        new = al * now + (1 - al) * ahead
+        sse = np.where(live, sse + (now - ahead) * (now - ahead), sse)
+        trend = np.where(live, np.where(trended, be * (new - level) + (1 - be) * ph * trend, 0.0), trend)
+        level = np.where(live, new, level)
+    return level, trend, sse
+
+
+def best_points(values: list[np.ndarray], model: str) -> np.ndarray:
+    """alpha, beta, phi, level, trend, squared error of the best point of each series: of the grid, then around it."""
+    n = np.array([len(v) for v in values])
+    y = np.zeros((len(values), n.max()))
+    for k, v in enumerate(values):
+        y[k, : len(v)] = v
+    at = np.arange(len(values))
+    points = [np.array(c, float)[None, :] for c in zip(*GRID[model], strict=True)]
+    for width in (*WIDTHS, None):
+        level, trend, sse = _runs(y, n, *points)
+        i = np.where(np.isnan(sse), np.inf, sse).argmin(axis=1)
+        best = [np.broadcast_to(c, sse.shape)[at, i] for c in (*points, level, trend, sse)]
+        if width is None:
+            return np.stack(best, axis=1)
+        moves = np.array([-width, 0.0, width])
+        al, be, ph = (c[:, None] for c in best[:3])
+        al = np.clip(al + moves, 0.01, 0.99)
+        be = be if model == "ses" else np.clip(be + moves, 0.001, 0.99)
+        ph = np.clip(ph + moves / 4, 0.8, 0.98) if model == "holt_damped" else ph
+        grid = np.broadcast_arrays(al[:, :, None, None], be[:, None, :, None], ph[:, None, None, :])
+        points = [g.reshape(len(values), -1) for g in grid]
+    raise AssertionError
 
 
 def _fitted(v: Column, n: Column, p: Column) -> Column:
@@ -133,33 +162,24 @@ def _fitted(v: Column, n: Column, p: Column) -> Column:
     return F.aggregate(F.slice(v, F.lit(2), n - 1), start, step, lambda x: x["f"])
 
 
-def _points(model: str, around: Column | None = None, width: float = 0.0) -> Column:
-    """The grid of a model, or the points half a step and a whole one on either side of one of its points."""
-    point = lambda a, b, p: F.struct(a.alias("alpha"), b.alias("beta"), p.alias("phi"))
-    if around is None:
-        return F.array(*(point(F.lit(a), F.lit(b), F.lit(p)) for a, b, p in GRID[model]))
-    moves = (-width, 0.0, width)
-    kept = lambda c, d, low, high: F.least(F.greatest(c + F.lit(d), F.lit(low)), F.lit(high))
-    alpha = [kept(around["alpha"], d, 0.01, 0.99) for d in moves]
-    beta = [F.lit(0.0)] if model == "ses" else [kept(around["beta"], d, 0.001, 0.99) for d in moves]
-    phi = [kept(around["phi"], d / 4, 0.8, 0.98) for d in moves] if model == "holt_damped" else [around["phi"]]
-    return F.array(*(point(a, b, p) for a in alpha for b in beta for p in phi))
-
-
 def smoothed(fleet: DataFrame, model: str) -> DataFrame:
     """The best parameters of each series: p (alpha, beta, phi), state (l, b, sse), aicc.
 
-    All points are tried inside the row of the series; then those around the best one, with
-    steps that halve from WIDTHS[0] to WIDTHS[-1]. Of points that tie, the smallest counts.
+    All points of the grid are tried on all series of an Arrow batch at once, then those around
+    the best one, with steps from WIDTHS[0] down to WIDTHS[-1]. Of points that tie, the smallest
+    counts. Nothing is copied or shuffled per point; the same recursion in higher-order
+    functions, which Spark interprets, took a hundred times as long.
     """
-    v, n = F.col("values"), F.col("n")
-    tried = lambda points: F.array_min(F.transform(points, lambda p: F.struct(_smooth(v, n, p)["sse"].alias("sse"), p.alias("p"))))
-    # little data and much work a row: kept on as many tasks as there are partitions, not joined into one
-    many = int(fleet.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    best = _ok(fleet).repartition(many, "series_id").withColumn("p", tried(_points(model))["p"])
-    for width in WIDTHS:
-        best = best.withColumn("p", tried(_points(model, F.col("p"), width))["p"])
-    best = best.select("series_id", "years", "values", "n", "p", _smooth(v, n, F.col("p")).alias("state"))
+
+    @F.pandas_udf("alpha double, beta double, phi double, l double, b double, sse double")
+    def fit(values: pd.Series) -> pd.DataFrame:
+        names = ["alpha", "beta", "phi", "l", "b", "sse"]
+        if not len(values):
+            return pd.DataFrame({c: np.empty(0) for c in names})
+        return pd.DataFrame(best_points([np.asarray(v, float) for v in values], model), columns=names)
+
+    best = _ok(fleet).withColumn("f", fit("values"))
+    best = best.select("series_id", "years", "values", "n", F.struct("f.alpha", "f.beta", "f.phi").alias("p"), F.struct("f.l", "f.b", "f.sse").alias("state"))
     k, m = _FREE[model], F.col("n")
     spare = m - k - 1
     penalty = F.when(spare > 0, 2.0 * k * (k + 1) / spare).otherwise(1e6)
