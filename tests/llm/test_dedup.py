@@ -44,6 +44,24 @@ def test_exact_collisions_stay_apart(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
 
 
+def test_common_keys_are_dealt_in_parts(spark, monkeypatch):
+    """One key with nine tenths of the rows, with the bound for splitting lowered."""
+    from vitals.llm import tables
+
+    rows = spark.range(1000).select(F.col("id").alias("v"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    want = sorted((r["v"], r["top"]) for r in rows.join(table, "k").collect())
+    monkeypatch.setattr(tables, "LEAST", 50)
+    out = tables.spread_join(rows, table, ["k"], ["v"])
+    assert sorted((r["v"], r["top"]) for r in out.collect()) == want
+    assert "_part" in out._jdf.queryExecution().toString()
+    monkeypatch.setattr(tables, "LEAST", 5000)
+    assert sorted((r["v"], r["top"]) for r in tables.spread_join(rows, table, ["k"], ["v"]).collect()) == want
+    docs = frame(spark, [(k, "same" if k % 4 else f"t{k}") for k in range(400)])
+    monkeypatch.setattr(tables, "LEAST", 50)
+    assert sum(r["kept"] for r in exact.exact_duplicates(docs).collect()) == 101
+
+
 def test_exact_drop_keeps_columns(spark):
     df = frame(spark, [(1, "a"), (2, "a"), (None, "a"), (3, "b")])
     out = exact.drop_exact_duplicates(df)
