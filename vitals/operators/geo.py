@@ -147,9 +147,9 @@ def repaired(facts: DataFrame, repairs: DataFrame, resolved: DataFrame) -> DataF
     keeps its rows. Facts and resolved rows have the same columns.
     """
     outputs = repairs.select(F.col("label").alias("stored_label")).distinct()
-    gone = F.broadcast(repairs.join(outputs, "stored_label", "left_anti").select(F.col("stored_label").alias("area"), "year_min", "year_max").distinct())
+    gone = repairs.join(outputs, "stored_label", "left_anti").select(F.col("stored_label").alias("area"), "year_min", "year_max").distinct()
     kept = facts.join(gone, (facts["area"] == gone["area"]) & facts["year"].between(gone["year_min"], gone["year_max"]), "left_anti")
-    wanted = F.broadcast(repairs.select(F.col("label").alias("area"), "year_min", "year_max").distinct())
+    wanted = repairs.select(F.col("label").alias("area"), "year_min", "year_max").distinct()
     new = resolved.join(wanted, (resolved["area"] == wanted["area"]) & resolved["year"].between(wanted["year_min"], wanted["year_max"]), "left_semi")
     return kept.unionByName(new)
 

@@ -38,7 +38,7 @@ def read_portal(spark: SparkSession, path: str, source: str) -> DataFrame:
     data = data.withColumns({"age_band": band, "cut": F.max(F.when(band.isNull(), 1).otherwise(0)).over(up_to)}).where("cut = 0")
     filled = lambda i: F.last(F.nullif(F.col("cells")[i], F.lit("")), ignorenulls=True).over(up_to)
     data = data.withColumns({"cause": filled(0), "sex_raw": filled(1)})
-    long = data.select("file", "cause", "sex_raw", "age_band", F.posexplode("cells").alias("col", "cell")).join(F.broadcast(columns), ["file", "col"])
+    long = data.select("file", "cause", "sex_raw", "age_band", F.posexplode("cells").alias("col", "cell")).join(columns, ["file", "col"])
     facts = long.select("year", "area", "area_code", sex_code(F.lit(None).cast("string"), F.col("sex_raw")).alias("sex"), "cause", folded_band(F.col("age_band")).alias("age_band"), local_number(F.col("cell")).alias("deaths")).where("deaths IS NOT NULL")
     summed = no_roll_ups(real_areas(facts)).groupBy("year", "area", "area_code", "sex", "cause", "age_band").agg(F.sum("deaths").alias("deaths"))
     return summed.withColumn("source_indicator", F.lit(source))

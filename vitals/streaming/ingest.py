@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,8 +25,8 @@ def follow(spark: SparkSession, incoming: str, stored: str, checkpoint: str) ->
             return
         try:
             old = session.read.schema(DEATHS).parquet(stored).where(F.col("year").isin(years))
-        except Exception as e:  # the first batch finds nothing
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the first batch finds nothing
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             old = session.createDataFrame([], DEATHS)
         staged = f"{stored}_staged/{number}"
