@@ -328,7 +328,12 @@ def _acf(f: Facts) -> DataFrame:
 add("F24_acf", lambda f: r6(_acf(f).select("series_id", "lag", "acf"), "acf"), _ACF + "SELECT series_id, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM acf")
 add("F24_pacf", lambda f: r6(fc.partial_autocorrelation(_acf(f)), "pacf"))
 add("F24_residual_acf", lambda f: r6(fc.autocorrelation(fc.residuals(fc.fitted(fc.arrays(f.daily), "holt"))), "acf"))
-add("F25_ljung_box", lambda f: r6(fc.ljung_box(_acf(f)), "statistic", "p_value"))
+_BOX = _ACF.replace(" --- ", ", ") + "lg AS (SELECT DISTINCT series_id, n, least(l, n - 1) AS lags FROM acf, (VALUES (5), (10), (15)) AS v(l)), bx AS (SELECT g.series_id, g.lags, g.n * (g.n + 2) * sum(a.acf ^ 2 / (g.n - a.lag)) AS st FROM lg g JOIN acf a ON a.series_id = g.series_id AND a.lag <= g.lags GROUP BY g.series_id, g.n, g.lags) --- "
+add(
+    "F25_ljung_box",
+    lambda f: r6(fc.ljung_box(_acf(f)), "statistic", "p_value"),
+    _BOX + "SELECT series_id, CAST(lags AS INTEGER) AS lags, round(st, 6) AS statistic, round(1 - least(1, list_sum(list_transform(range(0, 1000), lambda i: exp((lags / 2.0 + i) * ln(st / 2) - st / 2 - lgamma(lags / 2.0 + i + 1))))), 6) AS p_value FROM bx",
+)
 add("J7_holdout_join", lambda f: r6(fc.holdout(f.series, 0.3, ["naive"]).select("series_id", "me"), "me"), _HOLD + "e AS (SELECT series_id, arg_max(value, i) AS l FROM k WHERE i <= n - k AND k > 0 GROUP BY ALL) --- SELECT series_id, round(avg(l - value), 6) AS me FROM k JOIN e USING (series_id) WHERE i > n - k AND k > 0 GROUP BY ALL")
 add("J8_full_join", lambda f: fc.observed_and_forecast(f.series, fc.naive(fc.arrays(f.series), H)).groupBy("series_id").agg(F.count("observed").alias("n_observed"), F.count("mean").alias("n_forecast")), _LAST + "SELECT series_id, count(value) AS n_observed, count(m) AS n_forecast FROM series FULL JOIN nv USING (series_id, year) GROUP BY ALL")
 
