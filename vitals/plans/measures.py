@@ -125,8 +125,8 @@ _SMR = f"""CASE WHEN expected > 0 THEN round(observed / expected * 100, 6) END A
  CASE WHEN expected > 0 THEN round(observed / expected * ref_rate * 1e5, 6) END AS isr, CASE WHEN bands_used = 0 THEN 'no data' WHEN expected <= 0 THEN 'no deaths expected' END AS note"""
 add("P5_smr", lambda f: r6(pooling.smr(_expected(f)).select(*KEYS, "observed", "smr", "smr_lower", "smr_upper", "isr", "note"), "smr", "smr_lower", "smr_upper", "isr"), _EXPECTED + f"SELECT {_K}, observed, {_SMR} FROM ex")
 _EXACT = _EXPECTED.replace(" --- ", ", ") + limits_sql("SELECT observed AS k FROM ex") + f", xe AS (SELECT {_K}, observed, expected, lo, hi, {_SMR} FROM ex JOIN poisson ON k = observed) --- "
-_SIDES = ", ".join(f"round(coalesce(smr_{a}, CASE WHEN expected > 0 THEN {b} / expected * 100 END), 3) AS {{{a}}}" for a, b in (("lower", "lo"), ("upper", "hi")))
-add("P5_smr_exact", lambda f: r3(r6(pooling.smr_exact(_expected(f)).select(*KEYS, "observed", "smr", "smr_lower", "smr_upper"), "smr"), "smr_lower", "smr_upper"), _EXACT + f"SELECT {_K}, observed, smr, {_SIDES.format(lower='smr_lower', upper='smr_upper')} FROM xe")
+_SIDES = ", ".join(f"round(coalesce(smr_{a}, CASE WHEN expected > 0 THEN round({b} / expected * 100, 6) END), 3) AS {{{a}}}" for a, b in (("lower", "lo"), ("upper", "hi")))
+add("P5_smr_exact", lambda f: r3(r6(pooling.smr_exact(_expected(f)).select(*KEYS, "observed", "smr", "smr_lower", "smr_upper"), "smr", "smr_lower", "smr_upper"), "smr_lower", "smr_upper"), _EXACT + f"SELECT {_K}, observed, smr, {_SIDES.format(lower='smr_lower', upper='smr_upper')} FROM xe")
 _CLASS = "CASE WHEN smr_lower IS NULL THEN NULL WHEN smr_lower > 100 THEN 'above' WHEN smr_upper < 100 THEN 'below' ELSE 'no significant difference' END"
 add("P6_smr_class", lambda f: pooling.smr_series(f.full, "NATION_1", KEYS).groupBy("class").agg(F.count(F.lit(1)).alias("n")), _EXPECTED + f"SELECT {_CLASS} AS class, count(*) AS n FROM (SELECT {_K}, {_SMR} FROM ex) GROUP BY ALL")
 add("P7_smr_series", lambda f: r6(pooling.smr_series(f.full, "NATION_1", KEYS).select(*KEYS, "smr", "class"), "smr"), _EXPECTED + f"SELECT {_K}, smr, {_CLASS} AS class FROM (SELECT {_K}, {_SMR} FROM ex)")
@@ -169,7 +169,7 @@ add("C1_annual_infant_deaths", lambda f: _annual(f, "infant_deaths"), " --- " +
 add("C1_annual_proportional", lambda f: r6(_annual(f, "proportional"), "value"), "c AS (SELECT year, area, cause, sum(deaths) AS d FROM fullf WHERE sex = 'HM' GROUP BY ALL), x AS (SELECT a.year, a.area, a.cause, a.d / b.d * 100 AS s FROM c a JOIN c b ON a.year = b.year AND a.area = b.area AND b.cause = 'ALL' AND a.cause <> 'ALL') --- " + _ROW.format(m="proportional", v="round(s, 6)", f="''", t="x"))
 add("C1_annual_dsr_limits", lambda f: r3(r6(_annual(f, "dsr", True), "value"), "lower", "upper"), "hm AS (SELECT * FROM fullf WHERE sex = 'HM'), " + _DW.format(k="year, area, cause", t="hm") + limits_sql("SELECT d AS k FROM dw") + f" --- SELECT area AS location, cause, 'dsr' AS metric, year, rate AS value, lower, upper, '' AS flag FROM (SELECT year, area, cause, {_DL} FROM dw JOIN poisson ON k = d)")
 _HMX = _EXACT.replace("FROM fullf", "FROM (SELECT * FROM fullf WHERE sex = 'HM')")
-add("C1_annual_smr_limits", lambda f: r3(r6(_annual(f, "smr", True), "value"), "lower", "upper"), _HMX + f"SELECT area AS location, cause, 'smr' AS metric, year, smr AS value, {_SIDES.format(lower='lower', upper='upper')}, '' AS flag FROM xe")
+add("C1_annual_smr_limits", lambda f: r3(r6(_annual(f, "smr", True), "value", "lower", "upper"), "lower", "upper"), _HMX + f"SELECT area AS location, cause, 'smr' AS metric, year, smr AS value, {_SIDES.format(lower='lower', upper='upper')}, '' AS flag FROM xe")
 add("C1_annual_isr_limits", lambda f: r3(r6(_annual(f, "isr", True), "value"), "lower", "upper"), _HMX + "SELECT area AS location, cause, 'isr' AS metric, year, isr AS value, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, '' AS flag FROM xe")
 add("C2_comparators", lambda f: annual.comparators(f.pop.select("area").distinct(), "NATION", "MAINLAND", geo.members(f.lookup).where("vintage = 'A'"), "selection"), "SELECT DISTINCT 'selection' AS label, area FROM pop UNION SELECT 'MAINLAND', municipality FROM members WHERE vintage = 'A' AND region = 'MAINLAND' UNION SELECT 'NATION', 'NATION'")
 
