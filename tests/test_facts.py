@@ -107,6 +107,13 @@ def test_areas_outside_the_membership_pass_through(spark):
     assert got(chosen=chosen, mode="original") == {"R": 50, "b": 2, "Nation": 9}
 
 
+def test_areas_outside_a_vintage_pass_through_it(spark):
+    m = spark.createDataFrame([("A", "R", "a"), ("A", "R", "b"), ("B", "Q", "a")], "vintage string, region string, municipality string")
+    f = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("Nation", 9.0), ("R", 50.0)], "area string, v double")
+    got = {(r["vintage"], r["region"]): r["v"] for r in geo.rolled_up_by_vintage(f, m, [], "v").collect()}
+    assert got == {("A", "R"): 3, ("A", "Nation"): 9, ("B", "Q"): 1, ("B", "b"): 2, ("B", "Nation"): 9, ("B", "R"): 50}
+
+
 def test_a_label_without_a_name_is_an_error(spark):
     rows, names = spark.createDataFrame([("1", "x"), ("?", "gone")], "code string, label string"), spark.createDataFrame([("1", "One")], "code string, name string")
     assert sorted(map(str, (r["canonical"] for r in geo.canonical(rows, names, strict=False).collect()))) == ["None", "One"]

@@ -7,9 +7,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from vitals import catalog
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["R2_crude_rate", "M1_priority_merge", "G6_overlap", "P5_smr", "A3_breakdown", "F16_rolling", "Q2_availability", "N7_local_numbers"]
 
 
 def rows(frame):
@@ -18,14 +18,19 @@ def rows(frame):
     return sorted(tuple(show(v) for v in r) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", SOME)
-def test_same_as_sql(spark, name):
+@pytest.fixture(scope="module")
+def con():
     con = duckdb.connect()
     for t in os.listdir(DATA):
         con.execute(f"CREATE VIEW {t[:-8]} AS SELECT * FROM '{DATA}/{t}'")
-    got = entry.queries()[name](spark, DATA).toPandas()
-    assert rows(got) == rows(con.execute(entry.oracle_sql()[name]).df())
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize("name", sorted(n for n in catalog.ORACLE_SQL))
+def test_same_as_sql(spark, con, name):
+    got = catalog.QUERIES[name](spark, DATA).toPandas()
+    assert rows(got) == rows(con.execute(catalog.ORACLE_SQL[name]).df())
 
 
 def test_every_sql_has_a_query():

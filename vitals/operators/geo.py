@@ -33,8 +33,9 @@ def resolved(areas: DataFrame, membership: DataFrame, mode: str = "municipal") -
 def rolled_up(facts: DataFrame, membership: DataFrame, keys: list[str], value: str, area: str = "area", chosen: DataFrame | None = None, mode: str = "municipal") -> DataFrame:
     """Facts summed over the municipalities of each region (G1); membership: region, municipality.
 
-    chosen (area): the areas wanted, each as `resolved` has it. Without, every region, and
-    each area that the membership doesn't know as it is.
+    chosen (area): the areas wanted, each as `resolved` has it; name the region here where one
+    alone is wanted. Without, every region, and each area that the membership doesn't know as
+    it is: a membership cut down to some regions passes all other areas on.
     """
     if chosen is not None:
         m = resolved(chosen, membership, mode).withColumnRenamed("area", area)
@@ -51,9 +52,18 @@ def combined(facts: DataFrame, selections: DataFrame, keys: list[str], value: st
     return facts.join(selections.select("label", "area").distinct(), "area").groupBy("label", *keys).agg(F.sum(value).alias(value))
 
 
-def rolled_up_by_vintage(facts: DataFrame, membership: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The same facts under each vintage's regions."""
-    return facts.join(membership.withColumnRenamed("municipality", "area"), "area").groupBy("vintage", "region", *keys).agg(F.sum(value).alias(value))
+def rolled_up_by_vintage(facts: DataFrame, membership: DataFrame, keys: list[str], value: str, vintages: list[str] | None = None) -> DataFrame:
+    """The same facts under each vintage's regions (G4); as in rolled_up, areas that a vintage doesn't know pass through it.
+
+    vintages: those wanted, else all of the membership, which has a handful.
+    """
+    if vintages is None:
+        vintages = sorted(r["vintage"] for r in membership.select("vintage").distinct().collect())
+    parts = membership.select("vintage", F.col("municipality").alias("area"), "region").where(F.col("vintage").isin(vintages)).distinct()
+    known = parts.select("vintage", "area").unionByName(parts.select("vintage", F.col("region").alias("area"))).distinct()
+    every = facts.select("area").distinct().select("area", F.explode(F.array(*map(F.lit, vintages))).alias("vintage"))
+    rest = every.join(known, ["vintage", "area"], "left_anti").select("vintage", "area", F.col("area").alias("region"))
+    return facts.join(parts.unionByName(rest), "area").groupBy("vintage", "region", *keys).agg(F.sum(value).alias(value))
 
 
 def coverage(membership: DataFrame, areas: DataFrame) -> DataFrame:

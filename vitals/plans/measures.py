@@ -130,9 +130,19 @@ add("P5_smr_exact", lambda f: r3(r6(pooling.smr_exact(_expected(f)).select(*KEYS
 _CLASS = "CASE WHEN smr_lower IS NULL THEN NULL WHEN smr_lower > 100 THEN 'above' WHEN smr_upper < 100 THEN 'below' ELSE 'no significant difference' END"
 add("P6_smr_class", lambda f: pooling.smr_series(f.full, "NATION_1", KEYS).groupBy("class").agg(F.count(F.lit(1)).alias("n")), _EXPECTED + f"SELECT {_CLASS} AS class, count(*) AS n FROM (SELECT {_K}, {_SMR} FROM ex) GROUP BY ALL")
 add("P7_smr_series", lambda f: r6(pooling.smr_series(f.full, "NATION_1", KEYS).select(*KEYS, "smr", "class"), "smr"), _EXPECTED + f"SELECT {_K}, smr, {_CLASS} AS class FROM (SELECT {_K}, {_SMR} FROM ex)")
+
+
+def _region_reference(f: Facts, region: str) -> DataFrame:
+    """Deaths and population of one region, built by the roll-up that areas have too."""
+    m, cell = geo.members(f.lookup).where("vintage = 'A'"), ["year", "sex", "band_idx", "age_band"]
+    chosen = f.lookup.where(F.col("nuts1") == region).select(F.col("nuts1").alias("area"))
+    d = geo.rolled_up(f.deaths, m, [*cell, "cause"], "deaths", chosen=chosen)
+    return d.join(geo.rolled_up(f.pop, m, cell, "pop", chosen=chosen), ["region", *cell])
+
+
 add(
     "P8_region_reference",
-    lambda f: r6(pooling.expected(f.full, geo.rolled_up(f.deaths, geo.members(f.lookup).where("vintage = 'A' AND region = 'MAINLAND'"), ["year", "sex", "cause", "band_idx", "age_band"], "deaths").join(geo.rolled_up(f.pop, geo.members(f.lookup).where("vintage = 'A' AND region = 'MAINLAND'"), ["year", "sex", "band_idx", "age_band"], "pop"), ["region", "year", "sex", "band_idx", "age_band"]), KEYS, ["year", "sex", "cause"]).select(*KEYS, "observed", "expected"), "expected"),
+    lambda f: r6(pooling.expected(f.full, _region_reference(f, "MAINLAND"), KEYS, ["year", "sex", "cause"]).select(*KEYS, "observed", "expected"), "expected"),
     f"rd AS (SELECT year, sex, cause, band_idx, sum(deaths) AS rd FROM deaths JOIN members ON area = municipality AND vintage = 'A' AND region = 'MAINLAND' GROUP BY ALL), rp AS (SELECT year, sex, band_idx, sum(pop) AS rp FROM pop JOIN members ON area = municipality AND vintage = 'A' AND region = 'MAINLAND' GROUP BY ALL), ref AS (SELECT * FROM rd JOIN rp USING (year, sex, band_idx)) --- SELECT {_K}, coalesce(sum(deaths) FILTER (rp IS NOT NULL), 0) AS observed, round(coalesce(sum(pop * rd / rp), 0), 6) AS expected FROM fullf LEFT JOIN ref USING (year, sex, cause, band_idx) GROUP BY ALL",
 )
 
