@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitals.llm import bpe, chat, exact, licenses, minhash, nbsvm, quality_rules, substring, toxicity
+from vitals.llm import bpe, chat, exact, licenses, minhash, nbsvm, quality_rules, ranked_search, spelling, substring, toxicity
 from vitals.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -74,6 +74,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -85,9 +93,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL = {
+    "op11_spelling_variants": spelling.spelling_sql(),
+    "op12_ranked_search": ranked_search.ranked_search_sql(),
     "op3_license_scan": licenses.license_sql(),
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'), '') AS norm FROM documents)
