@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitals.llm import bpe, chat, exact, licenses, minhash, nbsvm, quality_rules, ranked_search, spelling, substring, toxicity
+from vitals.llm import bpe, brown, chat, exact, licenses, minhash, nbsvm, quality_rules, ranked_search, spelling, substring, toxicity
 from vitals.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -82,6 +82,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -95,6 +99,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_ranked_search": op12_ranked_search,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL = {
