@@ -27,6 +27,8 @@ from vitals.llm.textkernel import LOWER, U, chunks, flat, mix, powers, signed
 
 #: Every word whose hash this divides loses a code point; code points and occurrences that a word needs.
 EVERY, LEAST_LENGTH, LEAST_COUNT = 97, 5, 3
+#: Code points of a short label.
+SHORT = 2
 #: What stands before a word that is turned round; no letter.
 BACK = "<"
 #: Words of one task that are held before their counts go on.
@@ -124,12 +126,13 @@ def vocabulary(docs: DataFrame, every: int = EVERY, length: int = LEAST_LENGTH,
 
 
 def prefixes(words: DataFrame) -> DataFrame:
-    """(word, id, pos, node, next, one, two, last, size) for every prefix of every word.
+    """(word, id, pos, node, next, one, two, last, size, own) for every prefix of every word.
 
     node hashes the prefix, so a node may stand for two prefixes, which can't lose a neighbour
     (all edges of both are there) and adds none (neighbours are compared). next is the code
     point after the prefix, -1 at the end; the rest are bits of the next two and the last code
-    points and of the word's length, to tell early where a walk can't end well.
+    points and of the word's length, to tell early where a walk can't end well; own packs the
+    numbers of the first three bits (6 binary digits each, 63 where there is none).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +153,18 @@ def prefixes(words: DataFrame) -> DataFrame:
                     whole = signed(mix((sums[first + size] - sums[first]) * down[first] ^ (size.astype(U) << U(40)), 11))
                 padded = np.append(points, [0, 0])
                 bit = lambda code, has: np.where(has, np.left_shift(1, bucket(code)), 0)
+                number = lambda code, has: np.where(has, bucket(code), 63)
                 left = size[row] - pos
                 columns = [
                     words.take(pa.array(row)),
-                    *(pa.array(x) for x in (whole[row], pos.astype(np.int32), node, np.where(left > 0, padded[at], -1).astype(np.int32), bit(padded[at], left > 0), bit(padded[at + 1], left > 1), bit(points[(first + size - 1)[row]], left > 0), np.left_shift(1, np.minimum(size[row], 62)))),
+                    *(pa.array(x) for x in (whole[row], pos.astype(np.int32), node, np.where(left > 0, padded[at], -1).astype(np.int32), bit(padded[at], left > 0), bit(padded[at + 1], left > 1), bit(points[(first + size - 1)[row]], left > 0), np.left_shift(1, np.minimum(size[row], 62)), (number(padded[at], left > 0) | number(padded[at + 1], left > 1) << 6 | number(points[(first + size - 1)[row]], left > 0) << 12).astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=_PREFIX)
 
-    return words.select("word").mapInArrow(work, "word string, id long, pos int, node long, next int, one long, two long, last long, size long")
+    return words.select("word").mapInArrow(work, "word string, id long, pos int, node long, next int, one long, two long, last long, size long, own int")
 
 
-_PREFIX = ["word", "id", "pos", "node", "next", "one", "two", "last", "size"]
+_PREFIX = ["word", "id", "pos", "node", "next", "one", "two", "last", "size", "own"]
 
 
 def bucket(code: np.ndarray) -> np.ndarray:
@@ -181,26 +185,30 @@ def _has_code(mask: Column, code: Column) -> Column:
     return _has(mask, F.when(code.between(97, 122), code - 97).otherwise(26 + F.pmod(code, F.lit(36))))
 
 
-def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """paths (word, pos, node): the nodes on the way to each word that branch or end one; edges (node, next, label, child, ends, one, two, last, size).
+def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """paths (word, pos, node, own): the nodes on the way to each word that branch or end one; edges (node, next, label, child, ends, one, two, last, size); names (word, node) of all words.
 
     Nodes in which nothing begins and nothing ends are left out, so an edge has a label of any length.
     """
     rows = saved(prefixes(words))
+    bits = ["one", "two", "last", "size"]
     nodes = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("next").alias("least"), F.max("next").alias("most"), F.min("id").alias("shown"), *(F.bit_or(c).alias(c) for c in ("one", "two", "last", "size"))
+        F.count(F.lit(1)).alias("n"), F.min("next").alias("least"), F.max("next").alias("most"), F.min("id").alias("first"), *(F.bit_or(c).alias(c) for c in bits)
     )
     nodes = saved(nodes.where("least < most OR least < 0").withColumn("ends", F.col("least") < 0).drop("least", "most"))
-    root = rows.where("pos = 0").select("word", "id", "pos", "node", F.lit(None).cast("long").alias("shown"), F.lit(None).cast("long").alias("n"), F.lit(False).alias("ends"), *(F.lit(0).cast("long").alias(c) for c in ("one", "two", "last", "size")))
-    kept = spread_join(rows.where("pos > 0").select("word", "id", "pos", "node"), nodes, ["node"], ["word"]).select(root.columns)
+    # an edge is written by one of its words
+    shown = F.col("id") == F.col("first")
+    kept = spread_join(rows.where("pos > 0").select("word", "id", "pos", "node", "own"), nodes, ["node"], ["word"])
+    kept = kept.select("word", "pos", "node", "own", shown.alias("shown"), F.when(shown, F.col("ends")).alias("ends"), *(F.when(shown, F.col(c)).alias(c) for c in bits))
+    root = rows.where("pos = 0").select("word", "pos", "node", "own", F.lit(False).alias("shown"), F.lit(None).cast("boolean").alias("ends"), *(F.lit(None).cast("long").alias(c) for c in bits))
     # a word has as many rows as nodes on its way
     before = lambda c: F.lag(c).over(Window.partitionBy("word").orderBy("pos"))
     chain = saved(kept.unionByName(root).withColumns({"parent": before("node"), "from": before("pos")}))
     size = F.col("pos") - F.col("from")
-    edges = chain.where("pos > 0 AND id = shown").select(
-        F.col("parent").alias("node"), _code(F.col("word"), F.col("from")).alias("next"), F.substring("word", F.col("from") + 1, size).alias("label"), F.col("node").alias("child"), "ends", "one", "two", "last", "size"
+    edges = chain.where("shown").select(
+        F.col("parent").alias("node"), _code(F.col("word"), F.col("from")).alias("next"), F.substring("word", F.col("from") + 1, size).alias("label"), F.col("node").alias("child"), "ends", *bits
     )
-    return chain.select("word", "pos", "node"), saved(edges.distinct())
+    return chain.select("word", "pos", "node", "own"), saved(edges.distinct()), rows.where("next < 0").select("word", "node")
 
 
 def _goes_on(edge: Column, word: Column, pos: Column, goal: Column) -> Column:
@@ -214,6 +222,18 @@ def _goes_on(edge: Column, word: Column, pos: Column, goal: Column) -> Column:
     )
 
 
+def _may_fit(edge: Column, word: Column, pos: Column, own: Column) -> Column:
+    """A quick look whether one edit could lead on through an edge, by the packed numbers of a path's row: false only if none can."""
+    digit = lambda k: F.shiftright(own, 6 * k).bitwiseAND(63)
+    left = F.length(word) - pos
+    same, longer = F.least(F.length(word), F.lit(62)), F.least(F.length(word) + 1, F.lit(62))
+    # with a label of one code point, the next two places of the word are known; a place behind the end has no bit
+    single = F.length(edge["label"]) == 1
+    other = _has(edge["size"], same) & F.when(single, F.when(left == 1, edge["ends"]).otherwise(_has(edge["one"], digit(1)))).otherwise(True)
+    more = _has(edge["size"], longer) & F.when(single, F.when(left == 0, edge["ends"]).otherwise(_has(edge["one"], digit(0)) & ((left < 2) | _has(edge["two"], digit(1))))).otherwise(True)
+    return (other | more) & (~single | (left < 2) | _has(edge["last"], digit(2)))
+
+
 _STATE = ["word", "pos", "node", "goal"]
 
 
@@ -224,20 +244,28 @@ def first_edits(paths: DataFrame, edges: DataFrame) -> DataFrame:
     by a larger one or adds one; the other neighbours come from the other side. goal is the
     length of the neighbour.
     """
-    e, word = F.col("e"), F.col("word")
-    listed = F.collect_list(F.struct("label", "child", "ends", "one", "two", "last", "size"))  # one for each code point that follows a node
-    out = edges.groupBy("node").agg(listed.alias("edges"), F.max(F.length("label")).alias("reach"))
-    counted = saved(out.join(paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node"))
-    at = spread_join(paths, counted, ["node"], ["word"]).where(F.col("pos") + F.col("reach") > F.floor(F.length("word") / 2))
-    met = at.select("word", "pos", F.explode("edges").alias("e")).where(F.col("pos") + F.length("e.label") > F.floor(F.length("word") / 2))
+    e, word, half = F.col("e"), F.col("word"), F.floor(F.length("word") / 2)
+    met = None
+    # short edges matter to nodes near the middle and behind it; of nodes before, which all words pass, a few long edges do
+    for own, ways in ((F.length("label") <= SHORT, paths.where(F.col("pos") + SHORT > half)), (F.length("label") > SHORT, paths)):
+        listed = F.collect_list(F.struct("label", "child", "ends", "one", "two", "last", "size"))  # one for each code point that follows a node
+        out = edges.where(own).groupBy("node").agg(listed.alias("edges"))
+        counted = saved(out.join(ways.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node"))
+        at = spread_join(ways, counted, ["node"], ["word"]).select("word", "pos", "own", F.explode("edges").alias("e"))
+        at = at.where((F.col("pos") + F.length("e.label") > half) & _may_fit(e, word, F.col("pos"), F.col("own")))
+        met = at if met is None else met.unionByName(at)
     size = F.length(e["label"])
     part = lambda n: F.substring(word, F.col("pos") + 1, n)
+    # equal lengths one edit apart differ in a place, lengths one apart in a code point more
     near = lambda n: (F.length(part(n)) == n) & (F.levenshtein(e["label"], part(n), 1) == 1)
-    other = F.when(F.col("pos") + size <= F.length(word), _goes_on(e, word, F.col("pos") + size, F.length(word)) & (e["label"] > part(size)) & near(size)).otherwise(False)
-    more = F.when(F.col("pos") + size - 1 <= F.length(word), _goes_on(e, word, F.col("pos") + size - 1, F.length(word) + 1) & near(size - 1)).otherwise(False)
+    single = size == 1
+    other, more = F.when(single, part(1) != "").otherwise(near(size)), F.when(single, True).otherwise(near(size - 1))
+    met = met.withColumns({"other": (e["label"] > part(size)) & other, "more": more}).where("other OR more")
     state = lambda pos, goal: F.struct(pos.alias("pos"), goal.alias("goal"))
-    made = F.array_compact(F.array(F.when(other, state(F.col("pos") + size, F.length(word))), F.when(more, state(F.col("pos") + size - 1, F.length(word) + 1))))
-    return met.select("word", e["child"].alias("node"), e["ends"].alias("ends"), F.explode(made).alias("s")).select("word", "s.pos", "node", "s.goal", "ends")
+    made = F.array_compact(F.array(F.when(F.col("other"), state(F.col("pos") + size, F.length(word))), F.when(F.col("more"), state(F.col("pos") + size - 1, F.length(word) + 1))))
+    made = met.select("word", e.alias("e"), F.explode(made).alias("s"))
+    goes_on = _goes_on(e, word, F.col("s.pos"), F.col("s.goal"))
+    return made.where(goes_on).select("word", "s.pos", e["child"].alias("node"), "s.goal", e["ends"].alias("ends"))
 
 
 def next_level(states: DataFrame, edges: DataFrame) -> DataFrame:
@@ -254,7 +282,7 @@ def next_level(states: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near) for all pairs of words (word) that one inserted, deleted or replaced code point tells apart, both ways."""
     both = words.select("word").unionByName(words.select(F.concat(F.lit(BACK), F.reverse("word")).alias("word")))
-    paths, edges = trie(both)
+    paths, edges, names = trie(both)
     done = F.col("pos") == F.length("word")
     states = saved(first_edits(paths, edges))
     ended = None
@@ -264,10 +292,9 @@ def neighbours(words: DataFrame) -> DataFrame:
         left = states.where(~done).select(*_STATE)
         if left.isEmpty():
             break
-        states = saved(next_level(left.distinct(), edges))
-    names = prefixes(both).where("next < 0").select(F.col("word").alias("near"), "node")
+        states = saved(next_level(left, edges))
     forwards = lambda c: F.when(F.startswith(c, F.lit(BACK)), F.reverse(F.substring(c, 2, 2**31 - 1))).otherwise(F.col(c)).alias(c)
-    pairs = ended.distinct().join(names, "node").select(forwards("word"), forwards("near")).where(F.levenshtein("word", "near", 1) == 1)
+    pairs = ended.distinct().join(names.withColumnRenamed("word", "near"), "node").select(forwards("word"), forwards("near")).where(F.levenshtein("word", "near", 1) == 1)
     return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
 
 
