@@ -144,3 +144,37 @@ def test_bundle_and_selection_have_limits(spark):
     assert rates.selected_series(bundle, "total", "dsr", 1990, 2050).first()["lower"] < 100
     with pytest.raises(Exception, match="no year of the range"):
         rates.selected_series(bundle, "total", "dsr", 1990, 2000).collect()
+
+
+def test_annual_table_pools_over_gaps_and_splits_where_covered(spark):
+    from vitals.operators import annual
+
+    years = [2000, 2001, 2002]
+    rows = [(y, a, "HM", c, b, d, 1000.0) for y in years for a in ("X", "Ref") for c, d in (("ALL", 20.0), ("c", 5.0)) for b in ("0 - 4", "5 - 9") if not (y == 2001 and a == "X" and c == "c")]
+    full = spark.createDataFrame(rows, "year int, area string, sex string, cause string, age_band string, deaths double, pop double")
+    bands = spark.createDataFrame([("0 - 4", 2.5, 1.0), ("5 - 9", 7.5, 1.0)], "age_band string, mid double, weight double")
+    infant = spark.createDataFrame([(y, "X", "HM", "ALL", 4.0) for y in years] + [(2000, "X", "HM", "c", 1.0)], "year int, area string, sex string, cause string, deaths double")
+    births = spark.createDataFrame([(2000, "X", 500.0), (2001, "X", 700.0)], "year int, area string, births double")
+    got = annual.annual_table(full, bands, infant, births, "HM", "Ref", "ALL", 70.0, 1000.0, windows=(1, 3), youngest=("0 - 4", 0.5, 3.0))
+    at = {(r["location"], r["cause"], r["metric"], r["window"], r["year"]): r for r in got.collect()}
+    assert ("X", "c", "deaths", 1, 2001) not in at and at["X", "c", "deaths", 3, 2001]["value"] == pytest.approx(20 / 3)
+    assert (at["X", "ALL", "deaths", 3, 2001]["n_years"], at["X", "ALL", "deaths", 3, 2001]["period"]) == (3, "2000-2002")
+    assert at["X", "ALL", "crude", 3, 2001]["value"] == pytest.approx(2000) and at["X", "ALL", "smr", 3, 2001]["value"] == pytest.approx(100)
+    isr = at["X", "ALL", "isr", 3, 2001]
+    assert isr["value"] == pytest.approx(2000) and isr["lower"] < 2000 < isr["upper"]
+    # births reach 2001 only, so windows of the rate hold the years up to it
+    rate = at["X", "ALL", "infant", 3, 2001]
+    assert (rate["value"], rate["period"], rate["n_years"], rate["flag"]) == (pytest.approx(8 / 1200 * 1000), "2000-2001", 2, "")
+    assert at["X", "c", "infant_deaths", 1, 2000]["value"] == 1 and at["X", "c", "infant_deaths", 3, 2001]["value"] is None
+    # 12 under one of 60 in the youngest band
+    assert at["X", "ALL", "ypll", 3, 2001]["value"] == pytest.approx((12 * 69.5 + 48 * 67 + 60 * 62.5) / 3)
+    assert at["X", "c", "ypll", 3, 2001]["value"] == pytest.approx((10 * 67.5 + 10 * 62.5) / 3)
+    assert "not apart" in at["X", "c", "ypll", 3, 2001]["source_detail"]
+
+
+def test_bands_without_a_reference_are_named(spark):
+    row = spark.createDataFrame([(4.0, 2.0, 0.5, 2, "0 - 4"), (30.0, 20.0, 0.5, 2, "")], "observed double, expected double, ref_rate double, bands_used int, missing_bands string")
+    few, many = pooling.smr_exact(row).orderBy("observed").collect()
+    assert few["excluded"].endswith("0 - 4") and many["excluded"] is None
+    assert few["isr_lower"] < few["isr"] == 1e5 < few["isr_upper"] and few["isr_upper"] == pytest.approx(few["smr_upper"] / 100 * 0.5 * 1e5)
+    assert many["isr_lower"] == pytest.approx(many["smr_lower"] / 100 * 0.5 * 1e5)

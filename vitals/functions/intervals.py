@@ -114,35 +114,43 @@ def binomial_limits(successes: np.ndarray, trials: np.ndarray, confidence: float
     return lower, upper
 
 
-def with_poisson_limits(df: DataFrame, count: str, lower: str = "lower", upper: str = "upper", scale: Column | None = None, confidence: float = 0.95) -> DataFrame:
-    """Adds the exact limits of a rounded count, times scale (R3); null for negative or missing counts.
+def poisson_limits_of(count: Column, confidence: float = 0.95) -> Column:
+    """(lower, upper) of a rounded count, in the row; a batch computes each distinct count once. Null for negative or missing counts."""
+
+    @F.pandas_udf("lower double, upper double")
+    def limits(k: pd.Series) -> pd.DataFrame:
+        which, distinct = pd.factorize(k.where(k >= 0))
+        lo, hi = (np.append(x, np.nan)[which] for x in poisson_limits(np.asarray(distinct, float), confidence))
+        return pd.DataFrame({"lower": lo, "upper": hi})
 
-    Limits are computed once per distinct count and joined back.
-    """
+    return limits(F.bround(count, 0))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lo, hi = poisson_limits(b["__k_"].to_numpy(), confidence)
-            yield pd.DataFrame({"__k_": b["__k_"], "__lo_": lo, "__hi_": hi})
 
-    keyed = df.withColumn("__k_", F.bround(F.col(count), 0))
-    limits = keyed.where("__k_ >= 0").select("__k_").distinct().mapInPandas(work, "__k_ double, __lo_ double, __hi_ double")
+def with_poisson_limits(df: DataFrame, count: str, lower: str = "lower", upper: str = "upper", scale: Column | None = None, confidence: float = 0.95) -> DataFrame:
+    """Adds the exact limits of a rounded count, times scale (R3); null for negative or missing counts."""
     by = F.lit(1.0) if scale is None else scale
-    return keyed.join(limits, "__k_", "left").withColumns({lower: F.col("__lo_") * by, upper: F.col("__hi_") * by}).drop("__k_", "__lo_", "__hi_")
+    return df.withColumn("__l_", poisson_limits_of(F.col(count), confidence)).withColumns({lower: F.col("__l_.lower") * by, upper: F.col("__l_.upper") * by}).drop("__l_")
 
 
-def with_binomial_limits(df: DataFrame, numerator: str, denominator: str, lower: str = "lower", upper: str = "upper", confidence: float = 0.95) -> DataFrame:
-    """Adds exact limits of a percentage (R4); the numerator is kept within the denominator, null without one."""
+def binomial_limits_of(numerator: Column, denominator: Column, confidence: float = 0.95) -> Column:
+    """(lower, upper) of a percentage, in the row; a batch computes each distinct pair once. Null without a denominator."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lo, hi = binomial_limits(b["__k_"].to_numpy(), b["__n_"].to_numpy(), confidence)
-            yield pd.DataFrame({"__k_": b["__k_"], "__n_": b["__n_"], "__lo_": lo * 100, "__hi_": hi * 100})
+    @F.pandas_udf("lower double, upper double")
+    def limits(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        ok = (k.notna() & (n > 0)).to_numpy()
+        out = np.full((2, len(k)), np.nan)
+        if ok.any():
+            pairs, which = np.unique(np.stack([k[ok].to_numpy(float), n[ok].to_numpy(float)]), axis=1, return_inverse=True)
+            out[:, ok] = np.stack(binomial_limits(pairs[0], pairs[1], confidence))[:, which.reshape(-1)] * 100
+        return pd.DataFrame({"lower": out[0], "upper": out[1]})
 
-    n = F.bround(F.col(denominator), 0)
-    keyed = df.withColumns({"__n_": F.when(n > 0, n), "__k_": F.greatest(F.least(F.bround(F.col(numerator), 0), n), F.lit(0.0))})
-    limits = keyed.where("__n_ IS NOT NULL AND __k_ IS NOT NULL").select("__k_", "__n_").distinct().mapInPandas(work, "__k_ double, __n_ double, __lo_ double, __hi_ double")
-    return keyed.join(limits, ["__k_", "__n_"], "left").withColumns({lower: F.col("__lo_"), upper: F.col("__hi_")}).drop("__k_", "__n_", "__lo_", "__hi_")
+    n = F.bround(denominator, 0)
+    return limits(F.greatest(F.least(F.bround(numerator, 0), n), F.lit(0.0)), n)
+
+
+def with_binomial_limits(df: DataFrame, numerator: str, denominator: str, lower: str = "lower", upper: str = "upper", confidence: float = 0.95) -> DataFrame:
+    """Adds exact limits of a percentage (R4); the numerator is kept within the denominator, null without one."""
+    return df.withColumn("__l_", binomial_limits_of(F.col(numerator), F.col(denominator), confidence)).withColumns({lower: F.col("__l_.lower"), upper: F.col("__l_.upper")}).drop("__l_")
 
 
 @F.pandas_udf(DoubleType())

@@ -53,9 +53,9 @@ def seams_crossed(series: DataFrame, seams: DataFrame, keys: list[str], metric:
     return spans.join(F.broadcast(seams), (F.col("_a") < F.col("seam")) & (F.col("_b") >= F.col("seam"))).select(*keys, "seam", "effect")
 
 
-def seam_note(series: DataFrame, seams: DataFrame, keys: list[str]) -> DataFrame:
-    """One note per series that crosses seams (M7)."""
-    crossed = seams_crossed(series, seams, keys)
+def seam_note(series: DataFrame, seams: DataFrame, keys: list[str], metric: str | None = None) -> DataFrame:
+    """One note per series that crosses seams (M7); metric as in seams_crossed, so that counts have no note."""
+    crossed = seams_crossed(series, seams, keys, metric)
     one = F.concat((F.col("seam") - 1).cast("string"), F.lit("/"), F.col("seam").cast("string"), F.lit(" ("), F.col("effect"), F.lit(")"))
     listed = F.sort_array(F.collect_list(F.struct("seam", one.alias("text"))))
     return crossed.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["text"]), "; ").alias("note"))

@@ -35,9 +35,12 @@ def pooled(full: DataFrame, window: int, keys: list[str]) -> DataFrame:
     """Deaths and population summed over centred windows of the years in the table.
 
     A group stands at a target year if any year of the window has it, even if that year hasn't.
+    Facts are summed by year and dealt by group first; the windows then meet what each task
+    holds of a group, so no more rows move for a longer window.
     """
     w = F.broadcast(windows(full, window))
-    t = full.withColumnRenamed("year", "source_year").join(w, "source_year")
+    yearly = full.groupBy(F.col("year").alias("source_year"), *keys).agg(total("deaths").alias("deaths"), total("pop").alias("pop"))
+    t = yearly.repartition(*keys).join(w, "source_year")
     return t.groupBy("year", *keys).agg(
         total("deaths").alias("deaths"), total("pop").alias("pop"), F.min("source_year").alias("period_start"), F.max("source_year").alias("period_end"), F.count_distinct("source_year").alias("n_years")
     ).withColumn("period_label", period(F.col("period_start"), F.col("period_end")))
@@ -72,7 +75,7 @@ def expected(area: DataFrame, reference: DataFrame, keys: list[str], match: list
 
 
 def smr(observed: DataFrame, per: float = 1e5) -> DataFrame:
-    """SMR and indirectly standardised rate with Byar's limits, for counts of ten or more (P5)."""
+    """SMR and indirectly standardised rate with Byar's limits, for counts of ten or more (P5); excluded says which bands had no reference."""
     o, e = F.col("observed"), F.col("expected")
     lower, upper = byar_limits(o)
     some = e > 0
@@ -84,16 +87,20 @@ def smr(observed: DataFrame, per: float = 1e5) -> DataFrame:
             "smr_lower": F.when(ten, lower / e * 100),
             "smr_upper": F.when(ten, upper / e * 100),
             "isr": ratio / 100 * F.col("ref_rate") * per,
+            "isr_lower": F.when(ten, lower / e * F.col("ref_rate") * per),
+            "isr_upper": F.when(ten, upper / e * F.col("ref_rate") * per),
+            "excluded": F.when(F.col("missing_bands") != "", F.concat(F.lit("bands without a usable reference, left out: "), "missing_bands")),
             "note": F.when(F.col("bands_used") == 0, "no data").when(~some, "no deaths expected"),
         }
     )
 
 
-def smr_exact(observed: DataFrame) -> DataFrame:
+def smr_exact(observed: DataFrame, per: float = 1e5) -> DataFrame:
     """As smr, with exact limits below ten deaths."""
-    s = with_poisson_limits(smr(observed), "observed", "_lo", "_hi")
-    e = F.col("expected")
-    return s.withColumns({"smr_lower": F.coalesce("smr_lower", F.when(e > 0, F.col("_lo") / e * 100)), "smr_upper": F.coalesce("smr_upper", F.when(e > 0, F.col("_hi") / e * 100))}).drop("_lo", "_hi")
+    s = with_poisson_limits(smr(observed, per), "observed", "_lo", "_hi")
+    e, rate = F.col("expected"), F.col("ref_rate") * per
+    exact = {f"{m}_{side}": F.coalesce(f"{m}_{side}", F.when(e > 0, F.col(c) / e * by)) for m, by in (("smr", F.lit(100.0)), ("isr", rate)) for side, c in (("lower", "_lo"), ("upper", "_hi"))}
+    return s.withColumns(exact).drop("_lo", "_hi")
 
 
 def smr_class(lower: Column, upper: Column) -> Column:

@@ -168,6 +168,20 @@ add(
 )
 add("M6_seam_crossing", lambda f: merge.seams_crossed(f.full.where("sex = 'HM' AND (cause <> 'LARGE' OR year > 1998)"), f.seams, ["area", "cause"]), "SELECT area, cause, seam, effect FROM (SELECT area, cause, min(year) a, max(year) b FROM fullf WHERE sex = 'HM' AND (cause <> 'LARGE' OR year > 1998) GROUP BY ALL) JOIN seams ON a < seam AND b >= seam")
 add("M7_seam_note", lambda f: merge.seam_note(f.full.where("sex = 'HM' AND (cause <> 'LARGE' OR year > 1998)"), f.seams, ["area", "cause"]), "SELECT area, cause, string_agg((seam - 1) || '/' || seam || ' (' || effect || ')', '; ' ORDER BY seam) AS note FROM (SELECT area, cause, min(year) a, max(year) b FROM fullf WHERE sex = 'HM' AND (cause <> 'LARGE' OR year > 1998) GROUP BY ALL) JOIN seams ON a < seam AND b >= seam GROUP BY ALL")
+
+
+
+def _metric_series(f: Facts) -> DataFrame:
+    """The same years as counts and as rates."""
+    own = f.full.where("sex = 'HM'").select("area", "cause", "year").distinct()
+    return own.withColumn("metric", F.explode(F.array(F.lit("deaths"), F.lit("crude"), F.lit("dsr"))))
+
+
+add(
+    "M7_seam_note_metrics",
+    lambda f: merge.seam_note(_metric_series(f), f.seams, ["area", "cause", "metric"], "metric"),
+    "SELECT area, cause, metric, string_agg((seam - 1) || '/' || seam || ' (' || effect || ')', '; ' ORDER BY seam) AS note FROM (SELECT area, cause, min(year) a, max(year) b FROM fullf WHERE sex = 'HM' GROUP BY ALL) JOIN seams ON a < seam AND b >= seam, (VALUES ('crude'), ('dsr')) AS v(metric) GROUP BY ALL",
+)
 add("M8_year_sets", lambda f: merge.year_sets(f.pop.where("year > 1995"), f.deaths.where("year < 2001")), "SELECT year, bool_or(p) AS has_pop, bool_or(NOT p) AS has_deaths, bool_or(p) AND bool_or(NOT p) AS usable FROM (SELECT year, true AS p FROM pop WHERE year > 1995 UNION SELECT year, false FROM deaths WHERE year < 2001) GROUP BY year")
 
 

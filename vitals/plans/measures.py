@@ -180,7 +180,67 @@ add("C1_annual_proportional", lambda f: r6(_annual(f, "proportional"), "value"),
 add("C1_annual_dsr_limits", lambda f: r3(r6(_annual(f, "dsr", True), "value"), "lower", "upper"), "hm AS (SELECT * FROM fullf WHERE sex = 'HM'), " + _DW.format(k="year, area, cause", t="hm") + limits_sql("SELECT d AS k FROM dw") + f" --- SELECT area AS location, cause, 'dsr' AS metric, year, rate AS value, lower, upper, '' AS flag FROM (SELECT year, area, cause, {_DL} FROM dw JOIN poisson ON k = d)")
 _HMX = _EXACT.replace("FROM fullf", "FROM (SELECT * FROM fullf WHERE sex = 'HM')")
 add("C1_annual_smr_limits", lambda f: r3(r6(_annual(f, "smr", True), "value", "lower", "upper"), "lower", "upper"), _HMX + f"SELECT area AS location, cause, 'smr' AS metric, year, smr AS value, {_SIDES.format(lower='lower', upper='upper')}, '' AS flag FROM xe")
-add("C1_annual_isr_limits", lambda f: r3(r6(_annual(f, "isr", True), "value"), "lower", "upper"), _HMX + "SELECT area AS location, cause, 'isr' AS metric, year, isr AS value, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, '' AS flag FROM xe")
+_ISR_SIDES = ", ".join(f"round(CASE WHEN expected > 0 THEN CASE WHEN observed >= 10 THEN {b} ELSE {e} END / expected * ref_rate * 1e5 END, 3) AS {a}" for a, b, e in (("lower", f"observed * (1 - 1 / (9 * observed) - {Z95} / (3 * sqrt(observed))) ^ 3", "lo"), ("upper", f"(observed + 1) * (1 - 1 / (9 * (observed + 1)) + {Z95} / (3 * sqrt(observed + 1))) ^ 3", "hi"))) + ", ''"
+add("C1_annual_isr_limits", lambda f: r3(r6(_annual(f, "isr", True), "value"), "lower", "upper"), _HMX.replace("expected, lo, hi,", "expected, ref_rate, lo, hi,") + f"SELECT area AS location, cause, 'isr' AS metric, year, isr AS value, {_ISR_SIDES} AS flag FROM xe")
+
+
+def _annual_table(f: Facts) -> DataFrame:
+    """The annual table over windows of 1, 3 and 5 years; each fact says which of two sources, by year, it is from."""
+    source = lambda year: F.when(F.col("year") < year, "S1").otherwise("S2")
+    full = f.full.withColumns({"death_source": source(1996), "population_source": source(1998)})
+    return annual.annual_table(full, f.bands, f.infant, f.births, "HM", "NATION_1", "ALL", CUTOFF, THIN_BIRTHS, youngest=(YOUNGEST, 0.5, 3.0))
+
+
+YOUNGEST = "0 - 4"
+_LISTED = "string_agg(DISTINCT {c}, ', ' ORDER BY {c})"
+_ANNUAL = (
+    f"""yrs AS (SELECT DISTINCT year FROM fullf), iy AS (SELECT DISTINCT year FROM infant WHERE sex = 'HM'), ry AS (SELECT year FROM iy WHERE year IN (SELECT year FROM births)),
+ w AS (SELECT win, a.year, b.year AS sy FROM (VALUES (1), (3), (5)) AS v(win), yrs a, yrs b WHERE abs(a.year - b.year) <= (win - 1) // 2),
+ span AS (SELECT win, year, count(*) AS n_all, min(sy) AS a0, max(sy) AS b0, count(*) FILTER (sy IN (FROM iy)) AS ni, min(sy) FILTER (sy IN (FROM iy)) AS ai, max(sy) FILTER (sy IN (FROM iy)) AS bi, count(*) FILTER (sy IN (FROM ry)) AS nr, min(sy) FILTER (sy IN (FROM ry)) AS ar, max(sy) FILTER (sy IN (FROM ry)) AS br FROM w GROUP BY ALL),
+ hm AS MATERIALIZED (SELECT *, CASE WHEN year < 1996 THEN 'S1' ELSE 'S2' END AS ds, CASE WHEN year < 1998 THEN 'S1' ELSE 'S2' END AS ps FROM fullf WHERE sex = 'HM'),
+ pl AS MATERIALIZED (SELECT win, w.year, area, cause, age_band, mid, weight, sum(deaths) AS d, sum(pop) AS p FROM hm JOIN w ON w.sy = hm.year JOIN bands USING (band_idx, age_band) GROUP BY ALL),
+ so AS MATERIALIZED (SELECT win, w.year, area, cause, {_LISTED.format(c="ds")} AS ds, {_LISTED.format(c="ps")} AS ps FROM hm JOIN w ON w.sy = hm.year GROUP BY ALL),
+ rf AS (SELECT win, year, cause, age_band, d AS rd, p AS rp FROM pl WHERE area = 'NATION_1' AND p > 0),
+ un AS MATERIALIZED (SELECT win, w.year, area, cause, sum(deaths) AS u, count(*) AS cov, sum(deaths) FILTER (i.year IN (FROM ry)) AS ur, count(*) FILTER (i.year IN (FROM ry)) AS covr FROM infant i JOIN w ON w.sy = i.year WHERE sex = 'HM' GROUP BY ALL),
+ bo AS (SELECT win, w.year, area, sum(births) AS births FROM births b JOIN w ON w.sy = b.year WHERE b.year IN (FROM ry) GROUP BY ALL),
+ sp AS MATERIALIZED (SELECT pl.*, un.u, coalesce(cov = n_all, false) AS split FROM pl LEFT JOIN un USING (win, year, area, cause) JOIN span USING (win, year)),
+ pt AS (SELECT win, year, area, cause, d AS dd, mid AS m FROM sp WHERE NOT (split AND age_band = '{YOUNGEST}')
+  UNION ALL SELECT win, year, area, cause, least(u, d), 0.5 FROM sp WHERE split AND age_band = '{YOUNGEST}' UNION ALL SELECT win, year, area, cause, d - least(u, d), 3.0 FROM sp WHERE split AND age_band = '{YOUNGEST}'),
+ yl AS (SELECT win, year, area, cause, coalesce(sum(dd) FILTER (m < {CUTOFF}), 0) AS y0, sum(dd * greatest({CUTOFF} - m, 0)) AS y1, sum(dd * greatest({CUTOFF} - m, 0) ^ 2) AS y2 FROM pt GROUP BY ALL),
+ hy AS (SELECT win, year, area, cause, bool_or(split AND age_band = '{YOUNGEST}') AS apart, any_value(u) AS uu FROM sp GROUP BY ALL),
+ se AS MATERIALIZED (SELECT win, year, area, cause, sum(d) AS d, sum(p) AS p, sum(weight) AS sw, sum(weight * d / p) AS wr, sum(weight ^ 2 * d / p ^ 2) AS v, coalesce(sum(d) FILTER (rp IS NOT NULL), 0) AS o, coalesce(sum(p * rd / rp), 0) AS e, sum(rd) / sum(rp) AS rr FROM pl LEFT JOIN rf USING (win, year, cause, age_band) GROUP BY ALL),
+ al AS MATERIALIZED (SELECT win, year, area, d AS ad, ds AS ads FROM se JOIN so USING (win, year, area, cause) WHERE cause = 'ALL'),
+ ik AS MATERIALIZED (SELECT un.*, span.*, births, CASE WHEN cov = ni THEN u END AS ic, CASE WHEN covr = nr THEN ur END AS ir FROM un JOIN span USING (win, year) LEFT JOIN bo USING (win, year, area)),
+ jo AS MATERIALIZED (SELECT se.*, y0, y1, y2, ds, ps, ad, ads, n_all, a0, b0, apart, uu FROM se JOIN yl USING (win, year, area, cause) JOIN so USING (win, year, area, cause) JOIN hy USING (win, year, area, cause) JOIN span USING (win, year) LEFT JOIN al USING (win, year, area)),
+ bk AS (SELECT DISTINCT d AS k, ad AS n FROM jo WHERE ad > 0 AND cause <> 'ALL'),"""
+    + _BIN.split("FROM pr),", 1)[1].replace("---", ", ")
+    + limits_sql("SELECT d AS k FROM jo UNION SELECT o FROM jo UNION SELECT y0 FROM jo UNION SELECT ic FROM ik UNION SELECT ir FROM ik")
+).replace("pk AS (", "pk AS MATERIALIZED (").replace("bk AS (", "bk AS MATERIALIZED (").replace("poisson AS (", "poisson AS MATERIALIZED (").replace("binomial AS (", "binomial AS MATERIALIZED (")
+
+
+def _annual_rows(metric: str, value: str, lower: str, upper: str, detail: str, source: str, n: str = "n_all", a: str = "a0", b: str = "b0", flag: str = "''") -> str:
+    return f"SELECT area AS location, cause, win AS \"window\", year, '{metric}' AS metric, CASE WHEN {a} = {b} THEN CAST({a} AS VARCHAR) ELSE {a} || '-' || {b} END AS period, CAST({n} AS INTEGER) AS n_years, round({value}, 6) AS value, round({lower}, 3) AS lower, round({upper}, 3) AS upper, {flag} AS flag, {detail} AS source_detail FROM {source}"
+
+
+_POP, _BY = "'Pop.: ' || ps || '; deaths: ' || ds", "JOIN poisson ON k = round_even({c}, 0)"
+_LOW = f"CASE WHEN o >= 10 THEN o * (1 - 1 / (9 * o) - {Z95} / (3 * sqrt(o))) ^ 3 ELSE lo END"
+_HIGH = f"CASE WHEN o >= 10 THEN (o + 1) * (1 - 1 / (9 * (o + 1)) + {Z95} / (3 * sqrt(o + 1))) ^ 3 ELSE hi END"
+_E, _S = "CASE WHEN e > 0 THEN e END", "CASE WHEN y0 > 0 AND y2 > 0 THEN sqrt(y2 / round_even(y0, 0)) END"
+_SPREAD = "CASE WHEN d >= 10 THEN wr / sw * 1e5 + sqrt(v / sw ^ 2 * 1e10 / d) * ({c} - d) END"
+_ANNUAL_SQL = " UNION ALL ".join(
+    [
+        _annual_rows("deaths", "d / n_all", "lo / n_all", "hi / n_all", "ds", "jo " + _BY.format(c="d")),
+        _annual_rows("crude", "d / p * 1e5", "lo / p * 1e5", "hi / p * 1e5", _POP, "jo " + _BY.format(c="d")),
+        _annual_rows("dsr", "CASE WHEN d >= 10 THEN wr / sw * 1e5 END", _SPREAD.format(c="lo"), _SPREAD.format(c="hi"), _POP, "jo " + _BY.format(c="d")),
+        _annual_rows("smr", f"o / {_E} * 100", f"{_LOW} / {_E} * 100", f"{_HIGH} / {_E} * 100", _POP + " || '; ref.: NATION_1 (O=' || CAST(round_even(o, 0) AS BIGINT) || ', E=' || format('{:.1f}', round_even(e, 1)) || ')'", "jo " + _BY.format(c="o")),
+        _annual_rows("isr", f"o / {_E} * rr * 1e5", f"{_LOW} / {_E} * rr * 1e5", f"{_HIGH} / {_E} * rr * 1e5", _POP + " || '; ref.: NATION_1'", "jo " + _BY.format(c="o")),
+        _annual_rows("proportional", "d / ad * 100", "lo * 100", "hi * 100", "'deaths: ' || ds || '; of: ' || ads", "jo JOIN binomial ON k = d AND n = ad WHERE cause <> 'ALL'"),
+        _annual_rows("ypll", "y1 / n_all", f"coalesce(greatest(y1 + {_S} * (lo - round_even(y0, 0)), 0), 0) / n_all", f"coalesce(y1 + {_S} * (hi - round_even(y0, 0)), y1) / n_all", "ds || CASE WHEN apart THEN '; under one apart (' || CAST(uu AS BIGINT) || ')' ELSE '; under one not apart' END", "jo " + _BY.format(c="y0")),
+        _annual_rows("infant_deaths", "ic", "lo", "hi", "'deaths under one: ' || coalesce(CAST(CAST(ic AS BIGINT) AS VARCHAR), 'N/D')", "ik LEFT " + _BY.format(c="ic"), "ni", "ai", "bi"),
+        _annual_rows("infant", "ir / births * 1000", "lo / births * 1000", "hi / births * 1000", "'deaths under one: ' || coalesce(CAST(CAST(ir AS BIGINT) AS VARCHAR), 'N/D') || '; births: ' || coalesce(CAST(CAST(births AS BIGINT) AS VARCHAR), 'N/D')", "ik LEFT " + _BY.format(c="ir"), "nr", "ar", "br", f"CASE WHEN births < {THIN_BIRTHS} THEN '*' ELSE '' END"),
+    ]
+)
+add("C1_annual_pooled", lambda f: r3(r6(_annual_table(f), "value"), "lower", "upper"), _ANNUAL + " --- " + _ANNUAL_SQL)
 add("C2_comparators", lambda f: annual.comparators(f.pop.select("area").distinct(), "NATION", "MAINLAND", geo.members(f.lookup).where("vintage = 'A'"), "selection"), "SELECT DISTINCT 'selection' AS label, area FROM pop UNION SELECT 'MAINLAND', municipality FROM members WHERE vintage = 'A' AND region = 'MAINLAND' UNION SELECT 'NATION', 'NATION'")
 
 
