@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitals.llm.tables import saved
 from vitals.llm.textkernel import ALNUM_WORDS, Words, chunks, distinct, mix, signed
 
 #: Examples per class in the index at most.
@@ -29,6 +30,8 @@ NEIGHBOURS = 16
 PRIOR_WEIGHT = 1.5
 BLOCK = 64
 SKETCH = 8
+#: Examples that a term of the vocabulary stands in.
+LEAST = 4
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -150,21 +153,14 @@ def no_near_copies(sketches: list[np.ndarray]) -> np.ndarray:
     return np.array(left, np.int64)
 
 
-def choose_terms(terms: list[np.ndarray], labels: np.ndarray, whole: bool = False) -> np.ndarray:
-    """Sorted hashes of the terms that the sample ties to a class, by odds and by a z-score; or of all its terms."""
-    if whole:
-        return np.unique(np.concatenate(terms)) if terms else np.empty(0, np.int64)
-    n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
+def tied_terms(terms: np.ndarray, a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Sorted hashes of the terms that the sample ties to a class, by odds and by a z-score; a, b: the examples of label 1 and 0 that hold each, of n1 and n0."""
     if not n1 or not n0:
         return np.empty(0, np.int64)
-    all_terms, which = np.unique(np.concatenate(terms), return_inverse=True)
-    toxic = np.repeat(labels == 1, [len(t) for t in terms])
-    a = np.bincount(which[toxic], minlength=len(all_terms)).astype(float)
-    b = np.bincount(which[~toxic], minlength=len(all_terms)).astype(float)
+    a, b = a.astype(float), b.astype(float)
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
     z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-    good = np.flatnonzero((np.abs(z) >= 3.3) & (np.abs(odds) >= math.log(8)) & (a + b >= 4))
-    return all_terms[good]
+    return np.sort(terms[(np.abs(z) >= 3.3) & (np.abs(odds) >= math.log(8)) & (a + b >= LEAST)])
 
 
 def looked_up(vocabulary: np.ndarray, doc: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,20 +194,38 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = EXAMPLES, whole: bool = False) -> Index:
-    """Learn the index from a bounded sample; document frequencies cover all documents."""
-    sample = sample_terms(labelled_sample(docs, labels, label, folds, held, per_class)).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    terms = [np.asarray(t, np.int64) for t in sample["terms"]]
-    drawn = float((sample["label"] == 1).mean()) if len(sample) else None
-    left = no_near_copies([np.asarray(t, np.int64) for t in sample["sketch"]])
-    sample, terms = sample.iloc[left].reset_index(drop=True), [terms[i] for i in left]
-    y = sample["label"].to_numpy(np.int64)
-    vocabulary = choose_terms(terms, y, whole)
+    """Learn the index from a bounded sample; document frequencies cover all documents.
+
+    Terms are counted by class in Spark, so the driver has those of LEAST examples and more,
+    and of each example the terms of the vocabulary alone: it doesn't follow the texts' length.
+    """
+    sample = saved(sample_terms(labelled_sample(docs, labels, label, folds, held, per_class)).dropDuplicates(["doc_id"]))
+    drawn_rows = sample.select("doc_id", "label", "sketch").toPandas().sort_values("doc_id", ignore_index=True)
+    drawn = float((drawn_rows["label"] == 1).mean()) if len(drawn_rows) else None
+    chosen = drawn_rows.iloc[no_near_copies([np.asarray(t, np.int64) for t in drawn_rows["sketch"]])]
+    n1, n0 = int((chosen["label"] == 1).sum()), int((chosen["label"] == 0).sum())
+    named = docs.sparkSession.createDataFrame([(int(i),) for i in chosen["doc_id"]], "doc_id long")
+    kept = sample.join(F.broadcast(named), "doc_id")  # at most twice per_class ids
+    count = lambda y: F.count(F.when(F.col("label") == y, 1))
+    held_by = kept.select("label", F.explode("terms").alias("term")).groupBy("term").agg(count(1).alias("a"), count(0).alias("b"))
+    held_by = (held_by if whole else held_by.where(F.col("a") + F.col("b") >= LEAST)).toPandas()
+    term = held_by["term"].to_numpy(np.int64)
+    vocabulary = np.sort(term) if whole else tied_terms(term, held_by["a"].to_numpy(), held_by["b"].to_numpy(), n1, n0)
     df, n = document_frequencies(docs, vocabulary)
-    examples = []
-    for t, c in zip(terms, sample["counts"], strict=True):
-        which, at = looked_up(vocabulary, np.arange(len(t)), t.view(np.uint64))
-        examples.append((at, np.asarray(c)[which]))
-    return build(vocabulary, df, n, examples, y, sample["doc_id"].to_numpy(np.int64), base_rate(labels, label, folds, held), drawn)
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, c = (batch[k].flatten().to_numpy(zero_copy_only=False) for k in ("terms", "counts"))
+            row = np.repeat(np.arange(batch.num_rows), batch["terms"].value_lengths().to_numpy(zero_copy_only=False))
+            which, at = looked_up(known.value, np.arange(len(t)), t.view(np.uint64))
+            ends = pa.array(np.searchsorted(row[which], np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, c[which])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], *lists], names=["doc_id", "label", "terms", "counts"])
+
+    rows = kept.select("doc_id", "label", "terms", "counts").mapInArrow(numbered, "doc_id long, label int, terms array<int>, counts array<int>").toPandas().sort_values("doc_id", ignore_index=True)
+    examples = [(np.asarray(t, np.int64), np.asarray(c)) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
+    return build(vocabulary, df, n, examples, rows["label"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64), base_rate(labels, label, folds, held), drawn)
 
 
 def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray, prior: float, drawn: float | None) -> Index:
