@@ -107,6 +107,14 @@ def test_areas_outside_the_membership_pass_through(spark):
     assert got(chosen=chosen, mode="original") == {"R": 50, "b": 2, "Nation": 9}
 
 
+def test_year_ranges_join_by_equality(spark):
+    f = spark.createDataFrame([("a", y, 1.0) for y in range(2000, 2006)] + [("b", 2001, 2.0), ("c", 2001, 3.0)], "source_indicator string, year int, v double")
+    r = spark.createDataFrame([("a", 2000, 2002), ("a", 2002, 2003), ("b", 2002, 2001), ("c", 2001, 2001)], "source_indicator string, first int, last int")
+    got = merge.by_year_range(f, r)
+    assert sorted((x["source_indicator"], x["year"]) for x in got.collect()) == [("a", 2000), ("a", 2001), ("a", 2002), ("a", 2002), ("a", 2003), ("c", 2001)]
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and got.columns == f.columns
+
+
 def test_areas_outside_a_vintage_pass_through_it(spark):
     m = spark.createDataFrame([("A", "R", "a"), ("A", "R", "b"), ("B", "Q", "a")], "vintage string, region string, municipality string")
     f = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("Nation", 9.0), ("R", 50.0)], "area string, v double")

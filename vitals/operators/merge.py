@@ -31,9 +31,13 @@ def with_fallback(detailed: DataFrame, total_only: DataFrame, priorities: DataFr
 
 
 def by_year_range(facts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows of each indicator inside its own range of years (M4). ranges: source_indicator, first, last."""
-    r = F.broadcast(ranges.withColumnRenamed("source_indicator", "_s"))
-    return facts.join(r, (F.col("source_indicator") == F.col("_s")) & F.col("year").between(F.col("first"), F.col("last"))).drop("_s", "first", "last")
+    """Rows of each indicator inside its own range of years (M4). ranges: source_indicator, first, last.
+
+    A range is a row for each of its years, so the join is by equality; a fact in two ranges
+    of its indicator comes twice, and a range that ends before it begins holds nothing.
+    """
+    years = ranges.where("first <= last").select("source_indicator", F.explode(F.sequence("first", "last")).alias("year"))
+    return facts.join(years.withColumn("year", F.col("year").cast(facts.schema["year"].dataType)), ["source_indicator", "year"]).select(facts.columns)
 
 
 def with_sources(deaths: DataFrame, pop: DataFrame, keys: list[str]) -> DataFrame:
