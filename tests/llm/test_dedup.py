@@ -293,6 +293,25 @@ def test_smaller_ids_that_hold_some_words_of_a_passage(spark):
     assert all(set(range(at[i], at[i] + 80)) <= spans[i] for i in spans)
 
 
+@pytest.mark.parametrize("parts", [[(0, 49)], [(1, 50)], [(0, 49), (3, 52)]])
+def test_smaller_ids_that_hold_all_but_a_word_of_a_passage(spark, parts):
+    """In each of 200 triples the first document has the passage of the others but for a word at an end."""
+    rng = np.random.default_rng(21)
+    text = lambda n: [f"v{k}" for k in rng.integers(0, 30_000, n)]
+    n, docs, want = max(50, parts[-1][1]), [], {}
+    for k in range(200):
+        p = text(n)
+        docs.append((10 * k + 1, text(20) + [x for a, b in parts for x in p[a:b] + text(20)]))
+        for i in (2, 3):
+            before = int(rng.integers(0, 60))
+            docs.append((10 * k + i, text(before) + p + text(30)))
+            if i == 3:
+                want[10 * k + 3] = before
+    found = substring.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in docs])).collect()
+    exact = {(r["doc_id"], r["source_id"], r["start"]) for r in found if r["similarity"] == 1.0 and r["n_words"] >= n}
+    assert {i for i, x in want.items() if (i, i - 1, x) not in exact} == set()
+
+
 def spans_of(rows):
     out = {}
     for r in rows:

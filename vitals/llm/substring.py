@@ -523,8 +523,8 @@ def _of_source(found: DataFrame, counted: DataFrame, table: DataFrame, columns:
     return spread_join(found, saved(source.join(own, ["a", "a_from", "a_to"])), ["a", "a_from", "a_to"], ["b", "from", "to"])
 
 
-def verified(text: DataFrame, found: DataFrame) -> DataFrame:
-    """The passages (columns of repeated_passages) among candidates, by their shingles.
+def verified(text: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The passages (columns of repeated_passages) among candidates, by their shingles, and the slices of those that aren't the same throughout.
 
     A candidate whose two sides are the same, place by place, shows by hashes of the two spans;
     for the others the shingles of both sides are brought together.
@@ -557,7 +557,52 @@ def verified(text: DataFrame, found: DataFrame) -> DataFrame:
 
     near = pairs.select("b", "a", "low", "high", "begin", "a_begin", "shingles", "a_shingles").mapInArrow(verify, "doc_id long, start long, n_words long, source_id long, source_start long, similarity double")
     exact = same.select(F.col("b").alias("doc_id"), F.col("from").alias("start"), (F.col("to") - F.col("from") + SHINGLE).alias("n_words"), F.col("a").alias("source_id"), F.col("a_from").alias("source_start"), F.lit(1.0).alias("similarity"))
-    return exact.unionByName(near).distinct()
+    return exact.unionByName(near).distinct(), parts
+
+
+def tied_again(parts: DataFrame, passages: DataFrame) -> DataFrame:
+    """Exact passages (columns of repeated_passages) among slices whose run was tied to a document that lacks it.
+
+    A run of a passage's length is tied to the first holder of its bits, which may differ in a
+    shingle with the same bit. All that hold the run are tied to that one, and as each of them
+    differs from it, each is among the slices. So their runs are grouped by 128-bit hashes of
+    all shingles: the smallest id of a group has the run, and nothing is left to verify.
+    """
+    t = PASSAGE - SHINGLE + 1
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = zip(*(batch[c].to_pylist() for c in ("doc_id", "begin")), strict=True)
+            for k, (doc, begin) in enumerate(spans):
+                s = batch["shingles"][k].values.to_numpy(zero_copy_only=False).view(U)
+                n = len(s) - t + 1
+                if n < 1:
+                    continue
+                up, down = powers(len(s) + 1)
+                h = []
+                with np.errstate(over="ignore"):
+                    for seed in (31, 32):
+                        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(s, seed) * up[: len(s)])])
+                        h.append(signed(mix((sums[t:] - sums[:n]) * down[:n], seed)))
+                yield from _batches([*h, np.full(n, doc), np.arange(begin, begin + n)], ["h1", "h2", "id", "at"])
+
+    runs = saved(parts.select("doc_id", "begin", "shingles").mapInArrow(hashed, "h1 long, h2 long, id long, at long").distinct())
+    first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
+    first = saved(first.where("most > first.id").drop("most"))
+    ties = spread_join(runs, first, ["h1", "h2"], ["id", "at"]).where("id > first.id")
+    ties = ties.select(F.col("id").alias("b"), F.col("first.id").alias("a"), (F.col("at") - F.col("first.at")).alias("shift"), "at")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, a, shift, at in _whole(batches, ["b", "a", "shift", "at"], 2):
+            new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1))
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(b)) - 1
+            yield from _batches([b[heads], at[heads], at[tails] - at[heads] + PASSAGE, a[heads], at[heads] - shift[heads], np.ones(len(heads))], _PASSAGE)
+
+    exact = ties.repartition("b", "a").sortWithinPartitions("b", "a", "shift", "at").mapInArrow(joined, "doc_id long, start long, n_words long, source_id long, source_start long, similarity double")
+    known = passages.select(F.col("doc_id").alias("of"), F.col("start").alias("from"), (F.col("start") + F.col("n_words")).alias("to"))
+    inside = (F.col("doc_id") == F.col("of")) & (F.col("from") <= F.col("start")) & (F.col("to") >= F.col("start") + F.col("n_words"))
+    return exact.join(known, inside, "left_anti")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, enough: int = ENOUGH, sample: int = HOT_SAMPLE, hot: int = HOT) -> DataFrame:
@@ -582,7 +627,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table. Repeats inside a document don't count.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return verified(text, candidates(window_links(text, hashes, enough, hot_keys(text, hashes, sample, hot)), enough))
+    passages, parts = verified(text, candidates(window_links(text, hashes, enough, hot_keys(text, hashes, sample, hot)), enough))
+    passages = saved(passages)
+    return passages.unionByName(tied_again(parts, passages))
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
