@@ -38,6 +38,8 @@ HOT, HOT_SHARE, HOT_ROWS, HOT_SAMPLE = 8, 100, 2_000_000, 64
 #: Shingles to which the ends of a source's slice are rounded.
 ROUND = 64
 _WIDE = (1 << 12) - 1
+#: Marks links by a run of a passage's length: one hash function is enough for them.
+WHOLE = 4
 
 
 def _slide(x: np.ndarray, t: int, best: np.ufunc, pad: int) -> np.ndarray:
@@ -144,8 +146,11 @@ def chunk_windows(w: Words, ids: np.ndarray, hashes: int = HASHES) -> list[np.nd
     return [np.concatenate(x) for x in out]
 
 
-def _linked(first: list[np.ndarray], second: list[np.ndarray]) -> list[np.ndarray]:
-    """Columns b, a, hash, from, to, shift for windows that share a key: what both cover, in b's places; b is the larger id."""
+def _linked(first: list[np.ndarray], second: list[np.ndarray], whole: np.ndarray) -> list[np.ndarray]:
+    """Columns b, a, hash, from, to, shift for windows that share a key: what both cover, in b's places; b is the larger id.
+
+    Where they also share a run of a passage's length (whole), hash has WHOLE added.
+    """
     key, id1, at1 = first
     _, id2, at2 = second
     swap = id1 < id2
@@ -155,7 +160,7 @@ def _linked(first: list[np.ndarray], second: list[np.ndarray]) -> list[np.ndarra
     before = np.minimum((pb >> 12) & _WIDE, (pa_ >> 12) & _WIDE)
     after = np.minimum(pb & _WIDE, pa_ & _WIDE)
     keep = (b != a) & (before + after + 1 >= PASSAGE - SHINGLE + 1)
-    return [x[keep] for x in (b, a, key & 3, cb - before, cb + after, cb - ca)]
+    return [x[keep] for x in (b, a, (key & 3) + WHOLE * whole, cb - before, cb + after, cb - ca)]
 
 
 def _first(code: np.ndarray) -> np.ndarray:
@@ -167,7 +172,7 @@ def _first(code: np.ndarray) -> np.ndarray:
 
 
 def _runs(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, enough: int = ENOUGH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each run of RUNS the windows that have it, and a hash of its key and shingles."""
+    """For each run of RUNS the windows that have it, and a hash of its key and shingles, odd for the first length."""
     before, after = (at >> 12) & _WIDE, at & _WIDE
     every = np.arange(len(key))
     left, right, key = left.view(U), right.view(U), key.astype(U)
@@ -180,14 +185,16 @@ def _runs(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray,
             x = left[rows] >> U(64 - i) if i else np.zeros(len(rows), U)
             y = right[rows] >> U(64 - j) if j else np.zeros(len(rows), U)
             with np.errstate(over="ignore"):
-                yield rows, signed(mix(key[rows] * U(0x9FB21C651E98DF25) + x * U(0xD6E8FEB86659FD93) + mix(y, length << 8 | i)))
+                code = signed(mix(key[rows] * U(0x9FB21C651E98DF25) + x * U(0xD6E8FEB86659FD93) + mix(y, length << 8 | i)))
+            yield rows, code & ~1 | (length == RUNS[0][0])
 
 
 def _tied(columns: list[np.ndarray], enough: int = ENOUGH) -> list[np.ndarray]:
     """Links of windows sorted by key, id and place: each run of each window with its first holder.
 
     The first holder of a run is the smallest id that has it, and the same one under every
-    hash function. A window whose surroundings all are those of a smaller id's is tied to that.
+    hash function, but for holders that differ where the bits don't. A window whose surroundings
+    all are those of a smaller id's is tied to that.
     """
     key, ids, at, left, right = columns
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
@@ -198,14 +205,16 @@ def _tied(columns: list[np.ndarray], enough: int = ENOUGH) -> list[np.ndarray]:
     own = np.flatnonzero(ids[same] == ids)
     gone = np.flatnonzero(ids[same] != ids)
     pairs = [gone << 32 | same[gone]]
+    whole = [pairs[0]]
     for rows, code in _runs(key[own], at[own], left[own], right[own], enough):
         to = rows[_first(code)]
         other = ids[own[to]] != ids[own[rows]]
         pairs.append(own[rows[other]] << 32 | own[to[other]])
+        whole.append(pairs[-1][code[other] & 1 == 1])
     p = np.sort(np.concatenate(pairs))
     p = p[np.append(True, p[1:] != p[:-1])[: len(p)]]
     b, a = p >> 32, p & 0xFFFFFFFF
-    return _linked([key[b], ids[b], at[b]], [key[a], ids[a], at[a]])
+    return _linked([key[b], ids[b], at[b]], [key[a], ids[a], at[a]], np.isin(p, np.concatenate(whole)))
 
 
 _LINK = ["b", "a", "hash", "from", "to", "shift"]
@@ -318,15 +327,16 @@ def hot_links(windows: DataFrame, enough: int = ENOUGH) -> DataFrame:
 
     runs = tied.where("id = first.id").select(*_WINDOW).mapInArrow(split, "run long, key long, id long, at long")
     first = saved(runs.groupBy("run").agg(F.min(where).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("most > first.id").drop("most"))
-    pairs = spread_join(runs, first, ["run"], ["id", "at"]).where("id > first.id")
-    pairs = pairs.select("key", "id", "at", "first").unionByName(tied.where("id > first.id").select("key", "id", "at", "first")).distinct()
+    pairs = spread_join(runs, first, ["run"], ["id", "at"]).where("id > first.id").select("key", "id", "at", "first", F.col("run").bitwiseAND(1).alias("whole"))
+    pairs = pairs.unionByName(tied.where("id > first.id").select("key", "id", "at", "first", F.lit(1).cast("long").alias("whole")))
+    pairs = pairs.groupBy("key", "id", "at", "first").agg(F.max("whole").alias("whole"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, ids, at, id2, at2 = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "at", "id2", "at2"))
-            yield from _batches(_linked([key, ids, at], [key, id2, at2]), _LINK)
+            key, ids, at, id2, at2, whole = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "at", "id2", "at2", "whole"))
+            yield from _batches(_linked([key, ids, at], [key, id2, at2], whole), _LINK)
 
-    return pairs.select("key", "id", "at", F.col("first.id").alias("id2"), F.col("first.at").alias("at2")).mapInArrow(link, _LINKS)
+    return pairs.select("key", "id", "at", F.col("first.id").alias("id2"), F.col("first.at").alias("at2"), "whole").mapInArrow(link, _LINKS)
 
 
 def covered(group: np.ndarray, kind: np.ndarray, lo: np.ndarray, hi: np.ndarray, enough: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -366,7 +376,10 @@ def candidates(links: DataFrame, enough: int = ENOUGH) -> DataFrame:
             group = np.cumsum(new) - 1
             heads = np.flatnonzero(new)
             tails = np.append(heads[1:], len(b)) - 1
-            g, x, y = covered(group, kind, lo, hi, enough, PASSAGE - SHINGLE + 1)
+            alone = np.flatnonzero(kind >= WHOLE)  # these count as often as is enough
+            every = np.concatenate([np.arange(len(kind)), np.tile(alone, enough - 1)])
+            kinds = np.concatenate([kind % WHOLE, np.repeat(np.arange(1, enough), len(alone)) * WHOLE + np.tile(kind[alone], enough - 1)])
+            g, x, y = covered(group[every], kinds, lo[every], hi[every], enough, PASSAGE - SHINGLE + 1)
             columns = [b[heads][g], a[heads][g], x, y, shift[heads][g], shift[tails][g]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["b", "a", "from", "to", "low", "high"])
 
@@ -511,6 +524,7 @@ def _judged(a: np.ndarray, b: np.ndarray, part: np.ndarray, at: np.ndarray) -> t
 
 
 _PASSAGE = ["doc_id", "start", "n_words", "source_id", "source_start", "similarity"]
+_PASSAGES = "doc_id long, start long, n_words long, source_id long, source_start long, similarity double"
 
 
 def _of_source(found: DataFrame, counted: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -523,8 +537,8 @@ def _of_source(found: DataFrame, counted: DataFrame, table: DataFrame, columns:
     return spread_join(found, saved(source.join(own, ["a", "a_from", "a_to"])), ["a", "a_from", "a_to"], ["b", "from", "to"])
 
 
-def verified(text: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The passages (columns of repeated_passages) among candidates, by their shingles, and the slices of those that aren't the same throughout.
+def verified(text: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages (columns of repeated_passages) among candidates, by their shingles.
 
     A candidate whose two sides are the same, place by place, shows by hashes of the two spans;
     for the others the shingles of both sides are brought together.
@@ -550,43 +564,57 @@ def verified(text: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
             numbers = zip(*(batch[c].to_pylist() for c in ("b", "a", "low", "high", "begin", "a_begin")), strict=True)
             for k, (b, a, low, high, at_b, at_a) in enumerate(numbers):
                 of = [batch[c][k].values.to_numpy(zero_copy_only=False) for c in ("a_shingles", "shingles")]
-                for x0, x1, y0, _, s in same_passages(*of, low - (at_b - at_a), high - (at_b - at_a), PASSAGE - SHINGLE + 1):
-                    rows.append((b, at_b + x0, x1 - x0 + SHINGLE, a, at_a + y0, s))
+                behind = at_b - at_a
+                for x0, x1, y0, _, s in same_passages(*of, low - behind, high - behind, t):
+                    rows.append((b, at_b + x0, x1 - x0 + SHINGLE, a, at_a + y0, s, None, None))
+                of = [x.view(U) for x in of]
+                at = _misled(*of, low - behind, high - behind, t)
+                if len(at):
+                    rows += [(b, at_b + x, PASSAGE, None, None, None, h1, h2) for x, h1, h2 in zip(at.tolist(), *(h.tolist() for h in _run_hashes(of[1], at, t)), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=_PASSAGE)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*_PASSAGE, "h1", "h2"])
 
-    near = pairs.select("b", "a", "low", "high", "begin", "a_begin", "shingles", "a_shingles").mapInArrow(verify, "doc_id long, start long, n_words long, source_id long, source_start long, similarity double")
+    t = PASSAGE - SHINGLE + 1
+    kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 2
+    shown = saved(pairs.select("b", "a", "low", "high", "begin", "a_begin", "shingles", "a_shingles").mapInArrow(verify, _PASSAGES + ", h1 long, h2 long"))
     exact = same.select(F.col("b").alias("doc_id"), F.col("from").alias("start"), (F.col("to") - F.col("from") + SHINGLE).alias("n_words"), F.col("a").alias("source_id"), F.col("a_from").alias("source_start"), F.lit(1.0).alias("similarity"))
-    return exact.unionByName(near).distinct(), parts
+    passages = saved(exact.unionByName(shown.where("h1 IS NULL").select(_PASSAGE)).distinct())
+    misled = shown.where("h1 IS NOT NULL").select("h1", "h2", F.col("doc_id").alias("id"), F.col("start").alias("at"))
+    return passages.unionByName(tied_again(misled, passages))
+
+
+def _misled(a: np.ndarray, b: np.ndarray, low: int, high: int, t: int) -> np.ndarray:
+    """Where runs of t shingles of b begin that have the bits of a's at a shift of low to high, but not its shingles."""
+    bits_a, bits_b = mix(a, 77) & U(1), mix(b, 77) & U(1)
+    found = [np.empty(0, np.int64)]
+    for shift in range(low, high + 1):
+        x, y = max(0, shift), min(len(b), len(a) + shift)
+        if y - x < t:
+            continue
+        other, differ = (np.concatenate([[0], np.cumsum(u[x:y] != v[x - shift : y - shift])]) for u, v in ((bits_b, bits_a), (b, a)))
+        found.append(x + np.flatnonzero((other[t:] == other[:-t]) & (differ[t:] > differ[:-t])))
+    return np.unique(np.concatenate(found))
+
+
+def _run_hashes(s: np.ndarray, at: np.ndarray, t: int) -> list[np.ndarray]:
+    """128-bit hashes of the t shingles from each place on."""
+    up, down = powers(len(s) + 1)
+    out = []
+    with np.errstate(over="ignore"):
+        for seed in (31, 32):
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(s, seed) * up[: len(s)])])
+            out.append(signed(mix((sums[at + t] - sums[at]) * down[at], seed)))
+    return out
 
 
-def tied_again(parts: DataFrame, passages: DataFrame) -> DataFrame:
-    """Exact passages (columns of repeated_passages) among slices whose run was tied to a document that lacks it.
+def tied_again(misled: DataFrame, passages: DataFrame) -> DataFrame:
+    """Exact passages (columns of repeated_passages) among runs (h1, h2, id, at) whose first holder by bits lacks them.
 
-    A run of a passage's length is tied to the first holder of its bits, which may differ in a
-    shingle with the same bit. All that hold the run are tied to that one, and as each of them
-    differs from it, each is among the slices. So their runs are grouped by 128-bit hashes of
-    all shingles: the smallest id of a group has the run, and nothing is left to verify.
+    All that hold a run are tied to one first holder of its bits; as each of them differs from
+    that one, each is among the runs. So runs are grouped by 128-bit hashes of all their
+    shingles: the smallest id of a group has the run, and nothing is left to verify.
     """
-    t = PASSAGE - SHINGLE + 1
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = zip(*(batch[c].to_pylist() for c in ("doc_id", "begin")), strict=True)
-            for k, (doc, begin) in enumerate(spans):
-                s = batch["shingles"][k].values.to_numpy(zero_copy_only=False).view(U)
-                n = len(s) - t + 1
-                if n < 1:
-                    continue
-                up, down = powers(len(s) + 1)
-                h = []
-                with np.errstate(over="ignore"):
-                    for seed in (31, 32):
-                        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(s, seed) * up[: len(s)])])
-                        h.append(signed(mix((sums[t:] - sums[:n]) * down[:n], seed)))
-                yield from _batches([*h, np.full(n, doc), np.arange(begin, begin + n)], ["h1", "h2", "id", "at"])
-
-    runs = saved(parts.select("doc_id", "begin", "shingles").mapInArrow(hashed, "h1 long, h2 long, id long, at long").distinct())
+    runs = saved(misled.distinct())
     first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
     first = saved(first.where("most > first.id").drop("most"))
     ties = spread_join(runs, first, ["h1", "h2"], ["id", "at"]).where("id > first.id")
@@ -599,7 +627,7 @@ def tied_again(parts: DataFrame, passages: DataFrame) -> DataFrame:
             tails = np.append(heads[1:], len(b)) - 1
             yield from _batches([b[heads], at[heads], at[tails] - at[heads] + PASSAGE, a[heads], at[heads] - shift[heads], np.ones(len(heads))], _PASSAGE)
 
-    exact = ties.repartition("b", "a").sortWithinPartitions("b", "a", "shift", "at").mapInArrow(joined, "doc_id long, start long, n_words long, source_id long, source_start long, similarity double")
+    exact = ties.repartition("b", "a").sortWithinPartitions("b", "a", "shift", "at").mapInArrow(joined, _PASSAGES)
     known = passages.select(F.col("doc_id").alias("of"), F.col("start").alias("from"), (F.col("start") + F.col("n_words")).alias("to"))
     inside = (F.col("doc_id") == F.col("of")) & (F.col("from") <= F.col("start")) & (F.col("to") >= F.col("start") + F.col("n_words"))
     return exact.join(known, inside, "left_anti")
@@ -627,9 +655,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table. Repeats inside a document don't count.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    passages, parts = verified(text, candidates(window_links(text, hashes, enough, hot_keys(text, hashes, sample, hot)), enough))
-    passages = saved(passages)
-    return passages.unionByName(tied_again(parts, passages))
+    return verified(text, candidates(window_links(text, hashes, enough, hot_keys(text, hashes, sample, hot)), enough))
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
