@@ -146,7 +146,7 @@ def chunk_windows(w: Words, ids: np.ndarray, hashes: int = HASHES) -> list[np.nd
     return [np.concatenate(x) for x in out]
 
 
-def _linked(first: list[np.ndarray], second: list[np.ndarray], whole: np.ndarray) -> list[np.ndarray]:
+def _linked(first: list[np.ndarray], second: list[np.ndarray], whole: np.ndarray | int = 0) -> list[np.ndarray]:
     """Columns b, a, hash, from, to, shift for windows that share a key: what both cover, in b's places; b is the larger id.
 
     Where they also share a run of a passage's length (whole), hash has WHOLE added.
