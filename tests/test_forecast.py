@@ -1,5 +1,7 @@
 """Forecasts and breaks: errors by hand, known shapes found again."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,26 @@ def test_partial_autocorrelation_against_the_recursion(spark):
         for k in range(1, 9):  # the last coefficient of the Yule-Walker equations
             m = np.array([[1.0 if i == j else r[abs(i - j) - 1] for j in range(k)] for i in range(k)])
             assert got[s, k] == pytest.approx(np.linalg.solve(m, r[:k])[-1])
+
+
+def test_breaks_against_every_partition():
+    """Costs and the choice against least squares over all partitions, with ties of exact lines."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(0, 1, (6, 13))
+    rows[0] = 2.0  # every partition has the same error
+    rows[1] = np.where(np.arange(13) < 6, 1.0, 9.0)
+    for trend in (False, True):
+        for y, got in zip(rows, breaks.best_breaks(rows, 0.2, 3, trend), strict=True):
+            cost = lambda v: float(np.sum((v - (np.polyval(np.polyfit(np.arange(len(v)), v, 1), np.arange(len(v))) if trend else v.mean())) ** 2))
+            least, n = (3 if trend else 2), len(y)
+            options = []
+            for c in range(4):
+                for at in itertools.combinations(range(1, n), c):
+                    ends = [0, *at, n]
+                    if min(b - a for a, b in itertools.pairwise(ends)) >= least:
+                        options.append((c, list(at), sum(cost(y[a:b]) for a, b in itertools.pairwise(ends))))
+            bic = lambda c, r: n * (np.log(max(r, 1e-12) / n) + np.log(2 * np.pi) + 1) + np.log(n) * ((3 if trend else 2) * (c + 1))
+            assert got[3] == pytest.approx(min(bic(c, r) for c, _, r in options), abs=1e-6)
+            assert [r for c, at, r in options if at == got[1]] == [pytest.approx(got[2], abs=1e-9)] and len(got[1]) == got[0]
+    assert breaks.best_breaks(rows[:1], 0.2, 3, False)[0][:2] == (0, [])
+    assert breaks.best_breaks(np.zeros((1, 4)), 2.0, 3, False) == [None]

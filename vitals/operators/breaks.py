@@ -1,9 +1,11 @@
-"""Structural breaks of a fleet of yearly series: segmented trends by dynamic programming in joins."""
+"""Structural breaks of a fleet of yearly series: segmented trends by dynamic programming, in the row of each series."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +37,100 @@ def segment_costs(series: DataFrame, share: float = 0.15, trend: bool = True) ->
     return s.select("series_id", "n", "i", "j", rss.alias("rss"))
 
 
+def _costs(y: np.ndarray, least: int, trend: bool) -> np.ndarray:
+    """cost[s, i, j]: squared error of a line (or a mean) through places i + 1 to j of row s, infinite for fewer than `least` places."""
+    n = y.shape[1]
+    t = np.arange(1.0, n + 1)
+    sums = [np.concatenate([np.zeros((len(y), 1)), np.cumsum(x, axis=1)], axis=1) for x in (y, t * y, y * y)]
+    sy, sty, syy = (x[:, None, :] - x[:, :, None] for x in sums)
+    st, stt = (np.concatenate([[0.0], np.cumsum(x)]) for x in (t, t * t))
+    st, stt = st[None, :] - st[:, None], stt[None, :] - stt[:, None]
+    m = np.arange(n + 1.0)[None, :] - np.arange(n + 1.0)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rss = syy - sy * sy / m
+        if trend:
+            ty, tt = sty - st * sy / m, stt - st * st / m
+            rss = rss - ty * ty / tt
+    return np.where(m >= least, np.maximum(rss, 0.0), np.inf)
+
+
+def best_breaks(y: np.ndarray, share: float, most: int, trend: bool) -> list[tuple | None]:
+    """(n_breaks, breaks, rss, bic) of each row of y by the dynamic programme over segment costs; None where no segment fits.
+
+    Of partitions that tie, the one with the smallest places counts: lists of equally many
+    breaks are ranked from level to level, so that no list is compared.
+    """
+    rows, n = y.shape
+    cost = _costs(y, max(3 if trend else 2, int(np.floor(n * share))), trend)
+    at = np.arange(rows)[:, None]
+    best, rank = cost[:, 0, :], np.broadcast_to(np.arange(n + 1), (rows, n + 1))
+    ends, came = [best[:, n]], []
+    for _ in range(most):
+        through = best[:, :, None] + cost
+        least = through.min(axis=1)
+        tied = np.where(through == least[:, None, :], rank[:, :, None], n + 1)
+        came.append(tied.argmin(axis=1))
+        best = least
+        rank = np.argsort(np.argsort(rank[at, came[-1]], axis=1, kind="stable"), axis=1, kind="stable")
+        ends.append(best[:, n])
+    rss = np.stack(ends, axis=1)
+    k = 2 if trend else 1
+    bic = n * (np.log(np.maximum(rss, 1e-12) / n) + math.log(2 * math.pi) + 1) + math.log(n) * ((k + 1) * (np.arange(most + 1) + 1))
+    out: list[tuple | None] = []
+    for r, c in enumerate(np.where(np.isfinite(rss), bic, np.inf).argmin(axis=1).tolist()):
+        if not np.isfinite(rss[r, c]):
+            out.append(None)
+            continue
+        places, j = [], n
+        for level in range(c - 1, -1, -1):
+            j = int(came[level][r, j])
+            places.append(j)
+        out.append((c, places[::-1], float(rss[r, c]), float(bic[r, c])))
+    return out
+
+
+_FOUND = "n_breaks int, breaks array<int>, rss double, bic double"
+#: Cells of cost matrices that are worked on at once.
+CELLS = 1 << 21
+
+
+def _searched(series: DataFrame, share: float, most: int, model: Column) -> DataFrame:
+    """series_id, model and the struct `f` (n_breaks, breaks, rss, bic) of series of five years or more; model: `trend`, `mean` or `none`, by n and h (share * n).
+
+    A series becomes one row, which is searched there: one shuffle, whatever the number of
+    breaks. Years without a value are left out.
+    """
+
+    @F.pandas_udf(_FOUND)
+    def search(values: pd.Series, models: pd.Series) -> pd.DataFrame:
+        found: list[tuple | None] = [None] * len(values)
+        size = values.map(len)
+        for (n, kind), group in pd.DataFrame({"n": size.to_numpy(), "kind": models.to_numpy()}).groupby(["n", "kind"]).groups.items():
+            step = max(1, CELLS // (n + 1) ** 2)
+            for part in (group[k : k + step] for k in range(0, len(group), step)):
+                if kind != "none":
+                    for i, x in zip(part, best_breaks(np.stack([np.asarray(values.iloc[i], float) for i in part]), share, most, kind == "trend"), strict=True):
+                        found[i] = x
+                else:
+                    for i in part:
+                        found[i] = (0, [], None, None)
+        names = ["n_breaks", "breaks", "rss", "bic"]
+        whole = [x or (None,) * 4 for x in found]
+        kinds = ["Int32", object, float, float]
+        return pd.DataFrame({c: pd.Series([x[k] for x in whole], dtype=kinds[k]) for k, c in enumerate(names)})
+
+    years = F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("year", "value"))))
+    s = series.groupBy("series_id").agg(F.transform(years, lambda x: x["value"]).alias("values"))
+    s = s.withColumn("n", F.size("values")).withColumn("h", F.floor(F.col("n") * share)).where("n >= 5").withColumn("model", model)
+    return s.withColumn("f", search("values", "model")).where("f.n_breaks IS NOT NULL").select("series_id", "model", "f")
+
+
 def breakpoints(series: DataFrame, share: float = 0.15, most: int = MOST, trend: bool = True) -> DataFrame:
     """(series_id, n_breaks, breaks, rss, bic): places after which a new segment begins, their number by BIC (B1).
 
-    Series of fewer than five years have no row. At most `most` joins, each over the
-    segments of all series at once.
+    Series of fewer than five years have no row.
     """
-    cost = segment_costs(series, share, trend)
-    best = cost.where("i = 0").select("series_id", "n", "j", "rss", F.array().cast("array<int>").alias("breaks"))
-    every = best.where("j = n").select("series_id", "n", "rss", "breaks")
-    for _ in range(most):
-        part = cost.where("i > 0").select("series_id", F.col("i").alias("at"), F.col("j").alias("to"), F.col("rss").alias("more"))
-        nxt = best.join(part, "series_id").where("j = at").select("series_id", "n", F.col("to").alias("j"), (F.col("rss") + F.col("more")).alias("rss"), F.concat("breaks", F.array(F.col("at").cast("int"))).alias("breaks"))
-        best = nxt.groupBy("series_id", "n", "j").agg(F.min(F.struct("rss", "breaks")).alias("x")).select("series_id", "n", "j", "x.rss", "x.breaks")
-        every = every.unionByName(best.where("j = n").select("series_id", "n", "rss", "breaks"))
-    k = 2 if trend else 1
-    n = F.col("n")
-    bic = n * (F.log(F.greatest(F.col("rss"), F.lit(1e-12)) / n) + math.log(2 * math.pi) + 1) + F.log(n.cast("double")) * ((k + 1) * (F.size("breaks") + 1))
-    scored = every.withColumn("bic", bic)
-    return scored.groupBy("series_id").agg(F.min(F.struct("bic", F.size("breaks").alias("n_breaks"), "breaks", "rss")).alias("x")).select("series_id", "x.n_breaks", "x.breaks", "x.rss", "x.bic")
+    return _searched(series, share, most, F.lit("trend" if trend else "mean")).select("series_id", "f.*")
 
 
 def chosen_breaks(series: DataFrame, share: float = 0.15, most: int = MOST) -> DataFrame:
@@ -63,14 +140,8 @@ def chosen_breaks(series: DataFrame, share: float = 0.15, most: int = MOST) -> D
     there, the series falls back to a mean, which needs more than one; where that fails too,
     it has no break and model is `none`. Series of fewer than five years have no row.
     """
-    sized = series.withColumn("_h", F.floor(F.count(F.lit(1)).over(Window.partitionBy("series_id")) * share))
-    columns = ["series_id", "year", "value"]
-    trend = breakpoints(sized.where("_h > 2").select(*columns), share, most).withColumn("model", F.lit("trend"))
-    mean = breakpoints(sized.where("_h = 2").select(*columns), share, most, False).withColumn("model", F.lit("mean"))
-    none = sized.where("_h < 2").groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-    gone = F.lit(None).cast("double")
-    none = none.select("series_id", F.lit(0).alias("n_breaks"), F.array().cast("array<int>").alias("breaks"), gone.alias("rss"), gone.alias("bic"), F.lit("none").alias("model"))
-    return trend.unionByName(mean).unionByName(none)
+    model = F.when(F.col("h") > 2, "trend").when(F.col("h") == 2, "mean").otherwise("none")
+    return _searched(series, share, most, model).select("series_id", "f.*", "model")
 
 
 def segments(series: DataFrame, found: DataFrame) -> DataFrame:

@@ -414,16 +414,17 @@ def _found(f: Facts) -> DataFrame:
     return breaks.chosen_breaks(f.daily)
 
 
-def _breaks_sql() -> str:
-    """Table `found`: the best breaks of each daily series, level by level."""
+def _breaks_sql(table: str = "daily", share: str = "0.15", most: int = breaks.MOST, line: str = "{a}h > 2", some: str = "n >= 5 AND h >= 2") -> str:
+    """Table `found`: the best breaks of each series of a table, level by level; line: where a line is fitted, else a mean; some: which series are searched."""
+    of_a, of_x = line.format(a="a."), line.format(a="")
     out = [
-        "s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY year) AS t, count(*) OVER (PARTITION BY series_id) AS n, floor(count(*) OVER (PARTITION BY series_id) * 0.15) AS h FROM daily)",
-        "co AS (SELECT a.series_id, a.n, CASE WHEN a.h > 2 THEN 2 ELSE 1 END AS k, i.i AS i, j.j AS j, greatest(regr_syy(a.value, a.t) - CASE WHEN a.h > 2 THEN regr_sxy(a.value, a.t) ^ 2 / regr_sxx(a.value, a.t) ELSE 0 END, 0) AS rss FROM (SELECT DISTINCT series_id, n, h FROM s WHERE n >= 5 AND h >= 2) x, unnest(range(0, n)) AS i(i), unnest(range(i.i + CAST(greatest(CASE WHEN h > 2 THEN 3 ELSE 2 END, h) AS BIGINT), n + 1)) AS j(j), s a WHERE a.series_id = x.series_id AND a.t > i.i AND a.t <= j.j GROUP BY a.series_id, a.n, a.h, i.i, j.j)",
+        f"s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY year) AS t, count(*) OVER (PARTITION BY series_id) AS n, floor(count(*) OVER (PARTITION BY series_id) * {share}) AS h FROM {table})",
+        f"co AS (SELECT a.series_id, a.n, CASE WHEN {of_a} THEN 2 ELSE 1 END AS k, i.i AS i, j.j AS j, greatest(regr_syy(a.value, a.t) - CASE WHEN {of_a} THEN regr_sxy(a.value, a.t) ^ 2 / regr_sxx(a.value, a.t) ELSE 0 END, 0) AS rss FROM (SELECT DISTINCT series_id, n, h FROM s WHERE {some}) x, unnest(range(0, n)) AS i(i), unnest(range(i.i + CAST(greatest(CASE WHEN {of_x} THEN 3 ELSE 2 END, h) AS BIGINT), n + 1)) AS j(j), s a WHERE a.series_id = x.series_id AND a.t > i.i AND a.t <= j.j GROUP BY a.series_id, a.n, a.h, i.i, j.j)",
         "b0 AS (SELECT series_id, n, k, j, rss, CAST([] AS BIGINT[]) AS br FROM co WHERE i = 0)",
     ]
-    for m in range(breaks.MOST):
+    for m in range(most):
         out.append(f"b{m + 1} AS (SELECT c.series_id, c.n, c.k, c.j, min(b.rss + c.rss) AS rss, arg_min(list_append(b.br, c.i), b.rss + c.rss) AS br FROM b{m} b JOIN co c ON b.series_id = c.series_id AND b.j = c.i GROUP BY ALL)")
-    every = " UNION ALL ".join(f"SELECT * FROM b{m} WHERE j = n" for m in range(breaks.MOST + 1))
+    every = " UNION ALL ".join(f"SELECT * FROM b{m} WHERE j = n" for m in range(most + 1))
     out.append(f"found AS (SELECT *, n * (ln(greatest(rss, 1e-12) / n) + ln(2 * pi()) + 1) + ln(n) * ((k + 1) * (len(br) + 1)) AS bic FROM ({every}) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY bic, len(br)) = 1)")
     return ", ".join(out) + " --- "
 
@@ -435,6 +436,15 @@ add(
 )
 _SEG = "s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY year) AS t, count(*) OVER (PARTITION BY series_id) AS n FROM daily) --- SELECT a.series_id, any_value(a.n) AS n, CAST(i.i AS INTEGER) AS i, CAST(j.j AS INTEGER) AS j, round(greatest(regr_syy(a.value, a.t) - regr_sxy(a.value, a.t) ^ 2 / regr_sxx(a.value, a.t), 0), 4) AS rss FROM (SELECT DISTINCT series_id, n FROM s) x, unnest(range(0, n)) AS i(i), unnest(range(i.i + greatest(3, CAST(floor(n * 0.15) AS BIGINT)), n + 1)) AS j(j), s a WHERE a.series_id = x.series_id AND a.t > i.i AND a.t <= j.j AND x.n >= 5 GROUP BY a.series_id, i.i, j.j"
 add("B1_segment_costs", lambda f: breaks.segment_costs(f.daily).withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int"), "rss": F.round("rss", 4) + 0.0}), _SEG)
-add("B2_segments", lambda f: r6(breaks.segments(f.daily, _found(f)), "mean", "slope"))
-add("B3_breaks_on_seams", lambda f: breaks.on_seams(breaks.segments(f.series, breaks.breakpoints(f.series, 0.4, 2, False)), f.seams))
+_PARTS = ", sg AS (SELECT series_id, len(list_filter(br, lambda b: b < t)) + 1 AS segment, len(br) + 1 AS parts, year, value FROM s JOIN (SELECT series_id, br FROM found) USING (series_id)), seg AS (SELECT series_id, segment, min(year) AS first_year, max(year) AS last_year, count(*) AS length, avg(value) AS mean, regr_slope(value, year) AS slope, CASE WHEN segment < any_value(parts) THEN max(year) END AS break_year FROM sg GROUP BY series_id, segment) --- "
+add(
+    "B2_segments",
+    lambda f: r6(breaks.segments(f.daily, _found(f)), "mean", "slope"),
+    _breaks_sql().replace(" --- ", _PARTS) + "SELECT series_id, CAST(segment AS INTEGER) AS segment, first_year, last_year, length, round(mean, 6) AS mean, round(slope, 6) AS slope, break_year FROM seg",
+)
+add(
+    "B3_breaks_on_seams",
+    lambda f: breaks.on_seams(breaks.segments(f.series, breaks.breakpoints(f.series, 0.4, 2, False)), f.seams),
+    _breaks_sql("series", "0.4", 2, "false", "n >= 5").replace(" --- ", _PARTS) + "SELECT series_id, break_year, seam FROM seg JOIN seams ON break_year IN (seam - 1, seam)",
+)
 add("B4_break_class", lambda f: _found(f).select("series_id", breaks.break_class(F.col("n_breaks")).alias("class"), "model"), _breaks_sql() + "SELECT series_id, CASE len(br) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS class, CASE k WHEN 2 THEN 'trend' ELSE 'mean' END AS model FROM found")
