@@ -185,8 +185,7 @@ def test_votes_do_not_follow_the_share_drawn():
     assert score(1, 9, 0.1) == pytest.approx(score(5, 5, 0.5)) == pytest.approx(0.1)
 
 
-@pytest.mark.parametrize("whole", [False, True])
-def test_toxicity_scores_against_brute_force(spark, whole):
+def test_toxicity_scores_against_brute_force(spark):
     """From terms to scores, with dictionaries and every pair of a text and an example."""
     rng = np.random.default_rng(12)
     plain = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("lan", "mer", "nit", "pol", "ras")]
@@ -195,12 +194,12 @@ def test_toxicity_scores_against_brute_force(spark, whole):
         t = list(rng.choice(plain, 25)) + (list(rng.choice(["vorxile", "vorxant", "quagg"], 3)) if k % 4 == 0 else [])
         texts[k] = " ".join(rng.permutation(t))
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(240)], "doc_id long, quality int, toxic int")
-    index = toxicity.fit(frame(spark, list(texts.items())), labels, whole=whole)
+    index = toxicity.fit(frame(spark, list(texts.items())), labels)
     known = set(index.vocabulary.tolist())
     bags = {}
     for k, t in texts.items():
         _, term, count, _ = toxicity.chunk_terms(pa.array([t]))
-        bags[k] = {x: int(c) for x, c in zip(term.view(np.int64).tolist(), count, strict=True) if x in known}
+        bags[k] = {x: 1 + np.log(int(c)) for x, c in zip(term.view(np.int64).tolist(), count, strict=True) if x in known}
     df = collections.Counter(x for b in bags.values() for x in b)
     unit = {}
     for k, b in bags.items():
@@ -209,13 +208,15 @@ def test_toxicity_scores_against_brute_force(spark, whole):
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(frame(spark, list(texts.items())), index).collect()}
     place = {int(i): n for n, i in enumerate(index.ids)}
     for k, u in unit.items():
-        near = sorted(((-sum(v * unit[i].get(x, 0) for x, v in u.items()), n, i) for i, n in place.items()))[: toxicity.NEIGHBOURS]
+        near = sorted(((-sum(v * unit[i].get(x, 0) for x, v in u.items()), n, i) for i, n in place.items()))[: index.k]
         near = [(-s, i) for s, _, i in near if s < 0]
         one = sum(s for s, i in near if i % 4 == 0) * index.prior / index.drawn
         zero = sum(s for s, i in near if i % 4) * (1 - index.prior) / (1 - index.drawn)
         total = sum(s for s, _ in near)
         vote = ((total * one / (one + zero) if total else 0) + toxicity.PRIOR_WEIGHT * index.prior) / (total + toxicity.PRIOR_WEIGHT)
         assert got[k]["score"] == pytest.approx(1 / (1 + np.exp(-index.curve[0] * vote - index.curve[1])), abs=1e-9)
+        assert [s for s, _ in near] == pytest.approx(got[k]["cosines"], abs=1e-9) and len(got[k]["evidence"]) == index.k
+    assert known == {x for i in index.ids.tolist() for x in toxicity.chunk_terms(pa.array([texts[i]]))[1].view(np.int64).tolist()}
 
 
 def test_toxicity_on_held_out_rows(spark):

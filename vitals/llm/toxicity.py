@@ -1,17 +1,16 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the first four to six bytes of longer words (lower-cased), so that
-forms of a stem which no example holds still match. The vocabulary keeps the terms that a
-bounded sample of labelled rows ties to a class (or all of them), document frequencies are
-counted over all documents, and the sample is the index: for each term the examples that
-hold it, in blocks with their largest weight. Each document takes its k nearest examples;
-their labels vote, weighted by cosine, and what a vote is worth is learnt from the votes that
-the examples get from one another.
+forms of a stem which no example holds still match. A bounded sample of labelled rows is the
+index, with every term it has: for each the examples that hold it, in blocks with their
+largest weight. Document frequencies are counted over all documents; a term that stands n
+times in a text counts 1 + ln n, so that no text is its commonest words. Each document takes
+its k nearest examples; their labels vote, weighted by cosine. k, and what a vote is worth,
+are learnt from the votes that the examples get from one another.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +24,18 @@ from vitals.llm.textkernel import ALNUM_WORDS, Words, chunks, distinct, mix, sig
 
 #: Examples per class in the index at most.
 EXAMPLES = 1024
-NEIGHBOURS = 16
+#: Distinct terms of an example at most; longer texts are scored, but not learnt from.
+EXAMPLE_TERMS = 8192
+#: Neighbours that vote, by default, and those that the examples choose from.
+NEIGHBOURS, CHOICES = 16, (8, 16, 32, 64)
 #: Weight of the prior against the neighbours' cosines.
 PRIOR_WEIGHT = 1.5
 BLOCK = 64
 SKETCH = 8
-#: Examples that a term of the vocabulary stands in.
-LEAST = 4
+#: Terms held as rows with a place for every example, at most; the share of the examples that such a term stands in.
+DENSE, OFTEN = 1024, 1 / 16
+#: Documents whose common terms are multiplied at once.
+ROWS = 64
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -118,6 +122,9 @@ class Index:
     prior: float
     drawn: float | None = None  # how common label 1 was among the rows drawn, before any were left out
     curve: tuple[float, float] | None = None  # slope and intercept from votes to chances
+    k: int = NEIGHBOURS  # how many vote
+    common: np.ndarray | None = None  # the row of each term in the next, or -1
+    dense: np.ndarray | None = None  # weights of the commonest terms, an example in each column
 
 
 def inverted(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> tuple[np.ndarray, ...]:
@@ -135,6 +142,31 @@ def inverted(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> tuple[n
     return example, weight, np.searchsorted(term[begin], np.arange(n_terms + 1)), of[begin], np.maximum.reduceat(weight, begin), begin, end
 
 
+def with_dense(index: Index) -> Index:
+    """index with the lists of its commonest terms as rows too: they would fill nearly every block, so a product is faster than opening them."""
+    ends = np.append(index.begin, len(index.example))
+    held = ends[index.entry[1:]] - ends[index.entry[:-1]]
+    often = np.flatnonzero(held > OFTEN * len(index.ids))
+    often = np.sort(often[np.argsort(-held[often], kind="stable")[:DENSE]])
+    index.common = np.full(len(held), -1)
+    index.common[often] = np.arange(len(often))
+    index.dense = np.zeros((len(often), len(index.ids)))
+    posting, row = _ranges(ends[index.entry[often]], ends[index.entry[often + 1]])
+    index.dense[row, index.example[posting]] = index.weight[posting]
+    return index
+
+
+def common_part(index: Index, row: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """What the common terms add to the cosine of each of n rows with each example."""
+    q = counts * index.idf[terms]
+    q = q / np.sqrt(np.bincount(row, q * q, minlength=n))[row]
+    at = index.common[terms]
+    some = at >= 0
+    wide = np.zeros((n, len(index.dense)))
+    wide[row[some], at[some]] = q[some]
+    return wide @ index.dense
+
+
 def no_near_copies(sketches: list[np.ndarray]) -> np.ndarray:
     """Numbers of the examples left when one that shares half of its sketch with an earlier one goes.
 
@@ -153,14 +185,9 @@ def no_near_copies(sketches: list[np.ndarray]) -> np.ndarray:
     return np.array(left, np.int64)
 
 
-def tied_terms(terms: np.ndarray, a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Sorted hashes of the terms that the sample ties to a class, by odds and by a z-score; a, b: the examples of label 1 and 0 that hold each, of n1 and n0."""
-    if not n1 or not n0:
-        return np.empty(0, np.int64)
-    a, b = a.astype(float), b.astype(float)
-    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-    return np.sort(terms[(np.abs(z) >= 3.3) & (np.abs(odds) >= math.log(8)) & (a + b >= LEAST)])
+def damped(counts: np.ndarray) -> np.ndarray:
+    """What a term counts that stands so often in a text."""
+    return 1 + np.log(counts)
 
 
 def looked_up(vocabulary: np.ndarray, doc: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,52 +215,49 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
 
     rows = docs.select(F.col("text").cast("string").alias("text"))
     df = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in rows.mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row per term of the vocabulary
-        df[r["term"]] = r["n"]
+    found = rows.mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row per term of the vocabulary
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
     return df[:-1], int(df[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = EXAMPLES, whole: bool = False) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = EXAMPLES) -> Index:
     """Learn the index from a bounded sample; document frequencies cover all documents.
 
-    Terms are counted by class in Spark, so the driver has those of LEAST examples and more,
-    and of each example the terms of the vocabulary alone: it doesn't follow the texts' length.
+    The driver gets at most EXAMPLE_TERMS numbers of each example, whatever the texts' length.
     """
-    sample = saved(sample_terms(labelled_sample(docs, labels, label, folds, held, per_class)).dropDuplicates(["doc_id"]))
+    sample = sample_terms(labelled_sample(docs, labels, label, folds, held, per_class)).where(F.size("terms") <= EXAMPLE_TERMS)
+    sample = saved(sample.dropDuplicates(["doc_id"]))
     drawn_rows = sample.select("doc_id", "label", "sketch").toPandas().sort_values("doc_id", ignore_index=True)
     drawn = float((drawn_rows["label"] == 1).mean()) if len(drawn_rows) else None
     chosen = drawn_rows.iloc[no_near_copies([np.asarray(t, np.int64) for t in drawn_rows["sketch"]])]
-    n1, n0 = int((chosen["label"] == 1).sum()), int((chosen["label"] == 0).sum())
     named = docs.sparkSession.createDataFrame([(int(i),) for i in chosen["doc_id"]], "doc_id long")
     kept = sample.join(F.broadcast(named), "doc_id")  # at most twice per_class ids
-    count = lambda y: F.count(F.when(F.col("label") == y, 1))
-    held_by = kept.select("label", F.explode("terms").alias("term")).groupBy("term").agg(count(1).alias("a"), count(0).alias("b"))
-    held_by = (held_by if whole else held_by.where(F.col("a") + F.col("b") >= LEAST)).toPandas()
-    term = held_by["term"].to_numpy(np.int64)
-    vocabulary = np.sort(term) if whole else tied_terms(term, held_by["a"].to_numpy(), held_by["b"].to_numpy(), n1, n0)
+    vocabulary = np.sort(kept.select(F.explode("terms").alias("term")).distinct().toArrow()["term"].to_numpy())
     df, n = document_frequencies(docs, vocabulary)
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, c = (batch[k].flatten().to_numpy(zero_copy_only=False) for k in ("terms", "counts"))
-            row = np.repeat(np.arange(batch.num_rows), batch["terms"].value_lengths().to_numpy(zero_copy_only=False))
-            which, at = looked_up(known.value, np.arange(len(t)), t.view(np.uint64))
-            ends = pa.array(np.searchsorted(row[which], np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, c[which])]
+            numbers = np.searchsorted(known.value, batch["terms"].flatten().to_numpy(zero_copy_only=False))
+            ends = np.concatenate([[0], np.cumsum(batch["terms"].value_lengths().to_numpy(zero_copy_only=False))])
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), x) for x in (pa.array(numbers.astype(np.int32)), batch["counts"].flatten())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], *lists], names=["doc_id", "label", "terms", "counts"])
 
-    rows = kept.select("doc_id", "label", "terms", "counts").mapInArrow(numbered, "doc_id long, label int, terms array<int>, counts array<int>").toPandas().sort_values("doc_id", ignore_index=True)
-    examples = [(np.asarray(t, np.int64), np.asarray(c)) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
-    return build(vocabulary, df, n, examples, rows["label"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64), base_rate(labels, label, folds, held), drawn)
+    rows = kept.select("doc_id", "label", "terms", "counts").mapInArrow(numbered, "doc_id long, label int, terms array<int>, counts array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    examples = [tuple(rows[c][i].values.to_numpy(zero_copy_only=False) for c in ("terms", "counts")) for i in range(rows.num_rows)]
+    return build(vocabulary, df, n, examples, rows["label"].to_numpy().astype(np.int64), rows["doc_id"].to_numpy(), base_rate(labels, label, folds, held), drawn)
 
 
 def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray, prior: float, drawn: float | None) -> Index:
-    """The index over examples of (terms, counts), and the curve through the votes that each gets from the others."""
+    """The index over examples of (terms, counts), and the curve through the votes that each gets from the others.
+
+    Of the CHOICES of k the one counts under which the curve gives the labels of the examples
+    the largest likelihood, both classes as common as among all rows to learn from.
+    """
     idf = np.log((n + 1) / (df + 1)) + 1
     # examples without a term can't be near anything; like examples share a block, so block maxima are tight
     some = np.array([i for i, (t, _) in enumerate(examples) if len(t)], np.int64)
-    rows = [(t, c * idf[t]) for t, c in (examples[i] for i in some)]
+    rows = [(t, damped(c) * idf[t]) for t, c in (examples[i] for i in some)]
     rows = [(t, w / np.linalg.norm(w)) for t, w in rows]
     main = np.array([t[np.argmax(w)] for t, w in rows], np.int64)
     order = np.lexsort((ids[some], main, y[some])) if len(some) else some
@@ -241,9 +265,22 @@ def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[n
     if drawn is not None and 0 < drawn < 1:
         place = np.full(len(examples), -1)
         place[some[order]] = np.arange(len(order))
-        votes = np.array([vote(index, *nearest(index, t, c, without=int(i))) for (t, c), i in zip(examples, place, strict=True)])
+        with_dense(index)
+        near = []
+        for at in range(0, len(examples), ROWS):
+            part = examples[at : at + ROWS]
+            row = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
+            start = common_part(index, row, *(np.concatenate(x) for x in ([t for t, _ in part], [damped(c) for _, c in part])), len(part))
+            near += [nearest(index, t, damped(c), max(CHOICES), int(i), s) for (t, c), i, s in zip(part, place[at : at + ROWS], start, strict=True)]
         of_class = np.where(y == 1, prior / max((y == 1).sum(), 1), (1 - prior) / max((y == 0).sum(), 1)) * len(y)
-        index.curve = calibrate(votes, np.where(y == 1, 1, -1), of_class)
+        least = np.inf
+        for k in CHOICES:
+            votes = np.array([vote(index, i[:k], s[:k]) for i, s in near])
+            curve = calibrate(votes, np.where(y == 1, 1, -1), of_class)
+            p = np.clip(1 / (1 + np.exp(-np.clip(curve[0] * votes + curve[1], -60, 60))), 1e-12, 1 - 1e-12)
+            loss = -float((of_class * np.log(np.where(y == 1, p, 1 - p))).sum())
+            if loss < least:
+                least, index.curve, index.k = loss, curve, k
     return index
 
 
@@ -271,21 +308,28 @@ def base_rate(labels: DataFrame, label: str, folds: int, held: int) -> float:
     return ((r["a"] or 0) + 1) / (r["n"] + 2)
 
 
-def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples of largest cosine above 0 to a document with these terms, each so many times, ties by index order.
+def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: int = NEIGHBOURS, without: int = -1, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k examples of largest cosine above 0 to a document with these terms, each counted so much, ties by index order.
 
     Block maxima bound what any example of a block can reach. Blocks are opened in order of
     their bounds, a few at a time and then more, and those whose bound is below the k-th cosine
-    found stay shut: exact, whatever is left out. `without` leaves one example out.
+    found stay shut: exact, whatever is left out. `without` leaves one example out. start: what
+    the common terms add to each cosine; then only the others are looked up. Cosines that
+    differ by less than 1e-12 tie.
     """
     best_i, best_s = np.empty(0, np.int64), np.empty(0)
     if not len(terms):
         return best_i, best_s
     q = counts * index.idf[terms]
     q = q / np.linalg.norm(q)
+    if start is not None:
+        rare = index.common[terms] < 0
+        terms, q = terms[rare], q[rare]
     entry, of = _ranges(index.entry[terms], index.entry[terms + 1])
     block, weight = index.block[entry], q[of]
     bound = np.bincount(block, weight * index.top[entry], minlength=-(-len(index.ids) // BLOCK))
+    if start is not None:
+        bound = bound + np.maximum.reduceat(start, np.arange(0, len(start), BLOCK))
     order = np.argsort(-bound, kind="stable")
     at, step = 0, 1
     while at < len(order) and bound[order[at]] > 0:
@@ -296,13 +340,16 @@ def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: in
         e = opened[block]
         posting, of_entry = _ranges(index.begin[entry[e]], index.end[entry[e]])
         s = np.bincount(index.example[posting], index.weight[posting] * weight[e][of_entry], minlength=len(index.ids))
+        if start is not None:
+            s = s + np.where(np.repeat(opened, BLOCK)[: len(s)], start, 0.0)
         if without >= 0:
             s[without] = 0
+        s = np.round(s, 12)
         hit = np.flatnonzero(s > 0)
         best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, s[hit]])
         top = np.lexsort((best_i, -best_s))[:k]
         best_i, best_s = best_i[top], best_s[top]
-        at, step = at + step, 2 * step
+        at, step = at + step, 4 * step
     return best_i, best_s
 
 
@@ -330,12 +377,12 @@ def chance(index: Index, votes: np.ndarray) -> np.ndarray:
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (0 to 1), evidence (ids of the nearest examples), cosines.
 
-    A null or empty text, or one without a term of the vocabulary, has no neighbour and
+    A null or empty text, or one without any term of an example, has no neighbour and
     scores by the vote that the base rate makes. A very long text is a chunk of its own.
     Repeated rows score alike; neighbours that tie come in order of the index; a null id stays
     null; other columns are left out; an empty table gives an empty table, and without labels
-    of both classes every score is the base rate. The index goes to every task once; its size
-    is bounded by that of EXAMPLES texts of each class.
+    of both classes every score is the base rate. The index goes to every task once; it has
+    EXAMPLES texts of each class at most, and EXAMPLE_TERMS terms of each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -347,10 +394,16 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
             d, c = d[which], c[which]
             cuts = np.searchsorted(d, np.arange(n + 1))
             scores, ids, cosines = np.full(n, vote(model, np.empty(0, np.int64), np.empty(0))), [[]] * n, [[]] * n
-            for row in np.unique(d).tolist():
-                i, s = nearest(model, at[cuts[row] : cuts[row + 1]], c[cuts[row] : cuts[row + 1]])
-                scores[row] = vote(model, i, s)
-                ids[row], cosines[row] = model.ids[i].tolist(), s.tolist()
+            c = damped(c)
+            for first in range(0, n if model.common is not None else 0, ROWS):
+                last = min(first + ROWS, n)
+                part = slice(cuts[first], cuts[last])
+                start = common_part(model, d[part] - first, at[part], c[part], last - first)
+                for row in np.unique(d[part]).tolist():
+                    own = slice(cuts[row], cuts[row + 1])
+                    i, s = nearest(model, at[own], c[own], model.k, start=start[row - first])
+                    scores[row] = vote(model, i, s)
+                    ids[row], cosines[row] = model.ids[i].tolist(), s.tolist()
             yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array(chance(model, scores)), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
