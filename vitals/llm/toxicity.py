@@ -331,12 +331,17 @@ def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: in
     if start is not None:
         bound = bound + np.maximum.reduceat(start, np.arange(0, len(start), BLOCK))
     order = np.argsort(-bound, kind="stable")
-    at, step = 0, 1
+    at, step, least = 0, 1, 0.0
+    if start is not None and len(start) > k:  # no cosine is below what the common terms make
+        step, least = 4, float(np.partition(start, -k - 1)[-k - 1])
     while at < len(order) and bound[order[at]] > 0:
-        if len(best_s) == k and bound[order[at]] < best_s[-1] - 1e-9:
+        least = max(least, best_s[-1]) if len(best_s) == k else least
+        take = order[at : at + step]
+        take = take[bound[take] >= least - 1e-9]
+        if not len(take):
             break
         opened = np.zeros(len(order), bool)
-        opened[order[at : at + step]] = True
+        opened[take] = True
         e = opened[block]
         posting, of_entry = _ranges(index.begin[entry[e]], index.end[entry[e]])
         s = np.bincount(index.example[posting], index.weight[posting] * weight[e][of_entry], minlength=len(index.ids))
@@ -349,7 +354,7 @@ def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: in
         best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, s[hit]])
         top = np.lexsort((best_i, -best_s))[:k]
         best_i, best_s = best_i[top], best_s[top]
-        at, step = at + step, 4 * step
+        at, step = at + step, 4 * step if start is None else len(order)
     return best_i, best_s
 
 
