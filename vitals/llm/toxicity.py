@@ -33,7 +33,7 @@ PRIOR_WEIGHT = 1.5
 BLOCK = 64
 SKETCH = 8
 #: Terms held as rows with a place for every example, at most; the share of the examples that such a term stands in.
-DENSE, OFTEN = 1024, 1 / 16
+DENSE, OFTEN = 4096, 1 / 64
 #: Documents whose common terms are multiplied at once.
 ROWS = 64
 
@@ -126,6 +126,9 @@ class Index:
     common: np.ndarray | None = None  # the row of each term in the next, or -1
     dense: np.ndarray | None = None  # weights of the commonest terms, an example in each column
 
+    def __post_init__(self) -> None:
+        self.lists = np.append(self.begin, len(self.example))[self.entry]  # by term and one more: where its postings begin
+
 
 def inverted(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> tuple[np.ndarray, ...]:
     """example, weight, entry, block, top, begin, end of an index over rows of (terms, weights)."""
@@ -144,14 +147,13 @@ def inverted(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> tuple[n
 
 def with_dense(index: Index) -> Index:
     """index with the lists of its commonest terms as rows too: they would fill nearly every block, so a product is faster than opening them."""
-    ends = np.append(index.begin, len(index.example))
-    held = ends[index.entry[1:]] - ends[index.entry[:-1]]
+    held = index.lists[1:] - index.lists[:-1]
     often = np.flatnonzero(held > OFTEN * len(index.ids))
     often = np.sort(often[np.argsort(-held[often], kind="stable")[:DENSE]])
     index.common = np.full(len(held), -1)
     index.common[often] = np.arange(len(often))
     index.dense = np.zeros((len(often), len(index.ids)))
-    posting, row = _ranges(ends[index.entry[often]], ends[index.entry[often + 1]])
+    posting, row = _ranges(index.lists[often], index.lists[often + 1])
     index.dense[row, index.example[posting]] = index.weight[posting]
     return index
 
@@ -281,6 +283,7 @@ def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[n
             loss = -float((of_class * np.log(np.where(y == 1, p, 1 - p))).sum())
             if loss < least:
                 least, index.curve, index.k = loss, curve, k
+        index.common = index.dense = None  # each worker makes its own
     return index
 
 
@@ -331,9 +334,10 @@ def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: in
     if start is not None:
         bound = bound + np.maximum.reduceat(start, np.arange(0, len(start), BLOCK))
     order = np.argsort(-bound, kind="stable")
+    lists = index.lists
     at, step, least = 0, 1, 0.0
     if start is not None and len(start) > k:  # no cosine is below what the common terms make
-        step, least = 4, float(np.partition(start, -k - 1)[-k - 1])
+        step, least = len(order), float(np.partition(start, -k - 1)[-k - 1])
     while at < len(order) and bound[order[at]] > 0:
         least = max(least, best_s[-1]) if len(best_s) == k else least
         take = order[at : at + step]
@@ -342,9 +346,14 @@ def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: in
             break
         opened = np.zeros(len(order), bool)
         opened[take] = True
-        e = opened[block]
-        posting, of_entry = _ranges(index.begin[entry[e]], index.end[entry[e]])
-        s = np.bincount(index.example[posting], index.weight[posting] * weight[e][of_entry], minlength=len(index.ids))
+        if 2 * len(take) > len(order):  # most are open: lists are read whole, and what isn't open put aside
+            posting, of_term = _ranges(lists[terms], lists[terms + 1])
+            s = np.bincount(index.example[posting], index.weight[posting] * q[of_term], minlength=len(index.ids))
+            s = np.where(np.repeat(opened, BLOCK)[: len(s)], s, 0.0)
+        else:
+            e = opened[block]
+            posting, of_entry = _ranges(index.begin[entry[e]], index.end[entry[e]])
+            s = np.bincount(index.example[posting], index.weight[posting] * weight[e][of_entry], minlength=len(index.ids))
         if start is not None:
             s = s + np.where(np.repeat(opened, BLOCK)[: len(s)], start, 0.0)
         if without >= 0:
@@ -354,7 +363,7 @@ def nearest(index: Index, terms: np.ndarray, counts: np.ndarray | int = 1, k: in
         best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, s[hit]])
         top = np.lexsort((best_i, -best_s))[:k]
         best_i, best_s = best_i[top], best_s[top]
-        at, step = at + step, 4 * step if start is None else len(order)
+        at, step = at + step, 4 * step
     return best_i, best_s
 
 
@@ -393,6 +402,8 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        if model.curve is not None and model.dense is None:
+            with_dense(model)
         for chunk in chunks(batches, "text"):
             d, t, c, n = chunk_terms(chunk["text"])
             which, at = looked_up(model.vocabulary, np.arange(len(d)), t)
