@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vitals import demo
 from vitals.functions import labels as L
 from vitals.operators import geo, merge, quality
 from vitals.sources import facts as S
@@ -139,3 +140,20 @@ def test_year_filters_prune_partitions(spark, tmp_path):
     assert "PartitionFilters: [year" in plan.replace("isnotnull(year", "[year") or "year#" in plan.split("PartitionFilters:")[1][:80]
     assert "EqualTo(area,A)" in plan or "In(area" in plan
     assert scan.first()["deaths"] == 1
+
+
+def test_joins_of_line_items_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(demo, "LINES", 500)
+    f = demo.Facts(spark, "/root/testdata/sf0.001")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert f.base.rdd.getNumPartitions() == f.parts == -(-f.table("lineitem").count() // 500) > 4
+        # orders are told apart where they were joined, in as many parts
+        distinct = f.base.select("year", "area", "o_orderkey").distinct()
+        assert distinct.rdd.getNumPartitions() == f.parts
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert f.births.agg(F.sum("births")).first()[0] == distinct.count()

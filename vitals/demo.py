@@ -15,6 +15,8 @@ PRIORITY = [("S1", 1), ("S2", 2)]
 #: Years of life lost count up to this age.
 CUTOFF = 35.0
 THIN_BIRTHS = 250.0
+#: Line items that a task joins at once.
+LINES = 1_000_000
 
 
 class Facts:
@@ -42,15 +44,25 @@ class Facts:
     def priority(self) -> DataFrame:
         return self.spark.createDataFrame(PRIORITY, "source_indicator string, priority int")
 
+    @cached_property
+    def parts(self) -> int:
+        """In how many parts joins of the line items are dealt: one for LINES of them, so that a task's share doesn't grow with the tables."""
+        return -(-self.table("lineitem").count() // LINES)
+
+    def _dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """The keyed side of a join, dealt in enough parts; the line items follow it, unless it is small enough to broadcast."""
+        usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(self.parts, key) if self.parts > usual else df
+
     @cached_property
     def base(self) -> DataFrame:
         nation = self.table("nation").join(F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        placed = self.table("orders").join(self._dealt(self.table("customer"), "c_custkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        # orders come last, so that what is counted by order needs no further shuffle
         return (
             self.table("lineitem")
-            .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(self._dealt(self.table("part"), "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(self._dealt(placed, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 F.year("l_shipdate").alias("year"),
                 F.col("n_name").alias("area"),
@@ -113,7 +125,8 @@ class Facts:
 
     @cached_property
     def births(self) -> DataFrame:
-        return self.base.groupBy("year", "area").agg(F.count_distinct("o_orderkey").cast("double").alias("births"))
+        # a row per year and area, read more than once by some queries: kept
+        return self.base.groupBy("year", "area").agg(F.count_distinct("o_orderkey").cast("double").alias("births")).persist()
 
     @cached_property
     def infant(self) -> DataFrame:
