@@ -178,3 +178,22 @@ def test_bands_without_a_reference_are_named(spark):
     assert few["excluded"].endswith("0 - 4") and many["excluded"] is None
     assert few["isr_lower"] < few["isr"] == 1e5 < few["isr_upper"] and few["isr_upper"] == pytest.approx(few["smr_upper"] / 100 * 0.5 * 1e5)
     assert many["isr_lower"] == pytest.approx(many["smr_lower"] / 100 * 0.5 * 1e5)
+
+
+def test_limits_take_few_evaluations(monkeypatch):
+    calls = {"gamma_p": 0, "beta_i": 0}
+    for name in calls:
+        own = getattr(intervals, name)
+
+        def counted(*args, own=own, name=name):
+            calls[name] += 1
+            return own(*args)
+
+        monkeypatch.setattr(intervals, name, counted)
+    lower, upper = intervals.poisson_limits(np.array([3.0, 50.0, 1e6]))
+    assert intervals.gamma_p(np.array([3.0, 50.0, 1e6]), lower) == pytest.approx(0.025, rel=1e-6)
+    assert intervals.gamma_p(np.array([4.0, 51.0, 1e6 + 1]), upper) == pytest.approx(0.975, rel=1e-6)
+    lower, upper = intervals.binomial_limits(np.array([3.0, 2e5]), np.array([40.0, 1e6]))
+    assert intervals.beta_i(np.array([3.0, 2e5]), np.array([38.0, 8e5 + 1]), lower) == pytest.approx(0.025, rel=1e-6)
+    assert intervals.beta_i(np.array([4.0, 2e5 + 1]), np.array([37.0, 8e5]), upper) == pytest.approx(0.975, rel=1e-6)
+    assert max(calls.values()) < 30  # halving took more than 80

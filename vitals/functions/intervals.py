@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         b = xh + 1 - ah
         c = np.full(b.shape, 1e300)
         d = 1 / b
-        h = d.copy()
+        h, done = d.copy(), np.zeros(b.shape, bool)
         for i in range(1, 100_000):
             an = -i * (i - ah)
             b = b + 2
@@ -48,7 +49,8 @@ def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = np.where(np.abs(c) < 1e-300, 1e-300, c)
             step = d * c
             h *= step
-            if (np.abs(step - 1) < 1e-15).all():
+            done |= np.abs(step - 1) < 1e-15  # each once: rounding may lift it again
+            if done.all():
                 break
         out[high] = 1 - front[high] * h
     return np.clip(out, 0, 1)
@@ -64,7 +66,7 @@ def beta_i(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     tiny = 1e-300
     c, d = np.ones(p.shape), 1 - (p + q) * y / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
+    h, done = d.copy(), np.zeros(p.shape, bool)
     for m in range(1, 10_000):
         for an in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
             d = 1 + an * d
@@ -72,46 +74,82 @@ def beta_i(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + an / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h *= d * c
-        if (np.abs(d * c - 1) < 1e-15).all():
+        done |= np.abs(d * c - 1) < 1e-15
+        if done.all():
             break
     i = np.where(y <= 0, 0, np.where(y >= 1, 1, front * h))
     return np.clip(np.where(swap, 1 - i, i), 0, 1)
 
 
-def _inverted(cdf: Callable[[np.ndarray], np.ndarray], target: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Where an increasing function takes a value, by halving."""
+def _inverted(cdf: Callable[..., np.ndarray], log_density: Callable[..., np.ndarray], target: float, start: np.ndarray, top: np.ndarray, *of: np.ndarray) -> np.ndarray:
+    """Where increasing functions with parameters `of` take a value between 0 and top: Newton steps from a near start, halving where one leaves the bracket."""
+    low, high = np.zeros(start.shape), np.array(top, float)
+    at = np.where((start > low) & (start < high), start, high / 2)
+    open_ = np.arange(len(at))
     for _ in range(200):
-        mid = (low + high) / 2
-        below = cdf(mid) < target
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-        if (high - low <= 1e-13 * np.maximum(1, np.abs(high))).all():
+        m, some = at[open_], [x[open_] for x in of]
+        p = cdf(*some, m)
+        below = p < target
+        low[open_], high[open_] = np.where(below, m, low[open_]), np.where(below, high[open_], m)
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            new = m + (target - p) / np.exp(log_density(*some, m))
+        inside = (new == m) | ((new > low[open_]) & (new < high[open_]))
+        at[open_] = np.where(inside, new, (low[open_] + high[open_]) / 2)
+        moved = np.abs(at[open_] - m) > 1e-13 * np.maximum(1, np.abs(m))
+        open_ = open_[moved]
+        if not len(open_):
             break
-    return (low + high) / 2
+    return at
+
+
+def _by_size(limits: Callable[..., tuple[np.ndarray, np.ndarray]], *of: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Limits, values of like size together: the steps that a value needs grow with the root of its size."""
+    order = np.argsort(of[-1], kind="stable")
+    lower, upper = np.empty(len(order)), np.empty(len(order))
+    for k in range(0, len(order), rows):
+        own = order[k : k + rows]
+        lower[own], upper[own] = limits(*(x[own] for x in of))
+    return lower, upper
 
 
 def poisson_limits(count: np.ndarray, confidence: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
     """Exact limits of Poisson counts; the lower is 0 for 0."""
-    x = np.asarray(count, float)
     tail = (1 - confidence) / 2
-    top = x + 1 + 12 * np.sqrt(x + 1) + 30
-    lower = np.zeros(x.shape)
-    some = x > 0
-    if some.any():
-        lower[some] = _inverted(lambda m: gamma_p(x[some], m), tail, np.zeros(some.sum()), top[some])
-    return lower, _inverted(lambda m: gamma_p(x + 1, m), 1 - tail, np.zeros(x.shape), top)
+    z = NormalDist().inv_cdf(1 - tail)
+    log_density = lambda a, m: (a - 1) * np.log(m) - m - _lgamma(a)
+    near = lambda a, z: a * (1 - 1 / (9 * a) + z / (3 * np.sqrt(a))) ** 3
+
+    def limits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = x + 1 + (6 * z + 1) * np.sqrt(x + 1) + 10 * z + 10
+        lower = np.zeros(x.shape)
+        some = x > 0
+        if some.any():
+            lower[some] = _inverted(gamma_p, log_density, tail, near(x[some], -z), top[some], x[some])
+        return lower, _inverted(gamma_p, log_density, 1 - tail, near(x + 1, z), top, x + 1)
+
+    return _by_size(limits, np.asarray(count, float))
 
 
 def binomial_limits(successes: np.ndarray, trials: np.ndarray, confidence: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
     """Exact limits of proportions (0 to 1)."""
-    k, n = np.asarray(successes, float), np.asarray(trials, float)
     tail = (1 - confidence) / 2
-    lower, upper = np.zeros(k.shape), np.ones(k.shape)
-    lo, hi = k > 0, k < n
-    if lo.any():
-        lower[lo] = _inverted(lambda p: beta_i(k[lo], n[lo] - k[lo] + 1, p), tail, np.zeros(lo.sum()), np.ones(lo.sum()))
-    if hi.any():
-        upper[hi] = _inverted(lambda p: beta_i(k[hi] + 1, n[hi] - k[hi], p), 1 - tail, np.zeros(hi.sum()), np.ones(hi.sum()))
-    return lower, upper
+    z = NormalDist().inv_cdf(1 - tail)
+    log_density = lambda a, b, p: (a - 1) * np.log(p) + (b - 1) * np.log1p(-p) + _lgamma(a + b) - _lgamma(a) - _lgamma(b)
+
+    def side(a: np.ndarray, b: np.ndarray, target: float, z: float) -> np.ndarray:
+        near = a / (a + b) + z * np.sqrt(a * b / (a + b + 1)) / (a + b)
+        return _inverted(beta_i, log_density, target, near, np.ones(a.shape), a, b)
+
+    def limits(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lower, upper = np.zeros(k.shape), np.ones(k.shape)
+        lo, hi = k > 0, k < n
+        if lo.any():
+            lower[lo] = side(k[lo], n[lo] - k[lo] + 1, tail, -z)
+        if hi.any():
+            upper[hi] = side(k[hi] + 1, n[hi] - k[hi], 1 - tail, z)
+        return lower, upper
+
+    return _by_size(limits, np.asarray(successes, float), np.asarray(trials, float))
 
 
 def poisson_limits_of(count: Column, confidence: float = 0.95) -> Column:

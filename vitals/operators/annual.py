@@ -146,6 +146,8 @@ def annual_table(
     part = lambda k: F.when(split, sum((c * (F.when(g > 0, 1.0).otherwise(0.0) if k == 0 else F.pow(g, F.lit(k))) for c, g in ((first, gone[0]), (F.col("_young") - first, gone[1]))), F.lit(0.0))).otherwise(F.col("_young") * F.coalesce(F.when(F.col("_young_lost") > 0, 1.0).otherwise(0.0) if k == 0 else F.pow("_young_lost", F.lit(k)), F.lit(0.0)))
     x = x.withColumns({f"_y{k}": F.col(f"_y{k}") + part(k) for k in range(3)})
     x = x.withColumns({"count": F.when(F.col("covered") == F.col("n_count"), F.col("u")), "infant": F.when(F.col("covered_rate") == F.col("n_rate"), F.col("u_rate"))})
+    # limits take longer than their few rows let Spark expect: every core has a share
+    x = x.repartition(x.sparkSession.sparkContext.defaultParallelism, *series)
     limits = {"deaths": "deaths", "observed": "observed", "_y0": "_y0", "count": "count", "infant": "infant", "_d": "_d"}
     x = x.withColumns({f"l_{k}": poisson_limits_of(F.col(c)) for k, c in limits.items()} | {"l_share": binomial_limits_of(F.col("deaths"), F.col("all_deaths"))})
 
