@@ -7,21 +7,17 @@ very long text is worked on alone.
 
 from __future__ import annotations
 
-import gc
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitals.llm import bpe, exact, minhash, substring, toxicity
 from vitals.llm.queries import VOCABULARY
 from vitals.llm.tables import saved, small_batches, table
-from vitals.llm.textkernel import give_back
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator scores below 0.7. Null and empty texts stay, as do rows with a null id, which nothing can name."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    give_back()
     toxic = toxicity.score_toxicity(docs, index).where("score >= 0.7 AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
 
@@ -61,13 +57,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def emptied(spark: SparkSession) -> None:
-    """Let the driver return what a stage leaves behind: the index, plans, broadcast blocks."""
-    gc.collect()
-    give_back()
-    spark._jvm.System.gc()
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Between stages, rows go to a folder in spark.checkpoint.dir, which goes with the session."""
     docs = table(spark, sf_dir, "documents")
@@ -75,5 +64,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = saved(docs)
-            emptied(spark)
     return docs

@@ -58,7 +58,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def give_back() -> None:
+def _give_back() -> None:
     """Return freed memory to the system, so that idle workers don't hold what their last task needed."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -82,8 +82,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -
         worked += int(lengths.sum())
         if worked > 16 * CHUNK:
             worked = 0
-            give_back()
-    give_back()
+            _give_back()
+    _give_back()
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
