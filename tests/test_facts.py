@@ -157,3 +157,16 @@ def test_joins_of_line_items_are_dealt_by_size(spark, monkeypatch):
         for c, v in kept.items():
             spark.conf.set(c, v)
     assert f.births.agg(F.sum("births")).first()[0] == distinct.count()
+
+
+def test_dealt_joins_are_not_put_together_again(spark, monkeypatch):
+    monkeypatch.setattr(demo, "LINES", 3000)
+    f = demo.Facts(spark, "/root/testdata/sf0.001")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # fewer parts than shuffle partitions, which adaptive execution would put together
+        assert 1 < f.parts < 4
+        assert f.base.rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

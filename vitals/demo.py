@@ -50,9 +50,13 @@ class Facts:
         return -(-self.table("lineitem").count() // LINES)
 
     def _dealt(self, df: DataFrame, key: str) -> DataFrame:
-        """The keyed side of a join, dealt in enough parts; the line items follow it, unless it is small enough to broadcast."""
+        """The keyed side of a join, dealt in enough parts; the line items follow it, unless it is small enough to broadcast.
+
+        The number is given even where it is the usual one, as adaptive execution would put parts
+        together until a task has 64 MB of compressed rows.
+        """
         usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(self.parts, key) if self.parts > usual else df
+        return df.repartition(max(self.parts, usual), key) if self.parts > 1 else df
 
     @cached_property
     def base(self) -> DataFrame:
