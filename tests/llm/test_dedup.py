@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +336,32 @@ def test_common_passages_dealt_by_run(spark):
     assert found[0] == found[1] == found[2]
 
 
+def test_windows_of_common_keys_are_tied_to_the_head_once(spark, monkeypatch):
+    """The links of _tied; a row of the join for each run is made only of runs that the head of the key lacks."""
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = some(120)
+    texts = [" ".join(some(30) + passage[: 60 + 20 * (k % 4)] + some(30)) for k in range(40)]
+    windows = substring.chunk_windows(substring.Words(pa.array(texts)), np.arange(len(texts)))
+    order = np.lexsort((windows[2], windows[1], windows[0]))
+    windows = [x[order] for x in windows]
+    several = np.isin(windows[0], [k for k, n in zip(*np.unique(windows[0], return_counts=True), strict=True) if n > 1])
+    made, real = [], substring.spread_join
+
+    def counted(rows, table, keys, by):
+        out = real(rows, table, keys, by)
+        if keys == ["run"]:
+            made.append(out.where("id > first.id").count())
+        return out
+
+    monkeypatch.setattr(substring, "spread_join", counted)
+    df = spark.createDataFrame(zip(*(x[several].tolist() for x in windows), strict=True), substring._WINDOWS)
+    got = [tuple(r) for r in substring.hot_links(df).collect()]
+    assert len(got) == len(set(got)) > 0
+    assert set(got) == set(zip(*(x.tolist() for x in substring._tied(windows)), strict=True))
+    assert made[0] < 8 * several.sum()
+
+
 def test_near_passages_are_mostly_found(spark):
     """Passages of 60 to 120 words with one to three words changed, five holders each."""
     rng = np.random.default_rng(21)

@@ -312,22 +312,53 @@ def window_links(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH, ho
 
 
 def hot_links(windows: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """As _tied, for windows of keys that no task should have whole: first by equal surroundings, then by run."""
+    """As _tied, for windows of keys that no task should have whole: by equal surroundings, to the head of the key, then by run.
+
+    The head is the first holder of a key, and so of every run that it has. A window is tied to
+    it once for all runs that both have; only other runs are rows of their own. There is one head
+    for each key, and keys are as few as in hot_keys, so heads are broadcast.
+    """
     around = ["key", "left", "right"]
     where = F.struct("id", "at")
     same = saved(windows.groupBy(*around).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")))
     tied = saved(spread_join(windows, same, around, ["id", "at"]).select(*_WINDOW, "first"))
+    own = tied.where("id = first.id").select(*_WINDOW)
+    head = saved(own.groupBy("key").agg(F.min(F.struct(*_WINDOW[1:])).alias("head")))
+    names = [*_WINDOW, *(f"head_{c}" for c in _WINDOW[1:])]
+    headed = own.join(F.broadcast(head), "key").select(*_WINDOW, *(F.col(f"head.{c}").alias(f"head_{c}") for c in _WINDOW[1:]))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+        """Columns of windows and heads, and for each run the windows that have it, its hash, and whether the head has it too."""
         for batch in batches:
             for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
-                key, ids, at, left, right = (part[c].to_numpy(zero_copy_only=False) for c in _WINDOW)
-                for rows, code in _runs(key, at, left, right, enough):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, key[rows], ids[rows], at[rows])], names=["run", "key", "id", "at"])
+                columns = [part[c].to_numpy(zero_copy_only=False) for c in names]
+                key, _, at, left, right, _, at2, left2, right2 = columns
+                found = []
+                for (rows, code), (rows2, code2) in zip(_runs(key, at, left, right, enough), _runs(key, at2, left2, right2, enough), strict=True):
+                    there, has = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+                    there[rows2], has[rows2] = code2, True
+                    found.append((rows, code, has[rows] & (there[rows] == code)))
+                yield columns, found
+
+    def to_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, ids, at, _, _, id2, at2, _, _), found in compared(batches):
+            whole = np.full(len(key), -1)
+            for rows, code, common in found:
+                whole[rows[common]] = np.maximum(whole[rows[common]], code[common] & 1)
+            k = np.flatnonzero((whole >= 0) & (ids > id2))
+            yield from _batches([x[k] for x in (key, ids, at, id2, at2, whole)], ["key", "id", "at", "id2", "at2", "whole"])
 
-    runs = tied.where("id = first.id").select(*_WINDOW).mapInArrow(split, "run long, key long, id long, at long")
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, ids, at, *_), found in compared(batches):
+            for rows, code, common in found:
+                rows, code = rows[~common], code[~common]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, key[rows], ids[rows], at[rows])], names=["run", "key", "id", "at"])
+
+    of_head = F.struct(F.col("id2").alias("id"), F.col("at2").alias("at")).alias("first")
+    pairs = headed.mapInArrow(to_head, "key long, id long, at long, id2 long, at2 long, whole long").select("key", "id", "at", of_head, "whole")
+    runs = headed.mapInArrow(split, "run long, key long, id long, at long")
     first = saved(runs.groupBy("run").agg(F.min(where).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("most > first.id").drop("most"))
-    pairs = spread_join(runs, first, ["run"], ["id", "at"]).where("id > first.id").select("key", "id", "at", "first", F.col("run").bitwiseAND(1).alias("whole"))
+    pairs = pairs.unionByName(spread_join(runs, first, ["run"], ["id", "at"]).where("id > first.id").select("key", "id", "at", "first", F.col("run").bitwiseAND(1).alias("whole")))
     pairs = pairs.unionByName(tied.where("id > first.id").select("key", "id", "at", "first", F.lit(1).cast("long").alias("whole")))
     pairs = pairs.groupBy("key", "id", "at", "first").agg(F.max("whole").alias("whole"))
 
