@@ -128,3 +128,14 @@ def test_read_back_is_what_was_said(spark):
     pieces = chat.format_conversations(df).orderBy("conv_id", "piece").collect()
     assert {c: sum(len(p["text"]) for p in pieces if p["conv_id"] == c) for c in got} == {c: r["formatted_chars"] for c, r in got.items()}
     assert chat.read_back(df.limit(0)).count() == 0
+
+
+def test_plain_words_are_encoded_without_the_pattern():
+    """Words of a to z are one token each after a blank, so the pattern sees the other words only; ids are the library's."""
+    encoder, library, seen = bpe.PairIndexBpe(PATH), Tokenizer.from_file(PATH), []
+    find = encoder.find
+    encoder.find = lambda text: seen.append(text) or find(text)
+    texts = ["it Plain words, don't naïve x1 " + "q" * 300 + " words ﬁne other\nend 's", "so Plain  words"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(seen[0].split()) == sorted(["words,", "don't", "naïve", "x1", "ﬁne", "other", "end", "'s"])

@@ -115,10 +115,10 @@ class PairIndexBpe:
         if not pieces:
             return []
         coded = [p.encode() for p in pieces]
-        if any(len(x) > LONG for x in coded):
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        if sizes.max() > LONG:
             some = iter(self.encode_pieces([p for p, x in zip(pieces, coded, strict=True) if len(x) <= LONG]))
             return [next(some) if len(x) <= LONG else self._encode_long(x) for x in coded]
-        sizes = np.array([len(x) for x in coded], np.int64)
         n = int(sizes.sum())
         ends = np.cumsum(sizes)
         begins = ends - sizes
@@ -230,7 +230,11 @@ class PairIndexBpe:
             cut.append(row)
         every = unknown
         unknown = every.difference(known)
+        # of letters a to z alone: one token with the blank before it
+        words = [p for p in unknown if p.isascii() and p.isalpha()]
+        unknown.difference_update(words)
         fresh = self._after_blanks([p for p in unknown if not (p[0].isspace() or p[-1].isspace())])
+        known.update(zip(words, self.encode_pieces([f" {p}" for p in words]), strict=True))
         known.update(dict.fromkeys(unknown))
         known.update(fresh)
         get = known.__getitem__
@@ -263,9 +267,9 @@ class PairIndexBpe:
         distinct = list(dict.fromkeys(tokens))
         ids = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
         coded = [ids[q] for q in tokens]
-        ends = np.cumsum([len(x) for x in coded])
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         first = np.array([q[0] == " " for q in tokens])
-        begins = (ends - [len(x) for x in coded])[first].tolist()
+        begins = (np.cumsum(sizes) - sizes)[first].tolist()
         body = b"".join(coded)
         return {p: body[a:b] for p, a, b in zip(parts, begins, [*begins[1:], len(body)], strict=True)}
 
