@@ -362,6 +362,33 @@ def test_windows_of_common_keys_are_tied_to_the_head_once(spark, monkeypatch):
     assert made[0] < 8 * several.sum()
 
 
+def test_runs_beyond_a_common_passage_make_few_rows(spark, monkeypatch):
+    """Runs that reach into other words have no holders by chance, and one row stands for all runs with the same holders; every text keeps its links."""
+    rng = np.random.default_rng(5)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = some(60)
+    beside = [some(40) for _ in range(50)]  # of three texts each
+    texts = [" ".join(some(40) + passage + beside[k // 3]) for k in range(150)]
+    key, ids, *_ = substring.chunk_windows(substring.Words(pa.array(texts)), np.arange(len(texts)))
+    holders = {}
+    for k, i in zip(key.tolist(), ids.tolist(), strict=True):
+        holders.setdefault(k, set()).add(i)
+    hot = np.array(sorted(k for k, some in holders.items() if len(some) > 20), np.int64)
+    made, real = [], substring.spread_join
+
+    def counted(rows, table, keys, by):
+        out = real(rows, table, keys, by)
+        if keys == ["run"]:
+            made.append(out.where("id > first.id").count())
+        return out
+
+    monkeypatch.setattr(substring, "spread_join", counted)
+    got = substring.window_links(frame(spark, enumerate(texts)).select("doc_id", "text"), hot=hot).collect()
+    assert len(hot) and made[0] < 3 * len(texts)
+    whole = {(r["b"], r["a"]) for r in got if r["hash"] >= substring.WHOLE}
+    assert {(k, 0) for k in range(1, 150)} <= whole and {(k, k - k % 3) for k in range(150) if k % 3} <= whole
+
+
 def test_near_passages_are_mostly_found(spark):
     """Passages of 60 to 120 words with one to three words changed, five holders each."""
     rng = np.random.default_rng(21)

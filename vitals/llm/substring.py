@@ -15,11 +15,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitals.llm.tables import saved, spread_join
-from vitals.llm.textkernel import U, Words, chunks, mix, powers, signed
+from vitals.llm.textkernel import U, Words, chunks, flat, mix, powers, signed
 
 #: Words of the shortest passage, words of a shingle.
 PASSAGE, SHINGLE = 50, 5
@@ -35,8 +35,12 @@ RUNS = ((PASSAGE - SHINGLE + 1, 1), (32, 4), (23, 4), (12, 3), (1, 1))
 #: Keys are dealt by their runs that one in HOT_SHARE of the sampled documents holds and HOT
 #: of them at least, or that by the sample have HOT_ROWS windows: a task holds fewer of a key.
 HOT, HOT_SHARE, HOT_ROWS, HOT_SAMPLE = 8, 100, 2_000_000, 64
+#: Windows of such a key that the others are tied to before runs are rows of their own.
+HEADS = 16
 #: Shingles to which the ends of a source's slice are rounded.
 ROUND = 64
+#: Shingles beside a smallest hash, on each side, that a run may have.
+FAR = PASSAGE - SHINGLE
 _WIDE = (1 << 12) - 1
 #: Marks links by a run of a passage's length: one hash function is enough for them.
 WHOLE = 4
@@ -120,12 +124,25 @@ def _bits(s: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunk_windows(w: Words, ids: np.ndarray, hashes: int = HASHES) -> list[np.ndarray]:
-    """Columns key, id, place (packed), left and right (bits of the shingles beside the smallest) of all windows of a chunk."""
+def _far(s: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of some places 16 bits of each shingle that a run around it may have: those before it, the nearest first, then those after it; 0 beyond the text."""
+    beside = np.arange(1, FAR + 1)
+    near = at[:, None] + np.concatenate([-beside, beside])
+    inside = np.clip(near, 0, len(s) - 1)
+    small = (mix(s, 78) & U(0xFFFF)).astype("<u2")
+    return np.where((near == inside) & (doc[inside] == doc[at][:, None]), small[inside], 0).astype("<u2")
+
+
+def chunk_windows(w: Words, ids: np.ndarray, hashes: int = HASHES, hot: np.ndarray | None = None) -> list[np.ndarray]:
+    """Columns key, id, place (packed), left and right (bits of the shingles beside the smallest) of all windows of a chunk.
+
+    With hot (sorted keys), windows of these keys have the key's complement, and two columns more
+    follow: where such windows are, and their shingles (see _far).
+    """
     t = PASSAGE - SHINGLE + 1
     s, doc, place = _sequence(w)
     if not len(s):
-        return [np.empty(0, np.int64)] * 5
+        return [np.empty(0, np.int64)] * 5 + ([np.empty(0, np.int64), np.empty((0, 2 * FAR), "<u2")] if hot is not None else [])
     ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1
     gap = np.arange(len(s)) + np.searchsorted(ends, np.arange(len(s)), "right")
     n = len(s) + len(ends)
@@ -133,6 +150,7 @@ def chunk_windows(w: Words, ids: np.ndarray, hashes: int = HASHES) -> list[np.nd
     number[gap] = np.arange(len(s))
     after, before = (signed(x << U(1)) for x in (_bits(s), _bits(s[::-1])[::-1]))
     out: list[list[np.ndarray]] = [[], [], [], [], []]
+    centre = []
     for k in range(hashes):
         h = np.zeros(n, U)
         h[gap] = mix(s, 500 + k) | U(1)
@@ -143,7 +161,13 @@ def chunk_windows(w: Words, ids: np.ndarray, hashes: int = HASHES) -> list[np.nd
         out[2].append((place[i] << 24) | (np.minimum(c - lo, _WIDE) << 12) | np.minimum(hi - c, _WIDE))
         out[3].append(before[i])
         out[4].append(after[i])
-    return [np.concatenate(x) for x in out]
+        centre.append(i)
+    rows = [np.concatenate(x) for x in out]
+    if hot is None:
+        return rows
+    found = np.flatnonzero(np.isin(rows[0], hot))
+    rows[0][found] = ~rows[0][found]  # set apart by the sign
+    return [*rows, found, _far(s, doc, np.concatenate(centre)[found])]
 
 
 def _linked(first: list[np.ndarray], second: list[np.ndarray], whole: np.ndarray | int = 0) -> list[np.ndarray]:
@@ -171,19 +195,32 @@ def _first(code: np.ndarray) -> np.ndarray:
     return first[which]
 
 
-def _runs(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, enough: int = ENOUGH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each run of RUNS the windows that have it, and a hash of its key and shingles, odd for the first length."""
+def _runs(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, enough: int = ENOUGH, far: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each run of RUNS the windows that have it, and a hash of its key and shingles, odd for the first length.
+
+    Shingles are told by one bit each, with far (see _far) by 16.
+    """
     before, after = (at >> 12) & _WIDE, at & _WIDE
     every = np.arange(len(key))
     left, right, key = left.view(U), right.view(U), key.astype(U)
+    sums = []
+    for side in () if far is None else (far[:, :FAR], far[:, FAR:]):
+        with np.errstate(over="ignore"):
+            sums.append(np.cumsum((side.astype(U) + U(1)) * powers(FAR)[0][:FAR], axis=1))
+
+    def nearest(side: int, rows: np.ndarray, k: int) -> np.ndarray:
+        """A number that tells the k nearest shingles of a side."""
+        if not k:
+            return np.zeros(len(rows), U)
+        return sums[side][rows, k - 1] if sums else (left, right)[side][rows] >> U(64 - k)
+
     for length, step in RUNS:
         for i in range(0, length, step):
             j = length - 1 - i
             rows = every
             if length == RUNS[0][0]:
                 rows = np.flatnonzero((before >= i) & (after >= j) & (key & U(3) < U(enough)))
-            x = left[rows] >> U(64 - i) if i else np.zeros(len(rows), U)
-            y = right[rows] >> U(64 - j) if j else np.zeros(len(rows), U)
+            x, y = nearest(0, rows, i), nearest(1, rows, j)
             with np.errstate(over="ignore"):
                 code = signed(mix(key[rows] * U(0x9FB21C651E98DF25) + x * U(0xD6E8FEB86659FD93) + mix(y, length << 8 | i)))
             yield rows, code & ~1 | (length == RUNS[0][0])
@@ -221,7 +258,11 @@ _LINK = ["b", "a", "hash", "from", "to", "shift"]
 _LINKS = ", ".join(f"`{c}` long" for c in _LINK)
 
 
-def _batches(columns: list[np.ndarray], names: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+#: Rows of a batch.
+BATCH = 50_000
+
+
+def _batches(columns: list[np.ndarray], names: list[str], rows: int = BATCH) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(columns[0]), rows):
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + rows]) for x in columns], names=names)
 
@@ -274,91 +315,129 @@ def hot_keys(docs: DataFrame, hashes: int = HASHES, sample: int = HOT_SAMPLE, ho
 def window_links(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH, hot: np.ndarray | None = None) -> DataFrame:
     """Links of windows with the same smallest hash (see _tied): b, a, hash, from, to, shift (b's place less a's).
 
-    Windows are dealt by key, those of `hot` keys by their runs.
+    Windows are dealt by key, those of `hot` keys by their runs, which 16 bits of each shingle tell.
     """
     known = docs.sparkSession.sparkContext.broadcast(hot if hot is not None else np.empty(0, np.int64))
+    some = hot is not None and len(hot) > 0
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = known.value
         for chunk in chunks(batches, "text"):
-            rows = chunk_windows(Words(chunk["text"]), chunk["doc_id"].to_numpy(zero_copy_only=False), hashes)
-            if len(keys):  # they are set apart by the sign
-                i = np.minimum(np.searchsorted(keys, rows[0]), len(keys) - 1)
-                rows[0] = np.where(keys[i] == rows[0], ~rows[0], rows[0])
-            yield from _batches(rows, _WINDOW)
+            rows = chunk_windows(Words(chunk["text"]), chunk["doc_id"].to_numpy(zero_copy_only=False), hashes, known.value if some else None)
+            if not some:
+                yield from _batches(rows, _WINDOW)
+                continue
+            *rows, found, far = rows
+            sizes = np.zeros(len(rows[0]) + 1, np.int32)
+            sizes[found + 1] = far.itemsize * far.shape[1]
+            given = np.zeros(len(rows[0]), bool)
+            given[found] = True
+            buffers = [pa.array(given).buffers()[1], pa.py_buffer(np.cumsum(sizes, dtype=np.int32)), pa.py_buffer(far.tobytes())]
+            beside = pa.Array.from_buffers(pa.binary(), len(given), buffers)
+            for k, batch in enumerate(_batches(rows, _WINDOW)):
+                yield batch.append_column("far", beside.slice(k * BATCH, batch.num_rows))
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: Iterator[pa.RecordBatch] = iter(())
         for batch in batches:
             n = int(np.searchsorted(batch["key"].to_numpy(zero_copy_only=False), 0))
             if n:
-                columns = [*(batch[c].slice(0, n) for c in _WINDOW), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*_LINK, "link"])
+                columns = [*(batch[c].slice(0, n) for c in _WINDOW), pa.nulls(n, pa.int64()), batch["far"].slice(0, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*_LINK, "far"])
             if n < batch.num_rows:
                 rest = chain([batch.slice(n)], batches)
                 break
         for columns in _whole(rest, _WINDOW, 1):
             for x in _batches(_tied(columns, enough), _LINK):
-                yield x.append_column("link", pa.array(np.full(x.num_rows, True)))
+                yield x.append_column("far", pa.nulls(x.num_rows, pa.binary())) if some else x
 
-    rows = docs.mapInArrow(find, _WINDOWS)
+    more = ", far binary" if some else ""
+    rows = docs.mapInArrow(find, _WINDOWS + more)
     deal = F.when(F.col("key") < 0, F.xxhash64("key", "id", "at")).otherwise(F.col("key"))
-    links = rows.repartition(deal).sortWithinPartitions("key", "id", "at").mapInArrow(tie, _LINKS + ", link boolean")
-    if hot is None or not len(hot):
-        return links.drop("link")
+    links = rows.repartition(deal).sortWithinPartitions("key", "id", "at").mapInArrow(tie, _LINKS + more)
+    if not some:
+        return links
     links = saved(links)
-    apart = links.where("NOT link").select(F.bitwise_not("b").alias("key"), *(F.col(c).alias(n) for c, n in zip(_LINK[1:5], _WINDOW[1:], strict=True)))
-    return links.where("link").drop("link").unionByName(hot_links(apart, enough))
+    apart = links.where("far IS NOT NULL").select(F.bitwise_not("b").alias("key"), *(F.col(c).alias(n) for c, n in zip(_LINK[1:5], _WINDOW[1:], strict=True)), "far")
+    return links.where("far IS NULL").drop("far").unionByName(hot_links(apart, enough))
 
 
-def hot_links(windows: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """As _tied, for windows of keys that no task should have whole: by equal surroundings, to the head of the key, then by run.
+def _coded(columns: list[np.ndarray], far: np.ndarray | None, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window and each run of RUNS its hash (see _runs), and whether the window has the run."""
+    key, _, at, left, right = columns
+    n = sum(len(range(0, length, step)) for length, step in RUNS)
+    codes, has = np.zeros((len(key), n), np.int64), np.zeros((len(key), n), bool)
+    for k, (rows, code) in enumerate(_runs(key, at, left, right, enough, far)):
+        codes[rows, k], has[rows, k] = code, True
+    return codes, has
+
 
-    The head is the first holder of a key, and so of every run that it has. A window is tied to
-    it once for all runs that both have; only other runs are rows of their own. There is one head
-    for each key, and keys are as few as in hot_keys, so heads are broadcast.
+def hot_links(windows: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """As _tied, for windows of keys that no task should have whole: by equal surroundings, to the heads of the key, then by run.
+
+    The heads are the HEADS windows of a key with the smallest ids, so the first of them that has
+    a run is the run's first holder. A window is tied to each of them at most once for all runs
+    that both have; only runs that no head has are rows of their own. Keys are as few as in
+    hot_keys, so heads are broadcast. With a column far (see _far) shingles of a run are told by
+    16 bits: by one bit alone, of the very many holders of a key some have the same bits by chance
+    in each run that reaches a few words beyond what they have in common, and each such run is a
+    row.
     """
     around = ["key", "left", "right"]
+    window = [*_WINDOW, "far"] if "far" in windows.columns else _WINDOW
     where = F.struct("id", "at")
     same = saved(windows.groupBy(*around).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")))
-    tied = saved(spread_join(windows, same, around, ["id", "at"]).select(*_WINDOW, "first"))
-    own = tied.where("id = first.id").select(*_WINDOW)
-    head = saved(own.groupBy("key").agg(F.min(F.struct(*_WINDOW[1:])).alias("head")))
-    names = [*_WINDOW, *(f"head_{c}" for c in _WINDOW[1:])]
-    headed = own.join(F.broadcast(head), "key").select(*_WINDOW, *(F.col(f"head.{c}").alias(f"head_{c}") for c in _WINDOW[1:]))
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
-        """Columns of windows and heads, and for each run the windows that have it, its hash, and whether the head has it too."""
+    tied = saved(spread_join(windows, same, around, ["id", "at"]).select(*window, "first"))
+    own = tied.where("id = first.id").select(*window)
+    number = F.row_number().over(Window.partitionBy("key").orderBy("id", "at"))
+    listed = own.withColumn("n", number).where(F.col("n") <= HEADS).collect()
+    known = windows.sparkSession.sparkContext.broadcast(sorted(tuple(r[c] for c in ("key", "n", *window[1:])) for r in listed))
+
+    def of_heads() -> tuple[np.ndarray, ...]:
+        """Keys, the row of each key's first head, and ids, places and coded runs of heads; a key's heads follow one another."""
+        rows = list(zip(*known.value, strict=True)) or [()] * (len(window) + 1)
+        key, _, ids, at, left, right = (np.array(x, np.int64) for x in rows[:6])
+        far = np.frombuffer(b"".join(rows[6]), "<u2").reshape(len(key), -1) if len(rows) > 6 else None
+        return *np.unique(key, return_index=True), np.append(key, 0), ids, at, *_coded([key, ids, at, left, right], far, enough)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]]:
+        """Columns of windows, their coded runs, those that no head has, and for each number of a head: windows with runs of it first, ids and places of it, and whether one is whole."""
+        keys, first, of, ids2, at2, codes2, has2 = of_heads()
         for batch in batches:
             for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
-                columns = [part[c].to_numpy(zero_copy_only=False) for c in names]
-                key, _, at, left, right, _, at2, left2, right2 = columns
+                columns = [part[c].to_numpy(zero_copy_only=False) for c in _WINDOW]
+                far = flat(part["far"])[0].view("<u2").reshape(part.num_rows, -1) if len(window) > len(_WINDOW) else None
+                codes, rest = _coded(columns, far, enough)
+                key = columns[0]
+                start = first[np.searchsorted(keys, key)]
                 found = []
-                for (rows, code), (rows2, code2) in zip(_runs(key, at, left, right, enough), _runs(key, at2, left2, right2, enough), strict=True):
-                    there, has = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-                    there[rows2], has[rows2] = code2, True
-                    found.append((rows, code, has[rows] & (there[rows] == code)))
-                yield columns, found
+                for k in range(HEADS):
+                    rows = np.flatnonzero(of[np.minimum(start + k, len(of) - 1)] == key)
+                    head = start[rows] + k
+                    common = rest[rows] & has2[head] & (codes[rows] == codes2[head])
+                    rest[rows] &= ~common
+                    some = common.any(axis=1)
+                    found.append((rows[some], ids2[head[some]], at2[head[some]], (common[some] & (codes[rows[some]] & 1 == 1)).any(axis=1).astype(np.int64)))
+                yield columns, codes, rest, found
 
     def to_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, ids, at, _, _, id2, at2, _, _), found in compared(batches):
-            whole = np.full(len(key), -1)
-            for rows, code, common in found:
-                whole[rows[common]] = np.maximum(whole[rows[common]], code[common] & 1)
-            k = np.flatnonzero((whole >= 0) & (ids > id2))
-            yield from _batches([x[k] for x in (key, ids, at, id2, at2, whole)], ["key", "id", "at", "id2", "at2", "whole"])
+        for (key, ids, at, _, _), _, _, found in compared(batches):
+            for rows, id2, at2, whole in found:
+                k = ids[rows] > id2
+                yield from _batches([key[rows[k]], ids[rows[k]], at[rows[k]], id2[k], at2[k], whole[k]], ["key", "id", "at", "id2", "at2", "whole"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, ids, at, *_), found in compared(batches):
-            for rows, code, common in found:
-                rows, code = rows[~common], code[~common]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, key[rows], ids[rows], at[rows])], names=["run", "key", "id", "at"])
+        for (key, ids, at, _, _), codes, rest, _ in compared(batches):
+            rows, run = np.nonzero(rest)
+            yield from _batches([codes[rows, run], key[rows], ids[rows], at[rows]], ["run", "key", "id", "at"])
 
     of_head = F.struct(F.col("id2").alias("id"), F.col("at2").alias("at")).alias("first")
-    pairs = headed.mapInArrow(to_head, "key long, id long, at long, id2 long, at2 long, whole long").select("key", "id", "at", of_head, "whole")
-    runs = headed.mapInArrow(split, "run long, key long, id long, at long")
-    first = saved(runs.groupBy("run").agg(F.min(where).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("most > first.id").drop("most"))
-    pairs = pairs.unionByName(spread_join(runs, first, ["run"], ["id", "at"]).where("id > first.id").select("key", "id", "at", "first", F.col("run").bitwiseAND(1).alias("whole")))
+    pairs = own.mapInArrow(to_head, "key long, id long, at long, id2 long, at2 long, whole long").select("key", "id", "at", of_head, "whole")
+    runs = own.mapInArrow(split, "run long, key long, id long, at long")
+    # of runs that the same windows have, one is joined for all: a window has up to 65 runs, but seldom as many circles of holders
+    held = [F.bit_xor(F.xxhash64("id", "at")).alias("h1"), F.sum(F.xxhash64("at", "id").cast("decimal(20)")).alias("h2")]
+    runs_of = runs.groupBy("run").agg(F.min(where).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), *held).where("most > first.id")
+    first = saved(runs_of.groupBy("key", "first", "n", "h1", "h2").agg(F.min("run").alias("run"), F.max(F.col("run").bitwiseAND(1)).alias("whole")).select("run", "first", "n", "whole"))
+    pairs = pairs.unionByName(spread_join(runs, first, ["run"], ["id", "at"]).where("id > first.id").select("key", "id", "at", "first", "whole"))
     pairs = pairs.unionByName(tied.where("id > first.id").select("key", "id", "at", "first", F.lit(1).cast("long").alias("whole")))
     pairs = pairs.groupBy("key", "id", "at", "first").agg(F.max("whole").alias("whole"))
 
