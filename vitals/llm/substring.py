@@ -294,7 +294,7 @@ _WINDOWS = ", ".join(f"`{c}` long" for c in _WINDOW)
 def hot_keys(docs: DataFrame, hashes: int = HASHES, sample: int = HOT_SAMPLE, hot: int = HOT) -> np.ndarray:
     """Keys of windows that very many documents hold, estimated from one document in `sample`.
 
-    Only how rows are dealt depends on it. There are at most HOT_SHARE times the windows of a
+    How rows are dealt depends on it, and which near passages are tied by equal bits (see hot_links). There are at most HOT_SHARE times the windows of a
     document, and one for HOT_ROWS windows of all documents (8 MB for 2 * 10^12 windows).
     """
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0)
@@ -396,7 +396,7 @@ def hot_links(windows: DataFrame, enough: int = ENOUGH) -> DataFrame:
         """Keys, the row of each key's first head, and ids, places and coded runs of heads; a key's heads follow one another."""
         rows = list(zip(*known.value, strict=True)) or [()] * (len(window) + 1)
         key, _, ids, at, left, right = (np.array(x, np.int64) for x in rows[:6])
-        far = np.frombuffer(b"".join(rows[6]), "<u2").reshape(len(key), -1) if len(rows) > 6 else None
+        far = np.frombuffer(b"".join(rows[6]), "<u2").reshape(len(key), 2 * FAR) if len(rows) > 6 else None
         return *np.unique(key, return_index=True), np.append(key, 0), ids, at, *_coded([key, ids, at, left, right], far, enough)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]]:
@@ -748,8 +748,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Every run of PASSAGE words that a smaller id has is found, with the smallest id that has it
     as source. Near passages are found where enough hash functions agree with the first holder
-    of a run of some length around the smallest hash. sample and hot decide only how rows of
-    common passages are dealt (see hot_keys), not what is found.
+    of a run of some length around the smallest hash. sample and hot decide how rows of
+    common passages are dealt (see hot_keys), not which exact runs are found; near passages that
+    only equal bits would tie may be found beside rare keys and not beside common ones.
 
     One row per passage: doc_id, start and n_words (words from 0), source_id, source_start,
     similarity (Jaccard of shingle sets, SIMILARITY or more; exact runs have 1). Words stand
